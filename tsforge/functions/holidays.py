@@ -51,6 +51,18 @@ def us_federal_holidays(spark: SparkSession, first_year: int, last_year: int, ob
     """US federal holidays for ``first_year..last_year``; with ``observed`` a Saturday
     holiday adds the Friday before and a Sunday holiday the Monday after."""
     years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
+    return holidays_for_years(years, observed)
+
+
+def holidays_covering(df: DataFrame, ts: str = TS, observed: bool = True) -> DataFrame:
+    """Holidays for every year the data touches, one year of margin each side (lazy: no driver round trip)."""
+    years = (df.agg(F.min(F.year(ts)).alias("lo"), F.max(F.year(ts)).alias("hi"))
+               .select(F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("year")))
+    return holidays_for_years(years, observed)
+
+
+def holidays_for_years(years: DataFrame, observed: bool = True) -> DataFrame:
+    """Rule table applied to a DataFrame of years (column ``year``)."""
     rows = None
     for name, month, rule, since in US_FEDERAL_RULES:
         d = years.where(F.col("year") >= since).select(

@@ -78,12 +78,15 @@ def ema_columns(target: str, alphas: list[float], w: WindowSpec) -> list[Column]
     for a in alphas:
         k = ema_span(a)
         tail = F.slice(hist, F.greatest(F.lit(1), F.size(hist) - k), k + 1)
-        decay = 1.0 - a
-        n = F.size(tail)
-        wts = F.transform(tail, lambda e, i: F.when(e["v"].isNotNull(), F.pow(F.lit(decay), n - 1 - i)).otherwise(F.lit(0.0)))
-        num = F.aggregate(F.zip_with(tail, wts, lambda e, wt: F.coalesce(e["v"] * wt, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-        den = F.aggregate(wts, F.lit(0.0), lambda s, v: s + v)
-        out.append(F.when(den > 0, num / den).alias(f"{target}_ema_alpha_{a}"))
+        decay = F.lit(1.0 - a)
+        # Horner form in time order: n <- n*(1-a) + x, d <- d*(1-a) + 1 (x non-null only).
+        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+        acc = F.aggregate(
+            tail, zero,
+            lambda s, e: F.struct((s["n"] * decay + F.coalesce(e["v"], F.lit(0.0))).alias("n"),
+                                  (s["d"] * decay + F.when(e["v"].isNotNull(), 1.0).otherwise(0.0)).alias("d")),
+            lambda s: F.when(s["d"] > 0, s["n"] / s["d"]))
+        out.append(acc.alias(f"{target}_ema_alpha_{a}"))
     return out
 
 

@@ -1,7 +1,7 @@
 """Null handling: counts, fills, interpolation, drops and thresholds.
 
 Interpolation and fills look arbitrarily far back/forward; they run through
-:func:`tsforge.operators.sequence.carry_fill` so a long series is processed in
+:func:`tsforge.operators.sequence.neighbours` so a long series is processed in
 bounded chunks plus a tiny chunk-level carry table.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
-from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS, IDX, carry_fill, with_row_index
+from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS, IDX, neighbours
 
 MISSING_METHODS = ("interpolate", "forward_fill", "backward_fill", "drop")
 
@@ -30,57 +30,75 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.agg(*per, total.alias("total_nulls"))
 
 
+def _fill(df: DataFrame, cols: list[str], kind: str, chunk_rows: int | None) -> DataFrame:
+    """One neighbour pass, then the value rule of ``kind`` and the edge fill.
+
+    interpolate: inner nulls linear by position, trailing -> previous value;
+    the edge fill then gives leading nulls the next value. ffill: previous,
+    else next. bfill: next, else previous. edge: same as ffill.
+    """
+    nb = neighbours(df, cols, chunk_rows)
+    outs = []
+    for c in df.columns:
+        if c not in cols:
+            outs.append(F.col(c))
+            continue
+        p, n = F.col("_prev_" + c), F.col("_next_" + c)
+        if kind == "interpolate":
+            between = p["v"] + (n["v"] - p["v"]) * (F.col(IDX) - p["p"]) / (n["p"] - p["p"])
+            val = (F.when(F.col(c).isNotNull(), F.col(c))
+                    .when(p.isNotNull() & n.isNotNull(), between)
+                    .when(p.isNotNull(), p["v"])
+                    .otherwise(n["v"]))
+        elif kind == "bfill":
+            val = F.coalesce(n["v"], p["v"])
+        else:
+            val = F.coalesce(p["v"], n["v"])
+        outs.append(val.alias(c))
+    return nb.select(*outs)
+
+
 def forward_fill(df: DataFrame, cols: list[str] | None = None, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Last non-null value at or before each row."""
-    cols = value_columns(df, cols)
-    res = carry_fill(df, cols, "ffill", chunk_rows)
-    return res.select(*[F.col("_prev_" + c).alias(c) if c in cols else F.col(c) for c in df.columns])
+    """P3 (+ P6): last non-null value at or before each row; leading nulls take the first value."""
+    return _fill(df, value_columns(df, cols), "ffill", chunk_rows)
 
 
 def backward_fill(df: DataFrame, cols: list[str] | None = None, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """First non-null value at or after each row."""
-    cols = value_columns(df, cols)
-    res = carry_fill(df, cols, "bfill", chunk_rows)
-    return res.select(*[F.col("_next_" + c).alias(c) if c in cols else F.col(c) for c in df.columns])
+    """P4 (+ P6): first non-null value at or after each row; trailing nulls take the last value."""
+    return _fill(df, value_columns(df, cols), "bfill", chunk_rows)
 
 
 def edge_fill(df: DataFrame, cols: list[str] | None = None, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Forward fill, then backward fill what is left (leading nulls)."""
-    cols = value_columns(df, cols)
-    base = df if IDX in df.columns or chunk_rows is None else with_row_index(df)
-    f = carry_fill(base, cols, "ffill", chunk_rows)
-    b = carry_fill(f, cols, "bfill", chunk_rows)
-    out = b.select(*[F.coalesce("_prev_" + c, "_next_" + c).alias(c) if c in cols else F.col(c) for c in base.columns])
-    return out if IDX in df.columns else out.drop(IDX)
+    return _fill(df, value_columns(df, cols), "ffill", chunk_rows)
 
 
 def interpolate_linear(df: DataFrame, cols: list[str] | None = None,
-                       chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Linear interpolation by row position, forward direction.
+                       chunk_rows: int | None = DEFAULT_CHUNK_ROWS, edges: bool = True) -> DataFrame:
+    """P2 (+ P6 with ``edges``): linear interpolation by row position, forward direction.
 
     Inner nulls: ``prev + (next - prev) * (i - i_prev) / (i_next - i_prev)``;
-    trailing nulls take the last value; leading nulls stay NULL.
+    trailing nulls take the last value; leading nulls stay NULL unless ``edges``.
     """
     cols = value_columns(df, cols)
-    base = df if IDX in df.columns or chunk_rows is None else with_row_index(df)
-    if IDX not in base.columns:  # plain mode: carry_fill adds the index itself
-        from tsforge.operators.sequence import series_window
-        base = base.withColumn(IDX, F.row_number().over(series_window(False)) - 1)
-    f = carry_fill(base, cols, "ffill", chunk_rows, with_position=True)
-    b = carry_fill(f, cols, "bfill", chunk_rows, with_position=True)
+    return _fill(df, cols, "interpolate", chunk_rows) if edges else interpolate_only(df, cols, chunk_rows)
+
+
+def interpolate_only(df: DataFrame, cols: list[str] | None = None,
+                     chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """P2 alone: leading nulls stay NULL."""
+    cols = value_columns(df, cols)
+    nb = neighbours(df, cols, chunk_rows)
     outs = []
-    for c in base.columns:
+    for c in df.columns:
         if c not in cols:
             outs.append(F.col(c))
             continue
         p, n = F.col("_prev_" + c), F.col("_next_" + c)
         between = p["v"] + (n["v"] - p["v"]) * (F.col(IDX) - p["p"]) / (n["p"] - p["p"])
-        val = (F.when(F.col(c).isNotNull(), F.col(c))
-                .when(p.isNotNull() & n.isNotNull(), between)
-                .when(p.isNotNull(), p["v"]))
-        outs.append(val.alias(c))
-    out = b.select(*outs)
-    return out if IDX in df.columns else out.drop(IDX)
+        outs.append(F.when(F.col(c).isNotNull(), F.col(c)).when(p.isNotNull() & n.isNotNull(), between)
+                     .when(p.isNotNull(), p["v"]).alias(c))
+    return nb.select(*outs)
 
 
 def drop_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -90,19 +108,14 @@ def drop_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def handle_missing(df: DataFrame, method: str = "interpolate", cols: list[str] | None = None,
                    chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """The reference's missing-value step: ``method`` then the edge fill (P6) always."""
+    """The reference's missing-value step: ``method`` then the edge fill (P6), in one neighbour pass."""
     if method not in MISSING_METHODS:
         raise ValueError(f"unknown missing-value method {method!r}")
     cols = value_columns(df, cols)
-    if method == "interpolate":
-        df = interpolate_linear(df, cols, chunk_rows)
-    elif method == "forward_fill":
-        df = forward_fill(df, cols, chunk_rows)
-    elif method == "backward_fill":
-        df = backward_fill(df, cols, chunk_rows)
-    else:
-        df = drop_missing(df, cols)
-    return edge_fill(df, cols, chunk_rows)
+    if method == "drop":
+        return drop_missing(df, cols)  # nothing is left for the edge fill
+    kind = {"interpolate": "interpolate", "forward_fill": "ffill", "backward_fill": "bfill"}[method]
+    return _fill(df, cols, kind, chunk_rows)
 
 
 def rows_with_few_nulls(df: DataFrame, feature_cols: list[str], max_fraction: float = 0.5) -> DataFrame:

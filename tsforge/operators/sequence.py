@@ -13,7 +13,7 @@ replaces that with:
    so any frame reaching at most ``halo`` rows back is exact inside a chunk.
    Windows then run on ``partitionBy(series, chunk)``: task size is bounded by
    ``chunk_rows + halo`` whatever the length of a series.
-3. :func:`carry_fill` - unbounded forward/backward look-ups (fills,
+3. :func:`neighbours` - unbounded forward/backward look-ups (fills,
    interpolation) resolved inside a chunk and, where a chunk has no value, from
    a chunk-level table (one row per chunk) scanned with a small window.
 """
@@ -89,49 +89,45 @@ def apply_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], ha
     return out if keep_index or IDX in df.columns else out.drop(IDX)
 
 
-def carry_fill(df: DataFrame, cols: list[str], direction: str, chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
-               with_position: bool = False) -> DataFrame:
-    """Nearest non-null value before (``ffill``) or after (``bfill``) each row, current row included.
+def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Nearest non-null entry at-or-before (``_prev_<c>``) and at-or-after (``_next_<c>``)
+    each row, as structs ``(p, v)`` of row position and value, for all ``cols`` in one pass.
 
-    Adds ``_prev_<c>``/``_next_<c>`` structs ``(p, v)`` (position and value) when
-    ``with_position`` (needed by interpolation) else plain values. Chunked mode
-    resolves within the chunk first and falls back to a per-chunk carry table.
+    Plain mode: two frames of one per-series window. Chunked mode: the same
+    frames inside ``(series, chunk)``, plus a table of one row per chunk holding
+    its first/last non-null entries, scanned with a small window (carry) and
+    joined back where a chunk has no neighbour of its own. Adds ``_idx``.
     """
-    prefix = "_prev_" if direction == "ffill" else "_next_"
-    if chunk_rows is None:
-        base = df if IDX in df.columns else df.withColumn(
-            IDX, F.row_number().over(series_window(False)) - 1)
-        w = series_window(False)
-        frame = (w.rowsBetween(Window.unboundedPreceding, 0) if direction == "ffill"
-                 else w.rowsBetween(0, Window.unboundedFollowing))
-        pick = F.last if direction == "ffill" else F.first
-        outs = [pick(F.when(F.col(c).isNotNull(), F.struct(F.col(IDX).alias("p"), F.col(c).alias("v"))),
-                     ignorenulls=True).over(frame).alias(prefix + c) for c in cols]
-        res = base.select("*", *outs)
-    else:
-        base = df if IDX in df.columns else with_row_index(df)
+    base = df if IDX in df.columns else (
+        with_row_index(df) if chunk_rows is not None
+        else df.withColumn(IDX, F.row_number().over(series_window(False)) - 1))
+    nn = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(IDX).alias("p"), F.col(c).alias("v"))) for c in cols}
+    keys = [SERIES] if chunk_rows is None else [SERIES, CHUNK]
+    if chunk_rows is not None:
         base = base.withColumn(CHUNK, F.floor(F.col(IDX) / chunk_rows).cast("long"))
-        w = Window.partitionBy(SERIES, CHUNK).orderBy(TS)
-        frame = (w.rowsBetween(Window.unboundedPreceding, 0) if direction == "ffill"
-                 else w.rowsBetween(0, Window.unboundedFollowing))
-        pick = F.last if direction == "ffill" else F.first
-        nn = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(IDX).alias("p"), F.col(c).alias("v"))) for c in cols}
-        local = base.select("*", *[pick(nn[c], ignorenulls=True).over(frame).alias("_loc_" + c) for c in cols])
-        # One row per chunk: its last (ffill) or first (bfill) non-null entry.
-        edge = F.max_by if direction == "ffill" else F.min_by
-        per_chunk = base.groupBy(SERIES, CHUNK).agg(
-            *[edge(nn[c], F.when(F.col(c).isNotNull(), F.col(IDX))).alias("_edge_" + c) for c in cols])
-        cw = Window.partitionBy(SERIES).orderBy(CHUNK)
-        cframe = (cw.rowsBetween(Window.unboundedPreceding, -1) if direction == "ffill"
-                  else cw.rowsBetween(1, Window.unboundedFollowing))
-        carry = per_chunk.select(SERIES, CHUNK, *[pick("_edge_" + c, ignorenulls=True).over(cframe).alias("_carry_" + c)
-                                                  for c in cols])
-        res = (local.join(carry, [SERIES, CHUNK], "left")
-                    .select(*base.columns, *[F.coalesce("_loc_" + c, "_carry_" + c).alias(prefix + c) for c in cols])
-                    .drop(CHUNK))
-    if not with_position:
-        res = res.select(*[x for x in res.columns if not x.startswith(prefix)],
-                         *[F.col(prefix + c + ".v").alias(prefix + c) for c in cols])
-    if IDX not in df.columns:
-        res = res.drop(IDX)
-    return res
+    w = Window.partitionBy(*keys).orderBy(TS)
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = w.rowsBetween(0, Window.unboundedFollowing)
+    local = []
+    for c in cols:
+        local += [F.last(nn[c], ignorenulls=True).over(before).alias("_prev_" + c),
+                  F.first(nn[c], ignorenulls=True).over(after).alias("_next_" + c)]
+    if chunk_rows is None:
+        return base.select("*", *local)
+    loc = base.select("*", *local)
+    pos = {c: F.when(F.col(c).isNotNull(), F.col(IDX)) for c in cols}
+    per_chunk = base.groupBy(SERIES, CHUNK).agg(
+        *[F.max_by(nn[c], pos[c]).alias("_last_" + c) for c in cols],
+        *[F.min_by(nn[c], pos[c]).alias("_first_" + c) for c in cols])
+    cw = Window.partitionBy(SERIES).orderBy(CHUNK)
+    carry = per_chunk.select(
+        SERIES, CHUNK,
+        *[F.last("_last_" + c, ignorenulls=True).over(cw.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp_" + c)
+          for c in cols],
+        *[F.first("_first_" + c, ignorenulls=True).over(cw.rowsBetween(1, Window.unboundedFollowing)).alias("_cn_" + c)
+          for c in cols])
+    out = [F.col(x) for x in base.columns if x != CHUNK]
+    for c in cols:
+        out += [F.coalesce("_prev_" + c, "_cp_" + c).alias("_prev_" + c),
+                F.coalesce("_next_" + c, "_cn_" + c).alias("_next_" + c)]
+    return loc.join(carry, [SERIES, CHUNK], "left").select(*out)

@@ -232,3 +232,195 @@ def q_statistical_features(spark, sf_dir):
     from tsforge.plans.features import FeatureConfig, window_features
     cfg = FeatureConfig(target="value", lags=[], windows=[], stats=[], alphas=[], statistical=True)
     return window_features(S.hourly_by_type(spark, sf_dir), cfg)
+
+
+# ---------------------------------------------------------------- calendar projections
+def _with(fn_cols, base):
+    return base.select("*", *fn_cols)
+
+
+@register("time_features", f"WITH {_DL} SELECT series, ts, {Q.r4('value', 'value')}, {', '.join(Q.time_cols_sql())} FROM d_l")
+def q_time_features(spark, sf_dir):
+    """F1, F2, F4-F8 on 7 years of daily line-item revenue (leap days, year ends)."""
+    from tsforge.functions.calendar import time_feature_columns
+    return _with(time_feature_columns(TS), S.daily_lineitem(spark, sf_dir))
+
+
+@register("calendar_features", f"WITH {_ALL} SELECT series, ts, {Q.r4('value', 'value')}, {', '.join(Q.calendar_cols_sql())} FROM h_all")
+def q_calendar_features(spark, sf_dir):
+    """F3, F9, F11-F14 on the hourly series (all hour-of-day flags)."""
+    from tsforge.functions.calendar import calendar_feature_columns
+    return _with(calendar_feature_columns(TS), S.hourly_all(spark, sf_dir))
+
+
+@register("calendar_features_daily", f"WITH {_DL} SELECT series, ts, {', '.join(Q.calendar_cols_sql())} FROM d_l")
+def q_calendar_features_daily(spark, sf_dir):
+    """F3, F9, F11, F14 across 7 years (ISO weeks 52/53, all seasons)."""
+    from tsforge.functions.calendar import calendar_feature_columns
+    return S.daily_lineitem(spark, sf_dir).select(SERIES, TS, *calendar_feature_columns(TS))
+
+
+_PERIOD_SQL = """CAST(day(ts) = 1 AS BIGINT) AS is_month_start,
+  CAST(CAST(ts AS DATE) = last_day(ts) AS BIGINT) AS is_month_end,
+  CAST(CAST(ts AS DATE) = CAST(date_trunc('quarter', ts) AS DATE) AS BIGINT) AS is_quarter_start,
+  CAST(CAST(ts AS DATE) = CAST(date_trunc('quarter', ts) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS BIGINT) AS is_quarter_end,
+  CAST(month(ts) = 1 AND day(ts) = 1 AS BIGINT) AS is_year_start,
+  CAST(month(ts) = 12 AND day(ts) = 31 AS BIGINT) AS is_year_end,
+  dayname(ts) AS day_name, monthname(ts) AS month_name"""
+
+
+@register("period_flags", f"WITH {_DL} SELECT series, ts, {_PERIOD_SQL} FROM d_l")
+def q_period_flags(spark, sf_dir):
+    """F10 + F28: month/quarter/year start/end flags and day/month names."""
+    from tsforge.functions.calendar import name_columns, period_flag_columns
+    return S.daily_lineitem(spark, sf_dir).select(SERIES, TS, *period_flag_columns(TS), *name_columns(TS))
+
+
+# ---------------------------------------------------------------- weather
+_WX = Q.weather_cte("wx")
+
+
+@register("weather_series", f"WITH {_WX} SELECT ts, {', '.join(Q.r4(c, c) for c in Q.WEATHER_COLS)} FROM wx")
+def q_weather_series(spark, sf_dir):
+    """Hourly weather measures derived from four event types, spine-filled."""
+    return S.weather_series(spark, sf_dir)
+
+
+@register("weather_features", f"WITH {_WX} SELECT ts, {', '.join(Q.weather_feature_sql())} FROM wx")
+def q_weather_features(spark, sf_dir):
+    """Degree hours, temperature bins, apparent temperature, comfort, severity, solar efficiency."""
+    from tsforge.functions.weather import weather_feature_columns
+    w = S.weather_series(spark, sf_dir)
+    return w.select(TS, *weather_feature_columns(w.columns))
+
+
+_LOAD = Q.spine_cte("ld", "SELECT event_type AS series, ts, value AS v FROM events WHERE event_type = 'purchase'", value="kwh")
+_MERGED = f"""{_LOAD}, {_WX},
+merged AS (SELECT ld.series, ld.ts, ld.kwh, {', '.join('wx.' + c for c in Q.WEATHER_COLS)} FROM ld JOIN wx ON ld.ts = wx.ts)"""
+_MCOLS = ", ".join(Q.r4(c, c) for c in ["kwh"] + Q.WEATHER_COLS)
+
+
+@register("merge_load_weather", f"WITH {_MERGED} SELECT series, ts, {_MCOLS} FROM merged")
+def q_merge_load_weather(spark, sf_dir):
+    """Load spine inner-joined with the global weather series on ts."""
+    from tsforge.operators.joins import merge_on_time
+    return merge_on_time(S.load_series(spark, sf_dir), S.weather_series(spark, sf_dir), "inner")
+
+
+@register("interaction_features", f"""WITH {_MERGED},
+tf AS (SELECT *, {', '.join(Q.time_cols_sql())} FROM merged)
+SELECT series, ts, {', '.join(Q.interaction_sql())} FROM tf""")
+def q_interaction_features(spark, sf_dir):
+    """F24-F27 on the merged frame with time features."""
+    from tsforge.functions.weather import interaction_feature_columns
+    from tsforge.operators.joins import merge_on_time
+    from tsforge.plans.preprocess import add_time_features
+    m = add_time_features(merge_on_time(S.load_series(spark, sf_dir), S.weather_series(spark, sf_dir)))
+    return m.select(SERIES, TS, *interaction_feature_columns(m.columns))
+
+
+# ---------------------------------------------------------------- holidays
+def _holiday_sql() -> str:
+    from tsforge.functions.holidays import US_FEDERAL_RULES
+    parts = []
+    for name, month, rule, since in US_FEDERAL_RULES:
+        first = f"make_date(CAST(y AS BIGINT), {month}, 1)"
+        kind, *args = rule.split(":")
+        if kind == "fixed":
+            d = f"make_date(CAST(y AS BIGINT), {month}, {int(args[0])})"
+        elif kind == "nth":
+            wd, n = int(args[0]) - 1, int(args[1])
+            d = f"CAST({first} + INTERVAL (((({wd} - (isodow({first}) - 1)) % 7) + 7) % 7 + {7 * (n - 1)}) DAY AS DATE)"
+        else:
+            wd = int(args[0]) - 1
+            ld = f"last_day({first})"
+            d = f"CAST({ld} - INTERVAL ((((isodow({ld}) - 1 - {wd}) % 7) + 7) % 7) DAY AS DATE)"
+        parts.append(f"SELECT {d} AS hd FROM yrs WHERE y >= {since}")
+    base = " UNION ALL ".join(parts)
+    return f"""yrs AS (SELECT unnest(range(CAST(min(year(ts)) - 1 AS BIGINT), CAST(max(year(ts)) + 2 AS BIGINT))) AS y FROM d_l),
+hol0 AS ({base}),
+hol AS (SELECT hd FROM hol0 UNION SELECT CASE WHEN isodow(hd) = 6 THEN CAST(hd - INTERVAL 1 DAY AS DATE)
+        ELSE CAST(hd + INTERVAL 1 DAY AS DATE) END FROM hol0 WHERE isodow(hd) >= 6),
+dd AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM d_l),
+dist AS (SELECT dd.d,
+    max(CASE WHEN hol.hd = dd.d THEN 1 ELSE 0 END) AS is_holiday,
+    min(CASE WHEN hol.hd > dd.d THEN date_diff('day', dd.d, hol.hd) END) AS dto,
+    min(CASE WHEN hol.hd < dd.d THEN date_diff('day', hol.hd, dd.d) END) AS dfrom
+  FROM dd LEFT JOIN hol ON abs(date_diff('day', dd.d, hol.hd)) <= 7 GROUP BY dd.d)"""
+
+
+@register("holiday_features", f"""WITH {_DL}, {_holiday_sql()}
+SELECT series, ts, CAST(coalesce(is_holiday, 0) AS BIGINT) AS is_holiday, CAST(coalesce(dto, 0) AS BIGINT) AS days_to_holiday,
+  CAST(coalesce(dfrom, 0) AS BIGINT) AS days_from_holiday,
+  CAST(coalesce(is_holiday, 0) = 1 OR coalesce(dto, 0) <= 1 OR coalesce(dfrom, 0) <= 1 AS BIGINT) AS is_holiday_period
+FROM d_l JOIN dist ON CAST(d_l.ts AS DATE) = dist.d""")
+def q_holiday_features(spark, sf_dir):
+    """US federal holidays (rule table) and distances within 7 days, daily line items."""
+    from tsforge.functions.holidays import add_holiday_features, holidays_covering
+    d = S.daily_lineitem(spark, sf_dir)
+    return add_holiday_features(d.select(SERIES, TS), holidays_covering(d))
+
+
+# ---------------------------------------------------------------- outliers
+_IQR = f"""iqr AS (SELECT series, {Q.agg_quantile('value', 0.25)} AS q1, {Q.agg_quantile('value', 0.75)} AS q3 FROM hourly GROUP BY 1),
+fl AS (SELECT hourly.*, coalesce(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1), false) AS o
+  FROM hourly JOIN iqr USING (series))"""
+
+
+@register("outlier_stats_iqr", f"""WITH {HOURLY}, {_IQR}
+SELECT series, 'iqr' AS method, CAST(count(*) FILTER (WHERE o) AS BIGINT) AS outlier_count,
+  {Q.r4('count(*) FILTER (WHERE o) * 100.0 / count(*)', 'outlier_percentage')} FROM fl GROUP BY 1""")
+def q_outlier_stats_iqr(spark, sf_dir):
+    """O1 + O4: IQR fences (exact interpolated quartiles, 1.5x) per series; counts and share."""
+    from tsforge.operators.outliers import flag_outliers, outlier_stats
+    return outlier_stats(flag_outliers(S.hourly_by_type(spark, sf_dir), "value", "iqr"), "iqr")
+
+
+@register("outlier_stamps_iqr", f"WITH {HOURLY}, {_IQR} SELECT series, ts FROM fl WHERE o")
+def q_outlier_stamps_iqr(spark, sf_dir):
+    """The stamps flagged by the IQR rule, as a table."""
+    from tsforge.operators.outliers import flag_outliers, outlier_stamps
+    return outlier_stamps(flag_outliers(S.hourly_by_type(spark, sf_dir), "value", "iqr"))
+
+
+@register("outlier_stats_zscore", f"""WITH {HOURLY},
+st AS (SELECT series, avg(value) AS mu, stddev_samp(value) AS sd FROM hourly GROUP BY 1),
+fl AS (SELECT hourly.*, coalesce(abs((value - mu) / nullif(sd, 0)) > 3, false) AS o FROM hourly JOIN st USING (series))
+SELECT series, 'zscore' AS method, CAST(count(*) FILTER (WHERE o) AS BIGINT) AS outlier_count,
+  {Q.r4('count(*) FILTER (WHERE o) * 100.0 / count(*)', 'outlier_percentage')} FROM fl GROUP BY 1""")
+def q_outlier_stats_zscore(spark, sf_dir):
+    """O2 + O4: |z| > 3 with the sample standard deviation."""
+    from tsforge.operators.outliers import flag_outliers, outlier_stats
+    return outlier_stats(flag_outliers(S.hourly_by_type(spark, sf_dir), "value", "zscore"), "zscore")
+
+
+# ---------------------------------------------------------------- preprocessing composition
+_LIQR = f"""liqr AS (SELECT series, {Q.agg_quantile('kwh', 0.25)} AS q1, {Q.agg_quantile('kwh', 0.75)} AS q3 FROM ld GROUP BY 1),
+lkept AS (SELECT ld.* FROM ld JOIN liqr USING (series)
+  WHERE NOT coalesce(kwh < q1 - 1.5 * (q3 - q1) OR kwh > q3 + 1.5 * (q3 - q1), false)),
+pre AS (SELECT lkept.series, lkept.ts, lkept.kwh, {', '.join('wf6.' + c for c in Q.WEATHER_COLS)}, {', '.join(Q.time_cols_sql('lkept.ts'))}
+  FROM lkept JOIN wf6 ON lkept.ts = wf6.ts)"""
+
+
+def _weather_filled() -> str:
+    """wf6: weather with every measure interpolated + edge filled (one CTE chain per column)."""
+    parts = ["wf0 AS (SELECT 'w' AS series, * FROM wx)"]
+    for i, c in enumerate(Q.WEATHER_COLS, start=1):
+        parts.append(Q.interp_cte(f"wf{i}", f"wf{i - 1}", c).strip())
+    return ",\n".join(parts)
+_PRE_COLS = ["kwh"] + Q.WEATHER_COLS
+
+
+def _pre_select() -> str:
+    ints = ["hour", "day_of_week", "day_of_month", "month", "quarter", "year", "day_of_year", "is_weekend"]
+    dbl = ["hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos",
+           "day_of_year_sin", "day_of_year_cos"]
+    return ", ".join(["series", "ts"] + [Q.r4(c, c) for c in _PRE_COLS] + ints + dbl)
+
+
+@register("preprocessed", f"WITH {_LOAD}, {_WX}, {_weather_filled()}, {_LIQR} SELECT {_pre_select()} FROM pre")
+def q_preprocessed(spark, sf_dir):
+    """raw fill -> hourly resample -> IQR removal -> inner merge with weather -> 16 time columns."""
+    from tsforge.plans.preprocess import preprocess
+    processed, _, _ = preprocess(S.load_series(spark, sf_dir, raw=True), S.weather_series(spark, sf_dir))
+    return processed

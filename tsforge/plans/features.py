@@ -18,7 +18,7 @@ from tsforge.functions import windows as W
 from tsforge.functions.calendar import calendar_feature_columns
 from tsforge.functions.holidays import add_holiday_features
 from tsforge.functions.weather import interaction_feature_columns, weather_feature_columns
-from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS, IDX, apply_windows, carry_fill, with_row_index
+from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS, IDX, apply_windows, neighbours, with_row_index
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,9 @@ def window_features(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
     pad = None
     if cfg.statistical:
         base = series_length(base)
-        base = carry_fill(base, [t], "ffill", cfg.chunk_rows).withColumnRenamed("_prev_" + t, "_pad")
+        nb = neighbours(base, [t], cfg.chunk_rows)
+        base = nb.select(*base.columns, *([IDX] if IDX not in base.columns else []),
+                         F.col("_prev_" + t)["v"].alias("_pad"))
         pad = "_pad"
 
     def build(w):

@@ -19,7 +19,7 @@ def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
             # round(x * 10^d) / 10^d rounds the binary value the same way DuckDB does;
             # round(x, d) would round its decimal text (HALF_UP) and split ties differently.
             scale = float(10 ** digits)
-            c = F.round(c.cast("double") * scale) / scale
+            c = F.round(c.cast("double") * scale) / scale + F.lit(0.0)  # -0.0 -> 0.0
         elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
             c = c.cast("long")
         elif isinstance(t, T.TimestampType):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
+from tsforge.functions.weather import clamp_high, clamp_low
 from tsforge.operators.resample import resample
 from tsforge.sources.tables import read_table
 
@@ -78,11 +79,11 @@ def weather_series(spark: SparkSession, sf_dir: str, exclude: str = "purchase")
     a, b, c, d = (F.col(x) for x in ("view", "click", "signup", "error"))
     obs = hourly.select(
         F.lit("weather").alias(SERIES), TS,
-        (F.pmod(a, F.lit(50.0)) - 10).alias("temperature_c"),
-        F.least(F.lit(100.0), b).alias("humidity_percent"),
-        F.least(F.lit(60.0), c / 4).alias("wind_speed_kmh"),
-        F.greatest(F.lit(0.0), d / 100 - 1).alias("precipitation_mm"),
-        (100 - F.least(F.lit(100.0), b)).alias("cloud_cover_percent"),
-        F.least(F.lit(1000.0), a * 4).alias("solar_irradiance_wm2"),
+        (a % 50 - 10).alias("temperature_c"),
+        clamp_high(b, 100.0).alias("humidity_percent"),
+        clamp_high(c / 4, 60.0).alias("wind_speed_kmh"),
+        clamp_low(d / 100 - 1, 0.0).alias("precipitation_mm"),
+        (100 - clamp_high(b, 100.0)).alias("cloud_cover_percent"),
+        clamp_high(a * 4, 1000.0).alias("solar_irradiance_wm2"),
     )
     return resample(obs, "H", how="mean").drop(SERIES)
