@@ -424,3 +424,228 @@ def q_preprocessed(spark, sf_dir):
     from tsforge.plans.preprocess import preprocess
     processed, _, _ = preprocess(S.load_series(spark, sf_dir, raw=True), S.weather_series(spark, sf_dir))
     return processed
+
+
+# ---------------------------------------------------------------- gap report
+_GAP = """pres AS (SELECT DISTINCT event_type AS series, date_trunc('hour', ts) AS ts FROM events),
+gst AS (SELECT series, min(ts) AS lo, max(ts) AS hi, count(*) AS total_actual FROM pres GROUP BY 1),
+gsp AS (SELECT series, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM gst),
+miss AS (SELECT gsp.series, gsp.ts FROM gsp WHERE NOT EXISTS (SELECT 1 FROM pres p WHERE p.series = gsp.series AND p.ts = gsp.ts)),
+gm AS (SELECT series, ts, (epoch(ts) - epoch(lag(ts) OVER (PARTITION BY series ORDER BY ts))) / 3600.0 AS gap,
+    CAST(epoch(ts) AS BIGINT) // 3600 - row_number() OVER (PARTITION BY series ORDER BY ts) AS isl,
+    row_number() OVER (PARTITION BY series ORDER BY ts) AS rn FROM miss)"""
+
+
+def _gap_input(spark, sf_dir):
+    obs = S.event_observations(spark, sf_dir)
+    return obs.select(SERIES, F.date_trunc("hour", TS).alias(TS)).distinct()
+
+
+@register("gap_report", f"""WITH {_GAP},
+runs AS (SELECT series, isl, count(*) AS len FROM gm GROUP BY 1, 2),
+pm AS (SELECT series, count(*) AS mc, coalesce(max(gap), 0) AS lg FROM gm GROUP BY 1),
+pr AS (SELECT series, max(len) * 1.0 AS lr FROM runs GROUP BY 1),
+ne AS (SELECT series, count(*) AS te FROM gsp GROUP BY 1)
+SELECT gst.series, CAST(te AS BIGINT) AS total_expected, CAST(total_actual AS BIGINT) AS total_actual,
+  CAST(coalesce(mc, 0) AS BIGINT) AS missing_count, {Q.r4('total_actual * 100.0 / te', 'completeness_pct')},
+  {Q.r4('coalesce(lg, 0)', 'largest_gap_hours')}, {Q.r4('coalesce(lr, 0)', 'longest_run_hours')}
+FROM gst JOIN ne USING (series) LEFT JOIN pm USING (series) LEFT JOIN pr USING (series)""")
+def q_gap_report(spark, sf_dir):
+    """Expected vs present hourly stamps per event type; gap sizes and longest missing run."""
+    from tsforge.operators.resample import gap_report
+    return gap_report(_gap_input(spark, sf_dir), "H")[0]
+
+
+@register("gap_first_missing", f"WITH {_GAP} SELECT series, CAST(rn AS BIGINT) AS rank, ts FROM gm WHERE rn <= 10")
+def q_gap_first_missing(spark, sf_dir):
+    """The first 10 missing stamps per series."""
+    from tsforge.operators.resample import gap_report
+    return gap_report(_gap_input(spark, sf_dir), "H")[1]
+
+
+# ---------------------------------------------------------------- summaries
+def _merged(spark, sf_dir):
+    from tsforge.operators.joins import merge_on_time
+    return merge_on_time(S.load_series(spark, sf_dir), S.weather_series(spark, sf_dir))
+
+
+def _summary_sql() -> str:
+    cols = [f"CAST(count(*) AS BIGINT) AS total_records", "min(ts) AS start", "max(ts) AS \"end\"",
+            "CAST(floor((epoch(max(ts)) - epoch(min(ts))) / 86400) AS BIGINT) AS duration_days",
+            Q.r4("avg(kwh)", "mean_kwh"), Q.r4(Q.agg_quantile("kwh", 0.5), "median_kwh"),
+            Q.r4("stddev_samp(kwh)", "std_kwh"), Q.r4("min(kwh)", "min_kwh"), Q.r4("max(kwh)", "max_kwh")]
+    for c in Q.WEATHER_COLS:
+        cols += [Q.r4(f"avg({c})", f"{c}_mean"), Q.r4(f"stddev_samp({c})", f"{c}_std"),
+                 Q.r4(f"min({c})", f"{c}_min"), Q.r4(f"max({c})", f"{c}_max")]
+    return f"WITH {_MERGED} SELECT series, {', '.join(cols)} FROM merged GROUP BY series"
+
+
+@register("data_summary", _summary_sql())
+def q_data_summary(spark, sf_dir):
+    """A1: records, span, whole days, load mean/median/std/min/max, weather mean/std/min/max."""
+    from tsforge.operators.aggregates import data_summary
+    return data_summary(_merged(spark, sf_dir), "kwh")
+
+
+def _describe_sql() -> str:
+    parts = []
+    for c in ["kwh"] + Q.WEATHER_COLS:
+        parts.append(f"""SELECT series, '{c}' AS "column", CAST(count({c}) AS BIGINT) AS count, {Q.r4(f'avg({c})', 'mean')},
+  {Q.r4(f'stddev_samp({c})', 'std')}, {Q.r4(f'min({c})', 'min')}, {Q.r4(Q.agg_quantile(c, 0.25), 'q25')},
+  {Q.r4(Q.agg_quantile(c, 0.5), 'q50')}, {Q.r4(Q.agg_quantile(c, 0.75), 'q75')}, {Q.r4(f'max({c})', 'max')}
+  FROM merged GROUP BY series""")
+    return f"WITH {_MERGED} " + " UNION ALL ".join(parts)
+
+
+@register("describe", _describe_sql())
+def q_describe(spark, sf_dir):
+    """A2: count/mean/std/min/quartiles/max of load and weather (one unpivoted aggregate)."""
+    from tsforge.operators.aggregates import describe
+    from tsforge.sources.series import WEATHER_COLUMNS
+    return describe(_merged(spark, sf_dir), ["kwh"] + WEATHER_COLUMNS)
+
+
+# ---------------------------------------------------------------- seasonal profiles (chart tables)
+@register("profile_by_hour", f"""WITH {FILLED}
+SELECT series, CAST(hour(ts) AS BIGINT) AS hour, {Q.r4('avg(value)', 'mean_value')} FROM filled GROUP BY 1, 2""")
+def q_profile_by_hour(spark, sf_dir):
+    """A3 / V6: mean by hour of day."""
+    from tsforge.operators.aggregates import profile_by_hour
+    return profile_by_hour(_hourly_filled(spark, sf_dir), "value")
+
+
+_DAYS = "VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'), (4, 'Friday'), (5, 'Saturday'), (6, 'Sunday')"
+_MONTHS = ", ".join(f"({i + 1}, '{m}')" for i, m in enumerate(
+    ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]))
+
+
+@register("profile_by_weekday", f"""WITH {FILLED},
+dim AS (SELECT s.series, d.k, d.name FROM (SELECT DISTINCT series FROM filled) s CROSS JOIN ({_DAYS}) d(k, name)),
+m AS (SELECT series, isodow(ts) - 1 AS k, avg(value) AS v FROM filled GROUP BY 1, 2)
+SELECT dim.series, CAST(dim.k AS BIGINT) AS day_of_week, dim.name AS day_name, {Q.r4('m.v', 'mean_value')}
+FROM dim LEFT JOIN m ON dim.series = m.series AND dim.k = m.k""")
+def q_profile_by_weekday(spark, sf_dir):
+    """A4 / V6: mean by weekday, Monday first, missing days NULL."""
+    from tsforge.operators.aggregates import profile_by_weekday
+    return profile_by_weekday(_hourly_filled(spark, sf_dir), "value")
+
+
+@register("profile_by_month", f"""WITH {FILLED},
+dim AS (SELECT s.series, d.k, d.name FROM (SELECT DISTINCT series FROM filled) s CROSS JOIN (VALUES {_MONTHS}) d(k, name)),
+m AS (SELECT series, month(ts) AS k, avg(value) AS v FROM filled GROUP BY 1, 2)
+SELECT dim.series, CAST(dim.k AS BIGINT) AS month, dim.name AS month_name, {Q.r4('m.v', 'mean_value')}
+FROM dim LEFT JOIN m ON dim.series = m.series AND dim.k = m.k""")
+def q_profile_by_month(spark, sf_dir):
+    """A5 / V6: mean by month, January first, missing months NULL."""
+    from tsforge.operators.aggregates import profile_by_month
+    return profile_by_month(_hourly_filled(spark, sf_dir), "value")
+
+
+_DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
+
+@register("heatmap_hour_day", f"""WITH {FILLED}
+SELECT series, CAST(hour(ts) AS BIGINT) AS hour,
+  {', '.join(Q.r4(f'avg(value) FILTER (WHERE isodow(ts) - 1 = {i})', d) for i, d in enumerate(_DAY_NAMES))}
+FROM filled GROUP BY 1, 2""")
+def q_heatmap_hour_day(spark, sf_dir):
+    """Hour x weekday pivot of means."""
+    from tsforge.operators.aggregates import heatmap_hour_day
+    return heatmap_hour_day(_hourly_filled(spark, sf_dir), "value")
+
+
+@register("histogram", f"""WITH {FILLED},
+rg AS (SELECT series, min(value) AS lo, max(value) AS hi FROM filled GROUP BY 1),
+b AS (SELECT f.series, lo, hi, CAST(CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * 30) + 1, 30) ELSE 1 END AS BIGINT) AS bin
+  FROM filled f JOIN rg USING (series) WHERE value IS NOT NULL)
+SELECT series, bin, {Q.r4('lo + (bin - 1) * ((hi - lo) / 30)', 'bin_lo')}, {Q.r4('lo + bin * ((hi - lo) / 30)', 'bin_hi')},
+  CAST(count(*) AS BIGINT) AS count FROM b GROUP BY series, bin, lo, hi""")
+def q_histogram(spark, sf_dir):
+    """30 equal-width bins per series; the maximum falls in bin 30."""
+    from tsforge.operators.aggregates import histogram
+    return histogram(_hourly_filled(spark, sf_dir), "value", 30)
+
+
+# ---------------------------------------------------------------- baselines and metrics
+def _baseline_long(spark, sf_dir):
+    from tsforge.plans.baselines import BASELINES, baseline_predictions, to_long, with_split
+    split = with_split(_hourly_filled(spark, sf_dir), 0.2)
+    wide = baseline_predictions(split, "value")
+    return to_long(wide, "value", [b[0] for b in BASELINES], keep=["is_test"]).where("is_test").drop("is_test")
+
+
+_BASE_SQL = f"""bp AS (SELECT series, ts, value AS y, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS i,
+    count(*) OVER (PARTITION BY series) AS n, avg(value) OVER (PARTITION BY series) AS mu,
+    lag(value, 24) OVER (PARTITION BY series ORDER BY ts) AS l24, lag(value, 168) OVER (PARTITION BY series ORDER BY ts) AS l168,
+    {Q.rolling_sql('value', 24, 'mean')} AS ma FROM filled),
+lng AS (SELECT series, ts, 'naive_24h' AS model, y, coalesce(l24, mu) AS p FROM bp WHERE i >= floor(n * 0.8)
+  UNION ALL SELECT series, ts, 'seasonal_naive', y, coalesce(l168, mu) FROM bp WHERE i >= floor(n * 0.8)
+  UNION ALL SELECT series, ts, 'moving_avg_24h', y, coalesce(ma, mu) FROM bp WHERE i >= floor(n * 0.8))"""
+_METRIC_COLS = f"""CAST(count(y - p) AS BIGINT) AS n, {Q.r4('avg(abs(y - p))', 'mae')}, {Q.r4('sqrt(avg((y - p) * (y - p)))', 'rmse')},
+  {Q.r4('100 * avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16))', 'mape')},
+  {Q.r4('CASE WHEN count(y - p) = 0 THEN NULL WHEN var_pop(y) * count(y) = 0 THEN 0 ELSE 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) END', 'r2')}"""
+
+
+@register("baseline_predictions", f"WITH {FILLED}, {_BASE_SQL} SELECT series, ts, model, {Q.r4('y', 'y_true')}, {Q.r4('p', 'y_pred')} FROM lng")
+def q_baseline_predictions(spark, sf_dir):
+    """Baseline forecasts on the test rows (last 20 %) as a long table."""
+    return _baseline_long(spark, sf_dir)
+
+
+@register("baseline_metrics", f"WITH {FILLED}, {_BASE_SQL} SELECT series, model, {_METRIC_COLS} FROM lng GROUP BY 1, 2")
+def q_baseline_metrics(spark, sf_dir):
+    """MAE, RMSE, MAPE %, R2 per series and baseline on the time-ordered test split."""
+    from tsforge.plans.metrics import regression_metrics
+    return regression_metrics(_baseline_long(spark, sf_dir), [SERIES, "model"])
+
+
+@register("forecast_metrics", f"""WITH {FILLED}, {_BASE_SQL},
+st AS (SELECT *, abs(y - lag(y) OVER (PARTITION BY series, model ORDER BY ts)) AS step FROM lng)
+SELECT series, model, {_METRIC_COLS},
+  {Q.r4('CASE WHEN count(y - p) > 1 THEN avg(abs(y - p)) / nullif(avg(step), 0) END', 'mase')},
+  {Q.r4('avg(200 * abs(y - p) / nullif(abs(y) + abs(p), 0))', 'smape')}
+FROM st GROUP BY 1, 2""")
+def q_forecast_metrics(spark, sf_dir):
+    """A7 plus MASE (lag-1 naive scale) and sMAPE."""
+    from tsforge.plans.metrics import regression_metrics
+    return regression_metrics(_baseline_long(spark, sf_dir), [SERIES, "model"], extended=True)
+
+
+@register("residual_stats", f"""WITH {FILLED}, {_BASE_SQL}
+SELECT series, model, {Q.r4('avg(y - p)', 'mean')}, {Q.r4('stddev_pop(y - p)', 'std')}, {Q.r4('min(y - p)', 'min')},
+  {Q.r4('max(y - p)', 'max')} FROM lng GROUP BY 1, 2""")
+def q_residual_stats(spark, sf_dir):
+    """A10: residual mean, population std, min, max per series and baseline."""
+    from tsforge.operators.aggregates import residual_stats
+    long = _baseline_long(spark, sf_dir).withColumn("residual", F.col("y_true") - F.col("y_pred"))
+    return residual_stats(long, [SERIES, "model"])
+
+
+def _qq_sql() -> str:
+    from tsforge.operators.aggregates import qq_grid
+    grid = qq_grid(50)
+    vals = ", ".join(f"({i + 1}, {p!r}, {z!r})" for i, (p, z) in enumerate(grid))
+    arr = "list_sort(list(y - p))"
+    return f"""WITH {FILLED}, {_BASE_SQL},
+rs AS (SELECT series, model, {arr} AS s FROM lng WHERE model = 'naive_24h' GROUP BY 1, 2),
+g AS (SELECT k, CAST(prob AS DOUBLE) AS prob, CAST(theoretical AS DOUBLE) AS theoretical FROM (VALUES {vals}) g(k, prob, theoretical))
+SELECT series, model, CAST(k AS BIGINT) AS k, {Q.r4('prob', 'prob')}, {Q.r4('theoretical', 'theoretical')},
+  {Q.r4(Q.quantile_of_list('s', 'prob'), 'sample')} FROM rs CROSS JOIN g"""
+
+
+@register("qq_table", _qq_sql())
+def q_qq_table(spark, sf_dir):
+    """Residual quantiles of the 24 h persistence baseline against normal quantiles (50 points)."""
+    from tsforge.operators.aggregates import qq_table
+    long = _baseline_long(spark, sf_dir).where(F.col("model") == "naive_24h") \
+        .withColumn("residual", F.col("y_true") - F.col("y_pred"))
+    return qq_table(long, "residual", [SERIES, "model"], 50)
+
+
+@register("best_model", f"""WITH {FILLED}, {_BASE_SQL},
+m AS (SELECT series, model, sqrt(avg((y - p) * (y - p))) AS rmse FROM lng GROUP BY 1, 2)
+SELECT series, arg_min(model, rmse) AS best_model, {Q.r4('min(rmse)', 'rmse')} FROM m GROUP BY 1""")
+def q_best_model(spark, sf_dir):
+    """Lowest-RMSE baseline per series."""
+    from tsforge.plans.metrics import best_model, regression_metrics
+    return best_model(regression_metrics(_baseline_long(spark, sf_dir), [SERIES, "model"]), "rmse", [SERIES])
