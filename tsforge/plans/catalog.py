@@ -649,3 +649,116 @@ def q_best_model(spark, sf_dir):
     """Lowest-RMSE baseline per series."""
     from tsforge.plans.metrics import best_model, regression_metrics
     return best_model(regression_metrics(_baseline_long(spark, sf_dir), [SERIES, "model"]), "rmse", [SERIES])
+
+
+# ---------------------------------------------------------------- scenario scoring
+def _scenarios(spark, sf_dir):
+    from tsforge.plans.scoring import scenarios_from_series
+    return scenarios_from_series(_hourly_filled(spark, sf_dir), "value", S.weather_series(spark, sf_dir), 24, 24)
+
+
+_SCEN = f"""{FILLED}, {_WX},
+se AS (SELECT series, max(ts) AS end_ts FROM filled GROUP BY 1),
+sc AS (SELECT f.series AS scenario, se.end_ts, list(f.value ORDER BY f.ts) AS recent, 24 AS horizon
+  FROM filled f JOIN se USING (series) WHERE f.ts > se.end_ts - INTERVAL 24 HOUR GROUP BY 1, 2),
+scw AS (SELECT sc.*, {', '.join('wx.' + c for c in Q.WEATHER_COLS)} FROM sc LEFT JOIN wx ON sc.end_ts = wx.ts)"""
+
+
+@register("scenario_table", f"""WITH {_SCEN}
+SELECT scenario, end_ts, list_transform(recent, lambda x: round(x * 10000) / 10000 + 0.0) AS recent, CAST(horizon AS BIGINT) AS horizon,
+  {', '.join(Q.r4(c, c) for c in Q.WEATHER_COLS)} FROM scw""")
+def q_scenario_table(spark, sf_dir):
+    """One scenario per series (last 24 hourly values, weather at the last stamp, horizon 24)."""
+    sc = _scenarios(spark, sf_dir)
+    return sc.select("scenario", "end_ts", "recent", "horizon", "weather.*")
+
+
+_M3 = "list_avg(list_slice(recent, len(recent) - 2, len(recent)))"
+_P3 = "list_avg(list_slice(recent, len(recent) - 5, len(recent) - 3))"
+
+
+@register("scenario_next_hour", f"""WITH {_SCEN},
+h AS (SELECT scenario, end_ts, {_M3} AS m3, CASE WHEN len(recent) >= 6 THEN {_P3} END AS p3, len(recent) AS n,
+  coalesce(temperature_c, 20.0) AS t FROM scw),
+f AS (SELECT *, CASE WHEN n >= 6 AND p3 > 0 THEN m3 / p3 ELSE 1.0 END AS trend,
+  1.0 + 0.2 * sin(2 * pi() * (hour(end_ts) - 6) / 24) AS hf, CASE WHEN t > 25 OR t < 15 THEN 1.1 ELSE 1.0 END AS wf FROM h)
+SELECT scenario, end_ts, {Q.r4('m3', 'recent_average')}, {Q.r4('trend', 'trend_factor')}, {Q.r4('hf', 'hourly_factor')},
+  {Q.r4('wf', 'weather_factor')}, {Q.r4('m3 * trend * hf * wf', 'prediction')}, CAST(NULL AS VARCHAR) AS error FROM f""")
+def q_scenario_next_hour(spark, sf_dir):
+    """M16 + M17 + P16: next-hour heuristic (recent mean x trend x hour-of-day x weather factor)."""
+    from tsforge.plans.scoring import heuristic_next_hour
+    return heuristic_next_hour(_scenarios(spark, sf_dir))
+
+
+_STEPS = f"""st AS (SELECT scenario, end_ts, {_M3} AS m3, unnest(range(0, horizon)) AS step FROM scw)"""
+
+
+@register("scenario_horizon_daily", f"""WITH {_SCEN}, {_STEPS}
+SELECT scenario, CAST(step AS BIGINT) AS step, end_ts + INTERVAL 1 HOUR * (step + 1) AS ts,
+  {Q.r4('m3 * (1 + 0.3 * sin(2 * pi() * step / 24)) * (1 + 0.0)', 'prediction')} FROM st""")
+def q_scenario_horizon_daily(spark, sf_dir):
+    """Horizon forecast with a daily sine pattern (noise off)."""
+    from tsforge.plans.scoring import heuristic_horizon
+    return heuristic_horizon(_scenarios(spark, sf_dir), "daily")
+
+
+_WEEKLY = """greatest(0.1, m3 * (1 + 0.3 * sin(2 * pi() * ((hour(end_ts) + step) % 24 - 6) / 24))
+    * CASE WHEN (isodow(end_ts) - 1 + step // 24) % 7 < 5 THEN 1.1 ELSE 0.9 END * (1 + 0.0))"""
+
+
+@register("scenario_horizon_weekly", f"""WITH {_SCEN}, {_STEPS}
+SELECT scenario, CAST(step AS BIGINT) AS step, end_ts + INTERVAL 1 HOUR * (step + 1) AS ts, {Q.r4(_WEEKLY, 'prediction')} FROM st""")
+def q_scenario_horizon_weekly(spark, sf_dir):
+    """Horizon forecast with daily and weekday/weekend patterns, floor 0.1 (noise off)."""
+    from tsforge.plans.scoring import heuristic_horizon
+    return heuristic_horizon(_scenarios(spark, sf_dir), "daily_weekly")
+
+
+@register("forecast_summary", f"""WITH {_SCEN}, {_STEPS}, pr AS (SELECT scenario, {_WEEKLY} AS p FROM st)
+SELECT scenario, {Q.r4('round(sum(p) * 1000) / 1000', 'total_predicted')}, {Q.r4('round(avg(p) * 1000) / 1000', 'average_hourly')},
+  {Q.r4('round(max(p) * 1000) / 1000', 'peak_hour')}, {Q.r4('round(min(p) * 1000) / 1000', 'min_hour')},
+  CAST(count(*) AS BIGINT) AS steps FROM pr GROUP BY 1""")
+def q_forecast_summary(spark, sf_dir):
+    """Total / average / peak / minimum of each scenario's horizon, rounded to 3."""
+    from tsforge.plans.scoring import forecast_summary, heuristic_horizon
+    return forecast_summary(heuristic_horizon(_scenarios(spark, sf_dir), "daily_weekly"))
+
+
+# ---------------------------------------------------------------- full feature frame
+def _engineered_sql() -> str:
+    t = "kwh"
+    ws = _WS
+    lags = ", ".join(Q.r4(f"lag({t}, {n}) OVER ({ws})", f"{t}_lag_{n}h") for n in W.DEFAULT_LAGS)
+    rolls = ", ".join(Q.r4(Q.rolling_sql(t, n, s), f"{t}_rolling_{n}h_{s}") for n in W.DEFAULT_WINDOWS for s in W.DEFAULT_STATS)
+    emas = _ema_sql("pre", t, W.DEFAULT_ALPHAS)
+    ema_sel = ", ".join(Q.r4(f"ema_{str(a).replace('.', '_')}.e", f"{t}_ema_alpha_{a}") for a in W.DEFAULT_ALPHAS)
+    ema_join = " ".join(f"JOIN ema_{str(a).replace('.', '_')} USING (series, ts)" for a in W.DEFAULT_ALPHAS)
+    ints = ["hour", "day_of_week", "day_of_month", "month", "quarter", "year", "day_of_year", "is_weekend"]
+    dbl = ["hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos",
+           "day_of_year_sin", "day_of_year_cos"]
+    stat = (f"{Q.r4(f'CASE WHEN _n >= 168 THEN {t} / nullif(lag({t}, 168) OVER ({ws}), 0) - 1 END', f'{t}_vs_same_hour_last_week')}, "
+            + ", ".join(Q.r4(f"CASE WHEN _n > {p} THEN _pad / nullif(lag(_pad, {p}) OVER ({ws}), 0) - 1 END", f"{t}_pct_change_{p}h")
+                        for p in W.STAT_PERIODS)
+            + ", " + Q.r4(f"CASE WHEN _n >= 168 THEN ({t} - ({Q.rolling_sql(t, 168, 'mean')})) / nullif({Q.rolling_sql(t, 168, 'std')}, 0) END",
+                          f"{t}_zscore_168h"))
+    return f"""WITH {_LOAD}, {_WX}, {_weather_filled()}, {_LIQR},
+pre_p AS (SELECT *, row_number() OVER ({ws}) AS _i,
+  last_value({t} IGNORE NULLS) OVER ({ws} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _pad,
+  count(*) OVER (PARTITION BY series) AS _n FROM pre),
+{emas},
+win AS (SELECT pre_p.*, {lags}, {rolls}, {stat} FROM pre_p),
+fe AS (SELECT win.*, {ema_sel} FROM win {ema_join})
+SELECT series, ts, {', '.join(Q.r4(c, c) for c in _PRE_COLS)}, {', '.join(ints)}, {', '.join(dbl)},
+  {', '.join(f'"{c}"' for c in [f"{t}_lag_{n}h" for n in W.DEFAULT_LAGS] + [f"{t}_rolling_{n}h_{s}" for n in W.DEFAULT_WINDOWS for s in W.DEFAULT_STATS] + [f"{t}_ema_alpha_{a}" for a in W.DEFAULT_ALPHAS])},
+  {', '.join(Q.calendar_cols_sql())}, {', '.join(Q.weather_feature_sql())}, {', '.join(Q.interaction_sql())},
+  {', '.join(f'"{c}"' for c in [f"{t}_vs_same_hour_last_week"] + [f"{t}_pct_change_{p}h" for p in W.STAT_PERIODS] + [f"{t}_zscore_168h"])}
+FROM fe"""
+
+
+@register("engineered_features", _engineered_sql())
+def q_engineered_features(spark, sf_dir):
+    """F33 on F34: the 92-column training frame (23 preprocessed + 69 engineered), row-based windows."""
+    from tsforge.plans.features import FeatureConfig, engineer_features
+    from tsforge.plans.preprocess import preprocess
+    processed, _, _ = preprocess(S.load_series(spark, sf_dir, raw=True), S.weather_series(spark, sf_dir))
+    return engineer_features(processed, FeatureConfig(target="kwh"))

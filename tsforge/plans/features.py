@@ -78,14 +78,19 @@ def engineer_features(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), holid
     stat_names = ([f"{t}_vs_same_hour_last_week"] + [f"{t}_pct_change_{p}h" for p in W.STAT_PERIODS]
                   + [f"{t}_zscore_{W.WEEK}h"]) if cfg.statistical else []
     cal = calendar_feature_columns(TS) if cfg.calendar else []
-    out = wf.select(*cols, *lag_names, *roll_names, *ema_names, *cal, *stat_names)
+    out = wf.select(*_q(cols + lag_names + roll_names + ema_names), *cal, *_q(stat_names))
     if holidays is not None:
         out = add_holiday_features(out, holidays, cfg.strict_holiday_period)
     wx = weather_feature_columns(out.columns) if cfg.weather else []
     ix = interaction_feature_columns(out.columns) if cfg.interactions else []
     hol = ["is_holiday", "days_to_holiday", "days_from_holiday", "is_holiday_period"] if holidays is not None else []
     cal_names = [c for c in out.columns if c not in cols + lag_names + roll_names + ema_names + stat_names + hol]
-    return out.select(*cols, *lag_names, *roll_names, *ema_names, *cal_names, *hol, *wx, *ix, *stat_names)
+    return out.select(*_q(cols + lag_names + roll_names + ema_names + cal_names + hol), *wx, *ix, *_q(stat_names))
+
+
+def _q(names: list[str]) -> list:
+    """Column references that keep dotted names (``kwh_ema_alpha_0.1``) whole."""
+    return [F.col(f"`{n}`") for n in names]
 
 
 # Fixed name fragments of the seven feature groups (a name may sit in several groups).

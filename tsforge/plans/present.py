@@ -24,5 +24,8 @@ def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
             c = c.cast("long")
         elif isinstance(t, T.TimestampType):
             c = c.cast("timestamp_ntz")
+        elif isinstance(t, T.ArrayType) and isinstance(t.elementType, T.DoubleType):
+            scale = float(10 ** digits)
+            c = F.transform(c, lambda x: F.round(x * scale) / scale + F.lit(0.0))
         cols.append(c.alias(f.name))
     return df.select(*cols)
