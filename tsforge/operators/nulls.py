@@ -120,19 +120,24 @@ def handle_missing(df: DataFrame, method: str = "interpolate", cols: list[str] |
 
 def rows_with_few_nulls(df: DataFrame, feature_cols: list[str], max_fraction: float = 0.5) -> DataFrame:
     """P10: keep rows whose null count among features is strictly below ``max_fraction * n``."""
-    n_null = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in feature_cols])
+    n_null = reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNull().cast("int") for c in feature_cols])
     return df.where(n_null < F.lit(max_fraction * len(feature_cols)))
 
 
+def column_medians(src: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact medians of ``cols`` in one aggregate (one number per column reaches the driver)."""
+    row = src.agg(*[F.percentile(F.col(f"`{c}`"), 0.5).alias(c) for c in cols]).first()
+    return {c: (None if row is None or row[c] is None else float(row[c])) for c in cols}
+
+
 def median_fill(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Fill each column with its exact (interpolated) median from ``fit_on`` (default: ``df``).
 
     All medians come from one aggregate; its single row (one number per column)
     is fetched and applied with ``na.fill``, as a fitted imputer would.
     """
-    src = fit_on if fit_on is not None else df
-    row = src.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in cols]).first()
-    fills = {c: float(row[c]) for c in cols if row is not None and row[c] is not None}
+    med = column_medians(fit_on if fit_on is not None else df, cols)
+    fills = {c: v for c, v in med.items() if v is not None}
     return df.na.fill(fills) if fills else df
 
 

@@ -762,3 +762,85 @@ def q_engineered_features(spark, sf_dir):
     from tsforge.plans.preprocess import preprocess
     processed, _, _ = preprocess(S.load_series(spark, sf_dir, raw=True), S.weather_series(spark, sf_dir))
     return engineer_features(processed, FeatureConfig(target="kwh"))
+
+
+# ---------------------------------------------------------------- models (seeded fits: rows-only checks)
+def _engineered(spark, sf_dir):
+    from tsforge.plans.features import FeatureConfig, engineer_features
+    from tsforge.plans.preprocess import preprocess
+    processed, _, _ = preprocess(S.load_series(spark, sf_dir, raw=True), S.weather_series(spark, sf_dir))
+    return engineer_features(processed, FeatureConfig(target="kwh"))
+
+
+@register("model_metrics_forest")
+def q_model_metrics_forest(spark, sf_dir):
+    """Random forest (100 trees, depth 10, seed 42) on the engineered frame;
+    test-split metrics next to the three baselines (one long table, one metric aggregate)."""
+    from tsforge.plans import models as M
+    from tsforge.plans.baselines import BASELINES, baseline_predictions, to_long, with_split
+    from tsforge.plans.metrics import regression_metrics
+    eng = _engineered(spark, sf_dir)
+    _, long, _, _ = M.train_and_evaluate(eng, "kwh", [M.PRESETS["random_forest"]])
+    y = eng.select(SERIES, TS, "kwh").where(F.col("kwh").isNotNull())
+    base = to_long(baseline_predictions(with_split(y), "kwh"), "kwh", [b[0] for b in BASELINES], keep=["is_test"])
+    both = long.unionByName(base.where("is_test").drop("is_test"))
+    return regression_metrics(both, ["model"])
+
+
+@register("model_metrics_boosted_smoke")
+def q_model_metrics_boosted_smoke(spark, sf_dir):
+    """M2, M3, M7: both boosted-tree presets (depth 8, rate 0.1, seed 42; row sampling 0.8 / 1.0)
+    with 10 boosting iterations instead of 200 (local smoke, as the survey prescribes)."""
+    from tsforge.plans import models as M
+    met, _, _, _ = M.train_and_evaluate(_engineered(spark, sf_dir), "kwh",
+                                        [M.smoke(M.PRESETS["boosted_a"]), M.smoke(M.PRESETS["boosted_b"])])
+    return met
+
+
+@register("cv_metrics_forest")
+def q_cv_metrics_forest(spark, sf_dir):
+    """M8: 3-fold expanding-window cross-validation of the forest preset on the training rows."""
+    from tsforge.plans import models as M
+    return M.cross_validate(_engineered(spark, sf_dir), "kwh", M.PRESETS["random_forest"], 3)
+
+
+@register("feature_importance_top")
+def q_feature_importance_top(spark, sf_dir):
+    """M5, T4, V3: the 20 most important features of the forest."""
+    from tsforge.plans import models as M
+    _, _, models, feats = M.train_and_evaluate(_engineered(spark, sf_dir), "kwh", [M.PRESETS["random_forest"]])
+    return M.top_k(M.feature_importance(models["random_forest"], feats, spark), 20)
+
+
+@register("feature_group_importance")
+def q_feature_group_importance(spark, sf_dir):
+    """F32 + M5: feature count and summed forest importance per feature group."""
+    from tsforge.plans import models as M
+    _, _, models, feats = M.train_and_evaluate(_engineered(spark, sf_dir), "kwh", [M.PRESETS["random_forest"]])
+    return M.group_importance(M.feature_importance(models["random_forest"], feats, spark))
+
+
+@register("seasonal_ar_metrics")
+def q_seasonal_ar_metrics(spark, sf_dir):
+    """M11 (re-aimed): seasonal autoregression on the (1, 24)-differenced filled series, per event type."""
+    from tsforge.plans.metrics import regression_metrics
+    from tsforge.plans.models import seasonal_ar
+    return regression_metrics(seasonal_ar(_hourly_filled(spark, sf_dir), "value"), [SERIES, "model"])
+
+
+@register("fourier_metrics")
+def q_fourier_metrics(spark, sf_dir):
+    """M12 (re-aimed): multiplicative trend + daily/weekly/yearly Fourier regression, per event type."""
+    from tsforge.plans.metrics import regression_metrics
+    from tsforge.plans.models import fourier_regression
+    return regression_metrics(fourier_regression(_hourly_filled(spark, sf_dir), "value"), [SERIES, "model"])
+
+
+@register("model_forecast")
+def q_model_forecast(spark, sf_dir):
+    """The forest applied to each series' latest feature row, 24 steps, clamped at 0."""
+    from tsforge.plans import models as M
+    eng = _engineered(spark, sf_dir)
+    _, _, models, feats = M.train_and_evaluate(eng, "kwh", [M.PRESETS["random_forest"]])
+    safe = eng.select(*[F.col(f"`{c}`").alias(M.safe_name(c)) for c in eng.columns])
+    return M.score_latest(models["random_forest"], safe, feats, 24, "random_forest")

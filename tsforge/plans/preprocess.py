@@ -17,6 +17,7 @@ from tsforge.operators.nulls import handle_missing
 from tsforge.operators.outliers import flag_outliers, outlier_stats, remove_outliers
 from tsforge.operators.resample import resample
 from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS
+from tsforge.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,7 @@ class PreprocessConfig:
     target: str = "kwh"
     fill_stage: str = "raw"  # "raw" (reference order) or "resampled" (fill the spine's empty buckets)
     chunk_rows: int | None = DEFAULT_CHUNK_ROWS
+    materialize: bool = True  # cut lineage at the stage boundary (reliable checkpoint)
 
 
 def add_time_features(df: DataFrame) -> DataFrame:
@@ -61,4 +63,9 @@ def preprocess(load: DataFrame, weather: DataFrame, cfg: PreprocessConfig = Prep
     if global_weather:
         w = w.drop(SERIES)
     merged = merge_on_time(kept, w, "inner")
-    return add_time_features(merged), merged, stats
+    processed = add_time_features(merged)
+    if cfg.materialize:
+        # Stage boundary: the cleaned frame is written once to the shared checkpoint
+        # folder; feature jobs then plan and recover against it, not the raw scans.
+        processed = cut_lineage(processed)
+    return processed, merged, stats

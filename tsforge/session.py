@@ -26,6 +26,9 @@ def get_spark(app: str = "tsforge", master: str | None = None,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # Local mode runs every task inside the driver JVM.
+            b = b.config("spark.driver.memory", "16g")
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     if shuffle_partitions:
