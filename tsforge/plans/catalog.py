@@ -844,3 +844,11 @@ def q_model_forecast(spark, sf_dir):
     _, _, models, feats = M.train_and_evaluate(eng, "kwh", [M.PRESETS["random_forest"]])
     safe = eng.select(*[F.col(f"`{c}`").alias(M.safe_name(c)) for c in eng.columns])
     return M.score_latest(models["random_forest"], safe, feats, 24, "random_forest")
+
+
+@register("end_to_end_forest")
+def q_end_to_end_forest(spark, sf_dir):
+    """Preprocess -> 92-column features -> baselines + random forest on the test split -> 3-fold CV."""
+    from tsforge.plans import models as M
+    from tsforge.plans.run import run_on_tables
+    return run_on_tables(spark, sf_dir, [M.PRESETS["random_forest"]], M.PRESETS["random_forest"])
