@@ -25,11 +25,13 @@ def regression_metrics(long: DataFrame, keys: list[str], y: str = "y_true", p: s
     src = long
     extra = []
     if extended:
-        clean = long.where(ok)
-        w = Window.partitionBy(*keys).orderBy(TS)
-        src = clean.withColumn("_step", F.abs(F.col(y) - F.lag(y, 1).over(w)))
+        # The naive scale steps through the masked (clean) sequence: the lag runs over
+        # clean rows only, while masked rows stay so that every key keeps its row.
+        w = Window.partitionBy(*keys, "_ok").orderBy(TS)
+        src = long.withColumn("_ok", ok).withColumn(
+            "_step", F.when(F.col("_ok"), F.abs(F.col(y) - F.lag(y, 1).over(w))))
         extra = [F.avg("_step").alias("_naive_mae"),
-                 F.avg(F.try_divide(200 * F.abs(F.col(y) - F.col(p)), F.abs(F.col(y)) + F.abs(F.col(p)))).alias("smape")]
+                 F.avg(F.when(ok, F.try_divide(200 * F.abs(F.col(y) - F.col(p)), F.abs(F.col(y)) + F.abs(F.col(p))))).alias("smape")]
     g = src.groupBy(*keys).agg(
         F.count(e).alias("n"),
         F.avg(F.abs(e)).alias("mae"),

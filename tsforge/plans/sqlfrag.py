@@ -77,6 +77,9 @@ def quantile_of_list(arr: str, q: float) -> str:
 
 def rolling_sql(col: str, n: int, stat: str) -> str:
     f = frame(n)
+    if stat == "mean":
+        # frame values summed in time order (as a frame is re-aggregated row by row)
+        return f"CASE WHEN count({col}) OVER {f} = {n} THEN list_sum(list({col}) OVER {f}) / {n} END"
     if stat in _Q:
         arr = f"list_sort(list({col}) OVER {f})"
         return f"CASE WHEN count({col}) OVER {f} = {n} THEN {quantile_of_list(arr, _Q[stat])} END"
