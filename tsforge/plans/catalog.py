@@ -852,3 +852,24 @@ def q_end_to_end_forest(spark, sf_dir):
     from tsforge.plans import models as M
     from tsforge.plans.run import run_on_tables
     return run_on_tables(spark, sf_dir, [M.PRESETS["random_forest"]], M.PRESETS["random_forest"])
+
+
+# ---------------------------------------------------------------- isolation forest, streaming
+@register("outlier_stats_isolation_forest")
+def q_outlier_stats_isolation_forest(spark, sf_dir):
+    """O3 + O4: isolation forest (100 trees, 256-row samples, contamination 0.1, seed 42) per hourly value."""
+    from tsforge.operators.outliers import flag_outliers, outlier_stats
+    return outlier_stats(flag_outliers(_hourly_filled(spark, sf_dir), "value", "isolation_forest"), "isolation_forest")
+
+
+@register("stream_hourly_means", """SELECT event_type AS series, date_trunc('hour', ts) AS ts,
+  (round(CAST(avg(value) AS DOUBLE) * 10000) / 10000 + 0.0) AS value, CAST(count(*) AS BIGINT) AS n
+FROM events GROUP BY 1, 2""")
+def q_stream_hourly_means(spark, sf_dir):
+    """R1 as Structured Streaming: file source -> watermark -> hourly window state -> table (availableNow)."""
+    import uuid
+    from tsforge.session import shared_path
+    from tsforge.streaming.hourly import hourly_means_stream, run_available
+    run = uuid.uuid4().hex
+    stream = hourly_means_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet")
+    return run_available(stream, shared_path(spark, "streams", run, "table"), shared_path(spark, "streams", run, "checkpoint"))
