@@ -873,3 +873,74 @@ def q_stream_hourly_means(spark, sf_dir):
     run = uuid.uuid4().hex
     stream = hourly_means_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet")
     return run_available(stream, shared_path(spark, "streams", run, "table"), shared_path(spark, "streams", run, "checkpoint"))
+
+
+# ---------------------------------------------------------------- chart tables and report slices
+@register("weekday_weekend_means", f"""WITH {FILLED}
+SELECT series, {Q.r4('avg(value) FILTER (WHERE isodow(ts) >= 6)', 'weekend_mean')},
+  {Q.r4('avg(value) FILTER (WHERE isodow(ts) < 6)', 'weekday_mean')} FROM filled GROUP BY 1""")
+def q_weekday_weekend_means(spark, sf_dir):
+    """Weekend vs weekday means per series."""
+    from tsforge.plans.charts import weekday_weekend_means
+    return weekday_weekend_means(_hourly_filled(spark, sf_dir), "value")
+
+
+@register("head_tail_slices", f"""WITH {FILLED},
+p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM filled)
+SELECT series, ts, {Q.r4('value', 'value')}, 'first' AS slice FROM p WHERE i < 168
+UNION ALL SELECT series, ts, {Q.r4('value', 'value')}, 'last' AS slice FROM p WHERE i >= n - 24""")
+def q_head_tail_slices(spark, sf_dir):
+    """P20: first week and last 24 hours of each series."""
+    from tsforge.plans.charts import head_tail
+    return head_tail(_hourly_filled(spark, sf_dir), 168, 24).drop("_idx")
+
+
+@register("metric_comparison", f"""WITH {FILLED}, {_BASE_SQL},
+m AS (SELECT series, model, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse,
+  100 * avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)) AS mape FROM lng GROUP BY 1, 2)
+SELECT series, model, 'mae' AS metric, {Q.r4('coalesce(mae, 0)', 'value')} FROM m
+UNION ALL SELECT series, model, 'rmse', {Q.r4('coalesce(rmse, 0)', 'value')} FROM m
+UNION ALL SELECT series, model, 'mape', {Q.r4('coalesce(mape, 0)', 'value')} FROM m""")
+def q_metric_comparison(spark, sf_dir):
+    """V4: baseline metrics unpivoted to (model, metric, value), missing as 0."""
+    from tsforge.plans.charts import metric_comparison
+    from tsforge.plans.metrics import regression_metrics
+    return metric_comparison(regression_metrics(_baseline_long(spark, sf_dir), [SERIES, "model"]))
+
+
+@register("temperature_load_pairs", f"""WITH {_MERGED}
+SELECT m.series, m.ts, {Q.r4('m.kwh', 'kwh')}, {Q.r4('wx.temperature_c', 'temperature_c')} FROM merged m JOIN wx ON m.ts = wx.ts""")
+def q_temperature_load_pairs(spark, sf_dir):
+    """Load with the temperature of the same hour (right side pre-projected)."""
+    from tsforge.plans.charts import temperature_load_pairs
+    return temperature_load_pairs(_merged(spark, sf_dir))
+
+
+@register("persistence_forecast", f"""WITH {_SCEN}
+SELECT scenario, CAST(step AS BIGINT) AS step, end_ts + INTERVAL 1 HOUR * step AS ts, {Q.r4('recent[-1]', 'prediction')}
+FROM (SELECT *, unnest(range(1, horizon + 1)) AS step FROM scw)""")
+def q_persistence_forecast(spark, sf_dir):
+    """Last value repeated over each scenario's horizon."""
+    from tsforge.plans.charts import persistence_forecast
+    return persistence_forecast(_scenarios(spark, sf_dir))
+
+
+@register("serving_features", f"""WITH {FILLED}, c AS (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM filled)
+SELECT series, ts, {Q.r4('value', 'value')},
+  {', '.join(Q.r4(f'CASE WHEN n > {k} THEN lag(value, {k}) OVER ({_WS}) END', f'value_lag_{k}h') for k in (1, 2, 24))},
+  {', '.join(Q.r4(f"CASE WHEN n > {k} THEN {Q.rolling_sql('value', k, 'mean')} END", f'value_rolling_{k}h_mean') for k in (6, 24))}
+FROM c""")
+def q_serving_features(spark, sf_dir):
+    """Serving lags 1, 2, 24 and rolling means 6, 24 with series-length guards."""
+    from tsforge.plans.charts import serving_features
+    return serving_features(_hourly_filled(spark, sf_dir), "value")
+
+
+@register("frame_shape", f"""WITH {_LOAD}, {_WX}, {_weather_filled()}, {_LIQR}
+SELECT series, CAST(count(*) AS BIGINT) AS rows, CAST(25 AS BIGINT) AS columns FROM pre GROUP BY 1""")
+def q_frame_shape(spark, sf_dir):
+    """Rows per series and columns of the preprocessed frame (series, ts + 23 columns)."""
+    from tsforge.plans.charts import frame_shape
+    from tsforge.plans.preprocess import preprocess
+    processed, _, _ = preprocess(S.load_series(spark, sf_dir, raw=True), S.weather_series(spark, sf_dir))
+    return frame_shape(processed)
