@@ -777,14 +777,7 @@ def q_model_metrics_forest(spark, sf_dir):
     """Random forest (100 trees, depth 10, seed 42) on the engineered frame;
     test-split metrics next to the three baselines (one long table, one metric aggregate)."""
     from tsforge.plans import models as M
-    from tsforge.plans.baselines import BASELINES, baseline_predictions, to_long, with_split
-    from tsforge.plans.metrics import regression_metrics
-    eng = _engineered(spark, sf_dir)
-    _, long, _, _ = M.train_and_evaluate(eng, "kwh", [M.PRESETS["random_forest"]])
-    y = eng.select(SERIES, TS, "kwh").where(F.col("kwh").isNotNull())
-    base = to_long(baseline_predictions(with_split(y), "kwh"), "kwh", [b[0] for b in BASELINES], keep=["is_test"])
-    both = long.unionByName(base.where("is_test").drop("is_test"))
-    return regression_metrics(both, ["model"])
+    return M.evaluate_with_baselines(_engineered(spark, sf_dir), "kwh", [M.PRESETS["random_forest"]])
 
 
 @register("model_metrics_boosted_smoke")

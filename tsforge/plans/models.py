@@ -51,6 +51,19 @@ DEFAULT_PRESETS = {
 }
 
 
+def evaluate_with_baselines(df: DataFrame, target: str, presets: list[TreePreset], test_size: float = 0.2,
+                            prepared: tuple | None = None) -> DataFrame:
+    """M6 + M7 + M9: fitted presets and the three baselines on the same filtered target and
+    the same time split (baselines from the training frame's label, as the reference does)."""
+    from tsforge.plans.baselines import BASELINES, baseline_predictions, to_long
+    prepared = prepared or training_frame(df, target, test_size=test_size)
+    frame, _ = prepared
+    _, long, _, _ = train_and_evaluate(df, target, presets, test_size, prepared=prepared)
+    y = frame.select(SERIES, TS, IDX, "is_test", "label")
+    base = to_long(baseline_predictions(y, "label"), "label", [b[0] for b in BASELINES], keep=["is_test"])
+    return regression_metrics(long.unionByName(base.where("is_test").drop("is_test")), ["model"])
+
+
 def smoke(preset: TreePreset, iterations: int = 10) -> TreePreset:
     """Same preset with fewer boosting iterations (local smoke runs; named ``<name>_smoke``)."""
     params = tuple((k, iterations if k == "maxIter" else v) for k, v in preset.params)
@@ -114,13 +127,13 @@ def predictions(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
 
 
 def train_and_evaluate(df: DataFrame, target: str, presets: list[TreePreset], test_size: float = 0.2,
-                       exclude: list[str] | None = None):
+                       exclude: list[str] | None = None, prepared: tuple | None = None):
     """M2-M4, M7, M9: fit each preset on the training rows, score the test rows.
 
-    Returns ``(metrics, long_predictions, models, feature_names)``; a failing
-    model gets NULL metrics instead of stopping the others.
+    Returns ``(metrics, long_predictions, models, feature_names)``. ``prepared``
+    is an existing ``training_frame`` result (materialised once, reused).
     """
-    frame, feats = training_frame(df, target, exclude, test_size)
+    frame, feats = prepared or training_frame(df, target, exclude, test_size)
     train = frame.where(~F.col("is_test"))
     test = frame.where(F.col("is_test"))
     models, longs = {}, []
@@ -135,10 +148,10 @@ def train_and_evaluate(df: DataFrame, target: str, presets: list[TreePreset], te
 
 
 def cross_validate(df: DataFrame, target: str, preset: TreePreset, n_splits: int = 3,
-                   exclude: list[str] | None = None) -> DataFrame:
+                   exclude: list[str] | None = None, prepared: tuple | None = None) -> DataFrame:
     """M8: expanding-window CV on the training rows; a fresh estimator per fold.
     Returns metrics per fold (fold, n, mae, rmse, mape, r2)."""
-    frame, feats = training_frame(df, target, exclude)
+    frame, feats = prepared or training_frame(df, target, exclude)
     train_all = frame.where(~F.col("is_test")).drop("is_test")
     counts = train_all.groupBy(SERIES).agg(F.count(F.lit(1)).alias("_n"))
     base = train_all.join(counts, SERIES).withColumn("_size", F.floor(F.col("_n") / (n_splits + 1)))

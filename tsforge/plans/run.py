@@ -10,11 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge import SERIES
 from tsforge.plans import models as M
-from tsforge.plans.baselines import BASELINES, baseline_predictions, to_long, with_split
 from tsforge.plans.features import FeatureConfig, engineer_features
-from tsforge.plans.metrics import regression_metrics
 from tsforge.plans.preprocess import PreprocessConfig, preprocess
 
 
@@ -27,14 +24,11 @@ def run_complete(load: DataFrame, weather: DataFrame, presets: list, cv_preset=N
     processed, _, _ = preprocess(load, weather, pre_cfg)
     eng = engineer_features(processed, feat_cfg)
     t = feat_cfg.target
-    _, long, _, _ = M.train_and_evaluate(eng, t, presets)
-    y = eng.select(SERIES, "ts", t).where(F.col(t).isNotNull())
-    base = to_long(baseline_predictions(with_split(y), t), t, [b[0] for b in BASELINES], keep=["is_test"])
-    test = regression_metrics(long.unionByName(base.where("is_test").drop("is_test")), ["model"]) \
-        .withColumn("fold", F.lit(None).cast("int"))
+    prepared = M.training_frame(eng, t)  # materialised once; fits, baselines and folds reuse it
+    test = M.evaluate_with_baselines(eng, t, presets, prepared=prepared).withColumn("fold", F.lit(None).cast("int"))
     out = test.select("model", "fold", "n", "mae", "rmse", "mape", "r2")
     if cv_preset is not None:
-        out = out.unionByName(M.cross_validate(eng, t, cv_preset, cv_folds))
+        out = out.unionByName(M.cross_validate(eng, t, cv_preset, cv_folds, prepared=prepared))
     return out
 
 
