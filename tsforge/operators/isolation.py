@@ -119,7 +119,8 @@ def isolation_scores(df: DataFrame, col: str, trees: int = 100, sample: int = 25
 def isolation_forest_flags(df: DataFrame, col: str, flag: str = "is_outlier", contamination: float = 0.1,
                            trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """Flag rows whose score exceeds the ``1 - contamination`` quantile (NULL measure -> false)."""
-    scored = isolation_scores(df, col, trees, sample, seed).cache()
+    from tsforge.session import cut_lineage
+    scored = cut_lineage(isolation_scores(df, col, trees, sample, seed))  # scored once, read twice
     cut = scored.agg(F.percentile("anomaly_score", 1.0 - contamination)).first()[0]  # one number
     rest = df.where(F.col(col).isNull()).withColumn("anomaly_score", F.lit(None).cast("double"))
     out = scored.withColumn(flag, F.coalesce(F.col("anomaly_score") > F.lit(cut), F.lit(False)))

@@ -70,10 +70,32 @@ def smoke(preset: TreePreset, iterations: int = 10) -> TreePreset:
     return TreePreset(f"{preset.name}_smoke", preset.kind, params)
 
 
-def estimator(preset: TreePreset, features: str = "features", label: str = "label"):
+def _memory_mb(text: str | None, default: int) -> int:
+    if not text:
+        return default
+    t = text.strip().lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    if t[-1] in units:
+        return int(float(t[:-1]) * units[t[-1]])
+    if t.endswith("b") and t[-2] in units:
+        return int(float(t[:-2]) * units[t[-2]])
+    return int(int(t) / (1024 * 1024))
+
+
+def tree_memory_mb(spark) -> int:
+    """Per-task budget for split statistics (``maxMemoryInMB``): a quarter of a task's share of
+    the heap, between 16 and 256 MB. It sets how many nodes are split per pass, not the splits."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    heap = _memory_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", None), 1024)
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return max(16, min(256, heap // (4 * max(1, cores))))
+
+
+def estimator(preset: TreePreset, features: str = "features", label: str = "label", memory_mb: int = 256):
     params = dict(preset.params)
     cls = GBTRegressor if preset.kind == "gbt" else RandomForestRegressor
-    est = cls(featuresCol=features, labelCol=label, predictionCol="prediction", **params)
+    est = cls(featuresCol=features, labelCol=label, predictionCol="prediction", maxMemoryInMB=memory_mb, **params)
     if preset.kind == "gbt":
         est = est.setCheckpointInterval(10).setCacheNodeIds(True)
     return est
@@ -98,7 +120,7 @@ def training_frame(df: DataFrame, target: str, exclude: list[str] | None = None,
     df = cut_lineage(df.select(*[F.col(f"`{c}`").alias(safe_name(c)) for c in df.columns]))
     feats = feature_columns(df, safe_name(target), exclude)
     kept = rows_with_few_nulls(df.where(F.col(safe_name(target)).isNotNull()), feats, 0.5)
-    split = with_split(kept, test_size).cache()
+    split = cut_lineage(with_split(kept, test_size))  # on disk: no heap pinned per query
     med = column_medians(split.where(~F.col("is_test")) if fit_on == "train" else split, feats)
     # A column without a single value has no median and no information: it leaves the model.
     usable = [c for c in feats if med[c] is not None]
@@ -117,7 +139,8 @@ def assembler(feats: list[str]) -> VectorAssembler:
 
 
 def fit(train: DataFrame, feats: list[str], preset: TreePreset) -> PipelineModel:
-    return Pipeline(stages=[assembler(feats), estimator(preset)]).fit(train)
+    est = estimator(preset, memory_mb=tree_memory_mb(train.sparkSession))
+    return Pipeline(stages=[assembler(feats), est]).fit(train)
 
 
 def predictions(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
