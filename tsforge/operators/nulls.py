@@ -30,7 +30,7 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.agg(*per, total.alias("total_nulls"))
 
 
-def _fill(df: DataFrame, cols: list[str], kind: str, chunk_rows: int | None) -> DataFrame:
+def _fill(df: DataFrame, cols: list[str], kind: str, chunk_rows: int | None, keep_index: bool = False) -> DataFrame:
     """One neighbour pass, then the value rule of ``kind`` and the edge fill.
 
     interpolate: inner nulls linear by position, trailing -> previous value;
@@ -55,6 +55,8 @@ def _fill(df: DataFrame, cols: list[str], kind: str, chunk_rows: int | None) ->
         else:
             val = F.coalesce(p["v"], n["v"])
         outs.append(val.alias(c))
+    if keep_index and IDX not in df.columns:
+        outs.append(F.col(IDX))  # positions are unchanged by a fill: later windows reuse them
     return nb.select(*outs)
 
 
@@ -107,7 +109,7 @@ def drop_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def handle_missing(df: DataFrame, method: str = "interpolate", cols: list[str] | None = None,
-                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS, keep_index: bool = False) -> DataFrame:
     """The reference's missing-value step: ``method`` then the edge fill (P6), in one neighbour pass."""
     if method not in MISSING_METHODS:
         raise ValueError(f"unknown missing-value method {method!r}")
@@ -115,7 +117,7 @@ def handle_missing(df: DataFrame, method: str = "interpolate", cols: list[str] |
     if method == "drop":
         return drop_missing(df, cols)  # nothing is left for the edge fill
     kind = {"interpolate": "interpolate", "forward_fill": "ffill", "backward_fill": "bfill"}[method]
-    return _fill(df, cols, kind, chunk_rows)
+    return _fill(df, cols, kind, chunk_rows, keep_index)
 
 
 def rows_with_few_nulls(df: DataFrame, feature_cols: list[str], max_fraction: float = 0.5) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
 from tsforge.functions import windows as W
+from tsforge.operators.sequence import IDX
 from tsforge.plans import sqlfrag as Q
 from tsforge.plans.present import present
 from tsforge.sources import series as S
@@ -25,7 +26,7 @@ ORACLES: dict[str, str] = {}
 def register(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return present(fn(spark, sf_dir))
+            return present(fn(spark, sf_dir).drop(IDX))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -39,9 +40,10 @@ HOURLY = Q.spine_cte("hourly", Q.EVENTS_BY_TYPE)
 FILLED = HOURLY + "," + Q.interp_cte("filled", "hourly", "value")
 
 
-def _hourly_filled(spark, sf_dir, chunk_rows=W and None):
+def _hourly_filled(spark, sf_dir):
+    """Hourly spine per event type, interpolated + edge filled; keeps the row index for later windows."""
     from tsforge.operators.nulls import handle_missing
-    return handle_missing(S.hourly_by_type(spark, sf_dir), "interpolate", ["value"])
+    return handle_missing(S.hourly_by_type(spark, sf_dir), "interpolate", ["value"], keep_index=True)
 
 
 # ---------------------------------------------------------------- resampling
@@ -150,7 +152,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tsforge.operators.sequence import apply_windows
     filled = _hourly_filled(spark, sf_dir)
     return apply_windows(filled, lambda w: W.lag_columns("value", [1, 24], w)
-                         + W.rolling_columns("value", [24], ["mean"], w), halo=24)
+                         + W.rolling_columns("value", [24], ["mean"], w), halo=24).drop(IDX)
 
 
 register("flagship_lags_rolling", FLAGSHIP_SQL)(flagship)
