@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
-from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS, IDX, neighbours
+from tsforge.operators.sequence import DEFAULT_BLOCK_SECONDS, DEFAULT_CHUNK_ROWS, IDX, neighbours
 
 MISSING_METHODS = ("interpolate", "forward_fill", "backward_fill", "drop")
 
@@ -30,14 +30,15 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.agg(*per, total.alias("total_nulls"))
 
 
-def _fill(df: DataFrame, cols: list[str], kind: str, chunk_rows: int | None, keep_index: bool = False) -> DataFrame:
+def _fill(df: DataFrame, cols: list[str], kind: str, chunk_rows: int | None, keep_index: bool = False,
+          block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
     """One neighbour pass, then the value rule of ``kind`` and the edge fill.
 
     interpolate: inner nulls linear by position, trailing -> previous value;
     the edge fill then gives leading nulls the next value. ffill: previous,
     else next. bfill: next, else previous. edge: same as ffill.
     """
-    nb = neighbours(df, cols, chunk_rows)
+    nb = neighbours(df, cols, chunk_rows, block_seconds)
     outs = []
     for c in df.columns:
         if c not in cols:
@@ -109,7 +110,8 @@ def drop_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def handle_missing(df: DataFrame, method: str = "interpolate", cols: list[str] | None = None,
-                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS, keep_index: bool = False) -> DataFrame:
+                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS, keep_index: bool = False,
+                   block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
     """The reference's missing-value step: ``method`` then the edge fill (P6), in one neighbour pass."""
     if method not in MISSING_METHODS:
         raise ValueError(f"unknown missing-value method {method!r}")
@@ -117,7 +119,7 @@ def handle_missing(df: DataFrame, method: str = "interpolate", cols: list[str] |
     if method == "drop":
         return drop_missing(df, cols)  # nothing is left for the edge fill
     kind = {"interpolate": "interpolate", "forward_fill": "ffill", "backward_fill": "bfill"}[method]
-    return _fill(df, cols, kind, chunk_rows, keep_index)
+    return _fill(df, cols, kind, chunk_rows, keep_index, block_seconds)
 
 
 def rows_with_few_nulls(df: DataFrame, feature_cols: list[str], max_fraction: float = 0.5) -> DataFrame:

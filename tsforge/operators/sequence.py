@@ -32,7 +32,8 @@ IDX = "_idx"
 CHUNK = "_chunk"
 HALO = "_halo"
 DEFAULT_CHUNK_ROWS = 4096
-DEFAULT_BLOCK_SECONDS = 4096 * 3600
+DEFAULT_BLOCK_SECONDS = 4096 * 3600  # regular hourly frames: at most 4096 rows per block
+RAW_BLOCK_SECONDS = 60  # raw observations: one-minute blocks bound a burst of a hot series
 
 
 def with_row_index(df: DataFrame, series: str = SERIES, order: str = TS, out: str = IDX,
@@ -47,7 +48,11 @@ def with_row_index(df: DataFrame, series: str = SERIES, order: str = TS, out: st
     """
     blk = F.floor(F.unix_seconds(F.col(order)) / block_seconds).cast("long")
     tagged = df.withColumn("_blk", blk)
-    local = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(series, "_blk").orderBy(order)))
+    # Ties on the time stamp (raw duplicates) are broken by the remaining columns, so a
+    # recomputed partition numbers its rows identically.
+    ties = [F.col(f"`{c}`").asc_nulls_first() for c in df.columns if c not in (series, order)
+            and df.schema[c].dataType.typeName() in ("double", "float", "integer", "long", "string", "timestamp", "boolean")]
+    local = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(series, "_blk").orderBy(order, *ties)))
     counts = tagged.groupBy(series, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(series).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(series, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -69,12 +74,15 @@ def chunk_with_halo(df: DataFrame, halo: int, chunk_rows: int = DEFAULT_CHUNK_RO
 
 
 def series_window(chunked: bool, series: str = SERIES, order: str = TS) -> WindowSpec:
-    keys = [series, CHUNK] if chunked else [series]
-    return Window.partitionBy(*keys).orderBy(order)
+    """Chunked windows order by the row position itself (unique, so ties cannot reorder)."""
+    if chunked:
+        return Window.partitionBy(series, CHUNK).orderBy(IDX)
+    return Window.partitionBy(series).orderBy(order)
 
 
 def apply_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], halo: int,
-                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS, keep_index: bool = False) -> DataFrame:
+                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS, keep_index: bool = False,
+                  block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
     """Add the columns returned by ``build(W)`` where ``W`` is the series window.
 
     ``chunk_rows=None`` uses the plain per-series window (one task per series);
@@ -83,13 +91,14 @@ def apply_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], ha
     """
     if chunk_rows is None:
         return df.select("*", *build(series_window(False)))
-    base = df if IDX in df.columns else with_row_index(df)
+    base = df if IDX in df.columns else with_row_index(df, block_seconds=block_seconds)
     ch = chunk_with_halo(base, halo, chunk_rows)
     out = ch.select("*", *build(series_window(True))).where(~F.col(HALO)).drop(CHUNK, HALO)
     return out if keep_index or IDX in df.columns else out.drop(IDX)
 
 
-def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
+               block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
     """Nearest non-null entry at-or-before (``_prev_<c>``) and at-or-after (``_next_<c>``)
     each row, as structs ``(p, v)`` of row position and value, for all ``cols`` in one pass.
 
@@ -99,13 +108,13 @@ def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_
     joined back where a chunk has no neighbour of its own. Adds ``_idx``.
     """
     base = df if IDX in df.columns else (
-        with_row_index(df) if chunk_rows is not None
+        with_row_index(df, block_seconds=block_seconds) if chunk_rows is not None
         else df.withColumn(IDX, F.row_number().over(series_window(False)) - 1))
     nn = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(IDX).alias("p"), F.col(c).alias("v"))) for c in cols}
     keys = [SERIES] if chunk_rows is None else [SERIES, CHUNK]
     if chunk_rows is not None:
         base = base.withColumn(CHUNK, F.floor(F.col(IDX) / chunk_rows).cast("long"))
-    w = Window.partitionBy(*keys).orderBy(TS)
+    w = Window.partitionBy(*keys).orderBy(IDX)
     before = w.rowsBetween(Window.unboundedPreceding, 0)
     after = w.rowsBetween(0, Window.unboundedFollowing)
     local = []

@@ -16,7 +16,7 @@ from tsforge.operators.joins import merge_on_time
 from tsforge.operators.nulls import handle_missing
 from tsforge.operators.outliers import flag_outliers, outlier_stats, remove_outliers
 from tsforge.operators.resample import resample
-from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS
+from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS, RAW_BLOCK_SECONDS
 from tsforge.session import cut_lineage
 
 
@@ -50,8 +50,9 @@ def preprocess(load: DataFrame, weather: DataFrame, cfg: PreprocessConfig = Prep
     global_weather = SERIES not in weather.columns
     w = _with_series(weather)
     if cfg.fill_stage == "raw":
-        load = handle_missing(load, cfg.missing_method, [cfg.target], cfg.chunk_rows)
-        w = handle_missing(w, cfg.missing_method, None, cfg.chunk_rows)
+        # Raw observations are not regular: number them in one-minute blocks.
+        load = handle_missing(load, cfg.missing_method, [cfg.target], cfg.chunk_rows, block_seconds=RAW_BLOCK_SECONDS)
+        w = handle_missing(w, cfg.missing_method, None, cfg.chunk_rows, block_seconds=RAW_BLOCK_SECONDS)
     load = resample(load, cfg.frequency, how="sum" if cfg.frequency in ("D", "d") else "mean")
     w = resample(w, cfg.frequency, how="mean")
     if cfg.fill_stage == "resampled":
