@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tsforge import SERIES, TS
 
@@ -97,7 +96,7 @@ def gap_report(df: DataFrame, freq: str = "H", first_k: int = 10) -> tuple[DataF
     total_actual (rows, duplicates included), missing_count, completeness_pct,
     largest_gap_hours (max spacing between consecutive missing stamps, 0 when
     fewer than two) and longest_run_hours (longest run of consecutive missing
-    steps, gaps-and-islands). ``first_missing`` holds the first ``first_k``
+    steps, gaps-and-islands: consecutive stamps share ``step index - rank``). ``first_missing`` holds the first ``first_k``
     missing stamps per series (rank, ts). The spine starts at the first stamp
     itself (not truncated), as a date range does.
     """
@@ -106,10 +105,14 @@ def gap_report(df: DataFrame, freq: str = "H", first_k: int = 10) -> tuple[DataF
     expected = spine(stats.select(SERIES, "lo", "hi"), freq, keys=[SERIES])
     present = df.select(SERIES, TS).distinct()
     missing = expected.join(present, [SERIES, TS], "left_anti")
-    w = Window.partitionBy(SERIES).orderBy(TS)
-    step = (F.unix_seconds(F.col(TS)) - F.unix_seconds(F.lag(TS).over(w))) / 3600.0
-    m = missing.select(SERIES, TS, step.alias("_gap"), (F.unix_seconds(F.col(TS)) / seconds).cast("long").alias("_k"),
-                       F.row_number().over(w).alias("_rn"))
+    # Missing stamps lie on the spine grid: the distributed row index and a 1-row halo
+    # give rank, spacing and island keys without ordering a whole series in one task.
+    from tsforge.operators.sequence import IDX, apply_windows, with_row_index
+    indexed = with_row_index(missing, block_seconds=4096 * seconds)
+    spaced = apply_windows(indexed, lambda w: [
+        ((F.unix_seconds(F.col(TS)) - F.unix_seconds(F.lag(TS).over(w))) / 3600.0).alias("_gap")], halo=1)
+    m = spaced.select(SERIES, TS, "_gap", (F.unix_seconds(F.col(TS)) / seconds).cast("long").alias("_k"),
+                      (F.col(IDX) + 1).alias("_rn"))
     # Consecutive missing steps share (k - rn): the island key.
     runs = (m.groupBy(SERIES, (F.col("_k") - F.col("_rn")).alias("_isl")).agg(F.count(F.lit(1)).alias("_len")))
     per_missing = m.groupBy(SERIES).agg(F.count(F.lit(1)).alias("missing_count"),
