@@ -22,17 +22,11 @@ def regression_metrics(long: DataFrame, keys: list[str], y: str = "y_true", p: s
     ok = F.col(y).isNotNull() & F.col(p).isNotNull()
     yt = F.when(ok, F.col(y))
     e = F.when(ok, F.col(y) - F.col(p))
-    src = long
     extra = []
     if extended:
-        # The naive scale steps through the masked (clean) sequence: the lag runs over
-        # clean rows only, while masked rows stay so that every key keeps its row.
-        w = Window.partitionBy(*keys, "_ok").orderBy(TS)
-        src = long.withColumn("_ok", ok).withColumn(
-            "_step", F.when(F.col("_ok"), F.abs(F.col(y) - F.lag(y, 1).over(w))))
-        extra = [F.avg("_step").alias("_naive_mae"),
-                 F.avg(F.when(ok, F.try_divide(200 * F.abs(F.col(y) - F.col(p)), F.abs(F.col(y)) + F.abs(F.col(p))))).alias("smape")]
-    g = src.groupBy(*keys).agg(
+        extra = [F.avg(F.when(ok, F.try_divide(200 * F.abs(F.col(y) - F.col(p)),
+                                                F.abs(F.col(y)) + F.abs(F.col(p))))).alias("smape")]
+    g = long.groupBy(*keys).agg(
         F.count(e).alias("n"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
@@ -40,6 +34,8 @@ def regression_metrics(long: DataFrame, keys: list[str], y: str = "y_true", p: s
         F.sum(e * e).alias("_ss_res"),
         (F.var_pop(yt) * F.count(yt)).alias("_ss_tot"),
         *extra)
+    if extended:
+        g = g.join(_naive_scale(long.where(ok), keys, y), keys, "left")
     r2 = F.when(F.col("n") == 0, F.lit(None)).when(F.col("_ss_tot") == 0, F.lit(0.0)) \
         .otherwise(1 - F.col("_ss_res") / F.col("_ss_tot"))
     cols = [*keys, "n", "mae", "rmse", "mape", r2.alias("r2")]
@@ -49,6 +45,20 @@ def regression_metrics(long: DataFrame, keys: list[str], y: str = "y_true", p: s
     return g.select(*cols)
 
 
+def _naive_scale(clean: DataFrame, keys: list[str], y: str) -> DataFrame:
+    """Mean |y_t - y_{t-1}| over each group's clean rows in time order (the MASE scale).
+
+    Groups become the series key of the bounded chunk executor (1-row halo), so a
+    long group never sits in one task."""
+    from tsforge import SERIES
+    from tsforge.operators.sequence import apply_windows
+    gk = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    framed = clean.select(*[F.col(k).alias("_g_" + k) for k in keys], gk.alias(SERIES), F.col(TS),
+                          F.col(y).alias("_y"))
+    stepped = apply_windows(framed, lambda w: [F.abs(F.col("_y") - F.lag("_y", 1).over(w)).alias("_step")], halo=1)
+    return stepped.groupBy(*[F.col("_g_" + k).alias(k) for k in keys]).agg(F.avg("_step").alias("_naive_mae"))
+
+
 def best_model(metrics: DataFrame, metric: str = "rmse", keys: list[str] | None = None) -> DataFrame:
     """Lowest mae/rmse/mape or highest r2 per key group; NULL/NaN never wins."""
     keys = keys or []
