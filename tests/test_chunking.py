@@ -85,3 +85,14 @@ def test_long_null_gap_crosses_chunks(spark):
     assert all(v is None or math.isnan(v) for v in vals[:3])           # leading stay null
     assert vals[50] == pytest.approx(50.0)                               # linear across 9 chunks
     assert all(v == pytest.approx(95.0) for v in vals[96:])              # trailing take the last value
+
+
+def test_row_index_deterministic_with_duplicate_stamps(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("s", t0 + dt.timedelta(minutes=i // 3), float((i * 7) % 5)) for i in range(300)]  # 3 rows per stamp
+    df = spark.createDataFrame(rows, "series string, ts timestamp, value double").repartition(7)
+    a = with_row_index(df, block_seconds=60).toPandas().sort_values(["ts", "value", "_idx"]).reset_index(drop=True)
+    b = with_row_index(df.repartition(3), block_seconds=60).toPandas().sort_values(["ts", "value", "_idx"]).reset_index(drop=True)
+    assert sorted(a["_idx"]) == list(range(300))
+    assert list(a["_idx"]) == list(b["_idx"])  # same positions whatever the input partitioning
