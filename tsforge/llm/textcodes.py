@@ -126,22 +126,27 @@ def window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:len(m) - (width - done)], m[width - done:]) if width > done else m
 
 
-def anchors(order: np.ndarray, width: int) -> np.ndarray:
-    """Positions that are least in some run of ``width`` values (all of them at a tie).
+def anchors(order: np.ndarray, width: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, least): positions that are least in a valid run of ``width`` values (all of them at a
+    tie), and each run's least value; ``valid`` says which runs count, one flag per run start.
 
-    Equal content gives equal choices at equal places, and every run holds one: what two
-    long passages share can be found from these positions alone.
+    Equal content gives equal choices at equal places, and every run holds one: what two long
+    passages share can be found from these positions alone.
     """
     if len(order) < width:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), order[:0]
     least = window_min(order, width)
-    # position i is chosen if its value equals the minimum of a run that holds it: the largest of
-    # the minima of the runs around i is the value it has to reach
+    # a position is chosen if it reaches the largest minimum of the valid runs around it
     pad = np.zeros(width - 1, order.dtype)
-    top = ~window_min(~np.concatenate([pad, least, pad]), width)
-    return np.flatnonzero(order <= top)
-
-
-def no_null_ids(column: pa.Array) -> np.ndarray:
-    """An id column as int64; null ids are refused by the callers' filters beforehand."""
-    return np.asarray(column.cast(pa.int64()).to_numpy(zero_copy_only=False), np.int64)
+    top = ~window_min(~np.concatenate([pad, np.where(valid, least, 0), pad]), width)
+    return np.flatnonzero(order <= top), least
+
+
+def run_starts(bounds: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Flags, for the starts 0..n-width, of runs of ``width`` items that lie within one text."""
+    flags = np.zeros(max(0, n - width + 1) + 1, np.int32)
+    first, last = bounds[:-1], bounds[1:] - width + 1
+    some = last > first
+    np.add.at(flags, first[some], 1)
+    np.add.at(flags, last[some], -1)
+    return np.cumsum(flags[:-1]) > 0
