@@ -30,9 +30,9 @@ from tsforge.llm.textcodes import BYTE_CODES, Ranges, mix, slabs
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Bytes that the rolling hash looks back over; a cut on average every CHUNK bytes.
 LOOK_BACK, CHUNK = 16, 256
-#: Sizes of the memos of one worker; a full memo is emptied.
-WORDS_KEPT, CHUNKS_KEPT = 300_000, 40_000
-_LONG_WORD = 256
+#: Sizes of the memos of one worker: words of a generation, chunks (then emptied).
+WORDS_KEPT, CHUNKS_KEPT = 600_000, 40_000
+_MARK, _MARK_BYTE, _GLUE, _TOGETHER = "\x01", b"\x01", b" \x01 ", 2000
 _GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -43,7 +43,11 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
 
 
 class WordEncoder:
-    """ids of white-space separated words, each distinct one encoded once while the memo holds it."""
+    """ids of white-space separated words, each distinct one encoded once while the memo holds it.
+
+    The memo has two generations: when the younger is full it becomes the elder and the former elder
+    goes, so words that keep coming stay and memory is bounded.
+    """
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
@@ -53,37 +57,42 @@ class WordEncoder:
         self.tok.no_padding()
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
         self.strings = [self.tok.id_to_token(i) or "" for i in range(self.vocab_size)]
-        special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        #: A special token between words keeps them apart when many are encoded in one call.
-        self.mark, self.mark_id = next(iter(sorted(special.items())), (None, None))
-        self.marks = [s.encode() for s in special]
+        self.specials = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        #: A sign that is one id when it stands alone; it keeps words apart that are encoded in one call.
+        alone = self.ids(_MARK)
+        self.mark = int(alone[0]) if len(alone) == 1 else None
         self.kept = kept
         self.memo: dict[bytes, bytes] = {}
+        self.elder: dict[bytes, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode all words that the memo lacks, in one call."""
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > self.kept:
-            self.memo.clear()
-            new = list(words)
-        plain = [w for w in new if len(w) <= _LONG_WORD and not any(m in w for m in self.marks)]
-        if self.mark is None:
-            plain = []
-        for k in range(0, len(plain), 50_000):
-            part = plain[k:k + 50_000]
-            got = self.ids(f" {self.mark} ".join(w.decode() for w in part))
-            cuts = np.flatnonzero(got == self.mark_id)
-            begin, end = np.append(0, cuts + 1), np.append(cuts, len(got))
-            raw = got.tobytes()
-            for w, b, e in zip(part, begin.tolist(), end.tolist(), strict=True):
-                self.memo[w] = raw[4 * b:4 * e]
-        done = set(plain)
-        for w in new:
-            if w not in done:
-                self.memo[w] = self.ids(w.decode()).tobytes()
+        """See that the memo holds ``words``; those it lacks are encoded together."""
+        if len(self.memo) > self.kept:
+            self.elder, self.memo = self.memo, {}
+        memo, elder = self.memo, self.elder
+        new = []
+        for w in words.difference(memo):
+            if w in elder:
+                memo[w] = elder[w]
+            else:
+                new.append(w)
+        for k in range(0, len(new), _TOGETHER):
+            part = new[k:k + _TOGETHER]
+            joined = _GLUE.join(part)
+            odd = self.mark is None or joined.count(_MARK_BYTE) != len(part) - 1 or any(x in joined for x in self.specials)
+            got = None if odd or len(joined) > 64 * _TOGETHER else self.ids(joined.decode())
+            if got is None:
+                for w in part:
+                    memo[w] = self.ids(w.decode()).tobytes()
+                continue
+            ends = np.append(np.flatnonzero(got == self.mark), len(got)).tolist()
+            raw, begin = got.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                memo[w] = raw[4 * begin:4 * end]
+                begin = end + 1
 
     def words(self, words: list[bytes]) -> bytes:
         memo = self.memo
@@ -93,6 +102,12 @@ class WordEncoder:
             self.learn(set(words))
             return b"".join([self.memo[w] for w in words])
 
+    def slab(self, slab) -> Iterator[bytes]:
+        """ids of each text of a slab, word by word."""
+        self.learn(set(slab.data.tobytes().split()))
+        for i in range(len(slab)):
+            yield self.words(slab.text(i).split())
+
     def decode(self, ids: np.ndarray) -> str:
         """The library's decode(ids, skip_special_tokens=False): this tokenizer file names no decoder,
         so the token strings are joined by spaces."""

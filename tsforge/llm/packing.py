@@ -78,7 +78,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     end = np.array([eos], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path).words
         for b in batches:
             doc_ids = b.column("doc_id").to_pylist()
             for s in slabs(b.column("text")):
