@@ -22,7 +22,7 @@ DEPTH = 2
 #: Cells for each expected key.
 ROOM = 8
 _BLOCK_LOG2 = 20
-_FLUSH = 4_000_000
+_FLUSH = 2_000_000
 
 
 def log2_cells(expected_keys: float) -> int:

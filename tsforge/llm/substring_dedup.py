@@ -32,7 +32,7 @@ from tsforge.llm.textcodes import BYTE_CODES, Ranges, anchors, mix, run_starts,
 WINDOW, GRAM = 50, 8
 #: Windows of a bucket, on average, if all were estimated repeated.
 BUCKET = 1_000_000
-_HOLD = 2_000_000
+_HOLD = 1_000_000
 
 
 def word_codes(slab, which: int = 0):

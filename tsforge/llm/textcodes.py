@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 2 << 20
 
 #: The white space that ends a word, fixed by the contracts: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
