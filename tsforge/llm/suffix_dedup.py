@@ -44,10 +44,10 @@ from tsforge.llm.textcodes import BYTE_CODES, Ranges, anchors, mix, run_starts,
 
 LENGTH, GRAM, LEAD = 100, 16, 16
 #: Suffixes of a bucket, on average, if all anchors were estimated repeated.
-BUCKET = 250_000
+BUCKET = 150_000
 #: Documents from which splitters are drawn, on average; they steer the balance, never the result.
 SAMPLE_DOCS = 4_000
-_HOLD_BYTES = 16 << 20
+_HOLD_BYTES = 6 << 20
 
 
 def multikey_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,10 +172,12 @@ class _Suffixes:
         right = np.minimum(length, bounds[text + 1] - at)
         ok = left + right >= length
         at, text, left, right = at[ok], text[ok], left[ok], right[ok]
+        padded = np.zeros(len(data) + reach + length, np.uint8)
+        padded[reach:reach + len(data)] = data
+        context = np.lib.stride_tricks.sliding_window_view(padded, reach + length)[at]
+        cut = np.flatnonzero((left < reach) | (right < length))
         span = np.arange(-reach, length)
-        place = at[:, None] + span
-        context = data[np.clip(place, 0, len(data) - 1)] if len(data) else np.zeros((0, reach + length), np.uint8)
-        context[(span < -left[:, None]) | (span >= right[:, None])] = 0
+        context[cut] *= (span >= -left[cut, None]) & (span < right[cut, None])
         return text, at - bounds[text], left, right, context
 
 
@@ -281,14 +283,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
                         fits = (starts >= s.at[own]) & (starts + length <= s.at[own + 1])
                         starts = np.unique(starts[fits])
                         groups = [tuple(x[~is_hot] for x in groups[0])]
-                        for k in range(0, len(starts), 50_000):
-                            own_text, own_place, none, right_, own_context = suffixes.rows(starts[k:k + 50_000], 0, length)
+                        for k in range(0, len(starts), 20_000):
+                            own_text, own_place, none, right_, own_context = suffixes.rows(starts[k:k + 20_000], 0, length)
                             groups.append((own_text, own_place, none, right_, np.pad(own_context, ((0, 0), (reach, 0)))))
                     for text, place, left, right, context in groups:
                         where = s.at[text] + place
                         parts.append((ids[s.first + text], place, left, right, suffixes.ranges.of(where - left, where + right),
                                       second.of(where - left, where + right), context))
-                if held >= _HOLD_BYTES or sum(len(p[0]) for p in parts) > 400_000:
+                if held >= _HOLD_BYTES or sum(len(p[0]) for p in parts) > 200_000:
                     if parts:
                         yield from settle(parts)
                     parts, held = [], 0
