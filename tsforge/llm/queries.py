@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import bpe_chunks, packing, substring_dedup, suffix_dedup
+from tsforge.llm import bpe_chunks, langid, packing, quality, substring_dedup, suffix_dedup, toxicity
 from tsforge.session import ship_package
 
 
@@ -24,11 +24,23 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip_digests(_table(spark, sf_dir, "documents"))
 
@@ -36,7 +48,10 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_byte_network": op3_byte_network,
+    "op4_toxicity_trees": op4_toxicity_trees,
     "op5_substring_dedup": op5_substring_dedup,
+    "op8_quality_trees": op8_quality_trees,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
 
