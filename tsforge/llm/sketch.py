@@ -20,7 +20,7 @@ from tsforge.llm.textcodes import mix
 MIN_LOG2, MAX_LOG2 = 20, 30
 DEPTH = 2
 #: Cells for each expected key.
-ROOM = 8
+ROOM = 4
 _BLOCK_LOG2 = 20
 _FLUSH = 2_000_000
 

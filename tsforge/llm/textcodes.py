@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
 
 #: The white space that ends a word, fixed by the contracts: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -42,13 +42,15 @@ BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and doubled as longer slabs come."""
+    """base**0 .. base**(n-1) modulo 2**64; kept for slabs of the usual size."""
     have = _powers.get(base)
-    if have is None:
-        have = np.ones(1, np.uint64)
-    while len(have) < n:
-        have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    _powers[base] = have if len(have) <= 4 * SLAB_BYTES else have[: 4 * SLAB_BYTES]
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64) if have is None else have
+        size = -(-n // 65536) * 65536
+        while len(have) < size:
+            have = np.concatenate([have, have[:size - len(have)] * np.uint64(pow(base, len(have), 1 << 64))])
+        if size <= 2 * SLAB_BYTES:
+            _powers[base] = have
     return have[:n]
 
 
