@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import bpe_chunks, langid, packing, quality, substring_dedup, suffix_dedup, toxicity
+from tsforge.llm import bpe_chunks, langid, minhash_forest, packing, quality, substring_dedup, suffix_dedup, toxicity
 from tsforge.session import ship_package
 
 
@@ -41,6 +41,10 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip_digests(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_toxicity_trees": op4_toxicity_trees,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_quality_trees": op8_quality_trees,
+    "op9_minhash_forest": op9_minhash_forest,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
 
