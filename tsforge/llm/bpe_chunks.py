@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,19 @@ LOOK_BACK, CHUNK = 16, 256
 #: Sizes of the memos of one worker: words of a generation, chunks (then emptied).
 WORDS_KEPT, CHUNKS_KEPT = 600_000, 40_000
 _MARK, _MARK_BYTE, _GLUE, _TOGETHER = "\x01", b"\x01", b" \x01 ", 2000
+#: Words that the short way is tried on; the letters it takes.
+_PROBES = ("a", "Hello", "WORLD.", "straße,", "Élan", "ÀÖØöøÿ.", "zzzzqqqqxxxx", "internationalisation,")
+_PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level tokenizers write for each byte: itself, or the next free one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_SIGNS = _byte_signs()
 _GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -64,6 +78,28 @@ class WordEncoder:
         self.kept = kept
         self.memo: dict[bytes, bytes] = {}
         self.elder: dict[bytes, bytes] = {}
+        self.merge = self.tok.model.tokenize
+        # the short way is taken only if it agrees with the library on these words
+        self.short = False
+        self.ends = {x: self.ids(x).tobytes() for x in ("", ".", ",")}
+        if all(len(v) <= 4 for v in self.ends.values()):
+            self.short = all(self.plain(w.encode()) == self.ids(w).tobytes() for w in _PROBES)
+
+    def plain(self, word: bytes) -> bytes | None:
+        """ids of a word of Latin letters, perhaps with a full stop or comma behind: such letters are one piece
+        for the tokenizer, composed already, so its merges run on the lower-case bytes directly."""
+        found = _PLAIN.fullmatch(word.decode())
+        if found is None:
+            return None
+        letters = found[1].lower()
+        raw = letters.encode()
+        got = self.memo.get(raw)
+        if got is None or not self.short:
+            ids = [t.id for t in self.merge(letters if letters.isascii() else raw.decode("latin-1").translate(_BYTE_SIGNS))]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if self.short:
+                self.memo[raw] = got
+        return got + self.ends[found[2]]
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -75,10 +111,13 @@ class WordEncoder:
         memo, elder = self.memo, self.elder
         new = []
         for w in words.difference(memo):
-            if w in elder:
-                memo[w] = elder[w]
-            else:
+            got = elder.get(w)
+            if got is None and self.short:
+                got = self.plain(w)
+            if got is None:
                 new.append(w)
+            else:
+                memo[w] = got
         for k in range(0, len(new), _TOGETHER):
             part = new[k:k + _TOGETHER]
             joined = _GLUE.join(part)
@@ -104,9 +143,10 @@ class WordEncoder:
 
     def slab(self, slab) -> Iterator[bytes]:
         """ids of each text of a slab, word by word."""
-        self.learn(set(slab.data.tobytes().split()))
-        for i in range(len(slab)):
-            yield self.words(slab.text(i).split())
+        texts = [slab.text(i).split() for i in range(len(slab))]
+        self.learn(set().union(*texts))
+        for words in texts:
+            yield self.words(words)
 
     def decode(self, ids: np.ndarray) -> str:
         """The library's decode(ids, skip_special_tokens=False): this tokenizer file names no decoder,
