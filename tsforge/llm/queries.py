@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import bpe_chunks, langid, minhash_forest, packing, quality, substring_dedup, suffix_dedup, toxicity
+from tsforge.llm import bpe_chunks, langid, minhash_forest, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
 from tsforge.session import ship_package
 
 
@@ -37,6 +37,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.new_folder(spark)
+    warc.write(_table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op3_byte_network": op3_byte_network,
     "op4_toxicity_trees": op4_toxicity_trees,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_warc_archives": op6_warc_archives,
     "op8_quality_trees": op8_quality_trees,
     "op9_minhash_forest": op9_minhash_forest,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
