@@ -164,6 +164,34 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return net
 
 
+def label(slab, net: ByteNet | None) -> tuple[list[str], np.ndarray]:
+    """(language, score) of the texts of a slab."""
+    lettered = np.array([_LETTER.search(slab.text(i).decode()) is not None for i in range(len(slab))], bool)
+    if net is None:
+        return [UNKNOWN] * len(slab), np.zeros(len(slab))
+    best, p = predict(slab, net)
+    return [net.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, np.clip(p, 0, 1), 0.0)
+
+
+def recognised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
+    """The rows of ``df``, all columns, whose text has a language with a score of at least ``least``; no shuffle.
+    Without training rows no language is known, and texts with a letter stay."""
+    net = df.sparkSession.sparkContext.broadcast(fit(df, id_col, text_col, lang_col))
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for s in slabs(b.column(text_col)):
+                if net.value is None:
+                    keep += [_LETTER.search(s.text(i).decode()) is not None for i in range(len(s))]
+                else:
+                    names, p = label(s, net.value)
+                    keep += [n != UNKNOWN and x >= least for n, x in zip(names, p.tolist(), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return df.where(F.col(id_col).isNotNull()).mapInArrow(run, df.schema)
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              per_lang: int = SAMPLE_PER_LANG, epochs: int = EPOCHS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every whole text."""
@@ -172,13 +200,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     def run(batches):
         for b in batches:
             for s in slabs(b.column("text")):
-                lettered = np.array([_LETTER.search(s.text(i).decode()) is not None for i in range(len(s))], bool)
-                if net.value is None:
-                    name, p = [UNKNOWN] * len(s), np.zeros(len(s))
-                else:
-                    best, p = predict(s, net.value)
-                    name = [net.value.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
-                    p = np.where(lettered, np.clip(p, 0, 1), 0.0)
+                name, p = label(s, net.value)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s.first, len(s)), pa.array(name, pa.string()), pa.array(p)],
                                                  names=["doc_id", "lang_pred", "score"])
 

@@ -136,6 +136,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boosting.Tr
     return boosting.fit(x[order], y[order], list(FEATURES.values()))
 
 
+def verdict(slab, trees: boosting.Trees | None, threshold: float) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """(base statistics, base rules failed, kept, score) of the texts of a slab."""
+    base, x = statistics(slab)
+    failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
+    p = trees.probability(x) if trees is not None else np.ones(len(slab))
+    return base, failed, ~failed & (p >= threshold), p
+
+
+def good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, all columns, whose text passes; no shuffle."""
+    trees = df.sparkSession.sparkContext.broadcast(fit(id_and_text(df, id_col, text_col), labels, sample))
+
+    def run(batches):
+        for b in batches:
+            keep = [verdict(s, trees.value, threshold)[2] for s in slabs(b.column(text_col))]
+            yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return df.where(F.col(id_col).isNotNull()).mapInArrow(run, df.schema)
+
+
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
           threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) of every whole text."""
@@ -145,11 +165,9 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches):
         for b in batches:
             for s in slabs(b.column("text")):
-                base, x = statistics(s)
-                failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
-                p = trees.value.probability(x) if trees.value is not None else np.ones(len(s))
+                base, failed, kept, p = verdict(s, trees.value, threshold)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(s.first, len(s)), *(pa.array(base[c], pa.int64()) for c in BASE), pa.array(failed),
-                     pa.array(~failed & (p >= threshold)), pa.array(p)], names=["doc_id", *BASE, "base_failed", "kept", "score"])
+                     pa.array(kept), pa.array(p)], names=["doc_id", *BASE, "base_failed", "kept", "score"])
 
     return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, score double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import bpe_chunks, langid, minhash_forest, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
+from tsforge.llm import bpe_chunks, embedding_join, langid, minhash_forest, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
 from tsforge.session import ship_package
 
 
@@ -43,6 +43,10 @@ def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, out, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_toxicity_trees": op4_toxicity_trees,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_warc_archives": op6_warc_archives,
+    "op7_grid_order_join": op7_grid_order_join,
     "op8_quality_trees": op8_quality_trees,
     "op9_minhash_forest": op9_minhash_forest,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,

@@ -184,23 +184,30 @@ def _settled(doc, pos, window, buckets):
     return _rows([spread], [doc.astype("<i8").tobytes()], [begin.astype("<i4").tobytes()], [until.astype("<i8").tobytes()], [b""])
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept string): each whole text without its repeated words, joined by one space."""
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
+          carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept string[, carried columns]): each whole text without its repeated words,
+    joined by one space. Carried columns have other names than the first four."""
     runs = repeated_runs(df, id_col, text_col, window, gram).groupBy("doc_id").agg(
         F.collect_set(F.struct("begin", "until")).alias("runs"))
-    joined = id_and_text(df, id_col, text_col).join(runs, "doc_id", "left")
+    held = [f"carried_{k}" for k in range(len(carry))]
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                     *(F.col(c).alias(h) for c, h in zip(carry, held, strict=True))).where(F.col("doc_id").isNotNull())
+    joined = docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs", *held)
+    kinds = "".join(f", {h} {docs.schema[h].dataType.simpleString()}" for h in held)
 
     def keep(batches):
         for b in batches:
-            runs = b.column("runs").to_pylist()
+            runs = b.column("runs")
             for s in slabs(b.column("text")):
                 start, end, bounds = s.words()
                 raw = s.data.tobytes()
                 n, gone, kept = [], [], []
                 for i in range(len(s)):
                     lo, hi = int(bounds[i]), int(bounds[i + 1])
+                    own = runs[s.first + i].as_py()
                     out = np.zeros(hi - lo + 1, np.int64)
-                    for r in runs[s.first + i] or ():
+                    for r in own or ():
                         out[min(r["begin"], hi - lo)] += 1
                         out[min(r["until"], hi - lo)] -= 1
                     stay = lo + np.flatnonzero(np.cumsum(out)[:-1] == 0)
@@ -209,6 +216,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                     kept.append(b" ".join([raw[x:y] for x, y in zip(start[stay].tolist(), end[stay].tolist(), strict=True)]).decode())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(s.first, len(s)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                     pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                     pa.array(kept, pa.string()), *(b.column(h).slice(s.first, len(s)) for h in held)],
+                    names=["doc_id", "n_words", "n_removed", "kept", *held])
 
-    return joined.select("doc_id", "text", "runs").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
+    out = joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string" + kinds)
+    return out.toDF("doc_id", "n_words", "n_removed", "kept", *carry)
