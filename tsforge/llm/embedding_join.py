@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm.components import connected, stars
-from tsforge.llm.tables import staged
+from tsforge.llm.tables import bounded_batches, staged
 from tsforge.llm.textcodes import mix
 
 LEAST = 0.9
@@ -157,6 +157,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     dimensions: int = DIMENSIONS, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     spark = df.sparkSession
+    bounded_batches(spark)
     vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id IS NOT NULL")
     widths = vectors.where("v IS NOT NULL AND size(v) > 0").groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     alone = vectors.select("vec_id").distinct()

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.llm.tables import id_and_text
+from tsforge.llm.tables import bounded_batches, id_and_text
 from tsforge.llm.textcodes import slabs
 
 WINDOW = 256
@@ -129,6 +129,7 @@ def predict(slab, net: ByteNet) -> tuple[np.ndarray, np.ndarray]:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_lang: int = SAMPLE_PER_LANG, epochs: int = EPOCHS) -> ByteNet | None:
     """A net trained on a bounded sample of the rows whose crc32 of the id is not 0 modulo 5."""
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                      F.col(lang_col).cast("string").alias("lang")) \
         .where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm import sketch
-from tsforge.llm.tables import id_and_text
+from tsforge.llm.tables import bounded_batches, id_and_text
 from tsforge.llm.textcodes import BYTE_CODES, Ranges, anchors, mix, run_starts, slabs
 
 WINDOW, GRAM = 50, 8
@@ -191,6 +191,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     runs = repeated_runs(df, id_col, text_col, window, gram).groupBy("doc_id").agg(
         F.collect_set(F.struct("begin", "until")).alias("runs"))
     held = [f"carried_{k}" for k in range(len(carry))]
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                      *(F.col(c).alias(h) for c, h in zip(carry, held, strict=True))).where(F.col("doc_id").isNotNull())
     joined = docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs", *held)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge.session import shared_path
@@ -18,7 +19,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch on the way to Python hold more than BATCH_BYTES (or one row): ten thousand whole
+    texts, the usual batch, can be any size. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or int(re.sub(r"\D", "", now) or 0) * (1 if now[-1] in "b0123456789" else 1 << 20) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on. Rows without an id are left out: no result can name them."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
         .where(F.col("doc_id").isNotNull())

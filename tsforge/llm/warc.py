@@ -31,6 +31,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsforge.llm.tables import bounded_batches
 from tsforge.session import shared_path
 
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
@@ -133,6 +134,7 @@ def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "u
           shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write the archives of ``pages`` under ``out``; returns the manifest."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).where("page_id IS NOT NULL")
     base = base.withColumn("sha", F.sha1(F.col("html").cast("binary")))
