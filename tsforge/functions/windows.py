@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 # Fixed defaults of the reference.
@@ -64,18 +64,20 @@ def ema_span(alpha: float) -> int:
     return int(math.ceil(math.log(_EMA_TOL) / math.log(1.0 - alpha)))
 
 
-def ema_columns(target: str, alphas: list[float], w: WindowSpec) -> list[Column]:
-    """Adjusted exponentially weighted mean ``sum (1-a)^i x / sum (1-a)^i`` over non-null x.
+def ema_columns(target: str, alphas: list[float], w: WindowSpec, names: list[str] | None = None) -> list[Column]:
+    """W9 at rows with a value (NULL elsewhere): ``sum (1-a)^i x / sum (1-a)^i`` over non-null x.
 
-    One ``collect_list`` over the widest frame feeds all alphas (each slices its
-    own tail). Structs keep NULL entries, so positions (and decay) stay exact.
+    The row itself has weight 1, so leaving out weights below 1e-16 changes nothing a double can hold. A row
+    without a value has the mean of the last row with one, however far back: :func:`ema_frame` carries it on.
+    One ``collect_list`` over the widest frame feeds all alphas (each slices its own tail); structs keep NULL
+    entries, so positions (and decay) stay exact.
     """
     if not alphas:
         return []
     kmax = max(ema_span(a) for a in alphas)
     hist = F.collect_list(F.struct(F.col(target).alias("v"))).over(w.rowsBetween(-kmax, 0))
     out = []
-    for a in alphas:
+    for i, a in enumerate(alphas):
         k = ema_span(a)
         tail = F.slice(hist, F.greatest(F.lit(1), F.size(hist) - k), k + 1)
         decay = F.lit(1.0 - a)
@@ -86,10 +88,19 @@ def ema_columns(target: str, alphas: list[float], w: WindowSpec) -> list[Column]
             lambda s, e: F.struct((s["n"] * decay + F.coalesce(e["v"], F.lit(0.0))).alias("n"),
                                   (s["d"] * decay + F.when(e["v"].isNotNull(), 1.0).otherwise(0.0)).alias("d")),
             lambda s: F.when(s["d"] > 0, s["n"] / s["d"]))
-        out.append(acc.alias(f"{target}_ema_alpha_{a}"))
+        out.append(F.when(F.col(target).isNotNull(), acc).alias(names[i] if names else f"{target}_ema_alpha_{a}"))
     return out
 
 
+def ema_frame(df: DataFrame, target: str, alphas: list[float], chunk_rows: int | None) -> DataFrame:
+    """W9 on a series frame: ``<t>_ema_alpha_<a>`` for every row."""
+    from tsforge.operators.sequence import IDX, apply_windows, carry_forward, with_row_index
+    base = df if chunk_rows is None or IDX in df.columns else with_row_index(df)
+    held = [f"_ema{i}" for i in range(len(alphas))]
+    out = apply_windows(base, lambda w: ema_columns(target, alphas, w, held), halo_for(alphas=alphas), chunk_rows)
+    return carry_forward(out, held, [f"{target}_ema_alpha_{a}" for a in alphas], chunk_rows)
+
+
 def statistical_columns(target: str, w: WindowSpec, n_rows: Column, padded: str | None = None) -> list[Column]:
     """W10-W12. ``n_rows`` is the series length (columns are NULL where the reference omits them).
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
+from tsforge.operators.quantiles import exact_quantiles
 
 # Fixed day and month names (Monday-first, January-first) of the seasonal profiles.
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -17,18 +18,20 @@ MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "
 
 def data_summary(df: DataFrame, target: str = "kwh", weather_cols: list[str] | None = None) -> DataFrame:
     """A1: per series record count, start, end, whole days, target mean/median/std/min/max,
-    and mean/std/min/max of each weather column present. One aggregate."""
+    and mean/std/min/max of each weather column present. The median is selected exactly, apart from the aggregate."""
     from tsforge.sources.series import WEATHER_COLUMNS
     wcols = [c for c in (weather_cols or WEATHER_COLUMNS) if c in df.columns]
     t = F.col(target)
     aggs = [F.count(F.lit(1)).alias("total_records"), F.min(TS).alias("start"), F.max(TS).alias("end"),
-            F.avg(t).alias(f"mean_{target}"), F.percentile(t, 0.5).alias(f"median_{target}"),
+            F.avg(t).alias(f"mean_{target}"),
             F.stddev_samp(t).alias(f"std_{target}"), F.min(t).alias(f"min_{target}"), F.max(t).alias(f"max_{target}")]
     for c in wcols:
         x = F.col(c)
         aggs += [F.avg(x).alias(f"{c}_mean"), F.stddev_samp(x).alias(f"{c}_std"),
                  F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max")]
+    median = exact_quantiles(df, [target], [0.5], [SERIES]).select(F.col(SERIES).alias("_ps"), F.col("q")[0].alias(f"median_{target}"))
     s = df.groupBy(SERIES).agg(*aggs)
+    s = s.join(median, F.col(SERIES).eqNullSafe(F.col("_ps")), "left").drop("_ps")
     days = F.floor((F.unix_seconds("end") - F.unix_seconds("start")) / 86400).cast("long")
     return s.select(SERIES, "total_records", "start", "end", days.alias("duration_days"),
                     *[c for c in s.columns if c not in (SERIES, "total_records", "start", "end")])
@@ -37,16 +40,17 @@ def data_summary(df: DataFrame, target: str = "kwh", weather_cols: list[str] | N
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """A2: count, mean, std, min, 25%, 50%, 75%, max per (series, column); exact quantiles.
 
-    The frame is unpivoted to (series, column, x) so one grouped aggregate covers all columns.
+    The frame is unpivoted to (series, column, x) so one grouped aggregate, and one selection of quantiles, covers all columns.
     """
     long = df.select(SERIES, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
                                                   for c in cols])).alias("kv")).select(SERIES, "kv.column", "kv.x")
-    q = F.percentile("x", [0.25, 0.5, 0.75])
     g = long.groupBy(SERIES, "column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"),
                                            F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
-                                           q.alias("_q"), F.max("x").alias("max"))
-    return g.select(SERIES, "column", "count", "mean", "std", "min", F.col("_q")[0].alias("q25"),
-                    F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+                                           F.max("x").alias("max"))
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], [SERIES]).withColumnsRenamed({SERIES: "_ps", "column": "_pc"})
+    return g.join(q, F.col(SERIES).eqNullSafe(F.col("_ps")) & (F.col("column") == F.col("_pc")), "left") \
+        .select(SERIES, "column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"),
+                F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def profile_by_hour(df: DataFrame, value: str) -> DataFrame:
@@ -111,7 +115,7 @@ def qq_table(df: DataFrame, value: str, keys: list[str], points: int = 50) -> Da
     """Sample quantiles of ``value`` (exact, interpolated) against normal quantiles."""
     grid = qq_grid(points)
     probs = [p for p, _ in grid]
-    g = df.groupBy(*keys).agg(F.percentile(value, probs).alias("_q"))
+    g = exact_quantiles(df, [value], probs, keys).withColumnRenamed("q", "_q")
     arr = F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(p).alias("p"), F.lit(z).alias("theoretical"))
                     for i, (p, z) in enumerate(grid)])
     return (g.select(*keys, "_q", F.explode(arr).alias("g"))

@@ -1,13 +1,11 @@
-"""Isolation forest on one measure (O3; Liu, Ting and Zhou, ICDM 2008).
-
-* Samples: every row draws a hash per tree; rows under a rate of about 2x the
-  sample size join that tree, and the 256 smallest hashes per tree are kept
-  (groups of a few hundred rows, never a whole table).
-* Trees: grown per ``tree_id`` in ``applyInPandas`` (random split between the
-  node's min and max, height limit ceil(log2 256)); output is a node table of
-  at most ``trees * (2 * sample - 1)`` rows - a fixed bound, so it may be broadcast.
-* Scores: ``2^(-E[h(x)] / c(sample))`` computed in Arrow batches by ``mapInPandas``;
-  rows above the ``1 - contamination`` quantile of the scores are outliers.
+"""Isolation forest on one measure, per series (O3; Liu, Ting and Zhou, ICDM 2008).
+
+* Samples: every row draws a hash per tree; about twice the sample size of a series' rows join a tree, and
+  the 256 smallest hashes per (series, tree) are kept (groups of a few hundred rows, never a whole series).
+* Trees: grown per ``(series, tree_id)`` in ``applyInPandas`` (random split between the node's min and max,
+  height limit ceil(log2 256)).
+* Scores: ``2^(-E[h(x)] / c(sample))``, computed per block of a series next to a copy of its trees; rows above
+  the series' exact ``1 - contamination`` quantile of the scores are outliers.
 Seeded and exact for the algorithm, but not bit-equal to other implementations.
 """
 
@@ -17,12 +15,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsforge import SERIES, TS
 
+BLOCK_ROWS = 200_000  # rows scored at once
 EULER = 0.5772156649015329
 NODE_SCHEMA = "tree_id long, node long, split double, left long, right long, size long"
 
@@ -60,68 +59,69 @@ def _grow(pdf: pd.DataFrame, seed: int, max_depth: int) -> pd.DataFrame:
 
 
 def _path_lengths(x: np.ndarray, tree: pd.DataFrame) -> np.ndarray:
-    split = tree["split"].to_numpy()
-    left = tree["left"].to_numpy()
-    right = tree["right"].to_numpy()
-    size = tree["size"].to_numpy()
+    split, left, right = (tree[c].to_numpy() for c in ("split", "left", "right"))
+    rest = np.array([_c(n) for n in tree["size"].tolist()])  # what a leaf's rows would still need, once per node
     node = np.zeros(len(x), dtype=np.int64)
     depth = np.zeros(len(x))
     active = left[node] >= 0
     while active.any():
-        go_left = x < split[node]
-        nxt = np.where(go_left, left[node], right[node])
-        node = np.where(active, nxt, node)
+        node = np.where(active, np.where(x < split[node], left[node], right[node]), node)
         depth = depth + active
         active = left[node] >= 0
-    return depth + np.vectorize(_c)(size[node])
+    return depth + rest[node]
 
 
 def isolation_scores(df: DataFrame, col: str, trees: int = 100, sample: int = 256, seed: int = 42,
-                     keys: list[str] | None = None) -> DataFrame:
-    """Adds ``anomaly_score`` in (0, 1] for every row with a non-null ``col``."""
-    keys = keys or [SERIES, TS]
+                     block: int = BLOCK_ROWS) -> DataFrame:
+    """Adds ``anomaly_score`` in (0, 1] for every row with a non-null ``col``; each series has its own forest."""
     data = df.where(F.col(col).isNotNull())
-    n = data.count()
-    if n == 0:
-        return data.withColumn("anomaly_score", F.lit(None).cast("double"))
-    m = min(sample, n)
-    rate = min(1.0, 2.0 * m / n + 1e-9)
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    # Bernoulli per (row, tree) without materialising rows x trees: a row keeps only its trees.
-    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                     lambda t: (F.abs(F.xxhash64(key, t, F.lit(seed))) % 1_000_000) < F.lit(int(math.ceil(rate * 1_000_000))))
-    draws = data.select(F.col(col).cast("double").alias("x"), F.explode(picks).alias("tree_id"), key.alias("_k"))
-    ranked = draws.withColumn("_h", F.xxhash64("_k", "tree_id", F.lit(seed + 1)))
-    from pyspark.sql import Window
-    keep = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("tree_id").orderBy("_h", "_k"))) \
-        .where(F.col("_r") <= m).select(F.col("tree_id").cast("long"), "x")
-    max_depth = int(math.ceil(math.log2(max(m, 2))))
-    nodes = keep.groupBy("tree_id").applyInPandas(lambda p: _grow(p, seed, max_depth), NODE_SCHEMA)
-    forest = nodes.toPandas()  # bounded: trees * (2 * sample - 1) rows
-    groups = [g for _, g in forest.sort_values(["tree_id", "node"]).groupby("tree_id")]
-    bc = df.sparkSession.sparkContext.broadcast(groups)
-    cn = _c(m)
-    out_schema = T.StructType(data.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
-
-    def score(batches):
-        trees_ = bc.value
-        for pdf in batches:
-            x = pdf[col].to_numpy(dtype=float)
-            h = np.zeros(len(x))
-            for tr in trees_:
-                h += _path_lengths(x, tr)
-            pdf["anomaly_score"] = np.power(2.0, -(h / len(trees_)) / cn) if cn > 0 else 0.5
-            yield pdf
-
-    return data.mapInPandas(score, out_schema)
+    sizes = data.groupBy(F.col(SERIES).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    # A row's draws depend on all of its columns, so repeated stamps draw apart.
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in data.columns if data.schema[c].dataType.typeName() not in ("map", "variant")])
+    tagged = data.join(sizes, F.col(SERIES).eqNullSafe(F.col("_s"))).drop("_s").withColumn("_row", row)
+    wanted = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("_n"))
+    # Bernoulli per (row, tree) on 63 bits, without rows x trees: a row keeps only its trees. About 2 * sample
+    # rows of a series join a tree, however long the series is.
+    draw = lambda t: F.shiftrightunsigned(F.xxhash64("_row", t, F.lit(seed)), 1)
+    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) / F.lit(2.0 ** 63) <= wanted)
+    draws = tagged.select(F.col(SERIES), F.col(col).cast("double").alias("x"), F.explode(picks).alias("tree_id"), "_row")
+    order = Window.partitionBy(SERIES, "tree_id").orderBy(F.xxhash64("_row", "tree_id", F.lit(seed + 1)), "_row", "x")
+    keep = draws.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select(SERIES, F.col("tree_id").cast("long"), "x")
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _grow(pdf, seed, math.ceil(math.log2(max(2, len(pdf)))))
+        out.insert(0, SERIES, pdf[SERIES].iloc[0])
+        out["drawn"] = len(pdf)
+        return out
+
+    forest = keep.groupBy(SERIES, "tree_id").applyInPandas(grow, f"{SERIES} string, {NODE_SCHEMA}, drawn long")
+    # A long series is scored in blocks, each with a copy of its forest (at most trees * (2 * sample - 1) rows).
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    rows = tagged.withColumn("_block", F.pmod(F.col("_row"), blocks).cast("int")).drop("_row", "_n")
+    copies = forest.join(sizes, F.col(SERIES).eqNullSafe(F.col("_s"))).withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_s", "_n")
+    schema = T.StructType(data.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
+
+    def score(pdf: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[col].to_numpy(dtype=float)
+        grown = [g for _, g in nodes.sort_values(["tree_id", "node"]).groupby("tree_id")]
+        pdf = pdf.drop(columns="_block")
+        if not grown or not len(pdf):
+            return pdf.assign(anomaly_score=0.5)
+        # a tree of m rows measures paths against the mean path of m rows
+        paths = sum(_path_lengths(x, g) / max(_c(int(g["drawn"].iloc[0])), 1e-12) if g["drawn"].iloc[0] > 1 else np.ones(len(x)) for g in grown)
+        return pdf.assign(anomaly_score=np.power(2.0, -paths / len(grown)))
+
+    return rows.groupBy(SERIES, "_block").cogroup(copies.groupBy(SERIES, "_block")).applyInPandas(score, schema)
 
 
 def isolation_forest_flags(df: DataFrame, col: str, flag: str = "is_outlier", contamination: float = 0.1,
                            trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Flag rows whose score exceeds the ``1 - contamination`` quantile (NULL measure -> false)."""
+    """Flag rows whose score exceeds their series' ``1 - contamination`` quantile (NULL measure -> false)."""
+    from tsforge.operators.quantiles import exact_quantiles
     from tsforge.session import cut_lineage
+    df = cut_lineage(df)  # read for the draws, the scores and the NULL rows
     scored = cut_lineage(isolation_scores(df, col, trees, sample, seed))  # scored once, read twice
-    cut = scored.agg(F.percentile("anomaly_score", 1.0 - contamination)).first()[0]  # one number
+    cut = exact_quantiles(scored, ["anomaly_score"], [1.0 - contamination], [SERIES]).select(F.col(SERIES).alias("_s"), F.col("q")[0].alias("_cut"))
     rest = df.where(F.col(col).isNull()).withColumn("anomaly_score", F.lit(None).cast("double"))
-    out = scored.withColumn(flag, F.coalesce(F.col("anomaly_score") > F.lit(cut), F.lit(False)))
+    out = scored.join(cut, F.col(SERIES).eqNullSafe(F.col("_s")), "left").withColumn(flag, F.col("anomaly_score") > F.col("_cut")).drop("_s", "_cut")
     return out.unionByName(rest.withColumn(flag, F.lit(False)))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
-from tsforge.operators.sequence import DEFAULT_BLOCK_SECONDS, DEFAULT_CHUNK_ROWS, IDX, neighbours
+from tsforge.operators.quantiles import exact_quantiles
+from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS, IDX, neighbours
 
 MISSING_METHODS = ("interpolate", "forward_fill", "backward_fill", "drop")
 
@@ -30,15 +31,14 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.agg(*per, total.alias("total_nulls"))
 
 
-def _fill(df: DataFrame, cols: list[str], kind: str, chunk_rows: int | None, keep_index: bool = False,
-          block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
+def _fill(df: DataFrame, cols: list[str], kind: str, chunk_rows: int | None, keep_index: bool = False) -> DataFrame:
     """One neighbour pass, then the value rule of ``kind`` and the edge fill.
 
     interpolate: inner nulls linear by position, trailing -> previous value;
     the edge fill then gives leading nulls the next value. ffill: previous,
     else next. bfill: next, else previous. edge: same as ffill.
     """
-    nb = neighbours(df, cols, chunk_rows, block_seconds)
+    nb = neighbours(df, cols, chunk_rows)
     outs = []
     for c in df.columns:
         if c not in cols:
@@ -110,16 +110,15 @@ def drop_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def handle_missing(df: DataFrame, method: str = "interpolate", cols: list[str] | None = None,
-                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS, keep_index: bool = False,
-                   block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
+                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS, keep_index: bool = False) -> DataFrame:
     """The reference's missing-value step: ``method`` then the edge fill (P6), in one neighbour pass."""
     if method not in MISSING_METHODS:
         raise ValueError(f"unknown missing-value method {method!r}")
     cols = value_columns(df, cols)
     if method == "drop":
-        return drop_missing(df, cols)  # nothing is left for the edge fill
+        return drop_missing(df, cols).drop(IDX)  # nothing is left for the edge fill; positions change
     kind = {"interpolate": "interpolate", "forward_fill": "ffill", "backward_fill": "bfill"}[method]
-    return _fill(df, cols, kind, chunk_rows, keep_index, block_seconds)
+    return _fill(df, cols, kind, chunk_rows, keep_index)
 
 
 def rows_with_few_nulls(df: DataFrame, feature_cols: list[str], max_fraction: float = 0.5) -> DataFrame:
@@ -129,16 +128,15 @@ def rows_with_few_nulls(df: DataFrame, feature_cols: list[str], max_fraction: fl
 
 
 def column_medians(src: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Exact medians of ``cols`` in one aggregate (one number per column reaches the driver)."""
-    row = src.agg(*[F.percentile(F.col(f"`{c}`"), 0.5).alias(c) for c in cols]).first()
-    return {c: (None if row is None or row[c] is None else float(row[c])) for c in cols}
+    """Exact medians of ``cols`` by distributed selection (one number per column reaches the driver)."""
+    found = {r["column"]: r["q"][0] for r in exact_quantiles(src, cols, [0.5], []).collect()}
+    return {c: found.get(c) for c in cols}
 
 
 def median_fill(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Fill each column with its exact (interpolated) median from ``fit_on`` (default: ``df``).
 
-    All medians come from one aggregate; its single row (one number per column)
-    is fetched and applied with ``na.fill``, as a fitted imputer would.
+    The medians (one number per column) are fetched and applied with ``na.fill``, as a fitted imputer would.
     """
     med = column_medians(fit_on if fit_on is not None else df, cols)
     fills = {c: v for c, v in med.items() if v is not None}

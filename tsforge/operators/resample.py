@@ -8,10 +8,13 @@ so no single ``sequence`` array grows with the length of a series.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
+from tsforge.operators.sequence import IDX
 
 # Fixed frequency strings accepted (pandas aliases used by the reference plus lower case).
 _FREQ = {
@@ -37,11 +40,12 @@ def bucket(ts: Column | str, freq: str) -> Column:
 
 
 def spine(bounds: DataFrame, freq: str, lo: str = "lo", hi: str = "hi", out: str = TS,
-          keys: list[str] | None = None) -> DataFrame:
+          keys: list[str] | None = None, idx: str | None = None) -> DataFrame:
     """Regular stamps ``lo, lo+step, ... <= hi`` for every row of ``bounds``.
 
     Level 1 explodes block starts (one per ``SPINE_BLOCK_STEPS`` steps), the
-    blocks are spread over the cluster, level 2 explodes the steps of a block.
+    blocks are spread over the cluster, level 2 explodes the steps of a block. With
+    ``idx`` each stamp's position on its spine is added: no row numbering is needed later.
     """
     _, interval, seconds = freq_spec(freq)
     keys = keys if keys is not None else [c for c in bounds.columns if c not in (lo, hi)]
@@ -57,15 +61,20 @@ def spine(bounds: DataFrame, freq: str, lo: str = "lo", hi: str = "hi", out: str
         F.expr(f"_lo + make_interval(0, 0, 0, cast(_blk * {SPINE_BLOCK_STEPS} as int))")
     blocks = blocks.select(*keys, "_hi", "_blk", start.alias("_start"))
     stop = F.least(F.col("_hi"), F.expr(f"_start + {interval} * {SPINE_BLOCK_STEPS - 1}"))
-    return blocks.select(*keys, F.explode(F.sequence(F.col("_start"), stop, F.expr(interval))).alias(out))
+    stamps = F.sequence(F.col("_start"), stop, F.expr(interval))
+    if idx is None:
+        return blocks.select(*keys, F.explode(stamps).alias(out))
+    return blocks.select(*keys, "_blk", F.posexplode(stamps).alias("_step", out)) \
+        .select(*keys, out, (F.col("_blk") * SPINE_BLOCK_STEPS + F.col("_step")).alias(idx))
 
 
 def resample(df: DataFrame, freq: str = "H", how: str | dict = "mean", value_cols: list[str] | None = None,
-             fill_empty_sum: bool = True) -> DataFrame:
+             fill_empty_sum: bool = True, keep_index: bool = False) -> DataFrame:
     """Aggregate to ``freq`` buckets and emit every bucket between each series' first and last.
 
     ``how`` is ``mean``/``sum`` or a per-column dict. Empty buckets: mean -> NULL,
-    sum -> 0 (pandas ``sum`` of nothing), as in the reference's daily resample.
+    sum -> 0 (pandas ``sum`` of nothing), as in the reference's daily resample. A NULL series is a series of
+    its own; rows without a stamp belong to no bucket. ``keep_index`` adds each bucket's position as ``_idx``.
     """
     value_cols = value_cols or [c for c in df.columns if c not in (SERIES, TS)]
     hows = {c: (how[c] if isinstance(how, dict) else how) for c in value_cols}
@@ -78,15 +87,21 @@ def resample(df: DataFrame, freq: str = "H", how: str | dict = "mean", value_col
         else:
             raise ValueError(f"unsupported aggregation {hows[c]!r}")
     agg = df.groupBy(SERIES, bucket(TS, freq).alias(TS)).agg(*aggs)
-    bounds = agg.groupBy(SERIES).agg(F.min(TS).alias("lo"), F.max(TS).alias("hi"))
-    full = spine(bounds, freq, keys=[SERIES]).join(agg, [SERIES, TS], "left")
+    agg = agg.where(F.col(TS).isNotNull())
+    # The bounds keep every value column in use, so both sides read one and the same exchange of the buckets
+    # and the raw table is scanned once.
+    used = [F.count(c).alias(f"_u{i}") for i, c in enumerate(value_cols)]
+    bounds = agg.groupBy(SERIES).agg(F.min(TS).alias("lo"), F.max(TS).alias("hi"), *used) \
+        .where(reduce(lambda a, b: a & b, [F.col(f"_u{i}") >= 0 for i in range(len(used))])).select(SERIES, "lo", "hi")
+    grid = spine(bounds, freq, keys=[SERIES], idx=IDX).withColumnsRenamed({SERIES: "_gs", TS: "_gt"})
+    full = grid.join(agg, F.col("_gs").eqNullSafe(F.col(SERIES)) & (F.col("_gt") == F.col(TS)), "left")
     outs = []
     for c in value_cols:
         col = F.col(c)
         if hows[c] == "sum" and fill_empty_sum:
             col = F.coalesce(col, F.lit(0.0))
         outs.append(col.alias(c))
-    return full.select(SERIES, TS, *outs)
+    return full.select(F.col("_gs").alias(SERIES), F.col("_gt").alias(TS), *outs, *([IDX] if keep_index else []))
 
 
 def gap_report(df: DataFrame, freq: str = "H", first_k: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -107,8 +122,8 @@ def gap_report(df: DataFrame, freq: str = "H", first_k: int = 10) -> tuple[DataF
     missing = expected.join(present, [SERIES, TS], "left_anti")
     # Missing stamps lie on the spine grid: the distributed row index and a 1-row halo
     # give rank, spacing and island keys without ordering a whole series in one task.
-    from tsforge.operators.sequence import IDX, apply_windows, with_row_index
-    indexed = with_row_index(missing, block_seconds=4096 * seconds)
+    from tsforge.operators.sequence import apply_windows, with_row_index
+    indexed = with_row_index(missing)
     spaced = apply_windows(indexed, lambda w: [
         ((F.unix_seconds(F.col(TS)) - F.unix_seconds(F.lag(TS).over(w))) / 3600.0).alias("_gap")], halo=1)
     m = spaced.select(SERIES, TS, "_gap", (F.unix_seconds(F.col(TS)) / seconds).cast("long").alias("_k"),

@@ -4,10 +4,10 @@
 series holding a third of all rows would then run on one core. This module
 replaces that with:
 
-1. :func:`with_row_index` - exact 0-based position inside each series in two
-   distributed passes: number rows inside ``(series, time block)`` groups,
-   prefix-sum the per-block counts in a table of one row per block, and add the
-   offset back. A hot series is spread over its many blocks.
+1. :func:`with_row_index` - exact 0-based position inside each series: rows are
+   range-partitioned and sorted by (series, time, ties), counted per partition, and
+   the counts summed up in a table of one row per (partition, series). A hot series,
+   minute or stamp is spread over as many partitions as it fills.
 2. :func:`chunk_with_halo` - cut each series into chunks of ``chunk_rows``
    positions and copy the last ``halo`` rows of every chunk into the next one,
    so any frame reaching at most ``halo`` rows back is exact inside a chunk.
@@ -27,49 +27,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tsforge import SERIES, TS
+from tsforge.session import cut_lineage
 
 IDX = "_idx"
 CHUNK = "_chunk"
 HALO = "_halo"
 DEFAULT_CHUNK_ROWS = 4096
-DEFAULT_BLOCK_SECONDS = 4096 * 3600  # regular hourly frames: at most 4096 rows per block
-RAW_BLOCK_SECONDS = 60  # raw observations: one-minute blocks bound a burst of a hot series
 
 
-def with_row_index(df: DataFrame, series: str = SERIES, order: str = TS, out: str = IDX,
-                   block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
-    """Add the exact 0-based row position of each row inside its series.
+def _orderable(df: DataFrame, names: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in names if df.schema[c].dataType.typeName() not in ("map", "variant", "interval")]
 
-    Pass 1 numbers rows inside ``(series, time block)`` groups (a block spans
-    ``block_seconds``; on an hourly spine it holds at most 4096 rows) and counts
-    them; pass 2 prefix-sums the block counts in a table of one row per block and
-    adds that offset back. Only deterministic operators are used, so a
-    recomputed partition (lost executor) yields the same positions.
+
+def with_row_index(df: DataFrame, series: str | list[str] = SERIES, order: str = TS, out: str = IDX,
+                   total: str | None = None) -> DataFrame:
+    """Add the exact 0-based row position of each row inside its series (and the series' row count as ``total``).
+
+    Ties on ``order`` are broken by all other columns. The sorted partitions are written to the
+    shared folder before they are counted, so a lost executor cannot renumber them. Rows whose
+    series or ``order`` is NULL keep their place: NULL is a series of its own and sorts first.
     """
-    blk = F.floor(F.unix_seconds(F.col(order)) / block_seconds).cast("long")
-    tagged = df.withColumn("_blk", blk)
-    # Ties on the time stamp (raw duplicates) are broken by the remaining columns, so a
-    # recomputed partition numbers its rows identically.
-    ties = [F.col(f"`{c}`").asc_nulls_first() for c in df.columns if c not in (series, order)
-            and df.schema[c].dataType.typeName() in ("double", "float", "integer", "long", "string", "timestamp", "boolean")]
-    local = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(series, "_blk").orderBy(order, *ties)))
-    counts = tagged.groupBy(series, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(series).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(series, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    # One row per (series, block): AQE broadcasts it when its measured size is
-    # under the broadcast threshold, else it is a shuffled join.
-    joined = local.join(offsets, [series, "_blk"])
-    return joined.select(*df.columns, (F.col("_base") + F.col("_rn") - 1).alias(out))
+    keys = [series] if isinstance(series, str) else list(series)
+    by = [F.col(f"`{c}`") for c in (*keys, order)] + _orderable(df, [c for c in df.columns if c not in (*keys, order)])
+    rows = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # one row per (partition, series): at most partitions + series rows
+    w = Window.partitionBy(*keys)
+    offsets = counts.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_first",
+                            F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+                            F.sum("_n").over(w).alias("_total"))
+    same = part == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
+    extra = [F.col("_total").alias(total)] if total else []
+    return rows.join(offsets, same).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_at") - F.col("_first") + F.col("_base")).alias(out), *extra)
 
 
 def chunk_with_halo(df: DataFrame, halo: int, chunk_rows: int = DEFAULT_CHUNK_ROWS, idx: str = IDX) -> DataFrame:
-    """Assign ``_chunk`` and duplicate the last ``halo`` rows of each chunk into the next (``_halo`` true)."""
-    if halo > chunk_rows:
-        raise ValueError(f"halo {halo} exceeds chunk_rows {chunk_rows}")
+    """Assign ``_chunk`` and copy each row into the following chunks that it lies at most ``halo`` rows before
+    (``_halo`` true there); a halo may be longer than a chunk."""
     own = F.floor(F.col(idx) / chunk_rows).cast("long")
-    tail = (F.col(idx) % chunk_rows) >= (chunk_rows - halo)
-    chunks = F.when(tail & F.lit(halo > 0), F.array(own, own + 1)).otherwise(F.array(own))
-    return (df.select("*", F.explode(chunks).alias(CHUNK))
+    last = F.floor((F.col(idx) + F.lit(halo)) / chunk_rows).cast("long")
+    return (df.select("*", F.explode(F.sequence(own, last)).alias(CHUNK))
               .withColumn(HALO, F.col(CHUNK) != own))
 
 
@@ -81,8 +81,7 @@ def series_window(chunked: bool, series: str = SERIES, order: str = TS) -> Windo
 
 
 def apply_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], halo: int,
-                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS, keep_index: bool = False,
-                  block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
+                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS, keep_index: bool = False) -> DataFrame:
     """Add the columns returned by ``build(W)`` where ``W`` is the series window.
 
     ``chunk_rows=None`` uses the plain per-series window (one task per series);
@@ -91,14 +90,13 @@ def apply_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], ha
     """
     if chunk_rows is None:
         return df.select("*", *build(series_window(False)))
-    base = df if IDX in df.columns else with_row_index(df, block_seconds=block_seconds)
+    base = df if IDX in df.columns else with_row_index(df)
     ch = chunk_with_halo(base, halo, chunk_rows)
     out = ch.select("*", *build(series_window(True))).where(~F.col(HALO)).drop(CHUNK, HALO)
     return out if keep_index or IDX in df.columns else out.drop(IDX)
 
 
-def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
-               block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
+def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Nearest non-null entry at-or-before (``_prev_<c>``) and at-or-after (``_next_<c>``)
     each row, as structs ``(p, v)`` of row position and value, for all ``cols`` in one pass.
 
@@ -108,7 +106,7 @@ def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_
     joined back where a chunk has no neighbour of its own. Adds ``_idx``.
     """
     base = df if IDX in df.columns else (
-        with_row_index(df, block_seconds=block_seconds) if chunk_rows is not None
+        with_row_index(df) if chunk_rows is not None
         else df.withColumn(IDX, F.row_number().over(series_window(False)) - 1))
     nn = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(IDX).alias("p"), F.col(c).alias("v"))) for c in cols}
     keys = [SERIES] if chunk_rows is None else [SERIES, CHUNK]
@@ -135,8 +133,16 @@ def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_
           for c in cols],
         *[F.first("_first_" + c, ignorenulls=True).over(cw.rowsBetween(1, Window.unboundedFollowing)).alias("_cn_" + c)
           for c in cols])
-    out = [F.col(x) for x in base.columns if x != CHUNK]
+    out = [F.col(f"`{x}`") for x in base.columns if x != CHUNK]
     for c in cols:
         out += [F.coalesce("_prev_" + c, "_cp_" + c).alias("_prev_" + c),
                 F.coalesce("_next_" + c, "_cn_" + c).alias("_next_" + c)]
-    return loc.join(carry, [SERIES, CHUNK], "left").select(*out)
+    carry = carry.withColumnsRenamed({SERIES: "_cs", CHUNK: "_cc"})  # NULL is a series like any other
+    return loc.join(carry, F.col(SERIES).eqNullSafe(F.col("_cs")) & (F.col(CHUNK) == F.col("_cc")), "left").select(*out)
+
+
+def carry_forward(df: DataFrame, cols: list[str], names: list[str], chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """``cols`` with NULLs replaced by the last value before them in the series, under new ``names``; other columns stay."""
+    nb = neighbours(df, cols, chunk_rows)
+    new = dict(zip(cols, names))
+    return nb.select(*[F.col("_prev_" + c)["v"].alias(new[c]) if c in new else F.col(f"`{c}`") for c in df.columns])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
 from tsforge.functions import windows as W
-from tsforge.operators.sequence import IDX
+from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS, IDX
 from tsforge.plans import sqlfrag as Q
 from tsforge.plans.present import present
 from tsforge.sources import series as S
@@ -43,7 +43,7 @@ FILLED = HOURLY + "," + Q.interp_cte("filled", "hourly", "value")
 def _hourly_filled(spark, sf_dir):
     """Hourly spine per event type, interpolated + edge filled; keeps the row index for later windows."""
     from tsforge.operators.nulls import handle_missing
-    return handle_missing(S.hourly_by_type(spark, sf_dir), "interpolate", ["value"], keep_index=True)
+    return handle_missing(S.hourly_by_type(spark, sf_dir, keep_index=True), "interpolate", ["value"], keep_index=True)
 
 
 # ---------------------------------------------------------------- resampling
@@ -98,13 +98,6 @@ def q_interpolate_fill(spark, sf_dir):
     return _hourly_filled(spark, sf_dir)
 
 
-@register("interpolate_fill_plain", f"WITH {FILLED} SELECT series, ts, {Q.r4('value', 'value')} FROM filled")
-def q_interpolate_fill_plain(spark, sf_dir):
-    """P2 + P6 with plain per-series windows (the reference layout; one task per series)."""
-    from tsforge.operators.nulls import handle_missing
-    return handle_missing(S.hourly_by_type(spark, sf_dir), "interpolate", ["value"], chunk_rows=None)
-
-
 _WS = "PARTITION BY series ORDER BY ts"
 
 
@@ -114,7 +107,7 @@ FROM hourly""")
 def q_forward_fill(spark, sf_dir):
     """P3 + P6: forward fill, then edge fill."""
     from tsforge.operators.nulls import handle_missing
-    return handle_missing(S.hourly_by_type(spark, sf_dir), "forward_fill", ["value"])
+    return handle_missing(S.hourly_by_type(spark, sf_dir, keep_index=True), "forward_fill", ["value"])
 
 
 @register("backward_fill", f"""WITH {HOURLY}
@@ -123,7 +116,7 @@ FROM hourly""")
 def q_backward_fill(spark, sf_dir):
     """P4 + P6: backward fill, then the forward edge fill for trailing nulls."""
     from tsforge.operators.nulls import handle_missing
-    return handle_missing(S.hourly_by_type(spark, sf_dir), "backward_fill", ["value"])
+    return handle_missing(S.hourly_by_type(spark, sf_dir, keep_index=True), "backward_fill", ["value"])
 
 
 @register("drop_missing", f"WITH {HOURLY} SELECT series, ts, {Q.r4('value', 'value')} FROM hourly WHERE value IS NOT NULL")
@@ -170,7 +163,16 @@ def q_lag_features(spark, sf_dir):
 def q_rolling_features(spark, sf_dir):
     """Rolling mean/std/min/max over 6..168 rows on the gappy spine (null guard: full frames only)."""
     from tsforge.operators.sequence import apply_windows
-    return apply_windows(S.hourly_by_type(spark, sf_dir),
+    return apply_windows(S.hourly_by_type(spark, sf_dir, keep_index=True),
+                         lambda w: W.rolling_columns("value", W.DEFAULT_WINDOWS, W.DEFAULT_STATS, w), halo=167)
+
+
+@register("rolling_features_filled", f"""WITH {FILLED} SELECT series, ts, {Q.r4('value', 'value')},
+{_roll_sql('value', W.DEFAULT_WINDOWS, W.DEFAULT_STATS)} FROM filled""")
+def q_rolling_features_filled(spark, sf_dir):
+    """W2-W5 on the filled series, where every frame fills up (the 168-row ones too)."""
+    from tsforge.operators.sequence import apply_windows
+    return apply_windows(_hourly_filled(spark, sf_dir),
                          lambda w: W.rolling_columns("value", W.DEFAULT_WINDOWS, W.DEFAULT_STATS, w), halo=167)
 
 
@@ -184,17 +186,19 @@ def q_rolling_quantiles(spark, sf_dir):
 
 
 def _ema_sql(src: str, col: str, alphas) -> str:
+    """The weighted mean over the whole history at rows with a value; other rows have the last one before them."""
     parts = []
     for a in alphas:
-        k = W.ema_span(a)
-        d = 1.0 - a
+        d, name = 1.0 - a, f"ema_{str(a).replace('.', '_')}"
         parts.append(f"""
-ema_{str(a).replace('.', '_')} AS (
-  SELECT x.series, x.ts,
-    sum(CASE WHEN y.{col} IS NOT NULL THEN pow({d}, x._i - y._i) * y.{col} ELSE 0 END)
-      / nullif(sum(CASE WHEN y.{col} IS NOT NULL THEN pow({d}, x._i - y._i) ELSE 0 END), 0) AS e
-  FROM {src}_p x JOIN {src}_p y ON x.series = y.series AND y._i BETWEEN x._i - {k} AND x._i
-  GROUP BY x.series, x.ts)""")
+{name}_at AS (
+  SELECT x.series, x.ts, sum(pow({d}, x._i - y._i) * y.{col}) / sum(pow({d}, x._i - y._i)) AS e
+  FROM {src}_p x JOIN {src}_p y ON x.series = y.series AND y._i <= x._i
+  WHERE x.{col} IS NOT NULL AND y.{col} IS NOT NULL GROUP BY x.series, x.ts),
+{name} AS (
+  SELECT p.series, p.ts, last_value(q.e IGNORE NULLS) OVER (PARTITION BY p.series ORDER BY p.ts
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e
+  FROM {src}_p p LEFT JOIN {name}_at q ON p.series = q.series AND p.ts = q.ts)""")
     return ",".join(parts)
 
 
@@ -211,10 +215,16 @@ SELECT series, ts, {Q.r4(f'{src}_p.{col}', col)}, {sel} FROM {src}_p {joins}"""
 @register("ema_features", _ema_query(HOURLY, "hourly", "value", W.DEFAULT_ALPHAS))
 def q_ema_features(spark, sf_dir):
     """Adjusted EWMA for alphas 0.1..0.7 on the gappy spine (nulls keep their position)."""
-    from tsforge.operators.sequence import apply_windows
-    alphas = W.DEFAULT_ALPHAS
-    return apply_windows(S.hourly_by_type(spark, sf_dir), lambda w: W.ema_columns("value", alphas, w),
-                         halo=W.halo_for(alphas=alphas))
+    return W.ema_frame(S.hourly_by_type(spark, sf_dir, keep_index=True), "value", W.DEFAULT_ALPHAS, DEFAULT_CHUNK_ROWS)
+
+
+_MONTHLY = Q.spine_cte("mo", "SELECT 'orders' AS series, date_trunc('month', o_orderdate) AS ts, sum(o_totalprice) AS v FROM orders GROUP BY 2")
+
+
+@register("ema_features_sparse", _ema_query(_MONTHLY, "mo", "value", W.DEFAULT_ALPHAS))
+def q_ema_features_sparse(spark, sf_dir):
+    """W9 where gaps are longer than any weight lasts: monthly order totals on an hourly spine."""
+    return W.ema_frame(S.monthly_orders_hourly(spark, sf_dir, keep_index=True), "value", W.DEFAULT_ALPHAS, DEFAULT_CHUNK_ROWS)
 
 
 def _stat_sql(src: str, col: str) -> str:
@@ -233,7 +243,15 @@ def q_statistical_features(spark, sf_dir):
     """Week-over-week ratio, padded pct changes (1, 24, 168), 168-row z-score."""
     from tsforge.plans.features import FeatureConfig, window_features
     cfg = FeatureConfig(target="value", lags=[], windows=[], stats=[], alphas=[], statistical=True)
-    return window_features(S.hourly_by_type(spark, sf_dir), cfg)
+    return window_features(S.hourly_by_type(spark, sf_dir, keep_index=True), cfg)
+
+
+@register("statistical_features_filled", f"WITH {FILLED}, {_stat_sql('filled', 'value')}")
+def q_statistical_features_filled(spark, sf_dir):
+    """W10-W12 on the filled series (the 168-row z-score has values there)."""
+    from tsforge.plans.features import FeatureConfig, window_features
+    cfg = FeatureConfig(target="value", lags=[], windows=[], stats=[], alphas=[], statistical=True)
+    return window_features(_hourly_filled(spark, sf_dir), cfg)
 
 
 # ---------------------------------------------------------------- calendar projections
@@ -629,7 +647,7 @@ def _qq_sql() -> str:
     vals = ", ".join(f"({i + 1}, {p!r}, {z!r})" for i, (p, z) in enumerate(grid))
     arr = "list_sort(list(y - p))"
     return f"""WITH {FILLED}, {_BASE_SQL},
-rs AS (SELECT series, model, {arr} AS s FROM lng WHERE model = 'naive_24h' GROUP BY 1, 2),
+rs AS (SELECT series, model, {arr} AS s FROM lng GROUP BY 1, 2),
 g AS (SELECT k, CAST(prob AS DOUBLE) AS prob, CAST(theoretical AS DOUBLE) AS theoretical FROM (VALUES {vals}) g(k, prob, theoretical))
 SELECT series, model, CAST(k AS BIGINT) AS k, {Q.r4('prob', 'prob')}, {Q.r4('theoretical', 'theoretical')},
   {Q.r4(Q.quantile_of_list('s', 'prob'), 'sample')} FROM rs CROSS JOIN g"""
@@ -637,10 +655,9 @@ SELECT series, model, CAST(k AS BIGINT) AS k, {Q.r4('prob', 'prob')}, {Q.r4('the
 
 @register("qq_table", _qq_sql())
 def q_qq_table(spark, sf_dir):
-    """Residual quantiles of the 24 h persistence baseline against normal quantiles (50 points)."""
+    """Residual quantiles of each baseline against normal quantiles (50 points)."""
     from tsforge.operators.aggregates import qq_table
-    long = _baseline_long(spark, sf_dir).where(F.col("model") == "naive_24h") \
-        .withColumn("residual", F.col("y_true") - F.col("y_pred"))
+    long = _baseline_long(spark, sf_dir).withColumn("residual", F.col("y_true") - F.col("y_pred"))
     return qq_table(long, "residual", [SERIES, "model"], 50)
 
 
@@ -697,7 +714,7 @@ _STEPS = f"""st AS (SELECT scenario, end_ts, {_M3} AS m3, unnest(range(0, horizo
 
 @register("scenario_horizon_daily", f"""WITH {_SCEN}, {_STEPS}
 SELECT scenario, CAST(step AS BIGINT) AS step, end_ts + INTERVAL 1 HOUR * (step + 1) AS ts,
-  {Q.r4('m3 * (1 + 0.3 * sin(2 * pi() * step / 24)) * (1 + 0.0)', 'prediction')} FROM st""")
+  {Q.r4('m3 * (1 + 0.3 * sin(2 * pi() * step / 24)) * (1 + 0.0)', 'prediction')}, CAST(NULL AS VARCHAR) AS error FROM st""")
 def q_scenario_horizon_daily(spark, sf_dir):
     """Horizon forecast with a daily sine pattern (noise off)."""
     from tsforge.plans.scoring import heuristic_horizon
@@ -709,7 +726,7 @@ _WEEKLY = """greatest(0.1, m3 * (1 + 0.3 * sin(2 * pi() * ((hour(end_ts) + step)
 
 
 @register("scenario_horizon_weekly", f"""WITH {_SCEN}, {_STEPS}
-SELECT scenario, CAST(step AS BIGINT) AS step, end_ts + INTERVAL 1 HOUR * (step + 1) AS ts, {Q.r4(_WEEKLY, 'prediction')} FROM st""")
+SELECT scenario, CAST(step AS BIGINT) AS step, end_ts + INTERVAL 1 HOUR * (step + 1) AS ts, {Q.r4(_WEEKLY, 'prediction')}, CAST(NULL AS VARCHAR) AS error FROM st""")
 def q_scenario_horizon_weekly(spark, sf_dir):
     """Horizon forecast with daily and weekday/weekend patterns, floor 0.1 (noise off)."""
     from tsforge.plans.scoring import heuristic_horizon
@@ -726,6 +743,65 @@ def q_forecast_summary(spark, sf_dir):
     return forecast_summary(heuristic_horizon(_scenarios(spark, sf_dir), "daily_weekly"))
 
 
+# Requests as they come: sound ones, and each way a request can be wrong.
+_REQUESTS = f"""{_SCEN},
+rq AS (SELECT scenario || '/sound' AS scenario, end_ts, recent, 24 AS horizon, temperature_c FROM scw
+  UNION ALL SELECT scenario || '/text', end_ts, list_slice(recent, 1, len(recent) - 1), 24, temperature_c FROM scw
+  UNION ALL SELECT scenario || '/gap', end_ts, list_concat(list_slice(recent, 1, len(recent) - 2), [recent[-1]]), 24, temperature_c FROM scw
+  UNION ALL SELECT scenario || '/no weather', end_ts, recent, 24, NULL FROM scw
+  UNION ALL SELECT scenario || '/short', end_ts, list_slice(recent, len(recent) - 1, len(recent)), 24, temperature_c FROM scw
+  UNION ALL SELECT scenario || '/nothing', end_ts, [], 24, temperature_c FROM scw
+  UNION ALL SELECT scenario || '/no step', end_ts, recent, 0, temperature_c FROM scw
+  UNION ALL SELECT scenario || '/too long', end_ts, recent, 721, temperature_c FROM scw),
+rqe AS (SELECT *, CASE WHEN horizon NOT BETWEEN 1 AND 720 THEN 'horizon outside 1..720'
+  WHEN len(recent) < 3 THEN 'fewer than three numeric values' END AS error FROM rq)"""
+
+
+def _requests(spark, sf_dir):
+    from tsforge.plans.scoring import request_variants
+    return request_variants(_scenarios(spark, sf_dir))
+
+
+@register("scenario_batch", f"""WITH {_REQUESTS},
+st AS (SELECT scenario, end_ts, error, {_M3} AS m3, unnest(CASE WHEN error IS NULL THEN range(0, horizon) ELSE [NULL] END) AS step FROM rqe)
+SELECT scenario, CAST(coalesce(step, -1) AS BIGINT) AS step, CASE WHEN error IS NULL THEN end_ts + INTERVAL 1 HOUR * (step + 1) END AS ts,
+  {Q.r4(f'CASE WHEN error IS NULL THEN {_WEEKLY} END', 'prediction')}, error FROM st""")
+def q_scenario_batch(spark, sf_dir):
+    """A batch with sound, gappy, non-numeric, short, empty and out-of-range requests;
+    every request is answered, with its steps or with its error."""
+    from tsforge.plans.scoring import heuristic_horizon
+    steps = heuristic_horizon(_requests(spark, sf_dir), "daily_weekly")
+    return steps.withColumn("step", F.coalesce("step", F.lit(-1)))  # -1: the request's error row
+
+
+@register("batch_success_count", f"""WITH {_REQUESTS}
+SELECT CAST(count(*) FILTER (WHERE error IS NULL) AS BIGINT) AS successful, CAST(count(*) AS BIGINT) AS total FROM rqe""")
+def q_batch_success_count(spark, sf_dir):
+    """Requests of the batch that were scored."""
+    from tsforge.plans.scoring import checked, success_count
+    return success_count(checked(_requests(spark, sf_dir)))
+
+
+def _request_features_sql() -> str:
+    lags = ", ".join(Q.r4(f"CASE WHEN n > {k} THEN lag(kwh, {k}) OVER (PARTITION BY series ORDER BY ts) END", f"kwh_lag_{k}h") for k in (1, 2, 24))
+    means = ", ".join(Q.r4(f"CASE WHEN n > {k} THEN {Q.rolling_sql('kwh', k, 'mean')} END", f"kwh_rolling_{k}h_mean") for k in (6, 24))
+    return f"""WITH {_REQUESTS},
+rf AS (SELECT scenario AS series, end_ts - INTERVAL 1 HOUR * (len(recent) - i) AS ts, recent[i] AS kwh, len(recent) AS n, coalesce(temperature_c, 20.0) AS t
+  FROM (SELECT *, unnest(range(1, len(recent) + 1)) AS i FROM rqe WHERE error IS NULL))
+SELECT series, ts, {Q.r4('kwh', 'kwh')}, {Q.r4('t', 'temperature_c')}, {', '.join(Q.time_cols_sql())}, {lags}, {means} FROM rf"""
+
+
+@register("request_features", _request_features_sql())
+def q_request_features(spark, sf_dir):
+    """Requests turned into hourly frames with constant or default weather, time columns,
+    serving lags and means."""
+    from tsforge.plans.charts import serving_features
+    from tsforge.plans.preprocess import add_time_features
+    from tsforge.plans.scoring import request_frame
+    frame = request_frame(_requests(spark, sf_dir), "kwh").select(SERIES, TS, IDX, "kwh", "temperature_c")
+    return serving_features(add_time_features(frame), "kwh")
+
+
 # ---------------------------------------------------------------- full feature frame
 def _engineered_sql() -> str:
     t = "kwh"
@@ -779,17 +855,14 @@ def q_model_metrics_forest(spark, sf_dir):
     """Random forest (100 trees, depth 10, seed 42) on the engineered frame;
     test-split metrics next to the three baselines (one long table, one metric aggregate)."""
     from tsforge.plans import models as M
-    return M.evaluate_with_baselines(_engineered(spark, sf_dir), "kwh", [M.PRESETS["random_forest"]])
+    return M.evaluate_with_baselines(_engineered(spark, sf_dir), "kwh", [M.PRESETS["random_forest"]])[0]
 
 
-@register("model_metrics_boosted_smoke")
-def q_model_metrics_boosted_smoke(spark, sf_dir):
-    """M2, M3, M7: both boosted-tree presets (depth 8, rate 0.1, seed 42; row sampling 0.8 / 1.0)
-    with 10 boosting iterations instead of 200 (local smoke, as the survey prescribes)."""
+@register("model_metrics_boosted")
+def q_model_metrics_boosted(spark, sf_dir):
+    """M2, M3, M7: both boosted-tree presets in full (200 iterations, depth 8, rate 0.1, seed 42; row sampling 0.8 / 1.0)."""
     from tsforge.plans import models as M
-    met, _, _, _ = M.train_and_evaluate(_engineered(spark, sf_dir), "kwh",
-                                        [M.smoke(M.PRESETS["boosted_a"]), M.smoke(M.PRESETS["boosted_b"])])
-    return met
+    return M.train_and_evaluate(_engineered(spark, sf_dir), "kwh", [M.PRESETS["boosted_a"], M.PRESETS["boosted_b"]])[0]
 
 
 @register("cv_metrics_forest")
@@ -817,7 +890,7 @@ def q_feature_group_importance(spark, sf_dir):
 
 @register("seasonal_ar_metrics")
 def q_seasonal_ar_metrics(spark, sf_dir):
-    """M11 (re-aimed): seasonal autoregression on the (1, 24)-differenced filled series, per event type."""
+    """M11 (re-aimed): seasonal autoregression on the (1, 24)-differenced filled series, fitted per event type."""
     from tsforge.plans.metrics import regression_metrics
     from tsforge.plans.models import seasonal_ar
     return regression_metrics(seasonal_ar(_hourly_filled(spark, sf_dir), "value"), [SERIES, "model"])
@@ -825,12 +898,26 @@ def q_seasonal_ar_metrics(spark, sf_dir):
 
 @register("fourier_metrics")
 def q_fourier_metrics(spark, sf_dir):
-    """M12 (re-aimed): multiplicative trend + daily/weekly/yearly Fourier regression, per event type."""
+    """M12 (re-aimed): multiplicative trend + daily/weekly/yearly Fourier regression, fitted per event type."""
     from tsforge.plans.metrics import regression_metrics
     from tsforge.plans.models import fourier_regression
     return regression_metrics(fourier_regression(_hourly_filled(spark, sf_dir), "value"), [SERIES, "model"])
 
 
+@register("seasonal_ar_forecast")
+def q_seasonal_ar_forecast(spark, sf_dir):
+    """24 steps past each event type's end, each step feeding the next."""
+    from tsforge.plans.models import seasonal_ar_forecast
+    return seasonal_ar_forecast(_hourly_filled(spark, sf_dir), "value", 24)
+
+
+@register("fourier_forecast")
+def q_fourier_forecast(spark, sf_dir):
+    """24 future rows per event type from a fit on its whole series."""
+    from tsforge.plans.models import fourier_forecast
+    return fourier_forecast(_hourly_filled(spark, sf_dir), "value", 24)
+
+
 @register("model_forecast")
 def q_model_forecast(spark, sf_dir):
     """The forest applied to each series' latest feature row, 24 steps, clamped at 0."""
@@ -841,18 +928,21 @@ def q_model_forecast(spark, sf_dir):
     return M.score_latest(models["random_forest"], safe, feats, 24, "random_forest")
 
 
-@register("end_to_end_forest")
-def q_end_to_end_forest(spark, sf_dir):
-    """Preprocess -> 92-column features -> baselines + random forest on the test split -> 3-fold CV."""
+@register("end_to_end")
+def q_end_to_end(spark, sf_dir):
+    """Preprocess -> 92-column features -> baselines, both boosted presets and the forest on the test split ->
+    3-fold CV of each -> frames, models and summary written -> best model marked."""
+    import uuid
     from tsforge.plans import models as M
     from tsforge.plans.run import run_on_tables
-    return run_on_tables(spark, sf_dir, [M.PRESETS["random_forest"]], M.PRESETS["random_forest"])
+    from tsforge.session import shared_path
+    return run_on_tables(spark, sf_dir, list(M.PRESETS.values()), shared_path(spark, "runs", uuid.uuid4().hex))
 
 
 # ---------------------------------------------------------------- isolation forest, streaming
 @register("outlier_stats_isolation_forest")
 def q_outlier_stats_isolation_forest(spark, sf_dir):
-    """O3 + O4: isolation forest (100 trees, 256-row samples, contamination 0.1, seed 42) per hourly value."""
+    """O3 + O4: an isolation forest per event type (100 trees, 256-row samples, contamination 0.1, seed 42)."""
     from tsforge.operators.outliers import flag_outliers, outlier_stats
     return outlier_stats(flag_outliers(_hourly_filled(spark, sf_dir), "value", "isolation_forest"), "isolation_forest")
 
@@ -908,11 +998,11 @@ SELECT m.series, m.ts, {Q.r4('m.kwh', 'kwh')}, {Q.r4('wx.temperature_c', 'temper
 def q_temperature_load_pairs(spark, sf_dir):
     """Load with the temperature of the same hour (right side pre-projected)."""
     from tsforge.plans.charts import temperature_load_pairs
-    return temperature_load_pairs(_merged(spark, sf_dir))
+    return temperature_load_pairs(_merged(spark, sf_dir).select(SERIES, TS, "kwh"), S.weather_series(spark, sf_dir))
 
 
 @register("persistence_forecast", f"""WITH {_SCEN}
-SELECT scenario, CAST(step AS BIGINT) AS step, end_ts + INTERVAL 1 HOUR * step AS ts, {Q.r4('recent[-1]', 'prediction')}
+SELECT scenario, CAST(step AS BIGINT) AS step, end_ts + INTERVAL 1 HOUR * step AS ts, {Q.r4('recent[-1]', 'prediction')}, CAST(NULL AS VARCHAR) AS error
 FROM (SELECT *, unnest(range(1, horizon + 1)) AS step FROM scw)""")
 def q_persistence_forecast(spark, sf_dir):
     """Last value repeated over each scenario's horizon."""

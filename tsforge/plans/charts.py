@@ -29,9 +29,11 @@ def metric_comparison(metrics: DataFrame, names: tuple = ("mae", "rmse", "mape")
     return metrics.select(*keys, F.explode(arr).alias("m")).select(*keys, "m.metric", "m.value")
 
 
-def temperature_load_pairs(merged: DataFrame, fraction: float | None = None, seed: int = 42) -> DataFrame:
-    """Load joined with a pre-projected temperature column; optional seeded sample (a sampling feature)."""
-    pairs = merged.select(SERIES, TS, "kwh").join(merged.select(TS, "temperature_c").distinct(), TS)
+def temperature_load_pairs(load: DataFrame, weather: DataFrame, fraction: float | None = None, seed: int = 42) -> DataFrame:
+    """Load joined with the pre-projected temperature of its hour, on the series too when the weather has
+    one; optional seeded sample (a sampling feature)."""
+    keys = [TS] + [SERIES] * (SERIES in weather.columns)
+    pairs = load.select(SERIES, TS, "kwh").join(weather.select(*keys, "temperature_c"), keys).select(SERIES, TS, "kwh", "temperature_c")
     return pairs.sample(fraction=fraction, seed=seed) if fraction else pairs
 
 
@@ -59,12 +61,11 @@ def frame_shape(df: DataFrame) -> DataFrame:
 
 
 def persistence_forecast(sc: DataFrame) -> DataFrame:
-    """The last observed value repeated over the horizon."""
-    return (sc.where(F.col("horizon").between(1, 720) & (F.size("recent") > 0))
-              .select("scenario", "end_ts", F.element_at("recent", -1).alias("p"),
-                      F.explode(F.sequence(F.lit(1), F.col("horizon"))).alias("step"))
-              .select("scenario", "step", (F.col("end_ts") + F.expr("INTERVAL 1 HOUR") * F.col("step")).alias(TS),
-                      F.col("p").alias("prediction")))
+    """The last observed value repeated over the horizon; one row with ``error`` per request that cannot be scored."""
+    from tsforge.plans.scoring import steps_of
+    step = F.col("step")
+    return steps_of(sc, 1).select("scenario", "step", (F.col("end_ts") + F.expr("INTERVAL 1 HOUR") * step).alias(TS),
+                                  F.when(step.isNotNull(), F.try_element_at("recent", F.lit(-1))).alias("prediction"), "error")
 
 
 def serving_features(df: DataFrame, target: str = "kwh") -> DataFrame:

@@ -18,7 +18,7 @@ from tsforge.functions import windows as W
 from tsforge.functions.calendar import calendar_feature_columns
 from tsforge.functions.holidays import add_holiday_features
 from tsforge.functions.weather import interaction_feature_columns, weather_feature_columns
-from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS, IDX, apply_windows, neighbours, with_row_index
+from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS, IDX, apply_windows, carry_forward, neighbours, with_row_index
 
 
 @dataclass(frozen=True)
@@ -53,16 +53,20 @@ def window_features(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
                          F.col("_prev_" + t)["v"].alias("_pad"))
         pad = "_pad"
 
+    held = [f"_ema{i}" for i in range(len(cfg.alphas))]
+
     def build(w):
         cols = W.lag_columns(t, cfg.lags, w)
         cols += W.rolling_columns(t, cfg.windows, cfg.stats, w)
-        cols += W.ema_columns(t, cfg.alphas, w)
+        cols += W.ema_columns(t, cfg.alphas, w, held)
         if cfg.statistical:
             cols += W.statistical_columns(t, w, F.col("_n"), pad)
         return cols
 
     halo = W.halo_for(cfg.lags, cfg.windows, cfg.alphas, cfg.statistical)
     out = apply_windows(base, build, halo, cfg.chunk_rows)
+    if held:
+        out = carry_forward(out, held, [f"{t}_ema_alpha_{a}" for a in cfg.alphas], cfg.chunk_rows)
     return out.drop("_n", "_pad", IDX)
 
 

@@ -10,17 +10,21 @@ enough to reach the driver; nothing else is collected.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
 from tsforge.operators.nulls import column_medians, rows_with_few_nulls
-from tsforge.operators.sequence import IDX
+from tsforge.operators.sequence import IDX, with_row_index
 from tsforge.plans.baselines import with_split
 from tsforge.plans.metrics import regression_metrics
 from tsforge.session import cut_lineage
@@ -52,22 +56,27 @@ DEFAULT_PRESETS = {
 
 
 def evaluate_with_baselines(df: DataFrame, target: str, presets: list[TreePreset], test_size: float = 0.2,
-                            prepared: tuple | None = None) -> DataFrame:
+                            prepared: tuple | None = None) -> tuple[DataFrame, dict]:
     """M6 + M7 + M9: fitted presets and the three baselines on the same filtered target and
-    the same time split (baselines from the training frame's label, as the reference does)."""
+    the same time split (baselines from the training frame's label, as the reference does).
+    Returns ``(metrics, models)``."""
     from tsforge.plans.baselines import BASELINES, baseline_predictions, to_long
     prepared = prepared or training_frame(df, target, test_size=test_size)
     frame, _ = prepared
-    _, long, _, _ = train_and_evaluate(df, target, presets, test_size, prepared=prepared)
+    _, long, models, _ = train_and_evaluate(df, target, presets, test_size, prepared=prepared)
     y = frame.select(SERIES, TS, IDX, "is_test", "label")
     base = to_long(baseline_predictions(y, "label"), "label", [b[0] for b in BASELINES], keep=["is_test"])
-    return regression_metrics(long.unionByName(base.where("is_test").drop("is_test")), ["model"])
+    metrics = regression_metrics(long.unionByName(base.where("is_test").drop("is_test")), ["model"])
+    return with_failures(metrics, [p.name for p in presets if p.name not in models]), models
 
 
-def smoke(preset: TreePreset, iterations: int = 10) -> TreePreset:
-    """Same preset with fewer boosting iterations (local smoke runs; named ``<name>_smoke``)."""
-    params = tuple((k, iterations if k == "maxIter" else v) for k, v in preset.params)
-    return TreePreset(f"{preset.name}_smoke", preset.kind, params)
+ROWS_PER_PARTITION = 50_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Rows dealt over as many partitions as they fill: iterative fits run one job per tree level, and empty
+    partitions cost more than the rows of a small frame."""
+    return cut_lineage(df.repartition(max(1, math.ceil(df.count() / ROWS_PER_PARTITION))))
 
 
 def _memory_mb(text: str | None, default: int) -> int:
@@ -140,7 +149,7 @@ def assembler(feats: list[str]) -> VectorAssembler:
 
 def fit(train: DataFrame, feats: list[str], preset: TreePreset) -> PipelineModel:
     est = estimator(preset, memory_mb=tree_memory_mb(train.sparkSession))
-    return Pipeline(stages=[assembler(feats), est]).fit(train)
+    return Pipeline(stages=[assembler(feats), est]).fit(sized(train.select(*feats, "label")))
 
 
 def predictions(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
@@ -159,15 +168,27 @@ def train_and_evaluate(df: DataFrame, target: str, presets: list[TreePreset], te
     frame, feats = prepared or training_frame(df, target, exclude, test_size)
     train = frame.where(~F.col("is_test"))
     test = frame.where(F.col("is_test"))
-    models, longs = {}, []
+    models, longs, failed = {}, [], []
     for p in presets:
-        m = fit(train, feats, p)
+        try:
+            m = fit(train, feats, p)
+        except Exception as e:  # noqa: BLE001 - whatever ends one fit, the other models are still evaluated
+            warnings.warn(f"model {p.name} could not be fitted: {e}", stacklevel=2)
+            failed.append(p.name)
+            continue
         models[p.name] = m
         longs.append(predictions(m, test, p.name))
-    long = longs[0]
-    for x in longs[1:]:
-        long = long.unionByName(x)
-    return regression_metrics(long, ["model"]), long, models, feats
+    empty = test.select(SERIES, TS, F.lit("").alias("model"), F.col("label").alias("y_true"), F.lit(None).cast("double").alias("y_pred")).limit(0)
+    long = reduce(DataFrame.unionByName, longs, empty)
+    return with_failures(regression_metrics(long, ["model"]), failed), long, models, feats
+
+
+def with_failures(metrics: DataFrame, failed: list[str]) -> DataFrame:
+    """M7: a model that could not be fitted has a row of null metrics (and no rows scored)."""
+    if not failed:
+        return metrics
+    rows = metrics.sparkSession.createDataFrame([(f,) for f in failed], "model string")
+    return metrics.unionByName(rows.withColumn("n", F.lit(0).cast("long")), allowMissingColumns=True)
 
 
 def cross_validate(df: DataFrame, target: str, preset: TreePreset, n_splits: int = 3,
@@ -214,70 +235,157 @@ def group_importance(importance: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- classical forecasters (re-aimed)
-def seasonal_ar(df: DataFrame, target: str, season: int = 24, test_size: float = 0.2) -> DataFrame:
-    """M11 (re-aimed): seasonal autoregression on the differenced series.
+def grouped_regression(train: DataFrame, keys: list[str], xs: list[str], y: str, coef: str = "coef") -> DataFrame:
+    """Least squares per group: ``(keys..., coef array<double>)``, the intercept last.
 
-    d_t = (1 - B)(1 - B^s) y_t is regressed on d_{t-1}, d_{t-s}, d_{t-s-1} with
-    ``LinearRegression`` on training rows; one-step forecasts on test rows are
-    y_{t-1} + y_{t-s} - y_{t-s-1} + d_hat_t. Returns long predictions.
+    The sums of products of each group come from one aggregate (map-side combined, so a hot group is one row per
+    task); only these few numbers are solved in Python. Columns that do not vary, or depend on others, get the
+    solution of least norm. Rows with a NULL input do not count.
     """
+    cols = [*xs, None]
+    value = lambda c: F.lit(1.0) if c is None else F.col(f"`{c}`").cast("double")
+    ok = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in [*xs, y]])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    sums = train.where(ok).groupBy(*keys).agg(
+        F.array(*[F.sum(value(cols[i]) * value(cols[j])) for i, j in pairs]).alias("_g"),
+        F.array(*[F.sum(value(c) * F.col(f"`{y}`")) for c in cols]).alias("_b"))
+    names = [f.name for f in sums.schema if f.name not in ("_g", "_b")]
+
+    def solve(batches):
+        for b in batches:
+            out = []
+            for g, r in zip(b.column("_g").to_pylist(), b.column("_b").to_pylist()):
+                m = np.zeros((len(cols), len(cols)))
+                for (i, j), v in zip(pairs, g):
+                    m[i, j] = m[j, i] = v
+                scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
+                out.append((np.linalg.lstsq(m / np.outer(scale, scale), np.array(r) / scale, rcond=1e-10)[0] / scale).tolist())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.list_(pa.float64()))], names=[*names, coef])
+
+    kinds = ", ".join(f"`{n}` {sums.schema[n].dataType.simpleString()}" for n in names)
+    return sums.mapInArrow(solve, f"{kinds}, {coef} array<double>")
+
+
+def _linear(xs: list[str], coef: str = "coef"):
+    terms = [F.col(coef)[i] * F.col(f"`{c}`") for i, c in enumerate(xs)]
+    return reduce(lambda a, b: a + b, terms, F.col(coef)[len(xs)])
+
+
+def _by_series(df: DataFrame, per_series: DataFrame) -> DataFrame:
+    side = per_series.withColumnRenamed(SERIES, "_ps")
+    return df.join(side, F.col(SERIES).eqNullSafe(F.col("_ps")), "left").drop("_ps")
+
+
+def _seasonal_frame(df: DataFrame, target: str, season: int) -> DataFrame:
+    """Rows with the (1, season) difference ``_d`` of the series, the level ``_base`` it is added to, and lags of ``_d``."""
     from tsforge.operators.sequence import apply_windows
 
     def diff_cols(w):
-        y = F.col(target)
-        return [(y - F.lag(target, 1).over(w) - F.lag(target, season).over(w) + F.lag(target, season + 1).over(w)).alias("_d"),
-                (F.lag(target, 1).over(w) + F.lag(target, season).over(w) - F.lag(target, season + 1).over(w)).alias("_base")]
+        lag = lambda k: F.lag(target, k).over(w)
+        return [(F.col(target) - lag(1) - lag(season) + lag(season + 1)).alias("_d"), (lag(1) + lag(season) - lag(season + 1)).alias("_base")]
 
-    split = with_split(df.where(F.col(target).isNotNull()), test_size)
-    d = apply_windows(split, diff_cols, season + 1)
-    lagged = apply_windows(d, lambda w: [F.lag("_d", k).over(w).alias(f"_d{k}") for k in (1, season, season + 1)],
-                           season + 1).where(F.col(f"_d{season + 1}").isNotNull() & F.col("_d").isNotNull())
-    va = VectorAssembler(inputCols=["_d1", f"_d{season}", f"_d{season + 1}"], outputCol="features")
-    lr = LinearRegression(featuresCol="features", labelCol="_d", regParam=0.0)
-    model = Pipeline(stages=[va, lr]).fit(lagged.where(~F.col("is_test")))
-    scored = model.transform(lagged.where(F.col("is_test")))
+    d = apply_windows(df, diff_cols, season + 1)
+    return apply_windows(d, lambda w: [F.lag("_d", k).over(w).alias(f"_d{k}") for k in (1, season, season + 1)], season + 1)
+
+
+def seasonal_ar(df: DataFrame, target: str, season: int = 24, test_size: float = 0.2) -> DataFrame:
+    """M11 (re-aimed): seasonal autoregression on the differenced series, fitted per series.
+
+    d_t = (1 - B)(1 - B^s) y_t is regressed on d_{t-1}, d_{t-s}, d_{t-s-1} over training rows; one-step forecasts on
+    test rows are y_{t-1} + y_{t-s} - y_{t-s-1} + d_hat_t. Returns long predictions.
+    """
+    lagged = _seasonal_frame(with_split(df.where(F.col(target).isNotNull()), test_size), target, season)
+    xs = ["_d1", f"_d{season}", f"_d{season + 1}"]
+    scored = _by_series(lagged.where("is_test"), grouped_regression(lagged.where("NOT is_test"), [SERIES], xs, "_d"))
     return scored.select(SERIES, TS, F.lit("seasonal_ar").alias("model"), F.col(target).alias("y_true"),
-                         (F.col("_base") + F.col("prediction")).alias("y_pred"))
+                         (F.col("_base") + _linear(xs)).alias("y_pred"))
+
+
+def seasonal_ar_forecast(df: DataFrame, target: str, horizon: int = 24, season: int = 24, step: str = "INTERVAL 1 HOUR") -> DataFrame:
+    """``horizon`` steps past each series' end; forecasts feed the next steps. A series' state is its last
+    2 * season + 2 values, folded step by step in SQL."""
+    rows = df.where(F.col(target).isNotNull())
+    rows = rows if IDX in rows.columns else with_row_index(rows)
+    lagged = _seasonal_frame(rows, target, season)
+    coef = grouped_regression(lagged, [SERIES], ["_d1", f"_d{season}", f"_d{season + 1}"], "_d")
+    need = 2 * season + 2
+    last = rows.groupBy(SERIES).agg(F.max(IDX).alias("_last"), F.max(TS).alias("_end"))
+    state = _by_series(rows, last).where(F.col(IDX) > F.col("_last") - need).groupBy(SERIES, "_end").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(IDX, target))), lambda e: e[target].cast("double")).alias("_y")).where(F.size("_y") == need)
+
+    def step_on(y, _):
+        at = lambda k: F.element_at(y, -k)
+        d = lambda k: at(k) - at(k + 1) - at(k + season) + at(k + season + 1)
+        c = F.col("coef")
+        new = at(1) + at(season) - at(season + 1) + c[0] * d(1) + c[1] * d(season) + c[2] * d(season + 1) + c[3]
+        return F.concat(y, F.array(new))
+
+    paths = _by_series(state, coef).withColumn("_y", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_y"), step_on))
+    return paths.select(SERIES, "_end", F.posexplode(F.slice("_y", -horizon, horizon)).alias("_k", "y_pred")).select(
+        SERIES, (F.col("_k") + 1).cast("long").alias("step"), (F.col("_end") + F.expr(step) * (F.col("_k") + 1)).alias(TS),
+        F.lit("seasonal_ar").alias("model"), "y_pred")
 
 
 # Fixed seasonal periods (hours) of the daily / weekly / yearly components.
 FOURIER_PERIODS = [24.0, 168.0, 8766.0]
 
 
+def _fourier_columns(harmonics: int) -> tuple[list, list[str]]:
+    """Trend scaled on the training span, and sine and cosine terms; those of a period longer than the span are 0."""
+    t = F.unix_seconds(TS) / 3600.0
+    span = F.col("_t1") - F.col("_t0")
+    cols, names = [F.when(span > 0, (t - F.col("_t0")) / span).otherwise(0.0).alias("_trend")], ["_trend"]
+    for p in FOURIER_PERIODS:
+        for k in range(1, harmonics + 1):
+            for name, f in (("_s", F.sin), ("_c", F.cos)):
+                names.append(f"{name}{int(p)}_{k}")
+                cols.append(F.when(span >= p, f(2 * math.pi * k * t / p)).otherwise(0.0).alias(names[-1]))
+    return cols, names
+
+
+def _fourier_fit(train: DataFrame, target: str, harmonics: int, multiplicative: bool) -> tuple[DataFrame, list, list[str]]:
+    """Per series: training span, whether it is fitted on logarithms (every training value is positive), coefficients."""
+    t = F.unix_seconds(TS) / 3600.0
+    span = train.groupBy(SERIES).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), (F.lit(multiplicative) & (F.min(target) > 0)).alias("_log"))
+    cols, names = _fourier_columns(harmonics)
+    frame = _by_series(train, span).select(SERIES, F.when(F.col("_log"), F.log(F.when(F.col(target) > 0, F.col(target)))).otherwise(F.col(target)).alias("_y"), *cols)
+    return _by_series(span, grouped_regression(frame, [SERIES], names, "_y")), cols, names
+
+
 def fourier_regression(df: DataFrame, target: str, harmonics: int = 3, multiplicative: bool = True,
                        test_size: float = 0.2) -> DataFrame:
-    """M12 (re-aimed): trend + sin/cos harmonics of daily, weekly and yearly periods,
-    fitted with ``LinearRegression`` (on log y when multiplicative and y > 0)."""
+    """M12 (re-aimed): trend + sin/cos harmonics of daily, weekly and yearly periods by least squares per series, on
+    log y where every training value of the series is positive. Every test row is scored."""
     split = with_split(df.where(F.col(target).isNotNull()), test_size)
-    t = (F.unix_seconds(TS) / 3600.0)
-    cols = [t.alias("_trend")]
-    names = ["_trend"]
-    for p in FOURIER_PERIODS:
-        for k in range(1, harmonics + 1):
-            cols += [F.sin(2 * math.pi * k * t / p).alias(f"_s{int(p)}_{k}"), F.cos(2 * math.pi * k * t / p).alias(f"_c{int(p)}_{k}")]
-            names += [f"_s{int(p)}_{k}", f"_c{int(p)}_{k}"]
-    y = F.col(target)
-    use_log = multiplicative
-    lab = F.log(y) if use_log else y
-    frame = split.select("*", *cols, lab.alias("_y"))
-    if use_log:
-        frame = frame.where(y > 0)
-    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"),
-                             LinearRegression(featuresCol="features", labelCol="_y")]).fit(frame.where(~F.col("is_test")))
-    scored = model.transform(frame.where(F.col("is_test")))
-    pred = F.exp("prediction") if use_log else F.col("prediction")
-    return scored.select(SERIES, TS, F.lit("fourier").alias("model"), y.alias("y_true"), pred.alias("y_pred"))
+    fitted, cols, names = _fourier_fit(split.where("NOT is_test"), target, harmonics, multiplicative)
+    scored = _by_series(split.where("is_test"), fitted).select("*", *cols)
+    y = _linear(names)
+    return scored.select(SERIES, TS, F.lit("fourier").alias("model"), F.col(target).alias("y_true"), F.when(F.col("_log"), F.exp(y)).otherwise(y).alias("y_pred"))
+
+
+def fourier_forecast(df: DataFrame, target: str, horizon: int = 24, harmonics: int = 3, multiplicative: bool = True,
+                     step: str = "INTERVAL 1 HOUR") -> DataFrame:
+    """``horizon`` rows past each series' end from a fit on the whole series."""
+    rows = df.where(F.col(target).isNotNull())
+    fitted, cols, names = _fourier_fit(rows, target, harmonics, multiplicative)
+    end = rows.groupBy(SERIES).agg(F.max(TS).alias("_end"))
+    ahead = end.select(SERIES, "_end", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")) \
+        .select(SERIES, F.col("step").cast("long").alias("step"), (F.col("_end") + F.expr(step) * F.col("step")).alias(TS))
+    y = _linear(names)
+    return _by_series(ahead, fitted).select("*", *cols).select(SERIES, "step", TS, F.lit("fourier").alias("model"),
+                                                                F.when(F.col("_log"), F.exp(y)).otherwise(y).alias("y_pred"))
 
 
 def score_latest(model: PipelineModel, features: DataFrame, feats: list[str], horizon: int = 24,
                  model_name: str = "model") -> DataFrame:
-    """M13 + P15 + T6: per series the latest feature row, missing model features as 0.0,
-    one prediction clamped at 0 and repeated for every step (reference strategy), stamps
+    """M13 + P11 + P15 + T6: per series the latest feature row; a NULL feature takes the column's median over
+    ``features`` (0.0 when it has none), a feature that is absent is 0.0; one prediction clamped at 0 and repeated for every step (reference strategy), stamps
     from the last stamp + 1 h."""
     latest = features.groupBy(SERIES).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in features.columns if c != SERIES]), TS).alias("r")) \
         .select(SERIES, "r.*")
     aligned = latest.select(SERIES, TS, *[(F.col(f"`{c}`") if c in latest.columns else F.lit(0.0)).cast("double").alias(c) for c in feats])
-    aligned = aligned.na.fill(0.0, subset=feats).withColumn("label", F.lit(None).cast("double"))
+    medians = column_medians(features, [c for c in feats if c in features.columns])
+    aligned = aligned.na.fill({c: medians.get(c) or 0.0 for c in feats}).withColumn("label", F.lit(None).cast("double"))
     one = model.transform(aligned).select(SERIES, TS, F.greatest(F.lit(0.0), F.col("prediction")).alias("p"))
     return (one.select(SERIES, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), TS, "p")
                .select(SERIES, "step", (F.col(TS) + F.expr("INTERVAL 1 HOUR") * F.col("step")).alias(TS),

@@ -1,4 +1,4 @@
-"""End-to-end run (M10): preprocess -> features -> baselines + fitted models -> metrics -> CV.
+"""End-to-end run (M10): preprocess -> features -> baselines + fitted models -> metrics -> CV -> save -> best -> summary.
 
 Every stage is a DataFrame job; stage outputs are checkpointed into the shared
 folder (preprocess, training frame) so a lost executor recomputes only its stage.
@@ -11,27 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge.plans import models as M
+from tsforge.plans import registry
 from tsforge.plans.features import FeatureConfig, engineer_features
+from tsforge.plans.metrics import best_model
 from tsforge.plans.preprocess import PreprocessConfig, preprocess
+from tsforge.session import cut_lineage
+from tsforge.sources.files import write_frame, write_summary
 
 
-def run_complete(load: DataFrame, weather: DataFrame, presets: list, cv_preset=None, cv_folds: int = 3,
+def run_complete(load: DataFrame, weather: DataFrame, presets: list, cv_folds: int = 3, out: str | None = None, version: str | None = None,
                  pre_cfg: PreprocessConfig = PreprocessConfig(), feat_cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """Metrics of the baselines and each preset on the test split, plus CV folds of ``cv_preset``.
+    """Metrics of the baselines and of every preset on the test split, and the CV folds of every preset.
 
-    Output ``(model, fold, n, mae, rmse, mape, r2)``; ``fold`` is NULL for the test split.
+    Output ``(model, fold, n, mae, rmse, mape, r2, best)``; ``fold`` is NULL for the test split, ``best`` marks its
+    model of least RMSE. With ``out`` the processed and feature frames, the fitted models with their metadata
+    (``registry``) and the run's summary are written there.
     """
     processed, _, _ = preprocess(load, weather, pre_cfg)
     eng = engineer_features(processed, feat_cfg)
     t = feat_cfg.target
     prepared = M.training_frame(eng, t)  # materialised once; fits, baselines and folds reuse it
-    test = M.evaluate_with_baselines(eng, t, presets, prepared=prepared).withColumn("fold", F.lit(None).cast("int"))
-    out = test.select("model", "fold", "n", "mae", "rmse", "mape", "r2")
-    if cv_preset is not None:
-        out = out.unionByName(M.cross_validate(eng, t, cv_preset, cv_folds, prepared=prepared))
-    return out
-
-
-def run_on_tables(spark: SparkSession, sf_dir: str, presets: list, cv_preset=None) -> DataFrame:
+    metrics, models = M.evaluate_with_baselines(eng, t, presets, prepared=prepared)
+    test = cut_lineage(metrics.withColumn("fold", F.lit(None).cast("int")).select("model", "fold", "n", "mae", "rmse", "mape", "r2"))
+    best = best_model(test, "rmse").select("best_model")
+    result = test
+    for p in presets:
+        if p.name in models:
+            result = result.unionByName(M.cross_validate(eng, t, p, cv_folds, prepared=prepared))
+    result = cut_lineage(result)
+    if out is not None:
+        write_frame(processed, f"{out}/preprocessed")
+        write_frame(eng, f"{out}/features")
+        version = version or registry.new_version()
+        registry.save_models(load.sparkSession, f"{out}/models", models, test, prepared[1], version)
+        write_summary(result, f"{out}/summary", {"version": version, "best_model": best.first()[0], "models": [p.name for p in presets]})
+    return result.join(F.broadcast(best), F.col("fold").isNull() & (F.col("model") == F.col("best_model")), "left") \
+        .withColumn("best", F.col("best_model").isNotNull()).drop("best_model")
+
+
+def run_on_tables(spark: SparkSession, sf_dir: str, presets: list, out: str | None = None) -> DataFrame:
     from tsforge.sources import series as S
-    return run_complete(S.load_series(spark, sf_dir, raw=True), S.weather_series(spark, sf_dir), presets, cv_preset)
+    return run_complete(S.load_series(spark, sf_dir, raw=True), S.weather_series(spark, sf_dir), presets, out=out)

@@ -15,6 +15,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,8 +30,9 @@ def get_spark(app: str = "tsforge", master: str | None = None,
     if master:
         b = b.master(master)
         if master.startswith("local"):
-            # Local mode runs every task inside the driver JVM.
-            b = b.config("spark.driver.memory", "16g")
+            # Local mode runs every task inside the driver JVM: half of the machine's memory.
+            total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 20
+            b = b.config("spark.driver.memory", f"{max(1024, total // 2)}m")
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     if shuffle_partitions:
@@ -45,7 +48,8 @@ def get_spark(app: str = "tsforge", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a fresh folder is made.
+    Where the session names none, a local one gets a fresh folder (tests); on a cluster that is an error,
+    since executors could not see it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tsforge-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

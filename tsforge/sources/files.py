@@ -8,8 +8,8 @@ on request) so downstream jobs prune by series.
 from __future__ import annotations
 
 import json
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,20 +39,32 @@ def source_profile(df: DataFrame) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min(TS).alias("start"), F.max(TS).alias("end"))
 
 
+def _json_object(line: str) -> dict | None:
+    try:
+        found = json.loads(line)
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
 def validate_data_file(spark: SparkSession, path: str, required_columns: list[str] | None = None) -> bool:
-    """The file exists, has an accepted suffix and (optionally) all required columns.
+    """The file exists in whatever store the path names, has an accepted suffix and (optionally) all required columns.
 
-    JSON is read with Spark (one object per line, or a multi-line document)."""
-    if not os.path.exists(path) or not path.endswith(ACCEPTED_SUFFIXES):
+    Column names come from the first lines (CSV header, one JSON object per line) or, for a file that is one JSON
+    document, from the document; an empty file has none."""
+    if not path.endswith(ACCEPTED_SUFFIXES):
+        return False
+    try:
+        lines = [r[0] for r in spark.read.text(path).limit(20).collect()]
+    except AnalysisException:  # no such path
         return False
     if not required_columns:
         return True
     if path.endswith(".csv"):
-        cols = spark.read.option("header", True).csv(path).columns
+        cols = spark.read.option("header", True).csv(path).columns if lines else []
     else:
-        cols = spark.read.json(path).columns
-        if cols == ["_corrupt_record"]:
-            cols = spark.read.option("multiLine", True).json(path).columns
+        objects = [x for x in map(_json_object, lines) if x is not None]
+        cols = [c for x in objects for c in x] or (spark.read.option("multiLine", True).json(path).columns if lines else [])
     return set(required_columns) <= set(cols)
 
 
@@ -76,12 +88,18 @@ def write_frame(df: DataFrame, path: str, fmt: str = "parquet", partition_by_ser
         w.parquet(path)
 
 
+def read_frame(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
+    """A written frame again, columns in the order of ``like`` (a partition column comes back last otherwise)."""
+    df = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    return df.select(*[F.col(f"`{c}`").cast(like.schema[c].dataType) for c in like.columns]) if like is not None else df
+
+
 def write_summary(metrics: DataFrame, path: str, extra: dict | None = None) -> None:
     """Metrics as JSON lines (one object per model/fold) plus a metadata object
     with the metric and model counts (counted by Spark, not from a nested key)."""
-    metrics.write.mode("overwrite").json(os.path.join(path, "metrics"))
+    metrics.write.mode("overwrite").json(f"{path}/metrics")
     counts = metrics.agg(F.count(F.lit(1)).alias("total_metrics_count"),
                          F.countDistinct("model").alias("total_models_count"))
     meta = counts.select("*", *[F.lit(json.dumps(v) if isinstance(v, (dict, list)) else v).alias(k)
                                 for k, v in (extra or {}).items()])
-    meta.write.mode("overwrite").json(os.path.join(path, "summary_metadata"))
+    meta.write.mode("overwrite").json(f"{path}/summary_metadata")

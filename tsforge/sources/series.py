@@ -40,9 +40,9 @@ def hourly_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(observations(ev, F.lit("all"), "ts", "value"), "H", how="mean")
 
 
-def hourly_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hourly_by_type(spark: SparkSession, sf_dir: str, keep_index: bool = False) -> DataFrame:
     """``events``: mean value per (event_type, hour); empty hours are NULL rows."""
-    return resample(event_observations(spark, sf_dir), "H", how="mean")
+    return resample(event_observations(spark, sf_dir), "H", how="mean", keep_index=keep_index)
 
 
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,3 +87,10 @@ def weather_series(spark: SparkSession, sf_dir: str, exclude: str = "purchase")
         clamp_high(a * 4, 1000.0).alias("solar_irradiance_wm2"),
     )
     return resample(obs, "H", how="mean").drop(SERIES)
+
+
+def monthly_orders_hourly(spark: SparkSession, sf_dir: str, keep_index: bool = False) -> DataFrame:
+    """Monthly order totals, stamped at the month's first hour, on an hourly spine: about 730 empty hours between values."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderdate", "o_totalprice"])
+    monthly = o.groupBy(F.date_trunc("month", "o_orderdate").alias(TS)).agg(F.sum("o_totalprice").alias("value"))
+    return resample(monthly.select(F.lit("orders").alias(SERIES), TS, "value"), "H", how="mean", keep_index=keep_index)

@@ -1,10 +1,9 @@
 """Structured Streaming form of the hourly resample (R1) and of batch scoring.
 
-Events arrive as files; the stream casts the event time, sets a watermark and
-keeps hourly means per series in state. ``complete`` output is rewritten each
-micro-batch into a table in the shared folder through ``foreachBatch`` (an
-idempotent overwrite per epoch), so a restarted query resumes from its
-checkpoint and the table is never half-written.
+Events arrive as files; the stream casts the event time, sets a watermark and keeps hourly means per series in
+state until the watermark has passed them. Each micro-batch writes the hours it changed to its own ``epoch=<id>``
+folder through ``foreachBatch``. An epoch that is repeated after a failure replaces its folder, so nothing is
+counted twice; readers take the newest epoch of each hour.
 """
 
 from __future__ import annotations
@@ -31,21 +30,25 @@ def hourly_means_stream(spark: SparkSession, path: str, watermark: str = "2 hour
               .select(SERIES, F.col("w.start").alias(TS), "value", "n"))
 
 
-def run_available(stream: DataFrame, table_path: str, checkpoint: str) -> DataFrame:
-    """Process everything available now; the result table holds the full state."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
+def _write_epoch(batch: DataFrame, epoch: int, table_path: str) -> None:
+    batch.write.mode("overwrite").parquet(f"{table_path}/epoch={epoch}")
+
 
-    q = (stream.writeStream.outputMode("complete").foreachBatch(write)
+def run_available(stream: DataFrame, table_path: str, checkpoint: str) -> DataFrame:
+    """Process everything available now; returns the newest state of every hour."""
+    q = (stream.writeStream.outputMode("update").foreachBatch(lambda b, e: _write_epoch(b, e, table_path))
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream.sparkSession.read.parquet(table_path)
+    return newest(stream.sparkSession.read.parquet(table_path))
 
 
-def score_stream(stream: DataFrame, score, table_path: str, checkpoint: str):
-    """Batch scoring of arriving scenario rows: ``score(batch_df)`` appended per epoch (M13/M16 on a stream)."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        score(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch").parquet(table_path)
+def newest(changes: DataFrame) -> DataFrame:
+    """Of each (series, hour) the row of the last epoch that changed it."""
+    others = [c for c in changes.columns if c not in (SERIES, TS, "epoch")]
+    return changes.groupBy(SERIES, TS).agg(F.max_by(F.struct(*others), "epoch").alias("r")).select(SERIES, TS, "r.*")
+
 
-    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-                  .trigger(availableNow=True).start())
+def score_stream(stream: DataFrame, score, table_path: str, checkpoint: str):
+    """Batch scoring of arriving scenario rows (M13/M16 on a stream): ``score(batch_df)``, one replaceable folder per epoch."""
+    return (stream.writeStream.foreachBatch(lambda b, e: _write_epoch(score(b), e, table_path))
+                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
