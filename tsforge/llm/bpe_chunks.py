@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tsforge.llm.tables import id_and_text
+from tsforge.llm.tables import id_and_text, tidy
 from tsforge.llm.textcodes import BYTE_CODES, Ranges, mix, slabs
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -251,7 +251,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                     [b.column("doc_id").slice(s.first, len(s)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     names=["doc_id", "ids"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_and_text(df, id_col, text_col).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -264,7 +264,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
             text = [words.decode(np.array(x or [], np.int64)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "decoded"])
 
-    return df.selectExpr(f"`{id_col}` AS doc_id", f"`{ids_col}` AS ids").mapInArrow(run, "doc_id long, decoded string")
+    return df.selectExpr(f"`{id_col}` AS doc_id", f"`{ids_col}` AS ids").mapInArrow(tidy(run), "doc_id long, decoded string")
 
 
 def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
@@ -289,4 +289,4 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     [b.column("doc_id").slice(s.first, len(s)), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()),
                      pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(df, id_col, text_col).mapInArrow(tidy(run), schema)

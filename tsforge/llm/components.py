@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.llm.tables import staged
+from tsforge.llm.tables import staged, tidy
 
 _HOLD = 500_000
 
@@ -55,7 +55,7 @@ def _contract(links: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*(np.concatenate(x) for x in zip(*held, strict=True)))], names=["a", "b"])
 
     return links.select(F.col(links.columns[0]).cast("long").alias("a"), F.col(links.columns[1]).cast("long").alias("b")) \
-        .where("a <> b").mapInArrow(run, "a long, b long")
+        .where("a <> b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _mark(links: DataFrame) -> tuple:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm.components import connected, stars
-from tsforge.llm.tables import bounded_batches, staged
+from tsforge.llm.tables import bounded_batches, staged, tidy
 from tsforge.llm.textcodes import mix
 
 LEAST = 0.9
@@ -71,7 +71,7 @@ def principal(vectors: DataFrame, width: int, dimensions: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()]), pa.array([outer.ravel().tolist()])], names=["n", "total", "outer"])
 
     n, total, outer = 0, np.zeros(width), np.zeros((width, width))
-    for r in vectors.mapInArrow(run, "n long, total array<double>, outer array<double>").toLocalIterator():
+    for r in vectors.mapInArrow(tidy(run), "n long, total array<double>, outer array<double>").toLocalIterator():
         n, total, outer = n + r.n, total + np.array(r.total), outer + np.array(r.outer).reshape(width, width)
     mean = total / max(n, 1)
     _, directions = np.linalg.eigh(outer / max(n, 1) - np.outer(mean, mean))
@@ -175,7 +175,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             yield pa.RecordBatch.from_arrays([b.column("vec_id").filter(pa.array(ok)), *(pa.array(c) for c in cell.T), _raw(u)],
                                              names=["vec_id", *names, "u"])
 
-    placed = staged(vectors.mapInArrow(cells, "vec_id long, " + ", ".join(f"{c} long" for c in names) + ", u binary"), "vectors")
+    placed = staged(vectors.mapInArrow(tidy(cells), "vec_id long, " + ", ".join(f"{c} long" for c in names) + ", u binary"), "vectors")
     # at most (2 / eps + 2) ** dimensions cells, however many rows
     counted = placed.groupBy(*names).count().orderBy(*names).toArrow()
     grid = np.stack([counted[c].to_numpy() for c in names], 1)
@@ -242,8 +242,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             yield done()
 
     n = max(1, min(len(pairs), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = placed.mapInArrow(deal, "pair long, block long, vec_id long, u binary").repartition(n, "pair").sortWithinPartitions("pair")
-    found = staged(dealt.mapInArrow(compare, "a long, n long, b long"), "vector-links")
+    dealt = placed.mapInArrow(tidy(deal), "pair long, block long, vec_id long, u binary").repartition(n, "pair").sortWithinPartitions("pair")
+    found = staged(dealt.mapInArrow(tidy(compare), "a long, n long, b long"), "vector-links")
     links = found.where("n IS NOT NULL").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     parts = connected(found.where("b IS NOT NULL").select("a", "b")).withColumnsRenamed({"id": "vec_id", "component": "component_id"})
     return alone.join(links, "vec_id", "left").join(parts, "vec_id", "left") \

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.llm.tables import bounded_batches, id_and_text
+from tsforge.llm.tables import bounded_batches, id_and_text, tidy
 from tsforge.llm.textcodes import slabs
 
 WINDOW = 256
@@ -155,7 +155,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                     names += [b.column("lang")[s.first + i].as_py()] * len(start)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(names, pa.string())], names=["window", "lang"])
 
-    got = few.select("text", "lang").mapInArrow(run, "window binary, lang string").toArrow().to_pydict()
+    got = few.select("text", "lang").mapInArrow(tidy(run), "window binary, lang string").toArrow().to_pydict()
     pairs = sorted(zip(got["lang"], got["window"], strict=True))
     if not pairs:
         return None
@@ -190,7 +190,7 @@ def recognised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     keep += [n != UNKNOWN and x >= least for n, x in zip(names, p.tolist(), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return df.where(F.col(id_col).isNotNull()).mapInArrow(run, df.schema)
+    return df.where(F.col(id_col).isNotNull()).mapInArrow(tidy(run), df.schema)
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -205,5 +205,5 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s.first, len(s)), pa.array(name, pa.string()), pa.array(p)],
                                                  names=["doc_id", "lang_pred", "score"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double").select(
+    return id_and_text(df, id_col, text_col).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double").select(
         "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "lang_pred", "score")

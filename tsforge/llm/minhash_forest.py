@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm.components import connected, stars
-from tsforge.llm.tables import id_and_text, staged
+from tsforge.llm.tables import id_and_text, staged, tidy
 from tsforge.llm.textcodes import BYTE_CODES, Ranges, mix, run_starts, slabs
 
 SHINGLE, PERCENT = 4, 80
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                     [b.column("doc_id").slice(s.first, len(s)), pa.array(sh.sizes()), pa.array(h0), pa.array(h1),
                      pa.array([m.tobytes() for m in sh.minima()], pa.binary())], names=["doc_id", "n_shingles", "h0", "h1", "minima"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h0 long, h1 long, minima binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, h0 long, h1 long, minima binary")
 
 
 def _region(doc: np.ndarray, key: np.ndarray, sign: np.ndarray, depth: int, region: int, agree: int):
@@ -194,8 +194,8 @@ def candidates(classes: DataFrame, region: int = REGION, agree: int = AGREE) ->
                 yield flat(found)
 
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return classes.mapInArrow(trees, "tree int, key binary, doc_id long, sign binary").repartitionByRange(n, "tree", "key") \
-        .sortWithinPartitions("tree", "key", "doc_id").mapInArrow(links, "a long, b long")
+    return classes.mapInArrow(tidy(trees), "tree int, key binary, doc_id long, sign binary").repartitionByRange(n, "tree", "key") \
+        .sortWithinPartitions("tree", "key", "doc_id").mapInArrow(tidy(links), "a long, b long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -258,7 +258,7 @@ def confirmed(groups: DataFrame, docs: DataFrame, width: int, percent: int, agre
             yield out
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartition(n, "component", "x", "y").sortWithinPartitions("component", "x", "y", "doc_id").mapInArrow(run, "a long, b long")
+    return texts.repartition(n, "component", "x", "y").sortWithinPartitions("component", "x", "y", "doc_id").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT,

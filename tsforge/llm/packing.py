@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm.bpe_chunks import encoder, tokenizer_path
-from tsforge.llm.tables import id_and_text, staged
+from tsforge.llm.tables import id_and_text, staged, tidy
 from tsforge.llm.textcodes import slabs
 
 CAPACITY, EOS = 4096, 1
@@ -94,7 +94,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)],
                                                  names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(cols)])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(df, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -118,7 +118,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, s
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(seq, pa.int64()), pa.array(off, pa.int64())],
                                              names=[*names, "sequence_id", "offset"])
 
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "turn", "doc_id", "piece").mapInArrow(run, schema)
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "turn", "doc_id", "piece").mapInArrow(tidy(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm import boosting
-from tsforge.llm.tables import id_and_text
+from tsforge.llm.tables import id_and_text, tidy
 from tsforge.llm.textcodes import BYTE_CODES, SPACE, Ranges, mix, run_starts, slabs
 
 #: Labelled documents to fit on, on average (a hash of the id picks them).
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boosting.Tr
                                                  names=["quality", "x"])
 
     # the labels' sample is bounded by ``sample``, hence broadcast
-    rows = docs.join(F.broadcast(few), "doc_id").select("quality", "text").mapInArrow(run, "quality int, x array<double>").toArrow()
+    rows = docs.join(F.broadcast(few), "doc_id").select("quality", "text").mapInArrow(tidy(run), "quality int, x array<double>").toArrow()
     y = rows["quality"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return None
@@ -153,7 +153,7 @@ def good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             keep = [verdict(s, trees.value, threshold)[2] for s in slabs(b.column(text_col))]
             yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return df.where(F.col(id_col).isNotNull()).mapInArrow(run, df.schema)
+    return df.where(F.col(id_col).isNotNull()).mapInArrow(tidy(run), df.schema)
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
@@ -170,4 +170,4 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     [b.column("doc_id").slice(s.first, len(s)), *(pa.array(base[c], pa.int64()) for c in BASE), pa.array(failed),
                      pa.array(kept), pa.array(p)], names=["doc_id", *BASE, "base_failed", "kept", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, score double")
+    return docs.mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, score double")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tsforge.llm.tables import tidy
 from tsforge.llm.textcodes import mix
 
 MIN_LOG2, MAX_LOG2 = 20, 30
@@ -99,8 +100,8 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
             yield from done()
 
     n = max(1, min(depth << (log2 - block_log2), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    merged = df.mapInArrow(count, "r int, block long, cells binary").repartition(n, "r", "block") \
-        .sortWithinPartitions("r", "block").mapInArrow(merge, "r int, block long, bits binary")
+    merged = df.mapInArrow(tidy(count), "r int, block long, cells binary").repartition(n, "r", "block") \
+        .sortWithinPartitions("r", "block").mapInArrow(tidy(merge), "r int, block long, bits binary")
     bits = [np.zeros(max(1, (1 << log2) // 8), np.uint8) for _ in range(depth)]
     width = (1 << block_log2) // 8
     for row in merged.toLocalIterator():

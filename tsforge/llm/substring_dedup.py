@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm import sketch
-from tsforge.llm.tables import bounded_batches, id_and_text
+from tsforge.llm.tables import bounded_batches, id_and_text, tidy
 from tsforge.llm.textcodes import BYTE_CODES, Ranges, anchors, mix, run_starts, slabs
 
 WINDOW, GRAM = 50, 8
@@ -147,9 +147,9 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if parts:
             yield from done()
 
-    sent = docs.mapInArrow(windows, "bucket long, doc binary, pos binary, h0 binary, h1 binary")
+    sent = docs.mapInArrow(tidy(windows), "bucket long, doc binary, pos binary, h0 binary, h1 binary")
     n = max(1, min(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(group, "doc_id long, begin long, until long")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(group), "doc_id long, begin long, until long")
 
 
 def _later(doc, h0, h1):
@@ -220,5 +220,5 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                      pa.array(kept, pa.string()), *(b.column(h).slice(s.first, len(s)) for h in held)],
                     names=["doc_id", "n_words", "n_removed", "kept", *held])
 
-    out = joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string" + kinds)
+    out = joined.mapInArrow(tidy(keep), "doc_id long, n_words long, n_removed long, kept string" + kinds)
     return out.toDF("doc_id", "n_words", "n_removed", "kept", *carry)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm import sketch
-from tsforge.llm.tables import id_and_text
+from tsforge.llm.tables import id_and_text, tidy
 from tsforge.llm.textcodes import BYTE_CODES, Ranges, anchors, mix, run_starts, slabs
 
 LENGTH, GRAM, LEAD = 100, 16, 16
@@ -213,7 +213,7 @@ def splitters(docs: DataFrame, twice, n_docs: int, buckets: int, reach: int, len
                 names = _leads(suffixes.rows(at, reach, length)[4], reach, lead) if len(at) else []
                 yield pa.RecordBatch.from_arrays([pa.array([x.ljust(lead, b"\0") for x in names], pa.binary())], names=["lead"])
 
-    seen = sorted(bytes(r.lead) for r in docs.sample(False, share, 11).mapInArrow(run, "lead binary").toLocalIterator())
+    seen = sorted(bytes(r.lead) for r in docs.sample(False, share, 11).mapInArrow(tidy(run), "lead binary").toLocalIterator())
     if not seen or buckets < 2:
         return np.zeros(0, f"S{lead}"), np.zeros(0, f"S{lead}")
     picked = [seen[i * len(seen) // buckets] for i in range(1, buckets)]
@@ -324,8 +324,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
             yield from done()
 
     n = max(1, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return docs.mapInArrow(find, "bucket long, n long, blob binary").repartition(n, "bucket") \
-        .sortWithinPartitions("bucket").mapInArrow(compare, "doc_id long, begin long, until long")
+    return docs.mapInArrow(tidy(find), "bucket long, n long, blob binary").repartition(n, "bucket") \
+        .sortWithinPartitions("bucket").mapInArrow(tidy(compare), "doc_id long, begin long, until long")
 
 
 def _merge(doc, begin, until):
@@ -380,4 +380,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
                      pa.array(found, pa.list_(span_type)), pa.array(kept, pa.binary())],
                     names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm import boosting
-from tsforge.llm.tables import id_and_text
+from tsforge.llm.tables import id_and_text, tidy
 from tsforge.llm.textcodes import SPACE, slabs
 
 SAMPLE = 16_000
@@ -164,7 +164,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     if not size.get(1) or not size.get(0):
         return Lexicon({})
     rate = F.col("bad") / size[1] / ((F.col("good") + 0.5) / size[0])
-    best = rows.select("text", "toxic").mapInArrow(run, "stem string, toxic int, n long").groupBy("stem").agg(
+    best = rows.select("text", "toxic").mapInArrow(tidy(run), "stem string, toxic int, n long").groupBy("stem").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good")) \
         .where((F.col("bad") >= LEXICON_MIN_DOCS) & (rate >= LEXICON_MIN_RATIO)) \
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     [b.column("toxic").slice(s.first, len(s)), b.column("fold").slice(s.first, len(s)),
                      pa.array(list(features(s, lexicon)), pa.list_(pa.float64()))], names=["toxic", "fold", "x"])
 
-    got = rows.where("fold >= 2").select("toxic", "fold", "text").mapInArrow(run, "toxic int, fold int, x array<double>").toArrow()
+    got = rows.where("fold >= 2").select("toxic", "fold", "text").mapInArrow(tidy(run), "toxic int, fold int, x array<double>").toArrow()
     y, fold = got["toxic"].to_numpy().astype(float), got["fold"].to_numpy()
     x = np.array(got["x"].to_pylist()).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, y, fold))
@@ -219,5 +219,5 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s.first, len(s)), pa.array(p),
                                                   pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.mapInArrow(run, "doc_id long, score double, predicted int").select(
+    return docs.mapInArrow(tidy(run), "doc_id long, score double, predicted int").select(
         "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"), "score", "predicted")

@@ -31,7 +31,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm.tables import bounded_batches
+from tsforge.llm.tables import bounded_batches, tidy
 from tsforge.session import shared_path
 
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
@@ -179,7 +179,7 @@ def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "u
     else:
         rows = rows.withColumn("shard", F.lit(0).cast("long"))
     rows.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha", "kind") \
-        .mapInArrow(run, _MANIFEST).write.parquet(f"{out}/_manifest")
+        .mapInArrow(tidy(run), _MANIFEST).write.parquet(f"{out}/_manifest")
     return manifest(spark, out)
 
 
@@ -259,7 +259,7 @@ def read(spark: SparkSession, out: str, payload: bool = True) -> DataFrame:
 
     files = manifest(spark, out).select("file")
     n = max(1, files.count())
-    return files.repartition(n, "file").mapInArrow(run, schema)
+    return files.repartition(n, "file").mapInArrow(tidy(run), schema)
 
 
 def new_folder(spark: SparkSession) -> str:
