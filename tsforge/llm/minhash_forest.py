@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsforge.llm import sketch
 from tsforge.llm.components import connected, stars
 from tsforge.llm.tables import id_and_text, staged, tidy
 from tsforge.llm.textcodes import BYTE_CODES, Ranges, mix, run_starts, slabs
@@ -229,7 +230,16 @@ def confirmed(groups: DataFrame, docs: DataFrame, width: int, percent: int, agre
     placed = groups.join(size, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.col("id").alias("doc_id"), "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    texts = tiles.join(docs, "doc_id").select("component", "x", "y", "doc_id", "text")
+    # only texts that may be in a group are shuffled: a sketch of the ids, of bounded size, lets the others go
+    ids_of = lambda b: iter([b.column("id").to_numpy(zero_copy_only=False).astype(np.uint64)])
+    wanted = docs.sparkSession.sparkContext.broadcast(
+        sketch.build(groups.select("id"), ids_of, sketch.log2_cells(groups.count()), least=1))
+
+    def grouped(batches):
+        for b in batches:
+            yield b.filter(pa.array(wanted.value.may_repeat(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.uint64))))
+
+    texts = tiles.join(docs.mapInArrow(tidy(grouped), docs.schema), "doc_id").select("component", "x", "y", "doc_id", "text")
 
     def run(batches):
         now, held = None, []

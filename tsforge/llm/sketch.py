@@ -49,8 +49,8 @@ class Twice:
         return hit
 
 
-def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2: int, depth: int = DEPTH) -> Twice:
-    """Sketch the keys of all rows of ``df``."""
+def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2: int, depth: int = DEPTH, least: int = 2) -> Twice:
+    """Sketch the keys of all rows of ``df``; ``least`` 1 asks which keys occur at all."""
     block_log2 = min(_BLOCK_LOG2, log2)
 
     def sketch(parts: list[np.ndarray]):
@@ -82,7 +82,7 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
         now, counts = None, None
 
         def done():
-            bits = np.packbits(counts >= 2)
+            bits = np.packbits(counts >= least)
             if bits.any():
                 yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()),
                                                   pa.array([bits.tobytes()], pa.binary())], names=["r", "block", "bits"])
