@@ -59,6 +59,13 @@ def rolling_columns(target: str, windows: list[int], stats: list[str], w: Window
     return [rolling_column(target, n, s, w).alias(f"{target}_rolling_{n}h_{s}") for n in windows for s in stats]
 
 
+def time_rolling_columns(target: str, hours: list[int], stats: list[str], w: WindowSpec) -> list[Column]:
+    """W2-W5 by time: statistics of the values of the last ``h`` hours, this one included, however many there are.
+    ``w`` orders by epoch seconds (:func:`tsforge.operators.sequence.apply_time_windows`)."""
+    aggs = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count}
+    return [aggs[s](target).over(w.rangeBetween(-(h * 3600 - 1), 0)).alias(f"{target}_last_{h}h_{s}") for h in hours for s in stats]
+
+
 def ema_span(alpha: float) -> int:
     """Rows after which the weight ``(1-alpha)^k`` drops below 1e-16 (350 for 0.1)."""
     return int(math.ceil(math.log(_EMA_TOL) / math.log(1.0 - alpha)))

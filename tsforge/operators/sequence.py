@@ -96,6 +96,20 @@ def apply_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], ha
     return out if keep_index or IDX in df.columns else out.drop(IDX)
 
 
+def apply_time_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]], reach_seconds: int,
+                       chunk_seconds: int = DEFAULT_CHUNK_ROWS * 3600) -> DataFrame:
+    """Add the columns returned by ``build(W)``, where ``W`` orders a series by epoch seconds for ``rangeBetween`` frames
+    that look back at most ``reach_seconds``: hours mean hours, whatever rows are missing. Series are cut into stretches of
+    time, each with a copy of the rows it looks back on. Rows without a stamp are in no frame and come back with NULLs."""
+    t = F.unix_seconds(TS)
+    own = F.floor(t / chunk_seconds).cast("long")
+    last = F.floor((t + F.lit(reach_seconds)) / chunk_seconds).cast("long")
+    chunks = F.when(t.isNotNull(), F.sequence(own, last)).otherwise(F.array(F.lit(None).cast("long")))
+    rows = df.withColumn("_t", t).withColumn(CHUNK, F.explode(chunks))
+    w = Window.partitionBy(SERIES, CHUNK).orderBy("_t")
+    return rows.select("*", *build(w)).where(F.col(CHUNK).isNull() | (F.col(CHUNK) == own)).drop(CHUNK, "_t")
+
+
 def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Nearest non-null entry at-or-before (``_prev_<c>``) and at-or-after (``_next_<c>``)
     each row, as structs ``(p, v)`` of row position and value, for all ``cols`` in one pass.

@@ -1029,3 +1029,158 @@ def q_frame_shape(spark, sf_dir):
     from tsforge.plans.preprocess import preprocess
     processed, _, _ = preprocess(S.load_series(spark, sf_dir, raw=True), S.weather_series(spark, sf_dir))
     return frame_shape(processed)
+
+
+# ---------------------------------------------------------------- time-based windows, shifted features
+_TW = "PARTITION BY series ORDER BY epoch(ts) RANGE BETWEEN {b} PRECEDING AND CURRENT ROW"
+
+
+@register("rolling_by_time", f"""WITH {HOURLY}, kept AS (SELECT * FROM hourly WHERE value IS NOT NULL)
+SELECT series, ts, {Q.r4('value', 'value')}, {', '.join(
+    f"CAST(count(value) OVER ({_TW.format(b=h * 3600 - 1)}) AS BIGINT) AS value_last_{h}h_count" if st == 'count' else
+    Q.r4(f"{fn}(value) OVER ({_TW.format(b=h * 3600 - 1)})" if st != 'mean' else
+         f"list_sum(list(value) OVER ({_TW.format(b=h * 3600 - 1)})) / count(value) OVER ({_TW.format(b=h * 3600 - 1)})", f'value_last_{h}h_{st}')
+    for h in (6, 24, 168) for st, fn in (('mean', 'avg'), ('std', 'stddev_samp'), ('min', 'min'), ('max', 'max'), ('count', 'count')))} FROM kept""")
+def q_rolling_by_time(spark, sf_dir):
+    """W2-W5, mode by time: statistics of the last 6, 24 and 168 hours where hours are missing."""
+    from tsforge.operators.nulls import drop_missing
+    from tsforge.operators.sequence import apply_time_windows
+    kept = drop_missing(S.hourly_by_type(spark, sf_dir), ["value"])
+    return apply_time_windows(kept, lambda w: W.time_rolling_columns("value", [6, 24, 168], ["mean", "std", "min", "max", "count"], w), 168 * 3600)
+
+
+def _shift_sql() -> str:
+    rolls = ", ".join(Q.r4(Q.rolling_sql("past", n, st), f"value_rolling_{n}h_{st}") for n in (6, 24) for st in ("mean", "max"))
+    return f"""WITH {FILLED}, sh AS (SELECT *, lag(value) OVER ({_WS}) AS past FROM filled)
+SELECT series, ts, {Q.r4('value', 'value')}, {_lags_sql('value', [1, 24])}, {rolls} FROM sh"""
+
+
+@register("shifted_features", _shift_sql())
+def q_shifted_features(spark, sf_dir):
+    """W1-W5 with shift 1: rolling frames end one row earlier, so no feature holds the target it predicts."""
+    from tsforge.plans.features import FeatureConfig, window_features
+    cfg = FeatureConfig(target="value", lags=[1, 24], windows=[6, 24], stats=["mean", "max"], alphas=[], statistical=False, shift=1)
+    return window_features(_hourly_filled(spark, sf_dir), cfg)
+
+
+# ---------------------------------------------------------------- nulls, joins, ranks, charts, sinks
+@register("median_fill", f"""WITH {HOURLY}, m AS (SELECT {Q.agg_quantile('value', 0.5)} AS v FROM hourly)
+SELECT series, ts, {Q.r4('coalesce(value, m.v)', 'value')} FROM hourly CROSS JOIN m""")
+def q_median_fill(spark, sf_dir):
+    """Empty hours take the exact median over all rows."""
+    from tsforge.operators.nulls import median_fill
+    return median_fill(S.hourly_by_type(spark, sf_dir), ["value"])
+
+
+@register("zero_fill", f"WITH {HOURLY} SELECT series, ts, {Q.r4('coalesce(value, 0)', 'value')} FROM hourly")
+def q_zero_fill(spark, sf_dir):
+    """Empty hours are 0."""
+    from tsforge.operators.nulls import zero_fill
+    return zero_fill(S.hourly_by_type(spark, sf_dir), ["value"])
+
+
+@register("merge_left_defaults", f"""WITH {HOURLY}, {_WX}, g AS (SELECT * FROM wx WHERE hour(ts) % 2 = 0)
+SELECT h.series, h.ts, {Q.r4('h.value', 'value')}, {Q.r4('coalesce(g.temperature_c, 20)', 'temperature_c')},
+  {Q.r4('coalesce(g.humidity_percent, 60)', 'humidity_percent')} FROM hourly h LEFT JOIN g ON h.ts = g.ts""")
+def q_merge_left_defaults(spark, sf_dir):
+    """Every load hour keeps its row; hours that a two-hourly weather source lacks get the default weather."""
+    from tsforge.operators.joins import merge_on_time
+    from tsforge.operators.nulls import with_defaults
+    from tsforge.plans.scoring import DEFAULT_WEATHER
+    wx = S.weather_series(spark, sf_dir).where(F.hour(TS) % 2 == 0).select(TS, "temperature_c", "humidity_percent")
+    merged = merge_on_time(S.hourly_by_type(spark, sf_dir), wx, "left")
+    return with_defaults(merged, {c: DEFAULT_WEATHER[c] for c in ("temperature_c", "humidity_percent")})
+
+
+@register("missing_stamps", f"""WITH {HOURLY} SELECT series, ts FROM hourly h
+WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = h.series AND date_trunc('hour', e.ts) = h.ts)""")
+def q_missing_stamps(spark, sf_dir):
+    """Spine stamps without an observation."""
+    from tsforge.operators.joins import missing_stamps
+    return missing_stamps(S.hourly_by_type(spark, sf_dir).select(SERIES, TS), _gap_input(spark, sf_dir))
+
+
+@register("aligned_predictions", f"""WITH {FILLED}, {_BASE_SQL}
+SELECT f.series, f.ts, {Q.r4('f.value', 'value')}, lng.model, {Q.r4('p', 'y_pred')} FROM filled f JOIN lng ON f.series = lng.series AND f.ts = lng.ts""")
+def q_aligned_predictions(spark, sf_dir):
+    """Predictions meet their actual values by series and stamp, never by position."""
+    from tsforge.operators.joins import align_predictions
+    truth = _hourly_filled(spark, sf_dir).drop(IDX)
+    return align_predictions(truth, _baseline_long(spark, sf_dir).select(SERIES, TS, "model", "y_pred"))
+
+
+@register("ranked_models", f"""WITH {FILLED}, {_BASE_SQL}, m AS (SELECT model, {_METRIC_COLS} FROM lng GROUP BY 1)
+SELECT *, CAST(row_number() OVER (ORDER BY rmse NULLS LAST, model) AS BIGINT) AS rank FROM m""")
+def q_ranked_models(spark, sf_dir):
+    """Models by RMSE, NULLs last (one row per model)."""
+    from pyspark.sql import Window
+    from tsforge.plans.metrics import ranked, regression_metrics
+    order = ranked(regression_metrics(_baseline_long(spark, sf_dir), ["model"]))
+    return order.withColumn("rank", F.row_number().over(Window.orderBy(F.col("rmse").asc_nulls_last(), "model")))
+
+
+@register("series_table", f"""WITH {FILLED} SELECT series, date_trunc('day', ts) AS ts, {Q.r4('avg(value)', 'value')} FROM filled GROUP BY 1, 2""")
+def q_series_table(spark, sf_dir):
+    """V1: the series to plot, downsampled to daily means."""
+    from tsforge.plans.charts import series_table
+    return series_table(_hourly_filled(spark, sf_dir).drop(IDX), ["value"], "D")
+
+
+@register("residual_histogram", f"""WITH {FILLED}, {_BASE_SQL}, r AS (SELECT series, model, y - p AS e FROM lng WHERE y - p IS NOT NULL),
+rg AS (SELECT series, model, min(e) AS lo, max(e) AS hi FROM r GROUP BY 1, 2),
+b AS (SELECT r.series, r.model, lo, hi, CAST(CASE WHEN hi > lo THEN least(floor((e - lo) / (hi - lo) * 30) + 1, 30) ELSE 1 END AS BIGINT) AS bin
+  FROM r JOIN rg USING (series, model))
+SELECT series, model, bin, {Q.r4('lo + (bin - 1) * ((hi - lo) / 30)', 'bin_lo')}, {Q.r4('lo + bin * ((hi - lo) / 30)', 'bin_hi')},
+  CAST(count(*) AS BIGINT) AS count FROM b GROUP BY series, model, bin, lo, hi""")
+def q_residual_histogram(spark, sf_dir):
+    """30 bins of each baseline's residuals."""
+    from tsforge.operators.aggregates import histogram
+    from tsforge.plans.charts import residual_table
+    return histogram(residual_table(_baseline_long(spark, sf_dir)), "residual", 30, [SERIES, "model"])
+
+
+@register("dashboard", f"""WITH {FILLED}, {_BASE_SQL},
+m AS (SELECT model, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse FROM lng GROUP BY 1),
+bst AS (SELECT arg_min(model, rmse) AS model, min(rmse) AS rmse FROM m),
+r AS (SELECT model, y - p AS e FROM lng JOIN bst USING (model) WHERE y - p IS NOT NULL),
+rg AS (SELECT min(e) AS lo, max(e) AS hi FROM r), mg AS (SELECT min(mae) AS lo, max(mae) AS hi FROM m),
+rb AS (SELECT model, CAST(CASE WHEN hi > lo THEN least(floor((e - lo) / (hi - lo) * 20) + 1, 20) ELSE 1 END AS BIGINT) AS bin FROM r CROSS JOIN rg),
+mb AS (SELECT CAST(CASE WHEN hi > lo THEN least(floor((mae - lo) / (hi - lo) * 20) + 1, 20) ELSE 1 END AS BIGINT) AS bin FROM m CROSS JOIN mg)
+SELECT 'models by rmse' AS panel, model, 'rmse' AS item, {Q.r4('rmse', 'value')} FROM m
+UNION ALL SELECT 'best model', model, 'rmse', {Q.r4('rmse', 'value')} FROM bst
+UNION ALL SELECT 'residuals', model, CAST(bin AS VARCHAR), CAST(count(*) AS DOUBLE) FROM rb GROUP BY model, bin
+UNION ALL SELECT 'mae', NULL, CAST(bin AS VARCHAR), CAST(count(*) AS DOUBLE) FROM mb GROUP BY bin""")
+def q_dashboard(spark, sf_dir):
+    """V7: the dashboard's panels of the baselines as one long table."""
+    from tsforge.plans.charts import dashboard
+    from tsforge.plans.metrics import regression_metrics
+    long = _baseline_long(spark, sf_dir)
+    return dashboard(regression_metrics(long, ["model"]), long)
+
+
+@register("sink_round_trip", f"WITH {_MERGED} SELECT series, ts, {_MCOLS} FROM merged")
+def q_sink_round_trip(spark, sf_dir):
+    """The merged frame written partitioned by series and read back."""
+    import uuid
+    from tsforge.session import shared_path
+    from tsforge.sources.files import read_frame, write_frame
+    merged = _merged(spark, sf_dir)
+    path = shared_path(spark, "frames", uuid.uuid4().hex)
+    write_frame(merged, path)
+    return read_frame(spark, path, merged)
+
+
+def _feature_groups_sql() -> str:
+    """Membership of the columns that DuckDB itself lists for the engineered frame."""
+    from tsforge.plans.features import FEATURE_GROUPS
+    groups = ", ".join(f"('{g}', '{frag}')" for g, frags in FEATURE_GROUPS for frag in frags)
+    return f"""WITH d AS (SELECT column_name AS feature FROM (DESCRIBE {_engineered_sql()}))
+SELECT DISTINCT feature, g."group" FROM d JOIN (VALUES {groups}) g("group", fragment)
+ON contains(feature, fragment) WHERE feature NOT IN ('series', 'ts', 'kwh')"""
+
+
+@register("feature_groups", _feature_groups_sql())
+def q_feature_groups(spark, sf_dir):
+    """F32: every engineered column with each group it belongs to."""
+    from tsforge.plans.features import feature_catalogue, feature_names_of
+    return feature_catalogue(spark, feature_names_of(_engineered(spark, sf_dir))).drop("position")

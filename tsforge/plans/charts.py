@@ -81,3 +81,31 @@ def serving_features(df: DataFrame, target: str = "kwh") -> DataFrame:
         return cols
 
     return apply_windows(base, build, 24).drop("_n")
+
+
+def residual_table(long: DataFrame) -> DataFrame:
+    """V5: every scored row with its residual."""
+    return long.withColumn("residual", F.col("y_true") - F.col("y_pred"))
+
+
+def dashboard(metrics: DataFrame, long: DataFrame, importance: DataFrame | None = None, metric: str = "rmse",
+              models: int = 5, features: int = 10, bins: int = 20) -> DataFrame:
+    """V7: the dashboard's panels as one long table ``(panel, model, item, value)`` of a few dozen rows: the models of
+    least ``metric``, the best model's name, its residual histogram (bin: count), the MAE histogram over models and
+    the most important features."""
+    from tsforge.operators.aggregates import histogram
+    from tsforge.plans.metrics import best_model, ranked
+    row = lambda df, panel, model, item, value: df.select(F.lit(panel).alias("panel"), model.alias("model"), item.cast("string").alias("item"),
+                                                          value.cast("double").alias("value"))
+    none = F.lit(None).cast("string")
+    best = best_model(metrics, metric)
+    top = ranked(metrics.where(F.col(metric).isNotNull()), metric).limit(models)
+    own = residual_table(long).join(F.broadcast(best.select(F.col("best_model").alias("model"))), "model")
+    errors = histogram(metrics.where(F.col("mae").isNotNull()).withColumn("_all", F.lit(1)), "mae", bins, ["_all"])
+    out = row(top, f"models by {metric}", F.col("model"), F.lit(metric), F.col(metric)) \
+        .unionByName(row(best, "best model", F.col("best_model"), F.lit(metric), F.col(metric))) \
+        .unionByName(row(histogram(own, "residual", bins, ["model"]), "residuals", F.col("model"), F.col("bin"), F.col("count"))) \
+        .unionByName(row(errors, "mae", none, F.col("bin"), F.col("count")))
+    if importance is not None:
+        out = out.unionByName(row(importance.orderBy(F.desc("importance"), "feature").limit(features), "importance", none, F.col("feature"), F.col("importance")))
+    return out

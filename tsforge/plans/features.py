@@ -8,7 +8,7 @@ interaction columns. Column order follows the reference's eight steps.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ class FeatureConfig:
     weather: bool = True
     interactions: bool = True
     strict_holiday_period: bool = False
+    shift: int = 0  # 1: rolling, EMA and statistical features end that many rows earlier and leave out the current target
     chunk_rows: int | None = DEFAULT_CHUNK_ROWS
 
 
@@ -43,6 +44,8 @@ def series_length(df: DataFrame, out: str = "_n") -> DataFrame:
 
 def window_features(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """W1-W12 for ``cfg.target`` on a series frame."""
+    if cfg.shift:
+        return _shifted(df, cfg)
     t = cfg.target
     base = df if cfg.chunk_rows is None or IDX in df.columns else with_row_index(df)
     pad = None
@@ -70,6 +73,15 @@ def window_features(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
     return out.drop("_n", "_pad", IDX)
 
 
+def _shifted(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """Window features that end ``cfg.shift`` rows earlier (lags already do): computed on the shifted target."""
+    t, base = cfg.target, df if cfg.chunk_rows is None or IDX in df.columns else with_row_index(df)
+    lags = apply_windows(base, lambda w: [F.col(t).alias("_now"), F.lag(t, cfg.shift).over(w).alias("_past")] + W.lag_columns(t, cfg.lags, w),
+                         W.halo_for([*cfg.lags, cfg.shift]), cfg.chunk_rows, keep_index=True)
+    out = window_features(lags.withColumn(t, F.col("_past")), replace(cfg, shift=0, lags=[]))
+    return out.withColumn(t, F.col("_now")).drop("_now", "_past")
+
+
 def engineer_features(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), holidays: DataFrame | None = None) -> DataFrame:
     """all features in the reference's order (lag, rolling, EMA, calendar,
     holiday, weather, interaction, statistical)."""
