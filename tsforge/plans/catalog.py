@@ -1184,3 +1184,30 @@ def q_feature_groups(spark, sf_dir):
     """F32: every engineered column with each group it belongs to."""
     from tsforge.plans.features import feature_catalogue, feature_names_of
     return feature_catalogue(spark, feature_names_of(_engineered(spark, sf_dir))).drop("position")
+
+
+_TRAINING = f"""e AS ({_engineered_sql()}),
+l AS (SELECT series, ts, kwh, list_value(*COLUMNS(* EXCLUDE (series, ts, kwh))) AS f FROM e),
+k AS (SELECT series, ts, kwh, row_number() OVER ({_WS}) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM l
+  WHERE kwh IS NOT NULL AND len(list_filter(f, lambda x: x IS NULL)) < 0.5 * len(f)),
+t AS (SELECT *, i >= floor(n * 0.8) AS is_test FROM k)"""
+
+
+@register("training_split", f"WITH {_TRAINING} SELECT series, ts, {Q.r4('kwh', 'label')}, is_test FROM t")
+def q_training_split(spark, sf_dir):
+    """The rows models are fitted and tested on (target present, fewer than half of the features missing)."""
+    from tsforge.plans import models as M
+    frame, _ = M.training_frame(_engineered(spark, sf_dir), "kwh")
+    return frame.select(SERIES, TS, "label", "is_test")
+
+
+@register("cv_fold_bounds", f"""WITH {_TRAINING}, tr AS (SELECT *, count(*) OVER (PARTITION BY series) AS m FROM t WHERE NOT is_test),
+fo AS (SELECT tr.*, fold, m - (3 - fold) * floor(m / 4) AS cut, floor(m / 4) AS size FROM tr CROSS JOIN (VALUES (0), (1), (2)) v(fold)),
+h AS (SELECT *, i >= cut AS held FROM fo WHERE i < cut + size)
+SELECT series, CAST(fold AS BIGINT) AS fold, held, CAST(count(*) AS BIGINT) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM h GROUP BY 1, 2, 3""")
+def q_cv_fold_bounds(spark, sf_dir):
+    """M8: rows and time span of the training and the held-out part of each expanding fold."""
+    from tsforge.plans import models as M
+    frame, _ = M.training_frame(_engineered(spark, sf_dir), "kwh")
+    folds = M.cv_folds(frame.where("NOT is_test"), 3)
+    return folds.groupBy(SERIES, "fold", "held").agg(F.count(F.lit(1)).alias("n"), F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"))

@@ -191,23 +191,28 @@ def with_failures(metrics: DataFrame, failed: list[str]) -> DataFrame:
     return metrics.unionByName(rows.withColumn("n", F.lit(0).cast("long")), allowMissingColumns=True)
 
 
+def cv_folds(train: DataFrame, n_splits: int = 3) -> DataFrame:
+    """M8: training rows with each expanding-window fold they take part in: ``fold`` and ``held`` (true in the fold's
+    test part, which is the n / (splits + 1) rows of the series behind the fold's training rows)."""
+    counts = train.groupBy(SERIES).agg(F.count(F.lit(1)).alias("_count"))
+    size = F.floor(F.col("_count") / (n_splits + 1))
+    rows = _by_series(train, counts).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    end = F.col("_count") - (n_splits - F.col("fold")) * size
+    return rows.where(F.col(IDX) < end + size).withColumn("held", F.col(IDX) >= end).drop("_count")
+
+
 def cross_validate(df: DataFrame, target: str, preset: TreePreset, n_splits: int = 3,
                    exclude: list[str] | None = None, prepared: tuple | None = None) -> DataFrame:
     """M8: expanding-window CV on the training rows; a fresh estimator per fold.
     Returns metrics per fold (fold, n, mae, rmse, mape, r2)."""
     frame, feats = prepared or training_frame(df, target, exclude)
-    train_all = frame.where(~F.col("is_test")).drop("is_test")
-    counts = train_all.groupBy(SERIES).agg(F.count(F.lit(1)).alias("_n"))
-    base = train_all.join(counts, SERIES).withColumn("_size", F.floor(F.col("_n") / (n_splits + 1)))
-    out = None
+    folds = cv_folds(frame.where(~F.col("is_test")).drop("is_test"), n_splits)
+    out = []
     for k in range(n_splits):
-        end = F.col("_n") - (n_splits - k) * F.col("_size")
-        tr = base.where(F.col(IDX) < end)
-        te = base.where((F.col(IDX) >= end) & (F.col(IDX) < end + F.col("_size")))
-        m = fit(tr, feats, preset)
-        met = regression_metrics(predictions(m, te, preset.name), ["model"]).withColumn("fold", F.lit(k))
-        out = met if out is None else out.unionByName(met)
-    return out.select("model", "fold", "n", "mae", "rmse", "mape", "r2")
+        m = fit(folds.where((F.col("fold") == k) & ~F.col("held")), feats, preset)
+        scored = predictions(m, folds.where((F.col("fold") == k) & F.col("held")), preset.name)
+        out.append(regression_metrics(scored, ["model"]).withColumn("fold", F.lit(k)))
+    return reduce(DataFrame.unionByName, out).select("model", "fold", "n", "mae", "rmse", "mape", "r2")
 
 
 def feature_importance(model: PipelineModel, feats: list[str], spark) -> DataFrame:
