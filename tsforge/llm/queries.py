@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import bpe_chunks, embedding_join, langid, minhash_forest, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
+from tsforge.llm import bpe_chunks, embedding_join, langid, minhash_forest, oracles, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
 from tsforge.session import ship_package
 
 
@@ -72,4 +72,11 @@ QUERIES = {
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
 
-ORACLES: dict[str, str] = {}
+#: The network, the trees, the tokenizer and the packing are beyond SQL; tests hold those against brute force.
+ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": oracles.OP1,
+    "op5_substring_dedup": oracles.OP5,
+    "op6_warc_archives": oracles.OP6,
+    "op7_grid_order_join": oracles.OP7,
+    "op9_minhash_forest": oracles.OP9,
+}
