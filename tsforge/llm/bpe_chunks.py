@@ -32,7 +32,7 @@ TOKENIZER_FILE = "word_bpe_49k.json"
 #: Bytes that the rolling hash looks back over; a cut on average every CHUNK bytes.
 LOOK_BACK, CHUNK = 16, 256
 #: Sizes of the memos of one worker: words of a generation, chunks (then emptied).
-WORDS_KEPT, CHUNKS_KEPT = 600_000, 40_000
+WORDS_KEPT, CHUNKS_KEPT = 200_000, 20_000
 _MARK, _MARK_BYTE, _GLUE, _TOGETHER = "\x01", b"\x01", b" \x01 ", 2000
 #: Words that the short way is tried on; the letters it takes.
 _PROBES = ("a", "Hello", "WORLD.", "straße,", "Élan", "ÀÖØöøÿ.", "zzzzqqqqxxxx", "internationalisation,")

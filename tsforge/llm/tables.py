@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsforge.llm.textcodes import forget_powers
 from tsforge.session import shared_path
 
 
@@ -36,6 +37,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def _give_back() -> None:
+    forget_powers()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -54,6 +54,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    """Drop the kept tables; the next slab makes them again."""
+    _powers.clear()
+
+
 class Ranges:
     """Hashes of any ranges of a code sequence, from one running sum."""
 
