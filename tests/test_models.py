@@ -89,3 +89,30 @@ def test_frames_are_read_back_as_written(spark, tmp_path):
     write_frame(df, f"file://{tmp_path}/f")
     again = read_frame(spark, f"file://{tmp_path}/f", df)
     assert again.columns == df.columns and again.exceptAll(df).count() == 0 and df.exceptAll(again).count() == 0
+
+
+def test_default_presets_fit(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), float(3 * a + b)) for a, b in rng.normal(size=(60, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, label double")
+    model = M.fit(df, ["a", "b"], M.DEFAULT_PRESETS["random_forest_default"])
+    fitted = model.transform(df).agg(F.corr("prediction", "label")).first()[0]
+    assert fitted > 0.95 and model.stages[-1].getNumTrees == 100
+
+
+def test_requests_scored_on_a_stream(spark, tmp_path):
+    from tsforge.plans.scoring import heuristic_horizon
+    from tsforge.streaming.hourly import score_stream
+    w = "struct<temperature_c:double,humidity_percent:double,wind_speed_kmh:double,precipitation_mm:double,cloud_cover_percent:double,solar_irradiance_wm2:double>"
+    schema = f"scenario string, end_ts timestamp, recent array<double>, weather {w}, horizon int"
+    spark.createDataFrame([("a", T0, [1.0, 2.0, 3.0], None, 3), ("b", T0, [1.0], None, 3)], schema).write.parquet(f"{tmp_path}/in")
+    q = score_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), heuristic_horizon, f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
+    q.awaitTermination()
+    got = spark.read.parquet(f"file://{tmp_path}/out").toPandas()
+    assert (got.scenario == "a").sum() == 3 and got[got.scenario == "b"].error.notna().all()
+
+
+def test_federal_holidays(spark):
+    from tsforge.functions.holidays import us_federal_holidays
+    days = {r[0] for r in us_federal_holidays(spark, 2021, 2021, True).select(F.col("holiday_date").cast("string")).collect()}
+    assert {"2021-01-01", "2021-05-31", "2021-11-25", "2021-07-04", "2021-07-05"} <= days

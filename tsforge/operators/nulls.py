@@ -71,22 +71,6 @@ def backward_fill(df: DataFrame, cols: list[str] | None = None, chunk_rows: int
     return _fill(df, value_columns(df, cols), "bfill", chunk_rows)
 
 
-def edge_fill(df: DataFrame, cols: list[str] | None = None, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Forward fill, then backward fill what is left (leading nulls)."""
-    return _fill(df, value_columns(df, cols), "ffill", chunk_rows)
-
-
-def interpolate_linear(df: DataFrame, cols: list[str] | None = None,
-                       chunk_rows: int | None = DEFAULT_CHUNK_ROWS, edges: bool = True) -> DataFrame:
-    """P2 (+ P6 with ``edges``): linear interpolation by row position, forward direction.
-
-    Inner nulls: ``prev + (next - prev) * (i - i_prev) / (i_next - i_prev)``;
-    trailing nulls take the last value; leading nulls stay NULL unless ``edges``.
-    """
-    cols = value_columns(df, cols)
-    return _fill(df, cols, "interpolate", chunk_rows) if edges else interpolate_only(df, cols, chunk_rows)
-
-
 def interpolate_only(df: DataFrame, cols: list[str] | None = None,
                      chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """P2 alone: leading nulls stay NULL."""

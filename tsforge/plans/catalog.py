@@ -296,6 +296,15 @@ def q_period_flags(spark, sf_dir):
     return S.daily_lineitem(spark, sf_dir).select(SERIES, TS, *period_flag_columns(TS), *name_columns(TS))
 
 
+@register("utility_time_block", f"""WITH {_DL} SELECT series, ts, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, {', '.join(Q.time_cols_sql())},
+  CAST(weekofyear(ts) AS BIGINT) AS week_of_year, CAST(isodow(ts) < 6 AS BIGINT) AS is_business_day,
+  {_PERIOD_SQL.split('dayname')[0].rstrip().rstrip(',')} FROM d_l""")
+def q_utility_time_block(spark, sf_dir):
+    """F31 and the utility time block: ISO text, time columns, ISO week, business day and period flags over 7 years."""
+    from tsforge.functions.calendar import generated_time_columns, iso_text
+    return S.daily_lineitem(spark, sf_dir).select(SERIES, TS, iso_text(TS).alias("iso"), *generated_time_columns(TS))
+
+
 # ---------------------------------------------------------------- weather
 _WX = Q.weather_cte("wx")
 
@@ -947,6 +956,16 @@ def q_outlier_stats_isolation_forest(spark, sf_dir):
     return outlier_stats(flag_outliers(_hourly_filled(spark, sf_dir), "value", "isolation_forest"), "isolation_forest")
 
 
+@register("isolation_forest_shares", f"""WITH {FILLED}
+SELECT series, CAST(count(*) AS BIGINT) AS rows, true AS within_contamination FROM filled GROUP BY 1""")
+def q_isolation_forest_shares(spark, sf_dir):
+    """O3's properties: every row scored, and at most a tenth of each series' rows (and some) flagged."""
+    from tsforge.operators.outliers import flag_outliers
+    flagged = flag_outliers(_hourly_filled(spark, sf_dir), "value", "isolation_forest")
+    share = F.count_if("is_outlier") / F.count(F.lit(1))
+    return flagged.groupBy(SERIES).agg(F.count("anomaly_score").alias("rows"), ((share > 0.05) & (share <= 0.1)).alias("within_contamination"))
+
+
 @register("stream_hourly_means", """SELECT event_type AS series, date_trunc('hour', ts) AS ts,
   (round(CAST(avg(value) AS DOUBLE) * 10000) / 10000 + 0.0) AS value, CAST(count(*) AS BIGINT) AS n
 FROM events GROUP BY 1, 2""")

@@ -51,11 +51,12 @@ def _naive_scale(clean: DataFrame, keys: list[str], y: str) -> DataFrame:
     Groups become the series key of the bounded chunk executor (1-row halo), so a
     long group never sits in one task."""
     from tsforge import SERIES
+    from tsforge.functions.windows import abs_step
     from tsforge.operators.sequence import apply_windows
     gk = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
     framed = clean.select(*[F.col(k).alias("_g_" + k) for k in keys], gk.alias(SERIES), F.col(TS),
                           F.col(y).alias("_y"))
-    stepped = apply_windows(framed, lambda w: [F.abs(F.col("_y") - F.lag("_y", 1).over(w)).alias("_step")], halo=1)
+    stepped = apply_windows(framed, lambda w: [abs_step("_y", w).alias("_step")], halo=1)
     return stepped.groupBy(*[F.col("_g_" + k).alias(k) for k in keys]).agg(F.avg("_step").alias("_naive_mae"))
 
 
