@@ -96,10 +96,17 @@ def test_packing(small, nothing):
     seqs = {r.sequence_id: r.ids for r in packing.sequences(got).collect()}
     assert {k: len(v) for k, v in seqs.items()} == fill
     assert packing.pack_documents(nothing).count() == 0
-    odd = df.withColumn("shard", F.lit("x")).withColumn("turn", F.lit(1)).withColumn("piece", F.lit(7))
+    odd = df.withColumn("shard", F.lit("x")).withColumn("stretch", F.lit(2)).withColumn("turn", F.lit(1)).withColumn("piece", F.lit(7))
     assert packing.pack_documents(odd, capacity=64).count() == got.count()
 
 
+def test_packing_is_tight(spark):
+    rng = np.random.default_rng(0)
+    sizes = np.minimum(4096, rng.lognormal(6.3, 1, 30_000).astype(int) + 1).tolist()
+    cut = spark.createDataFrame([(i, 0, 0, s, 0) for i, s in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert packing.pack(cut).select("sequence_id").distinct().count() <= 1.002 * sum(sizes) / 4096 + 1
+
+
 def test_best_fit_is_tight():
     rng = np.random.default_rng(0)
     sizes = np.minimum(4096, rng.lognormal(6.3, 1, 20_000).astype(int) + 1)

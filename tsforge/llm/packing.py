@@ -1,7 +1,8 @@
 """Packing token sequences: bounded-space online best-fit.
 
-Documents are tokenised and cut into pieces of at most ``capacity`` ids. Pieces arrive in a random
-but fixed order (by hash) at shards of bounded size; in a shard a fixed number of bins is open. A
+Documents are tokenised and cut into pieces of at most ``capacity`` ids. Pieces arrive at shards of bounded
+size in a fixed order: a hash deals them into stretches of about STRETCH, and a stretch arrives longest piece
+first, so its short pieces fill what its long ones left. In a shard a fixed number of bins is open. A
 bitset keyed by free space gives the open bin with the least space that still holds a piece; when a
 new bin is needed and all are open, the fullest closes. A shard is one task's work and holds only
 its open bins and the lengths it reads as a stream.
@@ -28,6 +29,8 @@ CAPACITY, EOS = 4096, 1
 OPEN_BINS = 4096
 #: Pieces in a shard, on average; a shard leaves at most OPEN_BINS bins part empty.
 SHARD_PIECES = 1_000_000
+#: Pieces of a stretch, on average; fewer than OPEN_BINS, so a stretch's bins stay open for it.
+STRETCH = 4000
 
 
 class BestFit:
@@ -99,9 +102,11 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, length``; ``cut`` is read twice."""
-    shards = max(1, math.ceil(cut.count() / shard_pieces))
-    order = F.xxhash64("doc_id", "piece")
-    rows = cut.withColumn("shard", F.pmod(order, F.lit(shards))).withColumn("turn", order)
+    n = cut.count()
+    shards, stretches = max(1, math.ceil(n / shard_pieces)), max(1, math.ceil(n / STRETCH))
+    turn = F.xxhash64("doc_id", "piece")
+    # a stretch belongs to one shard
+    rows = cut.withColumn("stretch", F.pmod(turn, F.lit(stretches))).withColumn("shard", F.pmod("stretch", F.lit(shards))).withColumn("turn", turn)
     names = cut.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
 
@@ -118,7 +123,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, s
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(seq, pa.int64()), pa.array(off, pa.int64())],
                                              names=[*names, "sequence_id", "offset"])
 
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "turn", "doc_id", "piece").mapInArrow(tidy(run), schema)
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "stretch", F.desc("length"), "turn", "doc_id", "piece").mapInArrow(tidy(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
