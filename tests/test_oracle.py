@@ -20,7 +20,7 @@ def con():
 
 #: Queries whose every column has values on the test tables.
 FILLED_UP = {"rolling_features_filled", "statistical_features_filled", "ema_features", "ema_features_sparse", "rolling_by_time",
-             "shifted_features", "lag_features", "rolling_quantiles", "utility_time_block", "request_features"}
+             "utility_time_block"}
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))

@@ -57,7 +57,7 @@ def test_rolling_and_lags_match_pandas(series, chunk):
 def test_ema_matches_pandas(series, chunk):
     s, df = series
     alphas = [0.3, 0.5, 0.7]
-    out = apply_windows(df, lambda w: W.ema_columns("value", alphas, w), W.halo_for(alphas=alphas), chunk)
+    out = W.ema_frame(df, "value", alphas, chunk)
     for a in alphas:
         _close(s.ewm(alpha=a).mean(), _spark_col(out, f"value_ema_alpha_{a}"))
 
