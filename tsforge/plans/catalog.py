@@ -959,11 +959,10 @@ def q_outlier_stats_isolation_forest(spark, sf_dir):
 @register("isolation_forest_shares", f"""WITH {FILLED}
 SELECT series, CAST(count(*) AS BIGINT) AS rows, true AS within_contamination FROM filled GROUP BY 1""")
 def q_isolation_forest_shares(spark, sf_dir):
-    """O3's properties: every row scored between 0 and 1, and at most a tenth of each series' rows flagged."""
+    """O3's properties: every row scored between 0 and 1, and at most a tenth of each series' rows (rounded up) flagged."""
     from tsforge.operators.outliers import flag_outliers
     flagged = flag_outliers(_hourly_filled(spark, sf_dir), "value", "isolation_forest")
-    share = F.count_if("is_outlier") / F.count(F.lit(1))
-    fine = (share <= 0.1) & (F.min("anomaly_score") > 0) & (F.max("anomaly_score") <= 1)
+    fine = (F.count_if("is_outlier") <= F.ceil(0.1 * F.count(F.lit(1)))) & (F.min("anomaly_score") > 0) & (F.max("anomaly_score") <= 1)
     return flagged.groupBy(SERIES).agg(F.count("anomaly_score").alias("rows"), fine.alias("within_contamination"))
 
 
