@@ -56,13 +56,15 @@ def test_a_lag_longer_than_a_chunk(spark):
     assert got.y.tolist()[150:] == [float(i) for i in range(350)] and got.y[:150].isna().all() and len(got) == 500
 
 
-def test_exact_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("direct", [1_000_000, 100])
+def test_exact_quantiles_equal_numpy(spark, direct):
     rng = np.random.default_rng(5)
     rows = [("hot", float(x), None) for x in rng.integers(0, 50, 5000)] + [("b", float(x), float(x) ** 2) for x in rng.normal(size=31)]
+    rows += [("wide", float(x), float(x)) for x in rng.normal(size=30_000)]
     rows += [("one", 4.0, None), ("none", None, None), (None, 2.0, 1.0), (None, 3.0, None)]
     df = spark.createDataFrame(rows, "series string, x double, y double").repartition(7)
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    got = {(r.series, r.column): r.q for r in exact_quantiles(df, ["x", "y"], probs, ["series"]).collect()}
+    got = {(r.series, r.column): r.q for r in exact_quantiles(df, ["x", "y"], probs, ["series"], direct).collect()}
     frame = pd.DataFrame(rows, columns=["series", "x", "y"])
     want = {(s if isinstance(s, str) else None, c): np.quantile(g[c].dropna(), probs) for s, g in frame.groupby("series", dropna=False)
             for c in ("x", "y") if g[c].notna().any()}
