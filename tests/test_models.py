@@ -116,3 +116,13 @@ def test_federal_holidays(spark):
     from tsforge.functions.holidays import us_federal_holidays
     days = {r[0] for r in us_federal_holidays(spark, 2021, 2021, True).select(F.col("holiday_date").cast("string")).collect()}
     assert {"2021-01-01", "2021-05-31", "2021-11-25", "2021-07-04", "2021-07-05"} <= days
+
+
+def test_requests_are_forecast_by_a_model(spark):
+    from tsforge.plans.catalog import QUERIES
+    got = QUERIES["request_forecast"](spark, "/root/testdata/sf0.001").toPandas()
+    kinds = got.scenario.str.split("/").str[1]
+    for k in ("sound", "text", "gap", "no weather"):
+        assert (kinds == k).sum() == 5 * 24 and got[kinds == k].predicted_kwh.notna().all() and got[kinds == k].error.isna().all()
+    for k in ("short", "nothing", "no step", "too long"):
+        assert (kinds == k).sum() == 5 and got[kinds == k].error.notna().all()

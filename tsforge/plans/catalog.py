@@ -1230,3 +1230,16 @@ def q_cv_fold_bounds(spark, sf_dir):
     frame, _ = M.training_frame(_engineered(spark, sf_dir), "kwh")
     folds = M.cv_folds(frame.where("NOT is_test"), 3)
     return folds.groupBy(SERIES, "fold", "held").agg(F.count(F.lit(1)).alias("n"), F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"))
+
+
+@register("request_forecast")
+def q_request_forecast(spark, sf_dir):
+    """A forest fitted on the serving features of the load series, applied to the whole batch of
+    requests; every request is answered with its steps or its error."""
+    from tsforge.plans import models as M
+    from tsforge.plans.charts import serving_features
+    from tsforge.plans.preprocess import add_time_features
+    known = serving_features(add_time_features(_merged(spark, sf_dir)), "kwh")
+    frame, feats = M.training_frame(known, "kwh")
+    model = M.fit(frame, feats, M.PRESETS["random_forest"])
+    return M.forecast_requests(model, _requests(spark, sf_dir), feats, "kwh", "random_forest")

@@ -396,3 +396,19 @@ def score_latest(model: PipelineModel, features: DataFrame, feats: list[str], ho
                .select(SERIES, "step", (F.col(TS) + F.expr("INTERVAL 1 HOUR") * F.col("step")).alias(TS),
                        F.lit(model_name).alias("model"), F.round(F.col("p") * 1000.0) / 1000.0).toDF(
                    SERIES, "step", TS, "model", "predicted_kwh"))
+
+
+def forecast_requests(model: PipelineModel, sc: DataFrame, feats: list[str], target: str = "kwh", model_name: str = "model") -> DataFrame:
+    """Requests -> hourly frames -> time, lag and rolling features -> model -> each request's horizon, in one
+    job for the whole batch. ``(scenario, step, ts, model, predicted_kwh, error)``; a request that cannot be scored is one
+    row with its error."""
+    from tsforge.plans.charts import serving_features
+    from tsforge.plans.preprocess import add_time_features
+    from tsforge.plans.scoring import checked, request_frame
+    frame = serving_features(add_time_features(request_frame(sc, target)), target).drop(IDX)
+    first = score_latest(model, frame, feats, 1, model_name).select(F.col(SERIES).alias("scenario"), "predicted_kwh")
+    asked = checked(sc).select("scenario", "end_ts", "horizon", "error").join(first, "scenario", "left")
+    steps = F.when(F.col("error").isNull(), F.sequence(F.lit(1), F.col("horizon").cast("int")))
+    return asked.select("scenario", F.explode_outer(steps).alias("step"), "end_ts", "predicted_kwh", "error").select(
+        "scenario", "step", (F.col("end_ts") + F.expr("INTERVAL 1 HOUR") * F.col("step")).alias(TS), F.lit(model_name).alias("model"),
+        F.when(F.col("error").isNull(), F.col("predicted_kwh")).alias("predicted_kwh"), "error")
