@@ -54,3 +54,15 @@ def test_every_operator_is_registered():
     names = [q for q in entry.queries() if q.startswith("op")]
     assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(("given", "kept"), [("64m", "4194304"), ("67108864b", "4194304"), ("64k", "64k"), ("1000", "1000"), ("2mb", "2mb")])
+def test_batches_are_bounded(spark, given, kept):
+    from tsforge.llm.tables import bounded_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, given)
+    bounded_batches(spark)
+    assert spark.conf.get(key) == kept
+    spark.conf.set(key, before)

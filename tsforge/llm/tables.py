@@ -31,8 +31,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Let no Arrow batch on the way to Python hold more than BATCH_BYTES (or one row): ten thousand whole
     texts, the usual batch, can be any size. A smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, None)
-    if now is None or int(re.sub(r"\D", "", now) or 0) * (1 if now[-1] in "b0123456789" else 1 << 20) > BATCH_BYTES:
+    now = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", (spark.conf.get(key, None) or "").lower())
+    if now is None or int(now[1]) << 10 * " kmgt".index(now[2] or " ") > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
