@@ -276,6 +276,11 @@ def _linear(xs: list[str], coef: str = "coef"):
     return reduce(lambda a, b: a + b, terms, F.col(coef)[len(xs)])
 
 
+def _valued(df: DataFrame, target: str) -> DataFrame:
+    """Rows with a value; without the positions they had among all rows."""
+    return df.where(F.col(target).isNotNull()).drop(IDX)
+
+
 def _by_series(df: DataFrame, per_series: DataFrame) -> DataFrame:
     side = per_series.withColumnRenamed(SERIES, "_ps")
     return df.join(side, F.col(SERIES).eqNullSafe(F.col("_ps")), "left").drop("_ps")
@@ -299,7 +304,7 @@ def seasonal_ar(df: DataFrame, target: str, season: int = 24, test_size: float =
     d_t = (1 - B)(1 - B^s) y_t is regressed on d_{t-1}, d_{t-s}, d_{t-s-1} over training rows; one-step forecasts on
     test rows are y_{t-1} + y_{t-s} - y_{t-s-1} + d_hat_t. Returns long predictions.
     """
-    lagged = _seasonal_frame(with_split(df.where(F.col(target).isNotNull()), test_size), target, season)
+    lagged = _seasonal_frame(with_split(_valued(df, target), test_size), target, season)
     xs = ["_d1", f"_d{season}", f"_d{season + 1}"]
     scored = _by_series(lagged.where("is_test"), grouped_regression(lagged.where("NOT is_test"), [SERIES], xs, "_d"))
     return scored.select(SERIES, TS, F.lit("seasonal_ar").alias("model"), F.col(target).alias("y_true"),
@@ -309,8 +314,7 @@ def seasonal_ar(df: DataFrame, target: str, season: int = 24, test_size: float =
 def seasonal_ar_forecast(df: DataFrame, target: str, horizon: int = 24, season: int = 24, step: str = "INTERVAL 1 HOUR") -> DataFrame:
     """``horizon`` steps past each series' end; forecasts feed the next steps. A series' state is its last
     2 * season + 2 values, folded step by step in SQL."""
-    rows = df.where(F.col(target).isNotNull())
-    rows = rows if IDX in rows.columns else with_row_index(rows)
+    rows = with_row_index(_valued(df, target))
     lagged = _seasonal_frame(rows, target, season)
     coef = grouped_regression(lagged, [SERIES], ["_d1", f"_d{season}", f"_d{season + 1}"], "_d")
     need = 2 * season + 2
@@ -361,7 +365,7 @@ def fourier_regression(df: DataFrame, target: str, harmonics: int = 3, multiplic
                        test_size: float = 0.2) -> DataFrame:
     """M12 (re-aimed): trend + sin/cos harmonics of daily, weekly and yearly periods by least squares per series, on
     log y where every training value of the series is positive. Every test row is scored."""
-    split = with_split(df.where(F.col(target).isNotNull()), test_size)
+    split = with_split(_valued(df, target), test_size)
     fitted, cols, names = _fourier_fit(split.where("NOT is_test"), target, harmonics, multiplicative)
     scored = _by_series(split.where("is_test"), fitted).select("*", *cols)
     y = _linear(names)
