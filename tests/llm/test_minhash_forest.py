@@ -112,3 +112,14 @@ def test_components_of_chains_stars_and_loops(spark):
     assert got == {i: want.get(i, i) for i in set(a.tolist()) | set(b.tolist())}
     assert got[300] == 0 and got[1199] == 1000
     assert components.connected(df.limit(0)).count() == 0
+
+
+def test_pairs_at_the_threshold_in_crowded_regions(spark):
+    # 400 texts at similarity 0.45, in pairs at exactly 0.8: regions are far above 2 classes in every tree
+    rows = []
+    for k in range(200):
+        both = [f"c{i}" for i in range(115)] + [f"t{k}x{i}" for i in range(48)]
+        rows += [(2 * k + e, " ".join(both + [f"e{2 * k + e}x{i}" for i in range(20)])) for e in range(2)]
+    assert len(shingles(rows[0][1]) & shingles(rows[1][1])) * 10 == 8 * len(shingles(rows[0][1]) | shingles(rows[1][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert answer(df, region=2) == {i: (180, i - i % 2, i % 2 == 0) for i in range(400)}

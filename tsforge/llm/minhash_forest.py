@@ -2,12 +2,13 @@
 
 1. Every text gets its set of ``SHINGLE``-word shingles (as 64-bit hashes) and ``TREES * DEPTH`` minima. Texts with
    equal sets are one *class* from here on, with the smallest id; any number of copies costs one row.
-2. Forest: each tree orders the classes by its own sequence of minima, range-partitioned and sorted by
-   Spark. Neighbours with a common prefix of ``SHALLOW`` or more minima are a region. A region of more than
-   ``REGION`` classes is divided by further minima, as deep as it needs. Within a region, classes whose
-   compact signatures (4 bits for each minimum) agree well enough for a similarity near the threshold are
-   candidates; a region sends a spanning star of each set of candidates, not its pairs. A region that
-   stays large at full depth is compared with its first members of each set only.
+2. Forest: each tree orders the classes by its own sequence of minima. Classes with equal first ``SHALLOW``
+   minima of a tree are a region. Classes whose compact signatures (4 bits for each minimum) agree well
+   enough for a similarity near the threshold are candidates; a tile sends a spanning star of each set of
+   candidates, not its pairs. A region of more than ``REGION`` classes meets in blocks of it, each pair of
+   blocks in its own group: all its pairs are compared. Before that, a batch lets one class stand for those
+   of its region that differ in few minima; how far they are is added to what may differ, so
+   no candidate is lost.
 3. Connected candidates make candidate groups. The whole texts of a group meet in one task; a group of
    more than ``TILE`` classes meets in blocks of it, each pair of blocks in its own task, so none has an
    unbounded group. Full shingle sets decide every link there, and two texts already connected need no test.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ from tsforge.llm.textcodes import BYTE_CODES, Ranges, mix, run_starts, slabs
 SHINGLE, PERCENT = 4, 80
 TREES, DEPTH, SHALLOW = 16, 8, 3
 REGION, TILE = 512, 2000
+#: Of more than FEW classes of a region in a batch, those at most NEAR minima from one are stood for by it; given up after VAIN that stand for none.
+FEW, NEAR, VAIN = 4, 12, 32
+_HOLD = 500_000
 MINIMA = TREES * DEPTH
 #: Equal 4-bit minima, of MINIMA, that make a candidate: 4.6 standard deviations below the mean at similarity 0.8.
 AGREE = 84
@@ -116,37 +121,51 @@ def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, h0 long, h1 long, minima binary")
 
 
-def _region(doc: np.ndarray, key: np.ndarray, sign: np.ndarray, depth: int, region: int, agree: int):
-    """Candidate links of classes that share the first ``depth`` minima of a tree."""
-    if len(doc) < 2:
-        return
-    if len(doc) > region and depth < DEPTH:
-        cuts = np.flatnonzero(key[1:, depth] != key[:-1, depth]) + 1
-        for part in np.split(np.arange(len(doc)), cuts):
-            yield from _region(doc[part], key[part], sign[part], depth + 1, region, agree)
-        return
-    a, b = [], []
-    if len(doc) <= region:
-        for i in range(len(doc) - 1):
-            near = np.flatnonzero((sign[i + 1:] == sign[i]).sum(1) >= agree)
-            a.append(np.full(len(near), doc[i]))
-            b.append(doc[i + 1 + near])
+def far(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """In how many minima each of ``many`` packed signatures (rows of 64-bit words) differs from ``one``; a metric."""
+    x = many ^ one
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+
+
+def _thin(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, radius): of each signature one that stands for it, at most ``NEAR`` away, and how far those it stands for are."""
+    first, radius = np.arange(len(packed)), np.zeros(len(packed), np.int32)
+    left, vain = np.arange(len(packed)), 0
+    while len(left) > 1 and vain < VAIN:
+        d = far(packed[left[0]], packed[left[1:]])
+        near = d <= NEAR
+        first[left[1:][near]] = left[0]
+        radius[left[0]] = d[near].max(initial=0)
+        vain = 0 if near.any() else vain + 1
+        left = left[1:][~near]
+    return first, radius
+
+
+def _compare(doc: np.ndarray, radius: np.ndarray, block: np.ndarray, packed: np.ndarray, reach: int):
+    """Links that span the classes of a tile at most ``reach`` apart, and as much more as those they stand for are away.
+    Of a tile of two blocks only pairs across are compared; each block has a tile of its own."""
+    if block[0] != block[-1]:
+        own, others = np.flatnonzero(block == block[0]), np.flatnonzero(block != block[0])
+        pairs = ((i, others) for i in own)
     else:
-        first = [0]  # the first member of each set of candidates
-        for i in range(1, len(doc)):
-            near = np.array(first)[(sign[first] == sign[i]).sum(1) >= agree]
-            if len(near):
-                a.append(np.full(len(near), doc[i]))
-                b.append(doc[near])
-            else:
-                first.append(i)
-    a, b = np.concatenate(a), np.concatenate(b)
-    if len(a):
-        yield stars(a, b)
+        pairs = ((i, np.arange(i + 1, len(doc))) for i in range(len(doc) - 1))
+    a, b, held = [], [], 0
+    for i, js in pairs:
+        near = js[far(packed[i], packed[js]) <= reach + radius[i] + radius[js]]
+        if len(near):
+            a.append(np.full(len(near), doc[i]))
+            b.append(doc[near])
+            held += len(near)
+        if held > _HOLD:
+            x, y = stars(np.concatenate(a), np.concatenate(b))
+            a, b, held = [x], [y], 0
+    return stars(np.concatenate(a), np.concatenate(b)) if a else None
 
 
 def candidates(classes: DataFrame, region: int = REGION, agree: int = AGREE) -> DataFrame:
-    """(a, b): spanning links of the classes that meet in some region and whose signatures agree."""
+    """(a, b): links that connect all classes that meet in some region and whose signatures agree, and maybe more."""
 
     def trees(batches):
         for b in batches:
@@ -156,47 +175,64 @@ def candidates(classes: DataFrame, region: int = REGION, agree: int = AGREE) ->
                 continue
             minima = np.stack([np.frombuffer(x, np.uint32) for x in raw])
             sign = compact(minima)
-            packed = (sign[:, ::2] << 4) | sign[:, 1::2]
+            packed = np.ascontiguousarray((sign[:, ::2] << 4) | sign[:, 1::2]).view(np.uint64)
             signs = pa.array([x.tobytes() for x in packed], pa.binary())
             for t in range(TREES):
-                keys = minima[:, t * DEPTH:(t + 1) * DEPTH].astype(">u4")
+                key = np.full(len(ids), t + 1, np.uint64)
+                for d in range(SHALLOW):
+                    key = mix(key ^ (minima[:, t * DEPTH + d].astype(np.uint64) << np.uint64(8)))
+                first, radius = np.arange(len(ids)), np.zeros(len(ids), np.int32)
+                order = np.argsort(key, kind="stable")
+                ends = np.append(np.flatnonzero(np.diff(key[order])) + 1, len(ids))
+                begins = np.append(0, ends[:-1])
+                for i, j in zip(begins[ends - begins > FEW].tolist(), ends[ends - begins > FEW].tolist(), strict=True):
+                    at = order[i:j]
+                    own, radius[at] = _thin(packed[at])
+                    first[at] = at[own]
+                gone = first != np.arange(len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), t, np.int32)), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array(ids), signs],
-                    names=["tree", "key", "doc_id", "sign"])
+                    [pa.array(key.view(np.int64)), pa.array(ids), pa.array(ids[first], mask=~gone), pa.array(radius),
+                     signs if not gone.any() else pc.if_else(pa.array(gone), pa.scalar(None, pa.binary()), signs)],
+                    names=["region", "doc_id", "first", "radius", "sign"])
 
     def links(batches):
-        held, now = [], None
+        now, held = None, []
 
         def done():
-            doc = np.array([x[0] for x in held])
-            key = np.stack([np.frombuffer(x[1], ">u4") for x in held])
-            packed = np.stack([np.frombuffer(x[2], np.uint8) for x in held])
-            sign = np.empty((len(doc), MINIMA), np.uint8)
-            sign[:, ::2], sign[:, 1::2] = packed >> 4, packed & 15
-            return list(_region(doc, key, sign, SHALLOW, region, agree))
-
-        def flat(found):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
+            doc, radius, block = (np.array([x[k] for x in held]) for k in range(3))
+            order = np.argsort(block, kind="stable")
+            packed = np.stack([np.frombuffer(held[i][3], np.uint64) for i in order])
+            return _compare(doc[order], radius[order], block[order], packed, MINIMA - agree)
 
         for b in batches:
-            found = []
-            for t, k, d, s in zip(b.column("tree").to_pylist(), b.column("key").to_pylist(), b.column("doc_id").to_pylist(),
-                                  b.column("sign").to_pylist(), strict=True):
-                if (t, k[:4 * SHALLOW]) != now:
-                    if len(held) > 1:
-                        found += done()
-                    held, now = [], (t, k[:4 * SHALLOW])
-                held.append((d, k, s))
-            if found:
-                yield flat(found)
-        if len(held) > 1:
-            found = done()
+            known = b.column("first").is_valid().to_numpy(zero_copy_only=False)
+            found = [(b.column("doc_id").to_numpy(zero_copy_only=False)[known],
+                      b.column("first").drop_null().to_numpy(zero_copy_only=False))] if known.any() else []
+            rest = b.filter(pa.array(~known))
+            keys = zip(*(rest.column(c).to_pylist() for c in ("region", "x", "y")), strict=True)
+            for k, row in zip(keys, zip(*(rest.column(c).to_pylist() for c in ("doc_id", "radius", "block", "sign")), strict=True), strict=True):
+                if k != now:
+                    if len(held) > 1 and (out := done()) is not None:
+                        found.append(out)
+                    now, held = k, []
+                held.append(row)
             if found:
-                yield flat(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
+        if len(held) > 1 and (out := done()) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b"])
 
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return classes.mapInArrow(tidy(trees), "tree int, key binary, doc_id long, sign binary").repartitionByRange(n, "tree", "key") \
-        .sortWithinPartitions("tree", "key", "doc_id").mapInArrow(tidy(links), "a long, b long")
+    rows = classes.mapInArrow(tidy(trees), "region long, doc_id long, first long, radius int, sign binary")
+    crowded = staged(rows.where("first IS NULL").groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > region)
+                     .select("region", F.ceil(F.col("n") / region).cast("int").alias("blocks")), "crowded")
+    # links known by now go to no tile and are spread
+    placed = rows.join(crowded, "region", "left").withColumn("blocks", F.when(F.col("first").isNull(), F.coalesce("blocks", F.lit(1))).otherwise(1)) \
+        .withColumn("block", F.when(F.col("first").isNull(), F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+                    .otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(65536))).cast("int")) \
+        .withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    tiles = placed.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+                          "doc_id", "first", "radius", "block", "sign")
+    return tiles.repartition(n, "region", "x", "y").sortWithinPartitions("region", "x", "y", "doc_id").mapInArrow(tidy(links), "a long, b long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -214,10 +250,22 @@ def confirm(doc: np.ndarray, sets: list[np.ndarray], sign: np.ndarray, percent:
     """Links that connect what full sets connect; texts already connected are not tested again."""
     root = np.arange(len(doc))  # of each text, the least of its set so far
     links = []
+    size = np.array([len(x) for x in sets])
+    begin = np.append(0, np.cumsum(size))
+    codes, place = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(codes), bool)
     for i in range(1, len(doc)):
-        near = np.flatnonzero((sign[:i] == sign[i]).sum(1) >= agree)
+        near = np.flatnonzero(((sign[:i] == sign[i]).sum(1) >= agree) & (root[:i] != root[i]))
+        if len(near) > 8:  # one text against all before it, exactly as similar() does it
+            own = place[begin[i]:begin[i + 1]]
+            mark[own] = True
+            both = np.add.reduceat(mark[place[:begin[i]]], begin[:i], dtype=np.int64)[near]
+            mark[own] = False
+            near = near[100 * both >= percent * (size[near] + size[i] - both)]
+        else:
+            near = [j for j in near if similar(sets[i], sets[j], percent)]
         for j in near:
-            if root[j] != root[i] and similar(sets[i], sets[j], percent):
+            if root[j] != root[i]:
                 links.append((int(doc[i]), int(doc[j])))
                 old, new = max(root[i], root[j]), min(root[i], root[j])
                 root[:i + 1][root[:i + 1] == old] = new
@@ -282,7 +330,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = sig.where("n_shingles > 0")
     classes = some.groupBy("h0", "h1").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     classes = staged(classes, "classes")
-    firsts = some.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    firsts = staged(some.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "minima"), "firsts")
     groups = staged(connected(candidates(firsts, region, agree)), "groups")
     parts = connected(confirmed(groups, docs, width, percent, agree, tile))
     return sig.where("n_shingles > 0").drop("minima").join(classes.where("copies > 1").drop("copies"), ["h0", "h1"], "left") \
