@@ -59,3 +59,16 @@ def test_sketch_loses_no_repeat(spark):
     hit = twice.may_repeat(seen)
     assert hit[: n - (n // 2 + 1000)].all()  # these occur twice
     assert hit[n - (n // 2 + 1000):].mean() < 0.1
+
+
+def test_windows_around_one_common_phrase_are_spread(spark, monkeypatch):
+    phrase = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(f"a{i}x{k}" for k in range(40)) + f" {phrase} " + " ".join(f"b{i}x{k}" for k in range(40))) for i in range(200)]
+    rows += [(1000, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(substring_dedup, "BUCKET", 100)
+    sent, buckets = substring_dedup.dealt_windows(df)
+    n = [r.n for r in sent.where("bucket >= 0").groupBy("bucket").agg((F.sum(F.length("pos")) / 4).alias("n")).collect()]
+    assert buckets > 50 and sum(n) > 3000 and max(n) < sum(n) / 10
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup(df).collect()}
+    assert got == {i: 0 for i in range(200)} | {1000: 110}

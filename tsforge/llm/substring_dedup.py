@@ -9,7 +9,8 @@ is lost, since the estimate is never below the true count.
 
 Before the shuffle a task keeps one document per distinct window (a window of a later document is
 settled on the spot), so a passage that a third of all documents hold costs one row per task.
-Windows are dealt out by their gram; a bucket holds about BUCKET windows and is worked on alone.
+Windows are dealt out by their own hash, so no bucket follows a gram that many different windows hold;
+a bucket holds about BUCKET windows and is worked on alone.
 
 Results in every case: null, empty and short texts have no windows and keep all their words; of equal
 texts the one with the smallest id keeps its words; rows that share an id count as one document;
@@ -59,10 +60,9 @@ def _runs(doc, pos, width):
     return doc[first], pos[first], pos[last] + width
 
 
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                  gram: int = GRAM) -> DataFrame:
-    """(doc_id, begin, until): word ranges covered by windows that a smaller document also holds; ranges may overlap."""
-    docs = id_and_text(df, id_col, text_col)
+def dealt_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, int]:
+    """(bucket, doc, pos, h0, h1) of the windows that may be repeated, one row for each bucket and stretch, and how many
+    buckets there are. Those below 0 hold ranges that their task has settled."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = size / 4  # an estimate that only sizes the sketch and the buckets
     steps = window - gram + 1
@@ -81,13 +81,13 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def settle(parts):
         """Windows of a task: rows to send by bucket, and what is settled here."""
-        doc, pos, h0, h1, gram_code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc, pos, h0, h1 = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((pos, doc, h1, h0))
-        doc, pos, h0, h1, gram_code = doc[order], pos[order], h0[order], h1[order], gram_code[order]
+        doc, pos, h0, h1 = doc[order], pos[order], h0[order], h1[order]
         repeated = _later(doc, h0, h1)
         yield _settled(doc[repeated], pos[repeated], window, buckets)
-        doc, pos, h0, h1, gram_code = (x[~repeated] for x in (doc, pos, h0, h1, gram_code))
-        bucket = (gram_code % np.uint64(buckets)).astype(np.int64)
+        doc, pos, h0, h1 = (x[~repeated] for x in (doc, pos, h0, h1))
+        bucket = (mix(h0) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         names = bucket[order][np.append(0, cuts)] if len(order) else bucket[:0]
@@ -115,7 +115,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 doc = np.searchsorted(bounds, at, "right") - 1
                 second = mix(Ranges(BYTE_CODES[s.data], 1).of(start, end) + (end - start).astype(np.uint64))
                 h0, h1 = Ranges(codes).of(at, at + window), Ranges(second, 1).of(at, at + window)
-                parts.append((ids[s.first + doc], at - bounds[doc], h0, h1, least[at]))
+                parts.append((ids[s.first + doc], at - bounds[doc], h0, h1))
                 held += len(at)
                 if held >= _HOLD:
                     yield from settle(parts)
@@ -123,6 +123,14 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if parts:
             yield from settle(parts)
 
+    return docs.mapInArrow(tidy(windows), "bucket long, doc binary, pos binary, h0 binary, h1 binary"), buckets
+
+
+def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                  gram: int = GRAM) -> DataFrame:
+    """(doc_id, begin, until): word ranges covered by windows that a smaller document also holds; ranges may overlap."""
+    sent, buckets = dealt_windows(id_and_text(df, id_col, text_col), window, gram)
+
     def group(batches):
         now, parts = None, []
 
@@ -147,7 +155,6 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if parts:
             yield from done()
 
-    sent = docs.mapInArrow(tidy(windows), "bucket long, doc binary, pos binary, h0 binary, h1 binary")
     n = max(1, min(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(group), "doc_id long, begin long, until long")
 
