@@ -68,3 +68,15 @@ def test_multikey_order():
     for k in range(1, len(lines)):
         same = next((j for j in range(24) if lines[k][j] != lines[k - 1][j]), 24)
         assert common[k] == same
+
+
+def test_a_frequent_lead_with_different_followers_is_spread(spark):
+    rng = np.random.default_rng(5)
+    say = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    rows = [(i, "".join(say(90) + " " * 40 for _ in range(6)) + say(60)) for i in range(120)]
+    rows += [(900, rows[3][1]), (901, "x" + rows[5][1][50:400])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert answer(suffix_dedup.dedup(df, bucket_size=40)) == brute(rows, 100)
+    sent, _ = suffix_dedup.dealt_suffixes(df, bucket_size=40)
+    n = [r.n for r in sent.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect()]
+    assert max(n) < sum(n) / 10

@@ -12,7 +12,7 @@ strings hold equal anchors at equal places, so every repeated string is found at
    lead is never cut in two, so a comparison across a bucket's boundary is decided by the splitter itself:
    suffixes on either side differ within the lead, which every string at these anchors includes. Leads so
    frequent that a bucket could not hold them (``hot``) are dealt out by the strings around them instead:
-   each string is sent as a suffix of its own, under its own leading bytes.
+   each string is sent as a suffix of its own, dealt out by a hash of all its bytes, apart from ordinary ones.
 3. A bucket sorts its suffixes, and the reversed texts before the anchors, by multikey quicksort on
    8-byte symbols: a round orders by one symbol, and only what ties goes on to the next. With the common
    prefix lengths of neighbours the strings at distance d before an anchor are equal exactly where d bytes
@@ -201,8 +201,9 @@ def _send(bucket, n, blob):
                                       names=["bucket", "n", "blob"])
 
 
-def splitters(docs: DataFrame, twice, n_docs: int, buckets: int, reach: int, length: int, gram: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cuts, hot): leads that begin a bucket, from the suffixes of sampled documents; leads that fill more than one."""
+def splitters(docs: DataFrame, twice, n_docs: int, buckets: int, reach: int, length: int, gram: int, lead: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(cuts, hot, filled): leads that begin a bucket, from the suffixes of sampled documents; leads that fill more than
+    one; how many buckets these fill."""
     share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
 
     def run(batches):
@@ -215,19 +216,20 @@ def splitters(docs: DataFrame, twice, n_docs: int, buckets: int, reach: int, len
 
     seen = sorted(bytes(r.lead) for r in docs.sample(False, share, 11).mapInArrow(tidy(run), "lead binary").toLocalIterator())
     if not seen or buckets < 2:
-        return np.zeros(0, f"S{lead}"), np.zeros(0, f"S{lead}")
+        return np.zeros(0, f"S{lead}"), np.zeros(0, f"S{lead}"), 0
     picked = [seen[i * len(seen) // buckets] for i in range(1, buckets)]
     # with few samples a bucket, two equal cuts are chance; a lead that fills four buckets is hot
     hot = sorted({a for a, b in zip(picked, picked[4:], strict=False) if a == b})
-    return np.unique(np.array(picked, f"S{lead}")), np.array(hot, f"S{lead}")
+    return np.unique(np.array(picked, f"S{lead}")), np.array(hot, f"S{lead}"), sum(x in set(hot) for x in picked)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_size: int = BUCKET) -> DataFrame:
-    """(doc_id, begin, until): byte ranges of ``docs`` (doc_id, text) covered by strings that start earlier; they may overlap."""
+def dealt_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_size: int = BUCKET) -> tuple[DataFrame, int]:
+    """(bucket, n, blob) of the suffixes that may be repeated, and how many buckets ordinary ones have. Strings around hot
+    leads are in the buckets after those, ranges that are settled in those below 0."""
     spark = docs.sparkSession
     lead = min(LEAD, gram)
     n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    reach, width = length - gram, 2 * length - gram
+    reach = length - gram
     expected = 2.3 * size / (reach + 2)
 
     def keys_of(batch):
@@ -236,16 +238,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
 
     twice = spark.sparkContext.broadcast(sketch.build(docs, keys_of, sketch.log2_cells(expected)))
     buckets = max(1, math.ceil(expected / bucket_size))
-    cuts, hot = splitters(docs, twice, n_docs, buckets, reach, length, gram, lead)
+    cuts, hot, filled = splitters(docs, twice, n_docs, buckets, reach, length, gram, lead)
+
+    # an anchor has as many strings around it as it has distances
+    hot_buckets = 1 + filled * (reach + 1)
 
     def settle(parts):
         """Suffixes of a stretch of texts: one of each set of equal surroundings goes on."""
-        doc, place, left, right, h0, h1, context = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((place, doc, h1, h0))
-        doc, place, left, right, context = doc[order], place[order], left[order], right[order], context[order]
+        doc, place, left, right, h0, h1, context, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, doc, own, h1, h0))
+        doc, place, left, right, context, own = doc[order], place[order], left[order], right[order], context[order], own[order]
         same = np.zeros(len(order), bool)
         same[1:] = (h0[order][1:] == h0[order][:-1]) & (h1[order][1:] == h1[order][:-1]) \
-            & (left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (context[1:] == context[:-1]).all(1)
+            & (own[1:] == own[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (context[1:] == context[:-1]).all(1)
         done = np.flatnonzero(same)
         if len(done):
             # bucket -1 and below: ranges that are settled, spread over the tasks
@@ -253,7 +258,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
             spread = -1 - int(mix(d[:1].astype(np.uint64))[0] % np.uint64(max(64, buckets)))
             yield _send([spread], [len(d)], [_pack(d.astype("<i8"), b.astype("<i8"), u.astype("<i8"))])
         go = np.flatnonzero(~same)
-        bucket = np.searchsorted(cuts, _leads(context[go], reach, lead), "right")
+        # strings around hot leads matter only where all their bytes are equal: their hash deals them out
+        bucket = np.where(own[go], buckets + (mix(h0[order][go]) % np.uint64(hot_buckets)).astype(np.int64),
+                          np.searchsorted(cuts, _leads(context[go], reach, lead), "right"))
         go, bucket = go[np.argsort(bucket, kind="stable")], np.sort(bucket)
         ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(go))
         begins = np.append(0, ends[:-1])
@@ -274,22 +281,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
                 if len(at):
                     second = Ranges(BYTE_CODES[s.data], 1)
                     text, place, left, right, context = suffixes.rows(at, reach, length)
-                    groups = [(text, place, left, right, context)]
+                    groups = [(text, place, left, right, context, np.zeros(len(text), bool))]
                     if len(hot):
                         # the strings around a hot lead, each as a suffix without anything before it
                         is_hot = np.isin(_leads(context, reach, lead), hot)
                         starts = (s.at[text] + place)[is_hot][:, None] - np.arange(reach + 1)
-                        own = text[is_hot][:, None]
-                        fits = (starts >= s.at[own]) & (starts + length <= s.at[own + 1])
+                        within = text[is_hot][:, None]
+                        fits = (starts >= s.at[within]) & (starts + length <= s.at[within + 1])
                         starts = np.unique(starts[fits])
                         groups = [tuple(x[~is_hot] for x in groups[0])]
                         for k in range(0, len(starts), 20_000):
                             own_text, own_place, none, right_, own_context = suffixes.rows(starts[k:k + 20_000], 0, length)
-                            groups.append((own_text, own_place, none, right_, np.pad(own_context, ((0, 0), (reach, 0)))))
-                    for text, place, left, right, context in groups:
+                            groups.append((own_text, own_place, none, right_, np.pad(own_context, ((0, 0), (reach, 0))), np.ones(len(own_text), bool)))
+                    for text, place, left, right, context, own in groups:
                         where = s.at[text] + place
                         parts.append((ids[s.first + text], place, left, right, suffixes.ranges.of(where - left, where + right),
-                                      second.of(where - left, where + right), context))
+                                      second.of(where - left, where + right), context, own))
                 if held >= _HOLD_BYTES or sum(len(p[0]) for p in parts) > 200_000:
                     if parts:
                         yield from settle(parts)
@@ -297,6 +304,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         if parts:
             yield from settle(parts)
 
+    return docs.mapInArrow(tidy(find), "bucket long, n long, blob binary"), buckets
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_size: int = BUCKET) -> DataFrame:
+    """(doc_id, begin, until): byte ranges of ``docs`` (doc_id, text) covered by strings that start earlier; they may overlap."""
+    lead, reach, width = min(LEAD, gram), length - gram, 2 * length - gram
+    sent, buckets = dealt_suffixes(docs, length, gram, bucket_size)
+
     def compare(batches):
         now, parts = None, []
 
@@ -323,8 +338,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         if parts:
             yield from done()
 
-    n = max(1, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return docs.mapInArrow(tidy(find), "bucket long, n long, blob binary").repartition(n, "bucket") \
+    n = max(1, min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return sent.repartition(n, "bucket") \
         .sortWithinPartitions("bucket").mapInArrow(tidy(compare), "doc_id long, begin long, until long")
 
 
