@@ -1,13 +1,18 @@
 """Every registered query with an oracle equals its DuckDB SQL on the smallest tables
 (row count, column names, order-insensitive value hash), as the correctness gate does."""
 
+import os
+import sys
+
 import duckdb
 import pytest
 
 import __spark_entry__ as E
 from tools_check import TABLES, frame_hash
 
-from conftest import SF_SMALL
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from paths import SF_SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="module")
