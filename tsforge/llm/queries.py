@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import bpe_chunks, embedding_join, langid, minhash_forest, oracles, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
+from tsforge.llm import bpe_chunks, embedding_join, langid, minhash_forest, oracles, packing, periodic_runs, quality, substring_dedup, suffix_dedup, toxicity, warc
 from tsforge.session import ship_package
 
 
@@ -59,6 +59,17 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip_digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic(_table(spark, sf_dir, "documents"), plant=periodic_runs.echo)
+    # the longest run, then the first, then the shortest period
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length",
+        (-F.col("best.period")).alias("period"), F.expr("best.length * 1000 DIV -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -70,6 +81,7 @@ QUERIES = {
     "op8_quality_trees": op8_quality_trees,
     "op9_minhash_forest": op9_minhash_forest,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: The network, the trees, the tokenizer and the packing are beyond SQL; tests hold those against brute force.
