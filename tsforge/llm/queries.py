@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import bpe_chunks, embedding_join, langid, minhash_forest, oracles, packing, periodic_runs, quality, substring_dedup, suffix_dedup, toxicity, warc
+from tsforge.llm import bpe_chunks, embedding_join, langid, minhash_forest, oracles, packing, periodic_runs, quality, spelling, substring_dedup, suffix_dedup, toxicity, warc
 from tsforge.session import ship_package
 
 
@@ -59,6 +59,10 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_fm_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), typo=spelling.crc_typo)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.periodic(_table(spark, sf_dir, "documents"), plant=periodic_runs.echo)
     # the longest run, then the first, then the shortest period
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_quality_trees": op8_quality_trees,
     "op9_minhash_forest": op9_minhash_forest,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
+    "op11_fm_spelling": op11_fm_spelling,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -91,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op6_warc_archives": oracles.OP6,
     "op7_grid_order_join": oracles.OP7,
     "op9_minhash_forest": oracles.OP9,
+    "op11_fm_spelling": oracles.OP11,
 }
