@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools_check import TABLES, frame_hash
+from tools_check import TABLES, frame_hash, spark_frame
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -30,7 +30,7 @@ FILLED_UP = {"rolling_features_filled", "statistical_features_filled", "ema_feat
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    got = E.queries()[name](spark, SF_SMALL).toPandas()
+    got = spark_frame(E.queries()[name](spark, SF_SMALL))
     want = con.execute(E.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
