@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import bpe_chunks, embedding_join, langid, minhash_forest, oracles, packing, periodic_runs, quality, spelling, substring_dedup, suffix_dedup, toxicity, warc
+from tsforge.llm import bpe_chunks, embedding_join, langid, minhash_forest, oracles, packing, page_template, periodic_runs, quality, spelling, substring_dedup, suffix_dedup, toxicity, warc
 from tsforge.session import ship_package
 
 
@@ -63,6 +63,10 @@ def op11_fm_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"), typo=spelling.crc_typo)
 
 
+def op12_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_template.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.periodic(_table(spark, sf_dir, "documents"), plant=periodic_runs.echo)
     # the longest run, then the first, then the shortest period
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_minhash_forest": op9_minhash_forest,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
     "op11_fm_spelling": op11_fm_spelling,
+    "op12_page_templates": op12_page_templates,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
