@@ -1,9 +1,10 @@
-"""A count-min sketch whose counters stop at two: which 64-bit keys may occur more than once.
+"""A count-min sketch: which 64-bit keys may occur more than once, and which may occur very often.
 
 Every task sketches its own rows and sends the touched cells by block; a block's sketches are merged
 in one place by adding. What goes to the driver and back as a broadcast are only the bits "counted
 twice or more" - ``depth * 2**log2_cells / 8`` bytes, at most 2 * 2**30 / 8 = 256 MB by MAX_LOG2,
-whatever the input. Counts are over-estimates: a key that occurs twice is always reported.
+whatever the input - and the names of cells counted HOT times or more, one for each HOT keys at most.
+Counts are over-estimates: a key that occurs twice, or HOT times, is always reported.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ MIN_LOG2, MAX_LOG2 = 20, 30
 DEPTH = 2
 #: Cells for each expected key.
 ROOM = 4
-_BLOCK_LOG2 = 20
+HOT = 10_000
+_BLOCK_LOG2, _COUNT_LOG2 = 20, 12
 _FLUSH = 2_000_000
 
 
@@ -38,8 +40,14 @@ def _cells(keys: np.ndarray, row: int, log2: int) -> np.ndarray:
 class Twice:
     """The merged sketch."""
 
-    def __init__(self, bits: list[np.ndarray], log2: int):
-        self.bits, self.log2 = bits, log2
+    def __init__(self, bits: list[np.ndarray], log2: int, hot: list[np.ndarray]):
+        self.bits, self.log2, self.hot = bits, log2, hot
+
+    def may_be_hot(self, keys: np.ndarray) -> np.ndarray:
+        hit = np.ones(len(keys), bool)
+        for row, cells in enumerate(self.hot):
+            hit &= np.isin(_cells(keys, row, self.log2), cells)
+        return hit
 
     def may_repeat(self, keys: np.ndarray) -> np.ndarray:
         hit = np.ones(len(keys), bool)
@@ -49,16 +57,24 @@ class Twice:
         return hit
 
 
-def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2: int, depth: int = DEPTH, least: int = 2) -> Twice:
+def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2: int, depth: int = DEPTH, least: int = 2, hot: int = HOT) -> Twice:
     """Sketch the keys of all rows of ``df``; ``least`` 1 asks which keys occur at all."""
     block_log2 = min(_BLOCK_LOG2, log2)
+    most = (1 << _COUNT_LOG2) - 1
 
     def sketch(parts: list[np.ndarray]):
         keys = np.concatenate(parts)
         for row in range(depth):
             cell, n = np.unique(_cells(keys, row, log2), return_counts=True)
             block = (cell >> np.uint64(block_log2)).astype(np.int64)
-            packed = ((cell & np.uint64((1 << block_log2) - 1)) << np.uint64(1)).astype("<u4") | (n > 1).astype("<u4")
+            if n.max() > most:  # a count goes in several parts
+                parts = -(-n // most)
+                cell, block = np.repeat(cell, parts), np.repeat(block, parts)
+                last = np.cumsum(parts) - 1
+                rest = n - most * (parts - 1)
+                n = np.full(len(cell), most)
+                n[last] = rest
+            packed = ((cell & np.uint64((1 << block_log2) - 1)) << np.uint64(_COUNT_LOG2)).astype("<u4") | n.astype("<u4")
             cuts = np.flatnonzero(np.diff(block)) + 1
             names = block[np.append(0, cuts)]
             yield pa.RecordBatch.from_arrays(
@@ -84,26 +100,31 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
         def done():
             bits = np.packbits(counts >= least)
             if bits.any():
-                yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()),
-                                                  pa.array([bits.tobytes()], pa.binary())], names=["r", "block", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([bits.tobytes()], pa.binary()),
+                                                  pa.array([np.flatnonzero(counts >= hot).astype("<u4").tobytes()], pa.binary())], names=["r", "block", "bits", "hot"])
 
         for b in batches:
             for key, cells in zip(zip(b.column("r").to_pylist(), b.column("block").to_pylist(), strict=True), b.column("cells"), strict=True):
                 if key != now:
                     if now is not None:
                         yield from done()
-                    now, counts = key, np.zeros(1 << block_log2, np.uint8)
+                    now, counts = key, np.zeros(1 << block_log2, np.uint32)
                 packed = np.frombuffer(cells.as_buffer(), "<u4")
-                at = packed >> 1
-                counts[at] = np.minimum(2, counts[at] + 1 + (packed & 1).astype(np.uint8))
+                if len(packed) > 4096:
+                    counts += np.bincount(packed >> _COUNT_LOG2, packed & most, 1 << block_log2).astype(np.uint32)
+                else:
+                    np.add.at(counts, packed >> _COUNT_LOG2, packed & most)
+                np.minimum(counts, 1 << 30, out=counts)
         if now is not None:
             yield from done()
 
     n = max(1, min(depth << (log2 - block_log2), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     merged = df.mapInArrow(tidy(count), "r int, block long, cells binary").repartition(n, "r", "block") \
-        .sortWithinPartitions("r", "block").mapInArrow(tidy(merge), "r int, block long, bits binary")
+        .sortWithinPartitions("r", "block").mapInArrow(tidy(merge), "r int, block long, bits binary, hot binary")
     bits = [np.zeros(max(1, (1 << log2) // 8), np.uint8) for _ in range(depth)]
+    often: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(depth)]
     width = (1 << block_log2) // 8
     for row in merged.toLocalIterator():
         bits[row.r][row.block * width:(row.block + 1) * width] = np.frombuffer(row.bits, np.uint8)
-    return Twice(bits, log2)
+        often[row.r].append(np.frombuffer(row.hot, "<u4").astype(np.uint64) + np.uint64(row.block << block_log2))
+    return Twice(bits, log2, [np.sort(np.concatenate(x)) for x in often])

@@ -9,8 +9,10 @@ is lost, since the estimate is never below the true count.
 
 Before the shuffle a task keeps one document per distinct window (a window of a later document is
 settled on the spot), so a passage that a third of all documents hold costs one row per task.
-Windows are dealt out by their own hash, so no bucket follows a gram that many different windows hold;
-a bucket holds about BUCKET windows and is worked on alone.
+Windows are dealt out by their gram: neighbours share it, so a removed passage stays a few ranges whatever the
+number of buckets. A gram that the sketch counts in so many documents that their windows could fill half a bucket is
+hot: its windows are dealt out by their own hash instead, so no bucket follows one gram.
+A bucket holds about BUCKET windows and is worked on alone.
 
 Results in every case: null, empty and short texts have no windows and keep all their words; of equal
 texts the one with the smallest id keeps its words; rows that share an id count as one document;
@@ -23,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,19 +78,19 @@ def dealt_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tu
                 doc = np.searchsorted(bounds, at, "right")
                 yield order[at][np.unique(mix(order[at] + doc.astype(np.uint64)), return_index=True)[1]]
 
-    twice = sketch.build(docs, keys_of, sketch.log2_cells(words * 2 / (steps + 1)))
+    twice = sketch.build(docs, keys_of, sketch.log2_cells(words * 2 / (steps + 1)), hot=max(2, BUCKET // (2 * steps)))
     shared = docs.sparkSession.sparkContext.broadcast(twice)
     buckets = max(1, math.ceil(words / BUCKET))
 
     def settle(parts):
         """Windows of a task: rows to send by bucket, and what is settled here."""
-        doc, pos, h0, h1 = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc, pos, h0, h1, key = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((pos, doc, h1, h0))
-        doc, pos, h0, h1 = doc[order], pos[order], h0[order], h1[order]
+        doc, pos, h0, h1, key = doc[order], pos[order], h0[order], h1[order], key[order]
         repeated = _later(doc, h0, h1)
         yield _settled(doc[repeated], pos[repeated], window, buckets)
-        doc, pos, h0, h1 = (x[~repeated] for x in (doc, pos, h0, h1))
-        bucket = (mix(h0) % np.uint64(buckets)).astype(np.int64)
+        doc, pos, h0, h1, key = (x[~repeated] for x in (doc, pos, h0, h1, key))
+        bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         names = bucket[order][np.append(0, cuts)] if len(order) else bucket[:0]
@@ -108,14 +111,16 @@ def dealt_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tu
                 new = np.ones(len(least), bool)
                 new[1:] = least[1:] != least[:-1]
                 first = np.flatnonzero(new)
-                hit = np.repeat(shared.value.may_repeat(least[first]), np.diff(np.append(first, len(least)))) & valid
+                span = np.diff(np.append(first, len(least)))
+                hit = np.repeat(shared.value.may_repeat(least[first]), span) & valid
                 at = np.flatnonzero(hit)
                 if not len(at):
                     continue
                 doc = np.searchsorted(bounds, at, "right") - 1
                 second = mix(Ranges(BYTE_CODES[s.data], 1).of(start, end) + (end - start).astype(np.uint64))
                 h0, h1 = Ranges(codes).of(at, at + window), Ranges(second, 1).of(at, at + window)
-                parts.append((ids[s.first + doc], at - bounds[doc], h0, h1))
+                hot = np.repeat(shared.value.may_be_hot(least[first]), span)[at]
+                parts.append((ids[s.first + doc], at - bounds[doc], h0, h1, np.where(hot, h0, least[at])))
                 held += len(at)
                 if held >= _HOLD:
                     yield from settle(parts)
@@ -196,7 +201,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     """(doc_id, n_words, n_removed, kept string[, carried columns]): each whole text without its repeated words,
     joined by one space. Carried columns have other names than the first four."""
     runs = repeated_runs(df, id_col, text_col, window, gram).groupBy("doc_id").agg(
-        F.collect_set(F.struct("begin", "until")).alias("runs"))
+        F.collect_list(F.shiftleft("begin", 32) + F.col("until")).alias("runs"))
     held = [f"carried_{k}" for k in range(len(carry))]
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
@@ -206,25 +211,33 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     def keep(batches):
         for b in batches:
-            runs = b.column("runs")
+            runs = pc.fill_null(b.column("runs"), [])
+            at = runs.offsets.to_numpy()
+            packed = runs.flatten().to_numpy(zero_copy_only=False)
+            at = at - at[0]
             for s in slabs(b.column("text")):
                 start, end, bounds = s.words()
                 raw = s.data.tobytes()
-                n, gone, kept = [], [], []
-                for i in range(len(s)):
-                    lo, hi = int(bounds[i]), int(bounds[i + 1])
-                    own = runs[s.first + i].as_py()
-                    out = np.zeros(hi - lo + 1, np.int64)
-                    for r in own or ():
-                        out[min(r["begin"], hi - lo)] += 1
-                        out[min(r["until"], hi - lo)] -= 1
-                    stay = lo + np.flatnonzero(np.cumsum(out)[:-1] == 0)
-                    n.append(hi - lo)
-                    gone.append(hi - lo - len(stay))
-                    kept.append(b" ".join([raw[x:y] for x, y in zip(start[stay].tolist(), end[stay].tolist(), strict=True)]).decode())
+                n = np.diff(bounds)
+                own = packed[at[s.first]:at[s.first + len(s)]]
+                owner = np.repeat(np.arange(len(s)), np.diff(at[s.first:s.first + len(s) + 1]))
+                edge = np.zeros(len(start) + 1, np.int64)
+                np.add.at(edge, bounds[owner] + np.minimum(own >> 32, n[owner]), 1)  # rows that share an id differ in length
+                np.add.at(edge, bounds[owner] + np.minimum(own & 0xFFFFFFFF, n[owner]), -1)
+                stays = np.cumsum(edge[:-1]) == 0
+                some = np.zeros(len(s), bool)
+                some[owner] = True
+                gone, kept = np.zeros(len(s), np.int64), []
+                for i, cut in enumerate(some.tolist()):
+                    if not cut:
+                        kept.append(b" ".join(raw[s.at[i]:s.at[i + 1]].split()))
+                        continue
+                    k = bounds[i] + np.flatnonzero(stays[bounds[i]:bounds[i + 1]])
+                    gone[i] = n[i] - len(k)
+                    kept.append(b" ".join([raw[x:y] for x, y in zip(start[k].tolist(), end[k].tolist(), strict=True)]))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(s.first, len(s)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                     pa.array(kept, pa.string()), *(b.column(h).slice(s.first, len(s)) for h in held)],
+                    [b.column("doc_id").slice(s.first, len(s)), pa.array(n.astype(np.int64)), pa.array(gone),
+                     pa.array(kept, pa.binary()).cast(pa.string()), *(b.column(h).slice(s.first, len(s)) for h in held)],
                     names=["doc_id", "n_words", "n_removed", "kept", *held])
 
     out = joined.mapInArrow(tidy(keep), "doc_id long, n_words long, n_removed long, kept string" + kinds)
