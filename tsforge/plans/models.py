@@ -1,8 +1,7 @@
 """Model training, cross-validation and scoring on pyspark.ml.
 
-Features are assembled with ``VectorAssembler``; tree ensembles are Spark's
-``GBTRegressor`` / ``RandomForestRegressor`` (distributed histogram split
-finding). Predictions are joined to their actuals by ``(series, ts)`` and all
+Boosted trees of all presets and folds are grown together (``plans/boosting.py``); forests are Spark's
+``RandomForestRegressor`` on features of a ``VectorAssembler``, fitted from several threads. Predictions are joined to their actuals by ``(series, ts)`` and all
 metrics come from :mod:`tsforge.plans.metrics`. Only metric rows are small
 enough to reach the driver; nothing else is collected.
 """
@@ -11,21 +10,25 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
 from tsforge.operators.nulls import column_medians, rows_with_few_nulls
 from tsforge.operators.sequence import IDX, with_row_index
 from tsforge.plans.baselines import with_split
+from tsforge.plans.boosting import BoostedTrees, Boosting, fit_many
 from tsforge.plans.metrics import regression_metrics
 from tsforge.session import cut_lineage
 
@@ -36,15 +39,20 @@ class TreePreset:
     kind: str  # "gbt" | "rf"
     params: tuple  # (key, value) pairs for the estimator
 
+    def boosting(self) -> Boosting:
+        p = dict(self.params)
+        return Boosting(p.get("maxIter", 100), p.get("maxDepth", 6), p.get("stepSize", 0.1), p.get("subsamplingRate", 1.0),
+                        float(p.get("featureSubsetStrategy", 1.0)), p.get("l2", 1.0), p.get("leastRows", 1), p.get("seed", 42))
+
 
 # Fixed presets of the reference: boosted trees 200 x depth 8, rate 0.1, 80 % rows and
-# columns, seed 42 (A); same numbers without row sampling (B, a second library in the
-# reference); random forest 100 x depth 10, seed 42.
+# columns, seed 42 (A); same numbers in a second library (B), whose defaults are no row sampling
+# unless asked for by interval, no penalty on leaves and 20 rows a leaf; random forest 100 x depth 10, seed 42.
 PRESETS = {
     "boosted_a": TreePreset("boosted_a", "gbt", (("maxIter", 200), ("maxDepth", 8), ("stepSize", 0.1),
                                                   ("subsamplingRate", 0.8), ("featureSubsetStrategy", "0.8"), ("seed", 42))),
     "boosted_b": TreePreset("boosted_b", "gbt", (("maxIter", 200), ("maxDepth", 8), ("stepSize", 0.1),
-                                                  ("subsamplingRate", 1.0), ("featureSubsetStrategy", "0.8"), ("seed", 42))),
+                                                  ("subsamplingRate", 1.0), ("featureSubsetStrategy", "0.8"), ("l2", 0.0), ("leastRows", 20), ("seed", 42))),
     "random_forest": TreePreset("random_forest", "rf", (("numTrees", 100), ("maxDepth", 10),
                                                          ("featureSubsetStrategy", "all"), ("seed", 42))),
 }
@@ -56,25 +64,25 @@ DEFAULT_PRESETS = {
 
 
 def evaluate_with_baselines(df: DataFrame, target: str, presets: list[TreePreset], test_size: float = 0.2,
-                            prepared: tuple | None = None) -> tuple[DataFrame, dict]:
+                            prepared: tuple | None = None, n_splits: int = 0) -> tuple:
     """M6 + M7 + M9: fitted presets and the three baselines on the same filtered target and
     the same time split (baselines from the training frame's label, as the reference does).
-    Returns ``(metrics, models)``."""
+    Returns ``(metrics, models)``, and with ``n_splits`` the folds' metrics (M8) as a third."""
     from tsforge.plans.baselines import BASELINES, baseline_predictions, to_long
     prepared = prepared or training_frame(df, target, test_size=test_size)
     frame, _ = prepared
-    _, long, models, _ = train_and_evaluate(df, target, presets, test_size, prepared=prepared)
+    _, long, models, _, *folds = train_and_evaluate(df, target, presets, test_size, prepared=prepared, n_splits=n_splits)
     y = frame.select(SERIES, TS, IDX, "is_test", "label")
     base = to_long(baseline_predictions(y, "label"), "label", [b[0] for b in BASELINES], keep=["is_test"])
     metrics = regression_metrics(long.unionByName(base.where("is_test").drop("is_test")), ["model"])
-    return with_failures(metrics, [p.name for p in presets if p.name not in models]), models
+    return with_failures(metrics, [p.name for p in presets if p.name not in models]), models, *folds
 
 
 ROWS_PER_PARTITION = 50_000
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """Rows dealt over as many partitions as they fill: iterative fits run one job per tree level, and empty
+    """Rows dealt over as many partitions as they fill: forests run one job per level, and empty
     partitions cost more than the rows of a small frame."""
     return cut_lineage(df.repartition(max(1, math.ceil(df.count() / ROWS_PER_PARTITION))))
 
@@ -102,12 +110,7 @@ def tree_memory_mb(spark) -> int:
 
 
 def estimator(preset: TreePreset, features: str = "features", label: str = "label", memory_mb: int = 256):
-    params = dict(preset.params)
-    cls = GBTRegressor if preset.kind == "gbt" else RandomForestRegressor
-    est = cls(featuresCol=features, labelCol=label, predictionCol="prediction", maxMemoryInMB=memory_mb, **params)
-    if preset.kind == "gbt":
-        est = est.setCheckpointInterval(10).setCacheNodeIds(True)
-    return est
+    return RandomForestRegressor(featuresCol=features, labelCol=label, predictionCol="prediction", maxMemoryInMB=memory_mb, **dict(preset.params))
 
 
 def feature_columns(df: DataFrame, target: str, exclude: list[str] | None = None) -> list[str]:
@@ -147,40 +150,117 @@ def assembler(feats: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
 
 
-def fit(train: DataFrame, feats: list[str], preset: TreePreset) -> PipelineModel:
+Model = PipelineModel | BoostedTrees
+
+
+def fit(train: DataFrame, feats: list[str], preset: TreePreset) -> Model:
+    if preset.kind == "gbt":
+        return fit_many(train, feats, {"model": (preset.boosting(), F.lit(True))})["model"]
     est = estimator(preset, memory_mb=tree_memory_mb(train.sparkSession))
     return Pipeline(stages=[assembler(feats), est]).fit(sized(train.select(*feats, "label")))
 
 
-def predictions(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
+#: Forests that are fitted at the same time.
+THREADS = 4
+
+
+def fit_all(rows: DataFrame, feats: list[str], asked: dict[object, tuple[TreePreset, Column]]) -> tuple[dict[object, Model], dict[object, str]]:
+    """(models, failures) of name -> (preset, which rows it learns from). All boosted trees share their jobs; forests run
+    from threads. What ends one fit leaves the others alone."""
+    models, failed, boosted = {}, {}, {}
+    for name, (p, where) in asked.items():
+        if p.kind == "gbt":
+            try:
+                b = p.boosting()
+                b.check()
+                boosted[name] = (b, where)
+            except Exception as e:  # noqa: BLE001 - whatever ends one fit, the other models are still evaluated
+                failed[name] = str(e)
+
+    def guarded(run: Callable):
+        try:
+            return run(), None
+        except Exception as e:  # noqa: BLE001 - as above
+            return None, str(e)
+
+    def forest(name):
+        p, where = asked[name]
+        return guarded(lambda: fit(rows.where(where), feats, p))
+
+    forests = [n for n, (p, _) in asked.items() if p.kind != "gbt"]
+    with ThreadPoolExecutor(THREADS) as pool:
+        run = inheritable_thread_target(rows.sparkSession)(forest)
+        waiting = {n: pool.submit(run, n) for n in forests}
+        if boosted:
+            got, error = guarded(lambda: fit_many(rows, feats, {str(k): v for k, v in enumerate(boosted.values())}))
+            for k, n in enumerate(boosted):
+                if error is None and str(k) in got:
+                    models[n] = got[str(k)]
+                else:
+                    failed[n] = error or "no rows to learn from"
+        for n, f in waiting.items():
+            m, error = f.result()
+            if error is None:
+                models[n] = m
+            else:
+                failed[n] = error
+    return {n: models[n] for n in asked if n in models}, failed
+
+
+def predictions(model: Model, rows: DataFrame, name: str) -> DataFrame:
     """Long predictions ``(series, ts, model, y_true, y_pred)`` keyed by time, not position."""
     return model.transform(rows).select(SERIES, TS, F.lit(name).alias("model"), F.col("label").alias("y_true"),
                                         F.col("prediction").alias("y_pred"))
 
 
 def train_and_evaluate(df: DataFrame, target: str, presets: list[TreePreset], test_size: float = 0.2,
-                       exclude: list[str] | None = None, prepared: tuple | None = None):
+                       exclude: list[str] | None = None, prepared: tuple | None = None, n_splits: int = 0):
     """M2-M4, M7, M9: fit each preset on the training rows, score the test rows.
 
-    Returns ``(metrics, long_predictions, models, feature_names)``. ``prepared``
-    is an existing ``training_frame`` result (materialised once, reused).
+    Returns ``(metrics, long_predictions, models, feature_names)``; with ``n_splits`` the presets' folds (M8) are
+    fitted in the same jobs, and their metrics follow as a fifth. ``prepared`` is an existing ``training_frame``
+    result (materialised once, reused).
     """
     frame, feats = prepared or training_frame(df, target, exclude, test_size)
-    train = frame.where(~F.col("is_test"))
-    test = frame.where(F.col("is_test"))
-    models, longs, failed = {}, [], []
-    for p in presets:
-        try:
-            m = fit(train, feats, p)
-        except Exception as e:  # noqa: BLE001 - whatever ends one fit, the other models are still evaluated
-            warnings.warn(f"model {p.name} could not be fitted: {e}", stacklevel=2)
-            failed.append(p.name)
-            continue
-        models[p.name] = m
-        longs.append(predictions(m, test, p.name))
+    train, test = F.col("is_test") == F.lit(False), frame.where("is_test")
+    asked = {(p.name, None): (p, train) for p in presets}
+    if n_splits:
+        frame = with_folds(frame, n_splits)
+        asked |= {(p.name, k): (p, train & _learns(k, n_splits)) for p in presets for k in range(n_splits)}
+    models, failed = fit_all(frame, feats, asked)
+    for (name, k), error in failed.items():
+        warnings.warn(f"model {name}{'' if k is None else f' of fold {k}'} could not be fitted: {error}", stacklevel=2)
+    longs = [predictions(m, test, name) for (name, k), m in models.items() if k is None]
     empty = test.select(SERIES, TS, F.lit("").alias("model"), F.col("label").alias("y_true"), F.lit(None).cast("double").alias("y_pred")).limit(0)
     long = reduce(DataFrame.unionByName, longs, empty)
-    return with_failures(regression_metrics(long, ["model"]), failed), long, models, feats
+    metrics = with_failures(regression_metrics(long, ["model"]), [n for n, k in failed if k is None])
+    out = metrics, long, {n: m for (n, k), m in models.items() if k is None}, feats
+    return (*out, _fold_metrics(frame.where(train), models, n_splits)) if n_splits else out
+
+
+def with_folds(rows: DataFrame, n_splits: int) -> DataFrame:
+    """Rows with ``_count``, the training rows of their series, which the folds' bounds follow from."""
+    counts = rows.where(F.col("is_test") == F.lit(False)).groupBy(SERIES).agg(F.count(F.lit(1)).alias("_count"))
+    return cut_lineage(_by_series(rows, counts))
+
+
+def _fold_end(k: int, n_splits: int) -> Column:
+    return F.col("_count") - (n_splits - k) * F.floor(F.col("_count") / (n_splits + 1))
+
+
+def _learns(k: int, n_splits: int) -> Column:
+    return F.col(IDX) < _fold_end(k, n_splits)
+
+
+def _held(k: int, n_splits: int) -> Column:
+    return ~_learns(k, n_splits) & (F.col(IDX) < _fold_end(k, n_splits) + F.floor(F.col("_count") / (n_splits + 1)))
+
+
+def _fold_metrics(train: DataFrame, models: dict, n_splits: int) -> DataFrame:
+    """Metrics of each model on the rows that its fold holds out; a fold that could not be fitted has no row."""
+    scored = [predictions(m, train.where(_held(k, n_splits)), name).withColumn("fold", F.lit(k)) for (name, k), m in models.items() if k is not None]
+    empty = train.select(SERIES, TS, F.lit("").alias("model"), F.col("label").alias("y_true"), F.lit(None).cast("double").alias("y_pred"), F.lit(0).alias("fold")).limit(0)
+    return regression_metrics(reduce(DataFrame.unionByName, scored, empty), ["model", "fold"]).select("model", "fold", "n", "mae", "rmse", "mape", "r2")
 
 
 def with_failures(metrics: DataFrame, failed: list[str]) -> DataFrame:
@@ -206,18 +286,16 @@ def cross_validate(df: DataFrame, target: str, preset: TreePreset, n_splits: int
     """M8: expanding-window CV on the training rows; a fresh estimator per fold.
     Returns metrics per fold (fold, n, mae, rmse, mape, r2)."""
     frame, feats = prepared or training_frame(df, target, exclude)
-    folds = cv_folds(frame.where(~F.col("is_test")).drop("is_test"), n_splits)
-    out = []
-    for k in range(n_splits):
-        m = fit(folds.where((F.col("fold") == k) & ~F.col("held")), feats, preset)
-        scored = predictions(m, folds.where((F.col("fold") == k) & F.col("held")), preset.name)
-        out.append(regression_metrics(scored, ["model"]).withColumn("fold", F.lit(k)))
-    return reduce(DataFrame.unionByName, out).select("model", "fold", "n", "mae", "rmse", "mape", "r2")
+    train = with_folds(frame.where(~F.col("is_test")), n_splits)
+    models, failed = fit_all(train, feats, {(preset.name, k): (preset, _learns(k, n_splits)) for k in range(n_splits)})
+    for (name, k), error in failed.items():
+        warnings.warn(f"model {name} of fold {k} could not be fitted: {error}", stacklevel=2)
+    return _fold_metrics(train, models, n_splits)
 
 
-def feature_importance(model: PipelineModel, feats: list[str], spark) -> DataFrame:
+def feature_importance(model: Model, feats: list[str], spark) -> DataFrame:
     """M5: importances of the tree stage as ``(feature, importance)``."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
+    imp = (model.importances() if isinstance(model, BoostedTrees) else model.stages[-1].featureImportances.toArray()).tolist()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)], "feature string, importance double")
 
 
@@ -385,7 +463,7 @@ def fourier_forecast(df: DataFrame, target: str, horizon: int = 24, harmonics: i
                                                                 F.when(F.col("_log"), F.exp(y)).otherwise(y).alias("y_pred"))
 
 
-def score_latest(model: PipelineModel, features: DataFrame, feats: list[str], horizon: int = 24,
+def score_latest(model: Model, features: DataFrame, feats: list[str], horizon: int = 24,
                  model_name: str = "model") -> DataFrame:
     """M13 + P11 + P15 + T6: per series the latest feature row; a NULL feature takes the column's median over
     ``features`` (0.0 when it has none), a feature that is absent is 0.0; one prediction clamped at 0 and repeated for every step (reference strategy), stamps
@@ -402,7 +480,7 @@ def score_latest(model: PipelineModel, features: DataFrame, feats: list[str], ho
                    SERIES, "step", TS, "model", "predicted_kwh"))
 
 
-def forecast_requests(model: PipelineModel, sc: DataFrame, feats: list[str], target: str = "kwh", model_name: str = "model") -> DataFrame:
+def forecast_requests(model: Model, sc: DataFrame, feats: list[str], target: str = "kwh", model_name: str = "model") -> DataFrame:
     """Requests -> hourly frames -> time, lag and rolling features -> model -> each request's horizon, in one
     job for the whole batch. ``(scenario, step, ts, model, predicted_kwh, error)``; a request that cannot be scored is one
     row with its error."""

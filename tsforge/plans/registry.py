@@ -9,6 +9,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsforge.plans.boosting import BoostedTrees
+
 METADATA = "metadata"
 VERSION_FORMAT = "%Y%m%d_%H%M%S"
 
@@ -18,7 +20,7 @@ def new_version(now: _dt.datetime | None = None) -> str:
     return (now or _dt.datetime.now(_dt.timezone.utc)).strftime(VERSION_FORMAT)
 
 
-def save_models(spark: SparkSession, base: str, models: dict[str, PipelineModel], metrics: DataFrame,
+def save_models(spark: SparkSession, base: str, models: dict[str, PipelineModel | BoostedTrees], metrics: DataFrame,
                 features: list[str], version: str) -> DataFrame:
     """Write each model to ``base/<version>/<name>`` and append one metadata row per model.
 
@@ -59,6 +61,10 @@ def best_entry(spark: SparkSession, base: str, version: str | None = None, metri
     return reg.groupBy("version").agg(pick(F.struct("model", "path", "features", "metrics"), m).alias("best")).select("version", "best.*")
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel | BoostedTrees:
     """S12."""
+    spark = SparkSession.active()
+    about = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/about")
+    if about.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(about):
+        return BoostedTrees.load(spark, path)
     return PipelineModel.load(path)

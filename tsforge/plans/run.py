@@ -7,6 +7,8 @@ Only metric rows (one per model and fold) are small results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +33,10 @@ def run_complete(load: DataFrame, weather: DataFrame, presets: list, cv_folds: i
     eng = engineer_features(processed, feat_cfg)
     t = feat_cfg.target
     prepared = M.training_frame(eng, t)  # materialised once; fits, baselines and folds reuse it
-    metrics, models = M.evaluate_with_baselines(eng, t, presets, prepared=prepared)
+    metrics, models, *folds = M.evaluate_with_baselines(eng, t, presets, prepared=prepared, n_splits=cv_folds)
     test = cut_lineage(metrics.withColumn("fold", F.lit(None).cast("int")).select("model", "fold", "n", "mae", "rmse", "mape", "r2"))
     best = best_model(test, "rmse").select("best_model")
-    result = test
-    for p in presets:
-        if p.name in models:
-            result = result.unionByName(M.cross_validate(eng, t, p, cv_folds, prepared=prepared))
+    result = reduce(DataFrame.unionByName, folds, test)
     result = cut_lineage(result)
     if out is not None:
         write_frame(processed, f"{out}/preprocessed")
