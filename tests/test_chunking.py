@@ -94,3 +94,40 @@ def test_row_index_deterministic_with_duplicate_stamps(spark):
     b = with_row_index(df.repartition(3)).toPandas().sort_values(["ts", "value", "_idx"]).reset_index(drop=True)
     assert sorted(a["_idx"]) == list(range(300))
     assert list(a["_idx"]) == list(b["_idx"])  # same positions whatever the input partitioning
+
+
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_carry_in_levels(spark, monkeypatch, levels):
+    """Gaps over chunks, stretches and stretches of stretches; a series without a name too."""
+    from tsforge.operators import sequence
+    monkeypatch.setattr(sequence, "FAN", 3)
+    monkeypatch.setattr(sequence, "LEVELS", levels)
+    t0 = pd.Timestamp("2024-01-01")
+    rows = [(s, (t0 + pd.Timedelta(hours=i)).to_pydatetime(), float(i) if i in (5, 6, 390) or (s is None and i % 41 == 0) else None)
+            for s in ("a", None) for i in range(500)]
+    df = spark.createDataFrame(rows, "series string, ts timestamp, value double")
+    for method in ("interpolate", "forward_fill", "backward_fill"):
+        plain = _collect(handle_missing(df, method, ["value"], chunk_rows=None), ["value"])
+        chunked = _collect(handle_missing(df, method, ["value"], chunk_rows=4), ["value"])
+        _assert_same(plain, chunked, ["value"])
+
+
+def test_no_window_over_all_chunks_of_a_series(spark):
+    plan = handle_missing(_series_frame(spark, 60), "interpolate", ["value"], chunk_rows=4)._jdf.queryExecution().optimizedPlan().toString()
+    carries = [line for line in plan.split("\n") if "+- Window" in line and ("_cp_" in line or "_cn_" in line)]
+    assert any("_stretch1" in line for line in carries)  # the first level's windows hold one stretch of chunks
+    assert not any("[_chunk" in line.rsplit(", [", 1)[1] and "_stretch1" not in line for line in carries)
+
+
+@pytest.mark.parametrize("block", [None, 7, 64])
+def test_ema_by_blocks_equals_plain(spark, block):
+    """Long gaps, blocks shorter and longer than a weight lasts, a series without a name."""
+    df = _series_frame(spark, 500, null_rate=0.3).withColumn("series", F.when(F.col("series") != "b", F.col("series"))) \
+        .withColumn("value", F.when((F.dayofyear("ts") < 63) | (F.dayofyear("ts") > 69), F.col("value")))
+    alphas = [0.1, 0.5, 0.9]
+    names = [f"e{a}" for a in alphas]
+    cols = [f"`{n}`" for n in names]
+    plain = _collect(apply_windows(df, lambda w: W.ema_columns("value", alphas, w, names), W.halo_for(alphas=alphas), None), cols)
+    got = _collect(W.ema_by_blocks(with_row_index(df), "value", alphas, names, block), cols)
+    _assert_same(plain, got, names)
+    assert got["e0.1"].notna().sum() > 300

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tsforge import SERIES
+
 # Fixed defaults of the reference.
 DEFAULT_LAGS = [1, 2, 3, 6, 12, 24, 48, 72, 168]
 DEFAULT_WINDOWS = [6, 12, 24, 48, 168]
@@ -76,8 +78,8 @@ def ema_columns(target: str, alphas: list[float], w: WindowSpec, names: list[str
 
     The row itself has weight 1, so leaving out weights below 1e-16 changes nothing a double can hold. A row
     without a value has the mean of the last row with one, however far back: :func:`ema_frame` carries it on.
-    One ``collect_list`` over the widest frame feeds all alphas (each slices its own tail); structs keep NULL
-    entries, so positions (and decay) stay exact.
+    The plain form, for any window: one ``collect_list`` over the widest frame feeds all alphas (each slices its own
+    tail); structs keep NULL entries, so positions (and decay) stay exact. Series frames take :func:`ema_by_blocks`.
     """
     if not alphas:
         return []
@@ -99,13 +101,63 @@ def ema_columns(target: str, alphas: list[float], w: WindowSpec, names: list[str
     return out
 
 
+def ema_block(alphas: list[float]) -> int:
+    """Rows of a block: as many as keep the weights of one block within a double's range."""
+    steepest = max(-math.log10(1.0 - a) for a in alphas)
+    return max(1, min(4096, int(250 / steepest)))
+
+
+def ema_by_blocks(df: DataFrame, target: str, alphas: list[float], names: list[str], block: int | None = None) -> DataFrame:
+    """W9 at rows with a value, as a linear recurrence: ``n <- (1-a) n + x`` and ``d <- (1-a) d + 1``, at a row's cost
+    that does not depend on alpha.
+
+    ``df`` has row positions. A block of rows is an affine map of the state that comes in: a multiplier ((1-a) to the
+    block's length) and the sum and weight of its own values. The maps of the blocks that still weigh something are
+    composed per block in a carry table of one row per (series, block); its row is the block's position -1. Inside a
+    block the state is a running sum of values scaled by their position, scaled back.
+    """
+    from tsforge.operators.sequence import IDX
+    if not alphas:
+        return df
+    size = block or ema_block(alphas)
+    decays = [1.0 - a for a in alphas]
+    x = F.col(f"`{target}`")
+    power = lambda d, e: F.pow(F.lit(d), e)
+    at = F.col(IDX) % size
+    keys = [F.col(SERIES).alias(SERIES), F.floor(F.col(IDX) / size).cast("long").alias("_block")]
+    own = []
+    for i, d in enumerate(decays):
+        own += [F.sum(x * power(d, size - 1 - at)).alias(f"_n{i}"), F.sum(power(d, size - 1 - at)).alias(f"_d{i}")]
+    states = df.where(x.isNotNull()).groupBy(*keys).agg(*own)
+    reach = [math.ceil(ema_span(a) / size) for a in alphas]
+    parts = [F.when(F.col("_k") <= m, F.col(f"_{c}{i}") * power(d ** size, F.col("_k") - 1)).otherwise(0.0).alias(f"_{c}{i}")
+             for i, (d, m) in enumerate(zip(decays, reach)) for c in "nd"]
+    carry = states.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(max(reach))))).select(
+        SERIES, (F.col("_block") + F.col("_k")).alias("_block"), *parts).groupBy(SERIES, "_block").agg(
+        *[F.sum(f"_{c}{i}").alias(f"_{c}{i}") for i in range(len(alphas)) for c in "nd"])
+    came = [f"_{c}{i}" for i in range(len(alphas)) for c in "nd"]
+    rows = df.select("*", keys[1], at.alias("_at"), F.lit(False).alias("_carry"), *[F.lit(None).cast("double").alias(c) for c in came])
+    heads = carry.select(*[F.col(SERIES) if c == SERIES else ((F.col("_block") * size - 1) if c == IDX else F.lit(None)).cast(df.schema[c].dataType).alias(c)
+                           for c in df.columns], "_block", F.lit(-1).cast("long").alias("_at"), F.lit(True).alias("_carry"), *came)
+    w = Window.partitionBy(SERIES, "_block").orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
+    out = []
+    for i, (d, name) in enumerate(zip(decays, names)):
+        scaled = power(d, -F.col("_at"))
+        n = F.sum(F.when(F.col("_carry"), F.col(f"_n{i}")).otherwise(x) * scaled).over(w)
+        weight = F.sum(F.when(F.col("_carry"), F.col(f"_d{i}")).when(x.isNotNull(), 1.0) * scaled).over(w)
+        out.append(F.when(x.isNotNull(), n / weight).alias(name))
+    return rows.unionByName(heads).select("*", *out).where(~F.col("_carry")).drop("_block", "_at", "_carry", *came)
+
+
 def ema_frame(df: DataFrame, target: str, alphas: list[float], chunk_rows: int | None) -> DataFrame:
     """W9 on a series frame: ``<t>_ema_alpha_<a>`` for every row."""
     from tsforge.operators.sequence import IDX, apply_windows, carry_forward, with_row_index
-    base = df if chunk_rows is None or IDX in df.columns else with_row_index(df)
-    held = [f"_ema{i}" for i in range(len(alphas))]
-    out = apply_windows(base, lambda w: ema_columns(target, alphas, w, held), halo_for(alphas=alphas), chunk_rows)
-    return carry_forward(out, held, [f"{target}_ema_alpha_{a}" for a in alphas], chunk_rows)
+    held, names = [f"_ema{i}" for i in range(len(alphas))], [f"{target}_ema_alpha_{a}" for a in alphas]
+    if chunk_rows is None:
+        return carry_forward(apply_windows(df, lambda w: ema_columns(target, alphas, w, held), halo_for(alphas=alphas), None), held, names, None)
+    out = ema_by_blocks(df if IDX in df.columns else with_row_index(df), target, alphas, held)
+    out = carry_forward(out, held, names, chunk_rows)
+    return out if IDX in df.columns else out.drop(IDX)
 
 
 def statistical_columns(target: str, w: WindowSpec, n_rows: Column, padded: str | None = None) -> list[Column]:

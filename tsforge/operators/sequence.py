@@ -15,7 +15,8 @@ replaces that with:
    ``chunk_rows + halo`` whatever the length of a series.
 3. :func:`neighbours` - unbounded forward/backward look-ups (fills,
    interpolation) resolved inside a chunk and, where a chunk has no value, from
-   a chunk-level table (one row per chunk) scanned with a small window.
+   a chunk-level table (one row per chunk), carried on in levels: inside stretches of
+   FAN chunks, then over stretches of stretches.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ IDX = "_idx"
 CHUNK = "_chunk"
 HALO = "_halo"
 DEFAULT_CHUNK_ROWS = 4096
+#: Chunks of a stretch, and levels of stretches: a series' last level has one row per 4096**(LEVELS + 1) rows.
+FAN, LEVELS = 4096, 1
 
 
 def _orderable(df: DataFrame, names: list[str]) -> list[Column]:
@@ -140,13 +143,7 @@ def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_
     per_chunk = base.groupBy(SERIES, CHUNK).agg(
         *[F.max_by(nn[c], pos[c]).alias("_last_" + c) for c in cols],
         *[F.min_by(nn[c], pos[c]).alias("_first_" + c) for c in cols])
-    cw = Window.partitionBy(SERIES).orderBy(CHUNK)
-    carry = per_chunk.select(
-        SERIES, CHUNK,
-        *[F.last("_last_" + c, ignorenulls=True).over(cw.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp_" + c)
-          for c in cols],
-        *[F.first("_first_" + c, ignorenulls=True).over(cw.rowsBetween(1, Window.unboundedFollowing)).alias("_cn_" + c)
-          for c in cols])
+    carry = _carried(per_chunk, CHUNK, cols, LEVELS)
     out = [F.col(f"`{x}`") for x in base.columns if x != CHUNK]
     for c in cols:
         out += [F.coalesce("_prev_" + c, "_cp_" + c).alias("_prev_" + c),
@@ -155,6 +152,26 @@ def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_
     return loc.join(carry, F.col(SERIES).eqNullSafe(F.col("_cs")) & (F.col(CHUNK) == F.col("_cc")), "left").select(*out)
 
 
+def _carried(ends: DataFrame, at: str, cols: list[str], levels: int) -> DataFrame:
+    """Per (series, ``at``): the last entry of the rows before (``_cp_<c>``) and the first of those behind (``_cn_<c>``), from
+    each row's ``_last_<c>`` and ``_first_<c>``. A window holds the rows of one stretch of FAN; what comes from other
+    stretches is found the same way among the stretches, ``levels`` times, and then among all that are left."""
+    up = f"_stretch{levels}"
+    keys = [SERIES] if levels == 0 else [SERIES, up]
+    rows = ends if levels == 0 else ends.withColumn(up, F.floor(F.col(at) / FAN).cast("long"))
+    w = Window.partitionBy(*keys).orderBy(at)
+    near = rows.select(*keys, at, *[F.last("_last_" + c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp_" + c) for c in cols],
+                       *[F.first("_first_" + c, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_cn_" + c) for c in cols])
+    if levels == 0:
+        return near
+    has = lambda c: F.when(F.col(c).isNotNull(), F.col(at))
+    above = _carried(rows.groupBy(*keys).agg(*[F.max_by("_last_" + c, has("_last_" + c)).alias("_last_" + c) for c in cols],
+                                             *[F.min_by("_first_" + c, has("_first_" + c)).alias("_first_" + c) for c in cols]), up, cols, levels - 1)
+    far = above.select(F.col(SERIES).alias("_us"), F.col(up).alias("_u"), *[F.col(k + c).alias("_u" + k + c) for c in cols for k in ("_cp_", "_cn_")])
+    joined = near.join(far, F.col(SERIES).eqNullSafe(F.col("_us")) & (F.col(up) == F.col("_u")), "left")
+    return joined.select(SERIES, at, *[F.coalesce(k + c, "_u" + k + c).alias(k + c) for c in cols for k in ("_cp_", "_cn_")])
+
+
 def carry_forward(df: DataFrame, cols: list[str], names: list[str], chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """``cols`` with NULLs replaced by the last value before them in the series, under new ``names``; other columns stay."""
     nb = neighbours(df, cols, chunk_rows)

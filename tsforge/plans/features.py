@@ -61,14 +61,16 @@ def window_features(df: DataFrame, cfg: FeatureConfig) -> DataFrame:
     def build(w):
         cols = W.lag_columns(t, cfg.lags, w)
         cols += W.rolling_columns(t, cfg.windows, cfg.stats, w)
-        cols += W.ema_columns(t, cfg.alphas, w, held)
+        if cfg.chunk_rows is None:
+            cols += W.ema_columns(t, cfg.alphas, w, held)
         if cfg.statistical:
             cols += W.statistical_columns(t, w, F.col("_n"), pad)
         return cols
 
-    halo = W.halo_for(cfg.lags, cfg.windows, cfg.alphas, cfg.statistical)
+    halo = W.halo_for(cfg.lags, cfg.windows, cfg.alphas if cfg.chunk_rows is None else (), cfg.statistical)
     out = apply_windows(base, build, halo, cfg.chunk_rows)
     if held:
+        out = out if cfg.chunk_rows is None else W.ema_by_blocks(out, t, cfg.alphas, held)
         out = carry_forward(out, held, [f"{t}_ema_alpha_{a}" for a in cfg.alphas], cfg.chunk_rows)
     return out.drop("_n", "_pad", IDX)
 
