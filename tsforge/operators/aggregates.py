@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
+from tsforge.operators.joins import join_same
 from tsforge.operators.quantiles import exact_quantiles
 
 # Fixed day and month names (Monday-first, January-first) of the seasonal profiles.
@@ -62,7 +63,7 @@ def profile_by_weekday(df: DataFrame, value: str) -> DataFrame:
     """A4: mean by day of week, Monday first; a 7-row dimension keeps missing days as NULL."""
     dim = _series_dim(df.select(SERIES).distinct(), DAY_NAMES, "day_of_week")
     m = df.groupBy(SERIES, F.weekday(TS).alias("day_of_week")).agg(F.avg(value).alias(f"mean_{value}"))
-    return dim.join(m, [SERIES, "day_of_week"], "left").withColumnRenamed("name", "day_name")
+    return join_same(dim, m, [SERIES, "day_of_week"], "left").withColumnRenamed("name", "day_name")
 
 
 def _series_dim(series: DataFrame, names: list[str], key: str) -> DataFrame:
@@ -76,7 +77,7 @@ def profile_by_month(df: DataFrame, value: str) -> DataFrame:
     series = df.select(SERIES).distinct()
     dim = _series_dim(series, MONTH_NAMES, "month").withColumn("month", F.col("month") + 1)
     m = df.groupBy(SERIES, F.month(TS).alias("month")).agg(F.avg(value).alias(f"mean_{value}"))
-    return dim.join(m, [SERIES, "month"], "left").withColumnRenamed("name", "month_name")
+    return join_same(dim, m, [SERIES, "month"], "left").withColumnRenamed("name", "month_name")
 
 
 def heatmap_hour_day(df: DataFrame, value: str) -> DataFrame:
@@ -95,7 +96,7 @@ def histogram(df: DataFrame, value: str, bins: int = 30, keys: list[str] | None
     keys = keys or [SERIES]
     x = F.col(value)
     rng = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    j = df.where(x.isNotNull()).join(rng, keys)
+    j = join_same(df.where(x.isNotNull()), rng, keys)
     b = F.when(F.col("_hi") > F.col("_lo"),
                F.least(F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins) + 1, F.lit(bins))
                ).otherwise(F.lit(1)).cast("long")

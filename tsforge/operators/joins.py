@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL is a key like any other (a series without a name is a series); the keys come out once."""
+    side = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_same_{k}`")) for k in keys])
+    return left.join(side, on, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def _keys(left: DataFrame, right: DataFrame) -> list[str]:
     return [SERIES, TS] if SERIES in left.columns and SERIES in right.columns else [TS]
 

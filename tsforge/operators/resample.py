@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
+from tsforge.operators.joins import join_same
 from tsforge.operators.sequence import IDX
 
 # Fixed frequency strings accepted (pandas aliases used by the reference plus lower case).
@@ -119,7 +120,7 @@ def gap_report(df: DataFrame, freq: str = "H", first_k: int = 10) -> tuple[DataF
     stats = df.groupBy(SERIES).agg(F.min(TS).alias("lo"), F.max(TS).alias("hi"), F.count(F.lit(1)).alias("total_actual"))
     expected = spine(stats.select(SERIES, "lo", "hi"), freq, keys=[SERIES])
     present = df.select(SERIES, TS).distinct()
-    missing = expected.join(present, [SERIES, TS], "left_anti")
+    missing = join_same(expected, present, [SERIES, TS], "left_anti")
     # Missing stamps lie on the spine grid: the distributed row index and a 1-row halo
     # give rank, spacing and island keys without ordering a whole series in one task.
     from tsforge.operators.sequence import apply_windows, with_row_index
@@ -134,7 +135,8 @@ def gap_report(df: DataFrame, freq: str = "H", first_k: int = 10) -> tuple[DataF
                                         F.coalesce(F.max("_gap"), F.lit(0.0)).alias("largest_gap_hours"))
     per_run = runs.groupBy(SERIES).agg((F.max("_len") * (seconds / 3600.0)).alias("longest_run_hours"))
     n_expected = expected.groupBy(SERIES).agg(F.count(F.lit(1)).alias("total_expected"))
-    report = (stats.join(n_expected, SERIES).join(per_missing, SERIES, "left").join(per_run, SERIES, "left")
+    counted = join_same(join_same(join_same(stats, n_expected, [SERIES]), per_missing, [SERIES], "left"), per_run, [SERIES], "left")
+    report = (counted
               .select(SERIES, "total_expected", "total_actual",
                       F.coalesce("missing_count", F.lit(0)).alias("missing_count"),
                       (F.col("total_actual") * 100.0 / F.col("total_expected")).alias("completeness_pct"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
+from tsforge.operators.joins import join_same
 from tsforge.functions import windows as W
 from tsforge.operators.sequence import DEFAULT_CHUNK_ROWS, IDX, apply_windows, series_window, with_row_index
 
@@ -27,7 +28,7 @@ def with_split(df: DataFrame, test_size: float = 0.2, chunk_rows: int | None = D
         base = df.withColumn(IDX, F.row_number().over(series_window(False)) - 1)
     n = base.groupBy(SERIES).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.floor(F.col("_n") * (1.0 - test_size))
-    return base.join(n, SERIES).withColumn("is_test", F.col(IDX) >= cut).drop("_n")
+    return join_same(base, n, [SERIES]).withColumn("is_test", F.col(IDX) >= cut).drop("_n")
 
 
 def baseline_predictions(df: DataFrame, target: str = "kwh", chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
@@ -45,7 +46,7 @@ def baseline_predictions(df: DataFrame, target: str = "kwh", chunk_rows: int | N
         return cols
 
     halo = max(n if kind == "lag" else n - 1 for _, kind, n in BASELINES)
-    wide = apply_windows(df, build, halo, chunk_rows).join(means, SERIES, "left")
+    wide = join_same(apply_windows(df, build, halo, chunk_rows), means, [SERIES], "left")
     return wide.select(*df.columns, *[F.coalesce("_raw_" + name, "_mean").alias(name) for name, _, _ in BASELINES])
 
 

@@ -897,7 +897,27 @@ def q_feature_group_importance(spark, sf_dir):
     return M.group_importance(M.feature_importance(models["random_forest"], feats, spark))
 
 
-@register("seasonal_ar_metrics")
+def _seasonal_ar_sql() -> str:
+    """Least squares on three lags and a constant by orthogonalising one regressor after the other."""
+    w = "OVER (PARTITION BY series ORDER BY ts)"
+    return f"""WITH {FILLED},
+b AS (SELECT series, ts, value, row_number() {w} - 1 AS i, count(*) OVER (PARTITION BY series) AS n,
+  lag(value) {w} + lag(value, 24) {w} - lag(value, 25) {w} AS base FROM filled),
+d AS (SELECT *, i >= floor(n * 0.8) AS is_test, value - base AS d FROM b),
+x AS (SELECT *, lag(d) {w} AS x1, lag(d, 24) {w} AS x2, lag(d, 25) {w} AS x3 FROM d),
+t AS (SELECT * FROM x WHERE NOT is_test AND d IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL),
+s1 AS (SELECT series, regr_slope(x2, x1) AS a21, regr_slope(x3, x1) AS a31, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(d) AS md FROM t GROUP BY 1),
+o1 AS (SELECT series, d, x1, a21, a31, x2 - m2 - a21 * (x1 - m1) AS y2, x3 - m3 - a31 * (x1 - m1) AS y3 FROM t JOIN s1 USING (series)),
+s2 AS (SELECT series, regr_slope(y3, y2) AS a32 FROM o1 GROUP BY 1),
+o2 AS (SELECT *, y3 - a32 * y2 AS z3 FROM o1 JOIN s2 USING (series)),
+g AS (SELECT series, any_value(a21) AS a21, any_value(a31) AS a31, any_value(a32) AS a32, regr_slope(d, x1) AS g1, regr_slope(d, y2) AS g2, regr_slope(d, z3) AS b3 FROM o2 GROUP BY 1),
+c AS (SELECT series, b3, g2 - b3 * a32 AS b2, g1 - (g2 - b3 * a32) * a21 - b3 * a31 AS b1 FROM g),
+k AS (SELECT series, b1, b2, b3, md - b1 * m1 - b2 * m2 - b3 * m3 AS b0 FROM c JOIN s1 USING (series)),
+lng AS (SELECT series, 'seasonal_ar' AS model, ts, value AS y, base + b1 * x1 + b2 * x2 + b3 * x3 + b0 AS p FROM x JOIN k USING (series) WHERE is_test)
+SELECT series, model, {_METRIC_COLS} FROM lng GROUP BY 1, 2"""
+
+
+@register("seasonal_ar_metrics", _seasonal_ar_sql())
 def q_seasonal_ar_metrics(spark, sf_dir):
     """M11 (re-aimed): seasonal autoregression on the (1, 24)-differenced filled series, fitted per event type."""
     from tsforge.plans.metrics import regression_metrics
@@ -927,6 +947,36 @@ def q_fourier_forecast(spark, sf_dir):
     return fourier_forecast(_hourly_filled(spark, sf_dir), "value", 24)
 
 
+@register("seasonal_arma_metrics")
+def q_seasonal_arma_metrics(spark, sf_dir):
+    """Seasonal ARMA (1,1,1)(1,1,1,24) of each event type's filled series; test-split metrics of one-step forecasts."""
+    from tsforge.plans.classical import seasonal_arma
+    from tsforge.plans.metrics import regression_metrics
+    return regression_metrics(seasonal_arma(_hourly_filled(spark, sf_dir), "value"), [SERIES, "model"])
+
+
+@register("seasonal_arma_forecast")
+def q_seasonal_arma_forecast(spark, sf_dir):
+    """24 steps past each event type's end, each step feeding the next."""
+    from tsforge.plans.classical import seasonal_arma_forecast
+    return seasonal_arma_forecast(_hourly_filled(spark, sf_dir), "value", 24)
+
+
+@register("trend_breaks_metrics")
+def q_trend_breaks_metrics(spark, sf_dir):
+    """Trend with breaks and daily, weekly, yearly seasons per event type; test-split metrics."""
+    from tsforge.plans.classical import trend_regression
+    from tsforge.plans.metrics import regression_metrics
+    return regression_metrics(trend_regression(_hourly_filled(spark, sf_dir), "value"), [SERIES, "model"])
+
+
+@register("trend_breaks_forecast")
+def q_trend_breaks_forecast(spark, sf_dir):
+    """24 future rows per event type from a fit on its whole series, the last slope going on."""
+    from tsforge.plans.classical import trend_forecast
+    return trend_forecast(_hourly_filled(spark, sf_dir), "value", 24)
+
+
 @register("model_forecast")
 def q_model_forecast(spark, sf_dir):
     """The forest applied to each series' latest feature row, 24 steps, clamped at 0."""

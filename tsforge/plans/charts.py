@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
+from tsforge.operators.joins import join_same
 from tsforge.functions import windows as W
 from tsforge.operators.resample import resample
 from tsforge.operators.sequence import IDX, apply_windows, with_row_index
@@ -49,7 +50,7 @@ def head_tail(df: DataFrame, head: int = 168, tail: int = 168) -> DataFrame:
     distributed row index (no sort of a whole series in one task)."""
     idx = with_row_index(df) if IDX not in df.columns else df
     n = idx.groupBy(SERIES).agg(F.count(F.lit(1)).alias("_n"))
-    j = idx.join(n, SERIES)
+    j = join_same(idx, n, [SERIES])
     first = j.where(F.col(IDX) < head).withColumn("slice", F.lit("first"))
     last = j.where(F.col(IDX) >= F.col("_n") - tail).withColumn("slice", F.lit("last"))
     return first.unionByName(last).drop("_n")
@@ -72,7 +73,7 @@ def serving_features(df: DataFrame, target: str = "kwh") -> DataFrame:
     """The serving subset - lags 1, 2, 24 and rolling means 6, 24, each only where the
     series is longer than the lag/window (else NULL), as the request path computes them."""
     n = df.groupBy(SERIES).agg(F.count(F.lit(1)).alias("_n"))
-    base = df.join(n, SERIES)
+    base = join_same(df, n, [SERIES])
 
     def build(w):
         cols = W.lag_columns(target, [1, 2, 24], w, guard=F.col("_n"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
+from tsforge.operators.joins import join_same
 from tsforge.functions import windows as W
 from tsforge.functions.calendar import calendar_feature_columns
 from tsforge.functions.holidays import add_holiday_features
@@ -39,7 +40,7 @@ class FeatureConfig:
 
 def series_length(df: DataFrame, out: str = "_n") -> DataFrame:
     """Attach each series' row count (grouped count joined back; no unbounded window)."""
-    return df.join(df.groupBy(SERIES).agg(F.count(F.lit(1)).alias(out)), SERIES, "left")
+    return join_same(df, df.groupBy(SERIES).agg(F.count(F.lit(1)).alias(out)), [SERIES], "left")
 
 
 def window_features(df: DataFrame, cfg: FeatureConfig) -> DataFrame:

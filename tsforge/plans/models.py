@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
+from tsforge.operators.joins import join_same
 from tsforge.operators.nulls import column_medians, rows_with_few_nulls
 from tsforge.operators.sequence import IDX, with_row_index
 from tsforge.plans.baselines import with_split
@@ -360,8 +361,7 @@ def _valued(df: DataFrame, target: str) -> DataFrame:
 
 
 def _by_series(df: DataFrame, per_series: DataFrame) -> DataFrame:
-    side = per_series.withColumnRenamed(SERIES, "_ps")
-    return df.join(side, F.col(SERIES).eqNullSafe(F.col("_ps")), "left").drop("_ps")
+    return join_same(df, per_series, [SERIES], "left")
 
 
 def _seasonal_frame(df: DataFrame, target: str, season: int) -> DataFrame:
@@ -489,7 +489,7 @@ def forecast_requests(model: Model, sc: DataFrame, feats: list[str], target: str
     from tsforge.plans.scoring import checked, request_frame
     frame = serving_features(add_time_features(request_frame(sc, target)), target).drop(IDX)
     first = score_latest(model, frame, feats, 1, model_name).select(F.col(SERIES).alias("scenario"), "predicted_kwh")
-    asked = checked(sc).select("scenario", "end_ts", "horizon", "error").join(first, "scenario", "left")
+    asked = join_same(checked(sc).select("scenario", "end_ts", "horizon", "error"), first, ["scenario"], "left")
     steps = F.when(F.col("error").isNull(), F.sequence(F.lit(1), F.col("horizon").cast("int")))
     return asked.select("scenario", F.explode_outer(steps).alias("step"), "end_ts", "predicted_kwh", "error").select(
         "scenario", "step", (F.col("end_ts") + F.expr("INTERVAL 1 HOUR") * F.col("step")).alias(TS), F.lit(model_name).alias("model"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsforge import SERIES, TS
+from tsforge.operators.joins import join_same
 from tsforge.sources.series import WEATHER_COLUMNS
 
 MAX_HORIZON = 720
@@ -32,7 +33,7 @@ def scenarios_from_series(df: DataFrame, target: str, weather: DataFrame | None
     the weather at its last stamp, and a horizon. Only the last ``history`` hours of
     each series are gathered (filtered before any collect)."""
     end = df.groupBy(SERIES).agg(F.max(TS).alias("end_ts"))
-    recent = (df.join(end, SERIES)
+    recent = (join_same(df, end, [SERIES])
                 .where(F.col(TS) > F.col("end_ts") - F.expr(f"INTERVAL {history} HOURS"))
                 .groupBy(SERIES, "end_ts")
                 .agg(F.array_sort(F.collect_list(F.struct(TS, F.col(target).alias("v")))).alias("_h")))
