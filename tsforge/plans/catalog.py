@@ -1239,6 +1239,61 @@ def q_sink_round_trip(spark, sf_dir):
     return read_frame(spark, path, merged)
 
 
+_FAULTS = """f AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS t, o_totalprice AS v, o_orderkey % 13 AS k FROM orders),
+r AS (SELECT *, CASE k WHEN 1 THEN 'time' WHEN 2 THEN 'no time' WHEN 3 THEN 'number: kwh' WHEN 4 THEN 'line' WHEN 5 THEN 'line' END AS reason FROM f)"""
+
+
+@register("csv_quarantine", f"""WITH {_FAULTS}
+SELECT coalesce(reason, 'good') AS reason, CAST(count(*) AS BIGINT) AS lines, {Q.r4('sum(CASE WHEN reason IS NULL AND k <> 6 THEN v END)', 'kwh')},
+  CAST(count(*) FILTER (WHERE reason IS NULL AND k = 6) AS BIGINT) AS empty FROM r GROUP BY 1""")
+def q_csv_quarantine(spark, sf_dir):
+    """Orders written as CSV lines of which 5 in 13 are damaged, read back and sorted into good rows and
+    lines set aside by reason."""
+    import uuid
+    from tsforge.session import shared_path
+    from tsforge.sources.files import LOAD_SCHEMA, checked_series_csv, write_quarantine
+    from tsforge.sources.tables import read_table
+    k = F.pmod("o_orderkey", F.lit(13))
+    stamp = F.when(k == 1, "soon").when(k == 2, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    value = F.when(k == 3, "n/a").when(k == 6, "").otherwise(F.col("o_totalprice").cast("string"))
+    line = F.when(k == 4, F.concat_ws(",", stamp, value, F.lit("more"))).when(k == 5, stamp).otherwise(F.concat_ws(",", stamp, value))
+    path = shared_path(spark, "csv", uuid.uuid4().hex)
+    read_table(spark, sf_dir, "orders").select(line.alias("value")).write.text(f"{path}/load")
+    good, bad = checked_series_csv(spark, f"{path}/load", LOAD_SCHEMA, "orders", header=False)
+    kept = good.agg(F.lit("good").alias("reason"), F.count(F.lit(1)).alias("lines"), F.sum("kwh").alias("kwh"), F.count_if(F.col("kwh").isNull()).alias("empty"))
+    return kept.unionByName(write_quarantine(bad, f"{path}/quarantine").withColumn("empty", F.lit(0).cast("long")), allowMissingColumns=True)
+
+
+@register("model_registry", f"""WITH {FILLED}, {_BASE_SQL},
+m AS (SELECT series, model, {_METRIC_COLS} FROM lng GROUP BY 1, 2),
+v AS (SELECT CASE series WHEN 'click' THEN '20240101_000000' ELSE '20240102_000000' END AS version, model, rmse, r2 FROM m WHERE series IN ('click', 'purchase'))
+SELECT version, model, rmse, version = max(version) OVER () AS latest, model = arg_min(model, rmse) OVER (PARTITION BY version) AS best_rmse,
+  model = arg_max(model, r2) OVER (PARTITION BY version) AS best_r2 FROM v""")
+def q_model_registry(spark, sf_dir):
+    """Two versions of three models saved with their metrics, a third that breaks off before it is committed; then
+    listed, the latest found, and the best of each version by two metrics."""
+    import uuid
+    from pyspark.ml import PipelineModel
+    from tsforge.plans import registry as R
+    from tsforge.plans.metrics import regression_metrics
+    from tsforge.session import cut_lineage, shared_path
+    base = shared_path(spark, "registry", uuid.uuid4().hex)
+    metrics = cut_lineage(regression_metrics(_baseline_long(spark, sf_dir), [SERIES, "model"]))
+    models = {n: PipelineModel([]) for n in ("naive_24h", "seasonal_naive", "moving_avg_24h")}
+    versions = {"click": "20240101_000000", "purchase": "20240102_000000"}
+    for series, version in versions.items():
+        R.save_models(spark, base, models, metrics.where(F.col(SERIES) == series), [], version)
+    try:
+        R.save_models(spark, base, {**models, "broken": None}, metrics, [], "20240103_000000")
+    except AttributeError:
+        pass
+    out = R.list_models(spark, base).join(R.latest_version(spark, base).select("version", F.lit(True).alias("latest")), "version", "left")
+    for metric in ("rmse", "r2"):
+        best = [R.best_entry(spark, base, v, metric).select("version", "model", F.lit(True).alias(f"best_{metric}")) for v in versions.values()]
+        out = out.join(best[0].unionByName(best[1]), ["version", "model"], "left")
+    return out.select("version", "model", F.col("metrics")["rmse"].alias("rmse"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("latest", "best_rmse", "best_r2")])
+
+
 def _feature_groups_sql() -> str:
     """Membership of the columns that DuckDB itself lists for the engineered frame."""
     from tsforge.plans.features import FEATURE_GROUPS

@@ -1,9 +1,15 @@
-"""Model registry on shared storage (S10-S14): fitted ``PipelineModel`` folders plus
-an append-only parquet table of metadata (version, model, path, features, metrics)."""
+"""Model registry on shared storage (S10-S14): a folder of fitted models and metadata (version, model, path, features,
+metrics) for each version.
+
+A version is there once its manifest is: models and metadata are written first, then the manifest under a name that nobody
+reads, and one rename makes it seen. What a run that broke off has left is never listed; the same version may be saved again,
+and is replaced whole by the next rename."""
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
+import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tsforge.plans.boosting import BoostedTrees
 
-METADATA = "metadata"
+METADATA, MANIFESTS = "metadata", "_manifests"
+SCHEMA = "version string, model string, path string, features array<string>, metrics map<string,double>"
 VERSION_FORMAT = "%Y%m%d_%H%M%S"
 
 
@@ -22,25 +29,52 @@ def new_version(now: _dt.datetime | None = None) -> str:
 
 def save_models(spark: SparkSession, base: str, models: dict[str, PipelineModel | BoostedTrees], metrics: DataFrame,
                 features: list[str], version: str) -> DataFrame:
-    """Write each model to ``base/<version>/<name>`` and append one metadata row per model.
+    """Write each model and one metadata row per model below ``base/<version>``, then commit the version.
 
     ``metrics`` has one row per model (model, mae, rmse, mape, r2); it is joined, not collected."""
-    rows = []
+    rows, attempt = [], uuid.uuid4().hex
+    folder = f"{base.rstrip('/')}/{version}/{attempt}"
     for name, m in models.items():
-        path = f"{base.rstrip('/')}/{version}/{name}"
+        path = f"{folder}/{name}"
         m.write().overwrite().save(path)
         rows.append((version, name, path, features))
     meta = spark.createDataFrame(rows, "version string, model string, path string, features array<string>")
     mcols = [c for c in ("mae", "rmse", "mape", "r2") if c in metrics.columns]
     metric_map = F.map_from_arrays(F.array(*[F.lit(c) for c in mcols]), F.array(*[F.col(c).cast("double") for c in mcols]))
-    meta = meta.join(metrics.select("model", metric_map.alias("metrics")), "model", "left")
-    meta.write.mode("append").parquet(f"{base.rstrip('/')}/{METADATA}")
-    return meta
+    meta = meta.join(metrics.select("model", metric_map.alias("metrics")), "model", "left").select("version", "model", "path", "features", "metrics")
+    meta.write.parquet(f"{folder}/{METADATA}")
+    _commit(spark, base, version, f"{folder}/{METADATA}", len(rows))
+    return spark.read.schema(meta.schema).parquet(f"{folder}/{METADATA}")
+
+
+def _commit(spark: SparkSession, base: str, version: str, metadata: str, models: int) -> None:
+    """Write the manifest aside and rename it into place, over an older one."""
+    fs, path = _store(spark, base)
+    hidden, seen = path(f"{base.rstrip('/')}/{MANIFESTS}/.{version}-{uuid.uuid4().hex}"), path(f"{base.rstrip('/')}/{MANIFESTS}/{version}.json")
+    out = fs.create(hidden, True)
+    out.write(bytearray(json.dumps({"version": version, "metadata": metadata, "models": models}).encode()))
+    out.close()
+    if fs.exists(seen):
+        fs.delete(seen, False)
+    if not fs.rename(hidden, seen):
+        raise OSError(f"the manifest of version {version} could not be put into place")
+
+
+def _store(spark: SparkSession, base: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def list_models(spark: SparkSession, base: str) -> DataFrame:
-    """Registered models (only real model folders, never auxiliary files)."""
-    return spark.read.parquet(f"{base.rstrip('/')}/{METADATA}")
+    """Registered models of committed versions (only real model folders, never auxiliary files)."""
+    fs, path = _store(spark, base)
+    folder = path(f"{base.rstrip('/')}/{MANIFESTS}")
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    if not any(n.endswith(".json") and not n.startswith(".") for n in names):
+        return spark.createDataFrame([], SCHEMA)
+    # one manifest a version
+    found = [r.metadata for r in spark.read.schema("version string, metadata string, models int").json(f"{base.rstrip('/')}/{MANIFESTS}/*.json").collect()]
+    return spark.read.schema(SCHEMA).parquet(*found)
 
 
 def latest_version(spark: SparkSession, base: str) -> DataFrame:

@@ -12,6 +12,7 @@ import json
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tsforge import SERIES, TS
 from tsforge.sources.series import WEATHER_COLUMNS
@@ -39,33 +40,57 @@ def source_profile(df: DataFrame) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min(TS).alias("start"), F.max(TS).alias("end"))
 
 
-def _json_object(line: str) -> dict | None:
-    try:
-        found = json.loads(line)
-    except ValueError:
-        return None
-    return found if isinstance(found, dict) else None
+REASON = "reason"
+
+
+def checked_series_csv(spark: SparkSession, path: str, schema: str, series: str | None = None, ts_col: str = "timestamp",
+                       header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S1/S2/S4/S5 for files that may be damaged: (good rows as ``read_series_csv`` gives them, quarantine).
+
+    The quarantine holds every other line whole, with what is wrong with it first: ``line`` (too few or too many
+    fields), ``no time``, ``time`` (cannot be read as a time stamp), or ``number: <column>``. Empty measures are NULLs, not faults.
+    """
+    fields = StructType.fromDDL(schema).fields
+    text = StructType([StructField(f.name, StringType()) for f in fields] + [StructField("_line", StringType())])
+    raw = spark.read.schema(text).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path)
+    stamp = F.expr(f"try_to_timestamp(`{ts_col}`)")
+    value = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in fields if f.name != ts_col}
+    reason = F.when(F.col("_line").isNotNull(), "line").when(F.coalesce(F.trim(ts_col), F.lit("")) == "", "no time").when(stamp.isNull(), "time")
+    for name, x in value.items():
+        reason = reason.when(F.col(f"`{name}`").isNotNull() & x.isNull(), f"number: {name}")
+    whole = F.coalesce("_line", F.concat_ws(",", *[F.coalesce(F.col(f"`{f.name}`"), F.lit("")) for f in fields]))
+    seen = raw.withColumn(REASON, reason)
+    key = [] if series is None else [F.lit(series).alias(SERIES)]
+    good = seen.where(F.col(REASON).isNull()).select(*key, stamp.alias(TS), *[x.alias(n) for n, x in value.items()])
+    return clean_scan(good), seen.where(F.col(REASON).isNotNull()).select(REASON, whole.alias("line"))
+
+
+def write_quarantine(bad: DataFrame, path: str) -> DataFrame:
+    """Write the lines set aside, a folder for each reason; (reason, lines) as they were written."""
+    bad.write.mode("overwrite").partitionBy(REASON).parquet(path)
+    return bad.sparkSession.read.schema("line string, reason string").parquet(path).groupBy(REASON).agg(F.count(F.lit(1)).alias("lines"))
 
 
 def validate_data_file(spark: SparkSession, path: str, required_columns: list[str] | None = None) -> bool:
     """The file exists in whatever store the path names, has an accepted suffix and (optionally) all required columns.
 
-    Column names come from the first lines (CSV header, one JSON object per line) or, for a file that is one JSON
-    document, from the document; an empty file has none."""
+    Columns of a CSV file are its header's; those of JSON lines are the keys of any line (one pass over all lines), those
+    of a file that is one JSON document the document's. An empty file has none."""
     if not path.endswith(ACCEPTED_SUFFIXES):
         return False
     try:
-        lines = [r[0] for r in spark.read.text(path).limit(20).collect()]
+        empty = spark.read.text(path).isEmpty()
     except AnalysisException:  # no such path
         return False
     if not required_columns:
         return True
+    if empty:
+        return False
     if path.endswith(".csv"):
-        cols = spark.read.option("header", True).csv(path).columns if lines else []
+        cols = set(spark.read.option("header", True).csv(path).columns)
     else:
-        objects = [x for x in map(_json_object, lines) if x is not None]
-        cols = [c for x in objects for c in x] or (spark.read.option("multiLine", True).json(path).columns if lines else [])
-    return set(required_columns) <= set(cols)
+        cols = set(spark.read.json(path).columns) - {"_corrupt_record"} or set(spark.read.option("multiLine", True).json(path).columns)
+    return set(required_columns) <= cols
 
 
 def datetime_check(df: DataFrame, col: str) -> DataFrame:
