@@ -52,7 +52,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     names = [q for q in entry.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -66,3 +66,11 @@ def test_batches_are_bounded(spark, given, kept):
     bounded_batches(spark)
     assert spark.conf.get(key) == kept
     spark.conf.set(key, before)
+
+
+def test_samples_of_very_large_tables_are_not_empty():
+    """The share of rows taken for training is kept on 63 bits: counts far beyond any millionth."""
+    from tsforge.llm.tables import threshold
+    for total in (10, 16_000, 10 ** 6, 2 * 10 ** 9, 10 ** 12, 10 ** 15):
+        took = (threshold(16_000, total) + 1) / 2 ** 63 * total
+        assert abs(took - min(total, 16_000)) < 16

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.llm.tables import bounded_batches, id_and_text, tidy
+from tsforge.llm.tables import bounded_batches, draw, id_and_text, threshold, tidy
 from tsforge.llm.textcodes import slabs
 
 WINDOW = 256
@@ -138,8 +138,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     if not counts:
         return None
     langs = sorted(counts)
-    share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, per_lang / counts[k]) * 1_000_000)))))
-    few = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(threshold(per_lang, counts[k])))))
+    few = rows.where(draw("doc_id") <= share[F.col("lang")])
 
     def run(batches):
         for b in batches:

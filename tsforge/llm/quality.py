@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm import boosting
-from tsforge.llm.tables import id_and_text, tidy
+from tsforge.llm.tables import draw, id_and_text, threshold, tidy
 from tsforge.llm.textcodes import BYTE_CODES, SPACE, Ranges, mix, run_starts, slabs
 
 #: Labelled documents to fit on, on average (a hash of the id picks them).
@@ -116,8 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boosting.Tr
     n = known.count()
     if not n:
         return None
-    share = int(min(1.0, sample / n) * 1_000_000)
-    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    few = known.where(draw("doc_id") <= threshold(sample, n))
 
     def run(batches):
         for b in batches:

@@ -24,6 +24,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_DRAWS = 1 << 63
+
+
+def draw(*cols: str):
+    """A number from 0 to 2**63 - 1 for each row, from a hash of ``cols``: for samples that do not depend on how rows lie."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 1)
+
+
+def threshold(wanted: int, total: int) -> int:
+    """Rows whose draw is at most this are about ``wanted`` of ``total``, however many there are; all if there are no more."""
+    return _DRAWS - 1 if wanted >= total else max(0, wanted * _DRAWS // total - 1)
+
+
 BATCH_BYTES = 4 << 20
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm import boosting
-from tsforge.llm.tables import id_and_text, tidy
+from tsforge.llm.tables import draw, id_and_text, threshold, tidy
 from tsforge.llm.textcodes import SPACE, slabs
 
 SAMPLE = 16_000
@@ -136,9 +136,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """(doc_id, text, toxic, fold): a bounded sample of the labelled documents whose crc32 of the id is not 2 modulo 4."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(toxic AS int) AS toxic") \
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    share = int(min(1.0, sample / max(1, known.count())) * 1_000_000)
-    key = F.xxhash64("doc_id")
-    few = known.where(F.pmod(key, F.lit(1_000_000)) < share).withColumn("fold", F.pmod(F.shiftright(key, 32), F.lit(4)).cast("int"))
+    few = known.where(draw("doc_id") <= threshold(sample, known.count())) \
+        .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).cast("int"))
     return docs.join(F.broadcast(few), "doc_id")  # bounded by ``sample``
 
 
