@@ -1,11 +1,13 @@
 """Isolation forest on one measure, per series (O3; Liu, Ting and Zhou, ICDM 2008).
 
-* Samples: every row draws a hash per tree; about twice the sample size of a series' rows join a tree, and
-  the 256 smallest hashes per (series, tree) are kept (groups of a few hundred rows, never a whole series).
+* Samples: rows draw by hashes; about twice the sample size of a series' rows join a tree, and the 256 smallest
+  hashes per (series, tree) are kept (groups of a few hundred rows, never a whole series).
 * Trees: grown per ``(series, tree_id)`` in ``applyInPandas`` (random split between the node's min and max,
   height limit ceil(log2 256)).
-* Scores: ``2^(-E[h(x)] / c(sample))``, computed per block of a series next to a copy of its trees; rows above
-  the series' exact ``1 - contamination`` quantile of the scores are outliers.
+* Scores: ``2^(-E[h(x)] / c(sample))``. With one measure the mean path length is a step function of it: the splits of a
+  series' trees become one sorted table of steps, and a row's score is that of the last step before its value, found
+  by sorting rows and steps together over the cluster. Rows above the series' exact ``1 - contamination`` quantile
+  of the scores are outliers.
 Seeded and exact for the algorithm, but not bit-equal to other implementations.
 """
 
@@ -17,11 +19,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tsforge import SERIES, TS
 
-BLOCK_ROWS = 200_000  # rows scored at once
 EULER = 0.5772156649015329
 NODE_SCHEMA = "tree_id long, node long, split double, left long, right long, size long"
 
@@ -71,20 +71,31 @@ def _path_lengths(x: np.ndarray, tree: pd.DataFrame) -> np.ndarray:
     return depth + rest[node]
 
 
-def isolation_scores(df: DataFrame, col: str, trees: int = 100, sample: int = 256, seed: int = 42,
-                     block: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``anomaly_score`` in (0, 1] for every row with a non-null ``col``; each series has its own forest."""
+def _steps(nodes: pd.DataFrame) -> pd.DataFrame:
+    """A series' forest as a step function of its measure: from each ``at`` on (the first from -inf), the mean path length.
+    A tree of m rows measures paths against the mean path of m rows."""
+    grown = [g for _, g in nodes.sort_values(["tree_id", "node"]).groupby("tree_id")]
+    at = np.unique(np.append(-np.inf, nodes["split"].dropna().to_numpy()))
+    paths = sum(_path_lengths(at, g) / max(_c(int(g["drawn"].iloc[0])), 1e-12) if g["drawn"].iloc[0] > 1 else np.ones(len(at)) for g in grown)
+    return pd.DataFrame({"at": at, "score": np.power(2.0, -paths / len(grown))})
+
+
+def isolation_forest(df: DataFrame, col: str, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """(series, at, score): each series' forest as a step function - a value has the score of the last ``at`` that is not above
+    it. With one measure a tree cuts the line into stretches, so a forest does: at most ``trees * (sample - 1)`` steps a series."""
     data = df.where(F.col(col).isNotNull())
     sizes = data.groupBy(F.col(SERIES).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     # A row's draws depend on all of its columns, so repeated stamps draw apart.
     row = F.xxhash64(*[F.col(f"`{c}`") for c in data.columns if data.schema[c].dataType.typeName() not in ("map", "variant")])
     tagged = data.join(sizes, F.col(SERIES).eqNullSafe(F.col("_s"))).drop("_s").withColumn("_row", row)
+    # About 2 * sample rows of a series join a tree, however long the series is: of a long one few rows take part at all
+    # (one draw for each row), and only those draw for each tree.
     wanted = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("_n"))
-    # Bernoulli per (row, tree) on 63 bits, without rows x trees: a row keeps only its trees. About 2 * sample
-    # rows of a series join a tree, however long the series is.
-    draw = lambda t: F.shiftrightunsigned(F.xxhash64("_row", t, F.lit(seed)), 1)
-    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) / F.lit(2.0 ** 63) <= wanted)
-    draws = tagged.select(F.col(SERIES), F.col(col).cast("double").alias("x"), F.explode(picks).alias("tree_id"), "_row")
+    any_tree = F.least(F.lit(1.0), F.lit(float(trees)) * wanted)
+    uniform = lambda *x: F.shiftrightunsigned(F.xxhash64(*x), 1) / F.lit(2.0 ** 63)
+    part = tagged.where(uniform(F.col("_row"), F.lit(seed), F.lit("row")) <= any_tree)
+    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: uniform(F.col("_row"), t, F.lit(seed)) <= wanted / any_tree)
+    draws = part.select(F.col(SERIES), F.col(col).cast("double").alias("x"), F.explode(picks).alias("tree_id"), "_row")
     order = Window.partitionBy(SERIES, "tree_id").orderBy(F.xxhash64("_row", "tree_id", F.lit(seed + 1)), "_row", "x")
     keep = draws.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select(SERIES, F.col("tree_id").cast("long"), "x")
 
@@ -94,24 +105,30 @@ def isolation_scores(df: DataFrame, col: str, trees: int = 100, sample: int = 25
         out["drawn"] = len(pdf)
         return out
 
-    forest = keep.groupBy(SERIES, "tree_id").applyInPandas(grow, f"{SERIES} string, {NODE_SCHEMA}, drawn long")
-    # A long series is scored in blocks, each with a copy of its forest (at most trees * (2 * sample - 1) rows).
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    rows = tagged.withColumn("_block", F.pmod(F.col("_row"), blocks).cast("int")).drop("_row", "_n")
-    copies = forest.join(sizes, F.col(SERIES).eqNullSafe(F.col("_s"))).withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_s", "_n")
-    schema = T.StructType(data.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
-
-    def score(pdf: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[col].to_numpy(dtype=float)
-        grown = [g for _, g in nodes.sort_values(["tree_id", "node"]).groupby("tree_id")]
-        pdf = pdf.drop(columns="_block")
-        if not grown or not len(pdf):
-            return pdf.assign(anomaly_score=0.5)
-        # a tree of m rows measures paths against the mean path of m rows
-        paths = sum(_path_lengths(x, g) / max(_c(int(g["drawn"].iloc[0])), 1e-12) if g["drawn"].iloc[0] > 1 else np.ones(len(x)) for g in grown)
-        return pdf.assign(anomaly_score=np.power(2.0, -paths / len(grown)))
-
-    return rows.groupBy(SERIES, "_block").cogroup(copies.groupBy(SERIES, "_block")).applyInPandas(score, schema)
+    def steps(nodes: pd.DataFrame) -> pd.DataFrame:
+        out = _steps(nodes)
+        out.insert(0, SERIES, nodes[SERIES].iloc[0])
+        return out
+
+    return keep.groupBy(SERIES, "tree_id").applyInPandas(grow, f"{SERIES} string, {NODE_SCHEMA}, drawn long") \
+        .groupBy(SERIES).applyInPandas(steps, f"{SERIES} string, at double, score double")
+
+
+def isolation_scores(df: DataFrame, col: str, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """Adds ``anomaly_score`` in (0, 1] for every row with a non-null ``col``; each series has its own forest.
+
+    Rows and steps are sorted together by value over the cluster, and each row takes the score of the last step before
+    it (the carry of the fills), so no task holds a series."""
+    from tsforge.operators.sequence import neighbours, with_row_index
+    data = df.where(F.col(col).isNotNull())
+    steps = isolation_forest(df, col, trees, sample, seed)
+    x, held = F.col(f"`{col}`").cast("double"), [f"_c{k}" for k in range(len(data.columns))]
+    rows = data.select(F.col(SERIES).alias(SERIES), x.alias("_x"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_score"),
+                       F.struct(*[F.col(f"`{c}`").alias(h) for c, h in zip(data.columns, held)]).alias("_row"))
+    marks = steps.select(SERIES, F.col("at").alias("_x"), F.lit(0).alias("_kind"), F.col("score").alias("_score"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    sorted_rows = with_row_index(rows.unionByName(marks), order="_x")  # ties by kind: a step begins at its value
+    scored = neighbours(sorted_rows, ["_score"]).where("_kind = 1")
+    return scored.select(*[F.col("_row")[h].alias(c) for c, h in zip(data.columns, held)], F.col("_prev__score")["v"].alias("anomaly_score"))
 
 
 def isolation_forest_flags(df: DataFrame, col: str, flag: str = "is_outlier", contamination: float = 0.1,
