@@ -1243,6 +1243,55 @@ _FAULTS = """f AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS t, o_totalprice A
 r AS (SELECT *, CASE k WHEN 1 THEN 'time' WHEN 2 THEN 'no time' WHEN 3 THEN 'number: kwh' WHEN 4 THEN 'line' WHEN 5 THEN 'line' END AS reason FROM f)"""
 
 
+@register("bucketed_merge", f"WITH {_MERGED} SELECT series, ts, {_MCOLS} FROM merged")
+def q_bucketed_merge(spark, sf_dir):
+    """Load and weather written in buckets of their join key and merged where they lie."""
+    import uuid
+    from tsforge.operators.joins import merge_on_time
+    from tsforge.session import shared_path
+    from tsforge.sources.files import write_bucketed
+    path = shared_path(spark, "buckets", uuid.uuid4().hex)
+    load = write_bucketed(S.load_series(spark, sf_dir), f"{path}/load", [TS], 16)
+    return merge_on_time(load, write_bucketed(S.weather_series(spark, sf_dir), f"{path}/weather", [TS], 16))
+
+
+@register("stream_merge", f"WITH {_MERGED} SELECT series, ts, {_MCOLS} FROM merged")
+def q_stream_merge(spark, sf_dir):
+    """J1 on two streams: hourly load and weather arrive in two runs, the weather an hour late; rows of the first run find
+    their partner in the second."""
+    import uuid
+    from tsforge.session import shared_path
+    from tsforge.streaming.hourly import merge_streams, run_appending
+    path = shared_path(spark, "streams", uuid.uuid4().hex)
+    load, weather = S.load_series(spark, sf_dir), S.weather_series(spark, sf_dir)
+    middle = load.agg(F.timestamp_seconds((F.unix_seconds(F.min(TS)) + F.unix_seconds(F.max(TS))) / 2)).first()[0]
+    out = None
+    for first in (True, False):
+        for name, df, late in (("load", load, 0), ("weather", weather, 1)):
+            early = F.col(TS) < F.lit(middle) - F.expr(f"INTERVAL {late} HOURS")
+            df.where(early if first else ~early).write.mode("append").parquet(f"{path}/{name}")
+        streams = [spark.readStream.schema(df.schema).parquet(f"{path}/{name}") for name, df in (("load", load), ("weather", weather))]
+        out = run_appending(merge_streams(*streams), f"{path}/table", f"{path}/checkpoint")
+    return out
+
+
+@register("stream_scenarios", f"""WITH {_SCEN}, {_STEPS}
+SELECT scenario, CAST(step AS BIGINT) AS step, end_ts + INTERVAL 1 HOUR * (step + 1) AS ts,
+  {Q.r4('m3 * (1 + 0.3 * sin(2 * pi() * step / 24)) * (1 + 0.0)', 'prediction')}, CAST(NULL AS VARCHAR) AS error FROM st""")
+def q_stream_scenarios(spark, sf_dir):
+    """M16, M18 on a stream: requests arrive as files and are scored as they come."""
+    import uuid
+    from tsforge.plans.scoring import heuristic_horizon
+    from tsforge.session import shared_path
+    from tsforge.streaming.hourly import score_stream
+    path = shared_path(spark, "streams", uuid.uuid4().hex)
+    asked = _scenarios(spark, sf_dir)
+    asked.repartition(3).write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    score_stream(arriving, lambda batch: heuristic_horizon(batch, "daily"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("epoch")
+
+
 @register("csv_quarantine", f"""WITH {_FAULTS}
 SELECT coalesce(reason, 'good') AS reason, CAST(count(*) AS BIGINT) AS lines, {Q.r4('sum(CASE WHEN reason IS NULL AND k <> 6 THEN v END)', 'kwh')},
   CAST(count(*) FILTER (WHERE reason IS NULL AND k = 6) AS BIGINT) AS empty FROM r GROUP BY 1""")

@@ -8,6 +8,7 @@ on request) so downstream jobs prune by series.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -113,6 +114,14 @@ def write_frame(df: DataFrame, path: str, fmt: str = "parquet", partition_by_ser
         w.parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """S7/S8 for frames that are joined again and again: written as ``buckets`` sorted files by the hash of ``keys``. Two frames
+    written with the same keys and number are joined on them where they lie, without a shuffle (J1, J2)."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def read_frame(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
     """A written frame again, columns in the order of ``like`` (a partition column comes back last otherwise)."""
     df = spark.read.option("recursiveFileLookup", "false").parquet(path)

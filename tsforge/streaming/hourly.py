@@ -1,4 +1,4 @@
-"""Structured Streaming form of the hourly resample (R1) and of batch scoring.
+"""Structured Streaming forms of the hourly resample (R1), of the merge of load and weather (J1) and of batch scoring.
 
 Events arrive as files; the stream casts the event time, sets a watermark and keeps hourly means per series in
 state until the watermark has passed them. Each micro-batch writes the hours it changed to its own ``epoch=<id>``
@@ -48,6 +48,29 @@ def newest(changes: DataFrame) -> DataFrame:
     return changes.groupBy(SERIES, TS).agg(F.max_by(F.struct(*others), "epoch").alias("r")).select(SERIES, TS, "r.*")
 
 
+def merge_streams(load: DataFrame, weather: DataFrame, delay: str = "2 hours", reach: str = "0 seconds") -> DataFrame:
+    """J1 on two streams of hourly rows: each load row with the weather of its hour, or of up to ``reach`` before it.
+
+    Rows wait in state for their partner, whichever comes first, until the other side's watermark (``delay`` behind its newest
+    row) has passed the time it could still match; so state holds hours, not the history."""
+    keys = [c for c in (SERIES,) if c in weather.columns]
+    right = weather.withColumnsRenamed({TS: "_at", **{k: f"_w_{k}" for k in keys}}).withWatermark("_at", delay)
+    on = F.col("_at").between(F.col(TS) - F.expr(f"INTERVAL {reach}"), F.col(TS))
+    if reach.split()[0] == "0":
+        on = F.col("_at") == F.col(TS)
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_w_{k}"))
+    return load.withWatermark(TS, delay).join(right, on, "inner").drop("_at", *[f"_w_{k}" for k in keys])
+
+
+def run_appending(stream: DataFrame, table_path: str, checkpoint: str) -> DataFrame:
+    """Process everything available now, one replaceable folder per epoch; all rows of all epochs so far."""
+    q = (stream.writeStream.outputMode("append").foreachBatch(lambda b, e: _write_epoch(b, e, table_path))
+               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(table_path)
+
+
 def score_stream(stream: DataFrame, score, table_path: str, checkpoint: str):
     """Batch scoring of arriving scenario rows (M13/M16 on a stream): ``score(batch_df)``, one replaceable folder per epoch."""
     return (stream.writeStream.foreachBatch(lambda b, e: _write_epoch(score(b), e, table_path))
