@@ -68,7 +68,7 @@ def run_appending(stream: DataFrame, table_path: str, checkpoint: str) -> DataFr
     q = (stream.writeStream.outputMode("append").foreachBatch(lambda b, e: _write_epoch(b, e, table_path))
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(table_path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(table_path).drop("epoch")
 
 
 def score_stream(stream: DataFrame, score, table_path: str, checkpoint: str):
