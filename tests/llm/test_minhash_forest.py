@@ -123,3 +123,38 @@ def test_pairs_at_the_threshold_in_crowded_regions(spark):
     assert len(shingles(rows[0][1]) & shingles(rows[1][1])) * 10 == 8 * len(shingles(rows[0][1]) | shingles(rows[1][1]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert answer(df, region=2) == {i: (180, i - i % 2, i % 2 == 0) for i in range(400)}
+
+
+def test_regions_go_deeper_as_far_as_they_are_crowded():
+    rnd = random.Random(3)
+    rows = sorted(tuple([1, 1, 1] + [rnd.randrange(3) for _ in range(5)]) for _ in range(500))
+    keys = np.array(rows, np.uint32)
+    spans = list(minhash_forest._deeper(keys, 0, 500, 3, 20))
+    assert [i for i, _ in spans[1:]] == [j for _, j in spans[:-1]] and spans[0][0] == 0 and spans[-1][1] == 500
+    for i, j in spans:
+        same = next(d for d in range(8, -1, -1) if (keys[i:j, :d] == keys[i, :d]).all())
+        assert j - i <= 20 and same >= 3
+        whole = (keys[:, :same] == keys[i, :same]).all(1).sum()
+        assert same == 8 or whole <= 20 or whole == j - i or same > 3
+    assert len(list(minhash_forest._deeper(np.ones((50, 8), np.uint32), 0, 50, 3, 20))) == 3
+
+
+def test_a_third_of_all_rows_near_copies(spark, monkeypatch):
+    """Texts of a dense group are sent a few times each, however many blocks it fills."""
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [rnd.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(2):
+            w[rnd.randrange(120)] = rnd.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(rnd.choice(vocabulary) for _ in range(60))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sent = []
+    plain = minhash_forest.tested
+    monkeypatch.setattr(minhash_forest, "tested", lambda tiles, *a: sent.append(tiles.count()) or plain(tiles, *a))
+    got = answer(df, tile=20, region=16)
+    assert got == brute(rows)
+    assert sum(sent) < 3 * 300  # 15 blocks: pairs of blocks would send each text 15 times

@@ -2,17 +2,20 @@
 
 1. Every text gets its set of ``SHINGLE``-word shingles (as 64-bit hashes) and ``TREES * DEPTH`` minima. Texts with
    equal sets are one *class* from here on, with the smallest id; any number of copies costs one row.
-2. Forest: each tree orders the classes by its own sequence of minima. Classes with equal first ``SHALLOW``
-   minima of a tree are a region. Classes whose compact signatures (4 bits for each minimum) agree well
-   enough for a similarity near the threshold are candidates; a tile sends a spanning star of each set of
-   candidates, not its pairs. A region of more than ``REGION`` classes meets in blocks of it, each pair of
-   blocks in its own group: all its pairs are compared. Before that, a batch lets one class stand for those
-   of its region that differ in few minima; how far they are is added to what may differ, so
-   no candidate is lost.
-3. Connected candidates make candidate groups. The whole texts of a group meet in one task; a group of
-   more than ``TILE`` classes meets in blocks of it, each pair of blocks in its own task, so none has an
-   unbounded group. Full shingle sets decide every link there, and two texts already connected need no test.
-4. Connected components of the confirmed links.
+2. Forest: each tree sorts the classes by its own sequence of minima. Neighbours in an order whose longest common
+   prefix is ``SHALLOW`` minima or more make a region. In a region of up to ``REGION`` classes all pairs are compared by
+   compact signatures (4 bits of each minimum): those that agree well enough for a similarity near the threshold are
+   candidates, and a spanning star of each set of candidates is sent on, not its pairs. A larger region is taken
+   deeper, by longer common prefixes, as far as it is crowded: neighbours there that differ in few minima are candidates,
+   and one of them stands for the others, with how far they are.
+3. What going deeper parts is not lost: those that are left of a crowded region (and of one that a cut of the sorted order
+   runs through) meet again in blocks, each pair of blocks in its own task; how far the others are that one stands for is
+   added to what may differ.
+4. Connected candidates make candidate groups. The whole texts of a group meet in one task, a group of more than ``TILE``
+   classes (or ``TILE_SHINGLES``) in blocks: first each block alone, then one text of each part that came out connected,
+   and only where a group still has several parts, pairs of blocks. Full shingle sets decide every link; texts already
+   connected need no test.
+5. Connected components of the confirmed links.
 
 A pair at similarity 0.8 meets in a region of at least one of 16 trees with probability
 1 - (1 - 0.8**3)**16 > 0.99998, and passes the compact signature with probability > 0.99999.
@@ -25,7 +28,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ from tsforge.llm.textcodes import BYTE_CODES, Ranges, mix, run_starts, slabs
 
 SHINGLE, PERCENT = 4, 80
 TREES, DEPTH, SHALLOW = 16, 8, 3
-REGION, TILE = 512, 2000
+REGION, TILE, TILE_SHINGLES = 512, 2000, 4_000_000
 #: Of more than FEW classes of a region in a batch, those at most NEAR minima from one are stood for by it; given up after VAIN that stand for none.
 FEW, NEAR, VAIN = 4, 12, 32
 _HOLD = 500_000
@@ -164,36 +166,98 @@ def _compare(doc: np.ndarray, radius: np.ndarray, block: np.ndarray, packed: np.
     return stars(np.concatenate(a), np.concatenate(b)) if a else None
 
 
-def candidates(classes: DataFrame, region: int = REGION, agree: int = AGREE) -> DataFrame:
-    """(a, b): links that connect all classes that meet in some region and whose signatures agree, and maybe more."""
+def _spans(cuts: np.ndarray, n: int):
+    """(begin, end) of the stretches that begin at 0 and behind each of ``cuts``."""
+    at = np.append(0, np.flatnonzero(cuts) + 1)
+    return zip(at.tolist(), np.append(at[1:], n).tolist(), strict=True)
+
+
+def _deeper(keys: np.ndarray, begin: int, end: int, depth: int, region: int):
+    """Stretches of neighbours with common prefixes as long as it takes for them to have no more than ``region`` rows."""
+    if end - begin <= region or depth == DEPTH:
+        yield from ((k, min(k + region, end)) for k in range(begin, end, region))
+        return
+    part = keys[begin:end, depth]
+    for i, j in _spans(part[1:] != part[:-1], end - begin):
+        yield from _deeper(keys, begin + i, begin + j, depth + 1, region)
 
-    def trees(batches):
+
+def orders(classes: DataFrame) -> DataFrame:
+    """(tree, key binary, doc_id, sign binary): each class in the sorted order of every tree; ``key`` sorts like its minima."""
+
+    def run(batches):
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             raw = [x.as_buffer() for x in b.column("minima")]
             if not raw:
                 continue
             minima = np.stack([np.frombuffer(x, np.uint32) for x in raw])
             sign = compact(minima)
-            packed = np.ascontiguousarray((sign[:, ::2] << 4) | sign[:, 1::2]).view(np.uint64)
+            packed = np.ascontiguousarray((sign[:, ::2] << 4) | sign[:, 1::2])
             signs = pa.array([x.tobytes() for x in packed], pa.binary())
             for t in range(TREES):
-                key = np.full(len(ids), t + 1, np.uint64)
-                for d in range(SHALLOW):
-                    key = mix(key ^ (minima[:, t * DEPTH + d].astype(np.uint64) << np.uint64(8)))
-                first, radius = np.arange(len(ids)), np.zeros(len(ids), np.int32)
-                order = np.argsort(key, kind="stable")
-                ends = np.append(np.flatnonzero(np.diff(key[order])) + 1, len(ids))
-                begins = np.append(0, ends[:-1])
-                for i, j in zip(begins[ends - begins > FEW].tolist(), ends[ends - begins > FEW].tolist(), strict=True):
-                    at = order[i:j]
-                    own, radius[at] = _thin(packed[at])
-                    first[at] = at[own]
-                gone = first != np.arange(len(ids))
+                keys = np.ascontiguousarray(minima[:, t * DEPTH:(t + 1) * DEPTH].astype(">u4"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t), pa.int32()), pa.array([x.tobytes() for x in keys], pa.binary()),
+                                                  b.column("doc_id"), signs], names=["tree", "key", "doc_id", "sign"])
+
+    return classes.mapInArrow(tidy(run), "tree int, key binary, doc_id long, sign binary")
+
+
+def candidates(classes: DataFrame, region: int = REGION, agree: int = AGREE) -> DataFrame:
+    """(a, b): links that connect all classes that meet in some region and whose signatures agree, and maybe more."""
+    reach = MINIMA - agree
+
+    def walk(batches):
+        """A stretch of the sorted orders: links, and what is left of crowded and cut regions."""
+        tree = keys = ids = packed = None
+        first = True
+
+        def settled(ready: int, last: bool):
+            """The regions among the first ``ready`` rows; the first and the last one of a stretch may go on outside of it."""
+            nonlocal first
+            a, b, rest = [], [], []
+            new = (tree[1:ready] != tree[:ready - 1]) | (keys[1:ready, :SHALLOW] != keys[:ready - 1, :SHALLOW]).any(1)
+            spans = list(_spans(new, ready))
+            for n, (i, j) in enumerate(spans):
+                cut = (first and n == 0) or (last and n == len(spans) - 1)
+                if not cut and j - i <= region:
+                    if j - i > 1 and (out := _compare(ids[i:j], np.zeros(j - i, np.int32), np.zeros(j - i, np.int32), packed[i:j], reach)) is not None:
+                        a.append(out[0])
+                        b.append(out[1])
+                    continue
+                name = int(mix(mix(keys[i:i + 1, :SHALLOW].astype(np.uint64) @ np.array([[1], [1 << 20], [1 << 40]], np.uint64)[:SHALLOW])[0]
+                               + np.uint64(tree[i]))[0].view(np.int64))
+                for x, y in _deeper(keys, i, j, SHALLOW, region):
+                    stands, radius = _thin(packed[x:y]) if y - x > FEW else (np.arange(y - x), np.zeros(y - x, np.int32))
+                    own = stands == np.arange(y - x)
+                    a.append(ids[x:y][~own])
+                    b.append(ids[x:y][stands[~own]])
+                    rest.append((np.full(own.sum(), name), ids[x:y][own], radius[own], packed[x:y][own]))
+            first = first and ready == 0
+            out = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+            left = [np.concatenate(x) for x in zip(*rest, strict=True)] if rest else [np.zeros(0, np.int64)] * 3 + [np.zeros((0, MINIMA // 16), np.uint64)]
+            n, m = len(out[0]), len(left[0])
+            none = lambda k, t: pa.nulls(k, t)
+            if n or m:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(ids), pa.array(ids[first], mask=~gone), pa.array(radius),
-                     signs if not gone.any() else pc.if_else(pa.array(gone), pa.scalar(None, pa.binary()), signs)],
-                    names=["region", "doc_id", "first", "radius", "sign"])
+                    [pa.concat_arrays([pa.array(out[0]), none(m, pa.int64())]), pa.concat_arrays([pa.array(out[1]), none(m, pa.int64())]),
+                     pa.concat_arrays([none(n, pa.int64()), pa.array(left[0].astype(np.int64))]), pa.concat_arrays([none(n, pa.int64()), pa.array(left[1])]),
+                     pa.concat_arrays([none(n, pa.int32()), pa.array(left[2].astype(np.int32))]),
+                     pa.concat_arrays([none(n, pa.binary()), pa.array([x.tobytes() for x in left[3]], pa.binary())])],
+                    names=["a", "b", "region", "doc_id", "radius", "sign"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = (batch.column("tree").to_numpy(), np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(-1, DEPTH),
+                     batch.column("doc_id").to_numpy(), np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint64).reshape(-1, MINIMA // 16))
+            tree, keys, ids, packed = fresh if tree is None else (np.concatenate(x) for x in zip((tree, keys, ids, packed), fresh, strict=True))
+            new = np.flatnonzero((tree[1:] != tree[:-1]) | (keys[1:, :SHALLOW] != keys[:-1, :SHALLOW]).any(1))
+            if len(new):  # the last region may go on in the next batch
+                ready = int(new[-1]) + 1
+                yield from settled(ready, False)
+                tree, keys, ids, packed = tree[ready:], keys[ready:], ids[ready:], packed[ready:]
+        if tree is not None:
+            yield from settled(len(tree), True)
 
     def links(batches):
         now, held = None, []
@@ -202,107 +266,98 @@ def candidates(classes: DataFrame, region: int = REGION, agree: int = AGREE) ->
             doc, radius, block = (np.array([x[k] for x in held]) for k in range(3))
             order = np.argsort(block, kind="stable")
             packed = np.stack([np.frombuffer(held[i][3], np.uint64) for i in order])
-            return _compare(doc[order], radius[order], block[order], packed, MINIMA - agree)
+            return _compare(doc[order], radius[order], block[order], packed, reach)
 
         for b in batches:
-            known = b.column("first").is_valid().to_numpy(zero_copy_only=False)
-            found = [(b.column("doc_id").to_numpy(zero_copy_only=False)[known],
-                      b.column("first").drop_null().to_numpy(zero_copy_only=False))] if known.any() else []
-            rest = b.filter(pa.array(~known))
-            keys = zip(*(rest.column(c).to_pylist() for c in ("region", "x", "y")), strict=True)
-            for k, row in zip(keys, zip(*(rest.column(c).to_pylist() for c in ("doc_id", "radius", "block", "sign")), strict=True), strict=True):
+            keys = zip(*(b.column(c).to_pylist() for c in ("region", "x", "y")), strict=True)
+            for k, row in zip(keys, zip(*(b.column(c).to_pylist() for c in ("doc_id", "radius", "block", "sign")), strict=True), strict=True):
                 if k != now:
                     if len(held) > 1 and (out := done()) is not None:
-                        found.append(out)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b"])
                     now, held = k, []
                 held.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
         if len(held) > 1 and (out := done()) is not None:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b"])
 
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = classes.mapInArrow(tidy(trees), "region long, doc_id long, first long, radius int, sign binary")
-    crowded = staged(rows.where("first IS NULL").groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > region)
+    walked = staged(orders(classes).repartitionByRange(n, "tree", "key").sortWithinPartitions("tree", "key", "doc_id")
+                    .mapInArrow(tidy(walk), "a long, b long, region long, doc_id long, radius int, sign binary"), "walked")
+    rest = walked.where("region IS NOT NULL").select("region", "doc_id", "radius", "sign")
+    crowded = staged(rest.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
                      .select("region", F.ceil(F.col("n") / region).cast("int").alias("blocks")), "crowded")
-    # links known by now go to no tile and are spread
-    placed = rows.join(crowded, "region", "left").withColumn("blocks", F.when(F.col("first").isNull(), F.coalesce("blocks", F.lit(1))).otherwise(1)) \
-        .withColumn("block", F.when(F.col("first").isNull(), F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-                    .otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(65536))).cast("int")) \
-        .withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    tiles = placed.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-                          "doc_id", "first", "radius", "block", "sign")
-    return tiles.repartition(n, "region", "x", "y").sortWithinPartitions("region", "x", "y", "doc_id").mapInArrow(tidy(links), "a long, b long")
-
-
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets reach the similarity, exactly."""
-    if len(a) > len(b):
-        a, b = b, a
-    if 100 * len(a) < percent * len(b):
-        return False
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def confirm(doc: np.ndarray, sets: list[np.ndarray], sign: np.ndarray, percent: int, agree: int) -> list[tuple[int, int]]:
-    """Links that connect what full sets connect; texts already connected are not tested again."""
-    root = np.arange(len(doc))  # of each text, the least of its set so far
-    links = []
+    placed = rest.join(crowded, "region").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = placed.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "radius", "block", "sign")
+    across = tiles.repartition(n, "region", "x", "y").sortWithinPartitions("region", "x", "y", "doc_id").mapInArrow(tidy(links), "a long, b long")
+    return walked.where("a IS NOT NULL").select("a", "b").unionByName(across)
+
+
+def confirm(part: np.ndarray, block: np.ndarray, sets: list[np.ndarray], packed: np.ndarray, percent: int, reach: int) -> np.ndarray:
+    """The least part that each text is connected with by full sets. Texts of one ``part``, or already connected, are not
+    tested; of the texts that another may be linked with, each connected part's nearest is tested first, so copies take
+    one test. Of two blocks only pairs across are tested; each block has a tile of its own."""
+    names, root = np.unique(part, return_inverse=True)  # roots are numbers of parts
     size = np.array([len(x) for x in sets])
     begin = np.append(0, np.cumsum(size))
     codes, place = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(codes), bool)
-    for i in range(1, len(doc)):
-        near = np.flatnonzero(((sign[:i] == sign[i]).sum(1) >= agree) & (root[:i] != root[i]))
-        if len(near) > 8:  # one text against all before it, exactly as similar() does it
-            own = place[begin[i]:begin[i + 1]]
-            mark[own] = True
-            both = np.add.reduceat(mark[place[:begin[i]]], begin[:i], dtype=np.int64)[near]
-            mark[own] = False
-            near = near[100 * both >= percent * (size[near] + size[i] - both)]
-        else:
-            near = [j for j in near if similar(sets[i], sets[j], percent)]
-        for j in near:
-            if root[j] != root[i]:
-                links.append((int(doc[i]), int(doc[j])))
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root[:i + 1][root[:i + 1] == old] = new
-    return links
-
-
-def confirmed(groups: DataFrame, docs: DataFrame, width: int, percent: int, agree: int, tile: int) -> DataFrame:
-    """(a, b): confirmed links from (id, component) of candidate groups and the texts."""
-    size = groups.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
-    placed = groups.join(size, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("id").alias("doc_id"), "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    # only texts that may be in a group are shuffled: a sketch of the ids, of bounded size, lets the others go
-    ids_of = lambda b: iter([b.column("id").to_numpy(zero_copy_only=False).astype(np.uint64)])
+    alone = block.min() == block.max()
+    for i in range(1, len(part)):
+        may = root[:i] != root[i]
+        near = np.flatnonzero(may if alone else may & (block[:i] != block[i]))
+        d = far(packed[i], packed[near])
+        likely = (d <= reach) & (100 * np.minimum(size[near], size[i]) >= percent * np.maximum(size[near], size[i]))
+        near = near[likely][np.argsort(d[likely], kind="stable")]
+        if not len(near):
+            continue
+        own = place[begin[i]:begin[i + 1]]
+        mark[own] = True
+        turn = np.zeros(len(near), bool)
+        turn[np.unique(root[near], return_index=True)[1]] = True
+        for these in (near[turn], near[~turn]):  # the nearest of each part, then the others of parts still apart
+            these = these[root[these] != root[i]]
+            if not len(these):
+                continue
+            both = np.add.reduceat(mark[np.concatenate([place[begin[j]:begin[j + 1]] for j in these.tolist()])],
+                                   np.cumsum(size[these]) - size[these], dtype=np.int64)
+            for j in these[100 * both >= percent * (size[these] + size[i] - both)].tolist():
+                if root[j] != root[i]:
+                    low, high = sorted((root[i], root[j]))
+                    root[root == high] = low
+        mark[own] = False
+    return names[root]
+
+
+def tested(tiles: DataFrame, docs: DataFrame, width: int, percent: int, agree: int) -> DataFrame:
+    """(a, b): of the parts that a tile's texts, from (doc_id, component, x, y, part, block), connect, each with the least."""
+    # only texts that may be in a tile are shuffled: a sketch of the ids, of bounded size, lets the others go
+    ids_of = lambda b: iter([b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.uint64)])
     wanted = docs.sparkSession.sparkContext.broadcast(
-        sketch.build(groups.select("id"), ids_of, sketch.log2_cells(groups.count()), least=1))
+        sketch.build(tiles.select("doc_id"), ids_of, sketch.log2_cells(tiles.count()), least=1))
 
     def grouped(batches):
         for b in batches:
             yield b.filter(pa.array(wanted.value.may_repeat(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.uint64))))
 
-    texts = tiles.join(docs.mapInArrow(tidy(grouped), docs.schema), "doc_id").select("component", "x", "y", "doc_id", "text")
+    texts = tiles.join(docs.mapInArrow(tidy(grouped), docs.schema), "doc_id").select("component", "x", "y", "doc_id", "part", "block", "text")
 
     def run(batches):
         now, held = None, []
 
         def done():
-            if len({x[0] for x in held}) < 2:
+            if len({x[1] for x in held}) < 2:
                 return None
             held.sort(key=lambda x: x[0])
-            links = confirm(np.array([x[0] for x in held]), [x[1] for x in held], np.stack([x[2] for x in held]), percent, agree)
-            a, b = zip(*links, strict=True) if links else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            sign = np.stack([x[3] for x in held])
+            packed = np.ascontiguousarray((sign[:, ::2] << 4) | sign[:, 1::2]).view(np.uint64)
+            part = np.array([x[1] for x in held])
+            least = confirm(part, np.array([x[4] for x in held]), [x[2] for x in held], packed, percent, MINIMA - agree)
+            star = np.unique(np.stack([part, least])[:, part != least], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in star], names=["a", "b"])
 
         for b in batches:
             keys = list(zip(*(b.column(c).to_pylist() for c in ("component", "x", "y")), strict=True))
-            ids = b.column("doc_id").to_pylist()
+            ids, parts, blocks = (b.column(c).to_pylist() for c in ("doc_id", "part", "block"))
             for s in slabs(b.column("text")):
                 sh = Shingles(s, width)
                 signs = compact(sh.minima())
@@ -311,7 +366,7 @@ def confirmed(groups: DataFrame, docs: DataFrame, width: int, percent: int, agre
                         if held and (out := done()) is not None:
                             yield out
                         now, held = keys[s.first + i], []
-                    held.append((ids[s.first + i], sh.set(i), signs[i]))
+                    held.append((ids[s.first + i], parts[s.first + i], sh.set(i), signs[i], blocks[s.first + i]))
         if held and (out := done()) is not None:
             yield out
 
@@ -319,6 +374,46 @@ def confirmed(groups: DataFrame, docs: DataFrame, width: int, percent: int, agre
     return texts.repartition(n, "component", "x", "y").sortWithinPartitions("component", "x", "y", "doc_id").mapInArrow(tidy(run), "a long, b long")
 
 
+def _blocks(placed: DataFrame, tile: int) -> DataFrame:
+    """(doc_id, component, part, n_shingles) with ``blocks``, how many its group is dealt over, and ``block``, its own."""
+    size = placed.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("blocks"))
+    return placed.join(size, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+
+def _pairs_of_blocks(blocks: DataFrame, across: bool) -> DataFrame:
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiles = blocks.withColumn("other", other).select("doc_id", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "part", "block")
+    return tiles.where("x < y") if across else tiles
+
+
+def confirmed(groups: DataFrame, docs: DataFrame, width: int, percent: int, agree: int, tile: int) -> DataFrame:
+    """(a, b): confirmed links from (doc_id, component, n_shingles) of candidate groups and the texts."""
+    blocks = staged(_blocks(groups.withColumn("part", F.col("doc_id")), tile), "blocks")
+    alone = blocks.select("doc_id", "component", F.col("block").alias("x"), F.col("block").alias("y"), "part", "block")
+    links = staged(tested(alone, docs, width, percent, agree), "links-alone")
+    large = blocks.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    # one text of each part that came out connected speaks for it first; each text was in one tile, so links are stars
+    large = staged(_in_parts(large, links), "parts")
+    speakers = staged(_blocks(large.where("doc_id = part").drop("blocks", "block"), tile), "speakers")
+    merged = staged(tested(_pairs_of_blocks(speakers, False), docs, width, percent, agree), "links-speakers")
+    links = links.unionByName(merged)
+    if not speakers.where("blocks > 1").isEmpty():
+        merged = connected(merged).toDF("a", "b")
+    large = staged(_in_parts(large, merged), "parts")
+    several = large.groupBy("component").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("component")
+    left = staged(large.join(several, "component", "left_semi"), "left")
+    if left.isEmpty():
+        return links
+    return links.unionByName(tested(_pairs_of_blocks(left, True), docs, width, percent, agree))
+
+
+def _in_parts(rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """``rows`` with the part that ``stars`` (a, b) connects theirs with."""
+    return rows.join(stars.withColumnsRenamed({"a": "part", "b": "least"}), "part", "left").withColumn("part", F.coalesce("least", "part")).drop("least")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT,
                     region: int = REGION, agree: int = AGREE, tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
@@ -330,8 +425,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = sig.where("n_shingles > 0")
     classes = some.groupBy("h0", "h1").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     classes = staged(classes, "classes")
-    firsts = staged(some.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "minima"), "firsts")
-    groups = staged(connected(candidates(firsts, region, agree)), "groups")
+    firsts = staged(some.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "minima"), "firsts")
+    groups = connected(candidates(firsts, region, agree)).withColumnRenamed("id", "doc_id")
+    groups = staged(groups.join(firsts.select("doc_id", "n_shingles"), "doc_id"), "groups")
     parts = connected(confirmed(groups, docs, width, percent, agree, tile))
     return sig.where("n_shingles > 0").drop("minima").join(classes.where("copies > 1").drop("copies"), ["h0", "h1"], "left") \
         .withColumn("class_id", F.coalesce("class_id", "doc_id")) \

@@ -26,6 +26,8 @@ ROOM = 4
 HOT = 10_000
 _BLOCK_LOG2, _COUNT_LOG2 = 20, 12
 _FLUSH = 2_000_000
+#: Cells whose bits are fetched by one job (32 MB).
+_AT_ONCE = 1 << 28
 
 
 def log2_cells(expected_keys: float) -> int:
@@ -124,7 +126,8 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray
     bits = [np.zeros(max(1, (1 << log2) // 8), np.uint8) for _ in range(depth)]
     often: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(depth)]
     width = (1 << block_log2) // 8
-    for row in merged.toLocalIterator():
+    # a small sketch comes in one job, a large one partition by partition
+    for row in merged.collect() if depth << log2 <= _AT_ONCE else merged.toLocalIterator():
         bits[row.r][row.block * width:(row.block + 1) * width] = np.frombuffer(row.bits, np.uint8)
         often[row.r].append(np.frombuffer(row.hot, "<u4").astype(np.uint64) + np.uint64(row.block << block_log2))
     return Twice(bits, log2, [np.sort(np.concatenate(x)) for x in often])
