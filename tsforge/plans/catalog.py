@@ -1148,15 +1148,19 @@ def q_zero_fill(spark, sf_dir):
     return zero_fill(S.hourly_by_type(spark, sf_dir), ["value"])
 
 
-@register("merge_left_defaults", f"""WITH {HOURLY}, {_WX}, g AS (SELECT * FROM wx WHERE hour(ts) % 2 = 0)
+@register("merge_left_defaults", f"""WITH {HOURLY}, {_WX}, g AS (SELECT date_trunc('day', ts) + INTERVAL 2 HOUR * (hour(ts) // 2) AS ts, avg(temperature_c) AS temperature_c,
+  avg(humidity_percent) AS humidity_percent FROM wx GROUP BY 1)
 SELECT h.series, h.ts, {Q.r4('h.value', 'value')}, {Q.r4('coalesce(g.temperature_c, 20)', 'temperature_c')},
   {Q.r4('coalesce(g.humidity_percent, 60)', 'humidity_percent')} FROM hourly h LEFT JOIN g ON h.ts = g.ts""")
 def q_merge_left_defaults(spark, sf_dir):
-    """Every load hour keeps its row; hours that a two-hourly weather source lacks get the default weather."""
+    """Every load hour keeps its row; hours that a two-hourly weather source (means of two hours) lacks get the
+    default weather."""
     from tsforge.operators.joins import merge_on_time
     from tsforge.operators.nulls import with_defaults
     from tsforge.plans.scoring import DEFAULT_WEATHER
-    wx = S.weather_series(spark, sf_dir).where(F.hour(TS) % 2 == 0).select(TS, "temperature_c", "humidity_percent")
+    wx = S.weather_series(spark, sf_dir).groupBy(F.window(TS, "2 hours").alias("w")).agg(
+        F.avg("temperature_c").alias("temperature_c"), F.avg("humidity_percent").alias("humidity_percent")) \
+        .select(F.col("w.start").alias(TS), "temperature_c", "humidity_percent")
     merged = merge_on_time(S.hourly_by_type(spark, sf_dir), wx, "left")
     return with_defaults(merged, {c: DEFAULT_WEATHER[c] for c in ("temperature_c", "humidity_percent")})
 
