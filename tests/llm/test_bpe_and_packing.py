@@ -1,7 +1,9 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -125,3 +127,33 @@ def test_few_open_bins_never_overflow(open_bins):
         assert at == fill.get(b, 0)
         fill[b] = at + s
         assert fill[b] <= 10 and bins.n_open <= open_bins
+
+
+def test_shared_chunks_are_encoded_once():
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghéß") for _ in range(rnd.randint(1, 9))) for _ in range(800)]
+    shared = " ".join(rnd.choice(words) for _ in range(400))
+    texts = [f"{'x' * rnd.randrange(9)}{shared[rnd.randrange(40):]}{rnd.randrange(10 ** 6)}" for _ in range(40)]
+    coder = bpe_chunks.ChunkEncoder(bpe_chunks.WordEncoder(PATH), chunk=64)
+    made = []
+    plain = coder.words.words
+    coder.words.words = lambda w: made.append(len(w)) or plain(w)
+    got = [np.frombuffer(x, "<u4").tolist() for s in slabs(pa.array(texts)) for x in coder.slab(s)]
+    whole = Tokenizer.from_file(PATH)
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.reused > 5 * coder.encoded  # the passage's chunks are the same wherever it stands
+    n_words = sum(len(t.split()) for t in texts)
+    assert sum(made) < n_words / 2  # words put through the encoder: those of new chunks, and one for each join
+    before = coder.encoded
+    again = [np.frombuffer(x, "<u4").tolist() for s in slabs(pa.array(texts)) for x in coder.slab(s)]
+    assert again == got and coder.encoded == before
+
+
+def test_bpe_on_odd_tables(spark, nothing):
+    from tsforge.llm import queries  # noqa: F401
+    assert bpe_chunks.encode(nothing).count() == 0 and bpe_chunks.round_trip_digests(nothing).count() == 0
+    long = "lorem ipsum " * 450_000  # 5 MB, more than a slab or a batch
+    df = spark.createDataFrame([(1, long), (1, long), (2, None), (None, "x"), (3, "")], "doc_id long, text string").selectExpr("*", "'q' AS ids", "1 AS n_tokens")
+    got = sorted((r.doc_id, len(r.ids)) for r in bpe_chunks.encode(df).collect())
+    n = len(Tokenizer.from_file(PATH).encode("lorem ipsum", add_special_tokens=False).ids) * 450_000
+    assert got == [(1, n), (1, n), (2, 0), (3, 0)]

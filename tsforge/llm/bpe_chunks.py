@@ -1,17 +1,19 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 Texts are cut where a rolling hash of the last bytes hits a mask, so a passage that many documents
-share falls into the same chunks in each of them, wherever it stands. A chunk is encoded once per
-task (a bounded memo), and inside a new chunk each word is. A cut may fall inside a word: what
-stands between the last white space before a cut and the first one after it is encoded anew as a
-whole. White space is where both sides agree exactly, since the tokenizer starts afresh there; a
-chunk without any is carried on to the next, so the re-encoded stretch grows until the two agree.
+share falls into the same chunks in each of them, wherever it stands. Chunks are looked up first:
+the ids of a chunk that the worker's memo (two generations, bounded) holds are reused as they are, and only the
+words of unknown chunks and of joins are encoded. A cut may fall inside a word: the stretch around a join is
+re-encoded outward, from the join to the white space nearest on either side - over as many chunks as it takes - and
+ends where its ids agree with both sides: the tokenizer starts afresh at white space, so ids beyond it are
+those the chunks already have.
 
 The tokenizer drops white space, and neither its normaliser (NFC, lower case) nor its special
 tokens reach across ASCII white space. ``tests/llm`` compares with the library on any Unicode text.
 
 Results in every case: null and empty texts have no ids and decode to the empty text; ties and
-repeated rows are encoded alike; rows without an id are left out.
+repeated rows are encoded alike; rows without an id are left out; an empty table gives an empty result; a long
+text is encoded whole, in a slab of its own; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from tsforge.llm.textcodes import BYTE_CODES, Ranges, mix, slabs
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Bytes that the rolling hash looks back over; a cut on average every CHUNK bytes.
 LOOK_BACK, CHUNK = 16, 256
-#: Sizes of the memos of one worker: words of a generation, chunks (then emptied).
+#: Sizes of the memos of one worker: words and chunks of a generation; the last generation but one goes.
 WORDS_KEPT, CHUNKS_KEPT = 200_000, 20_000
 _MARK, _MARK_BYTE, _GLUE, _TOGETHER = "\x01", b"\x01", b" \x01 ", 2000
 #: Words that the short way is tried on; the letters it takes.
@@ -162,6 +164,8 @@ class ChunkEncoder:
         self.words, self.kept = words, kept
         self.every = np.uint64(chunk)
         self.memo: dict[bytes, tuple[bytes, bytes | None, bytes]] = {}
+        self.elder: dict[bytes, tuple[bytes, bytes | None, bytes]] = {}
+        self.reused = self.encoded = 0  # bytes of chunks whose ids were known, and of those encoded
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Places where a chunk ends, by content; never inside a UTF-8 character."""
@@ -175,54 +179,74 @@ class ChunkEncoder:
             at = at + inside
         return np.unique(at[at < len(data)])
 
-    def parts(self, chunk: bytes) -> tuple[bytes, bytes | None, bytes]:
-        """(what comes before the first white space, ids of the words between, what comes after the last);
-        the middle is None for a chunk without white space."""
+    @staticmethod
+    def fragments(chunk: bytes) -> tuple[bytes, bytes | None, bytes]:
+        """(what comes before the first white space, the bytes between, what comes after the last); the middle is None
+        for a chunk without white space."""
+        first = _GAP.search(chunk)
+        if first is None:
+            return chunk, None, b""
+        i, j = first.start(), len(chunk) - 1
+        while chunk[j] not in b" \t\n\r\x0b\x0c":
+            j -= 1
+        return chunk[:i], chunk[i:j + 1], chunk[j + 1:]
+
+    def known(self, chunk: bytes) -> tuple[bytes, bytes | None, bytes] | None:
+        """(head, ids of the words between, tail) of a chunk that has been encoded."""
         got = self.memo.get(chunk)
-        if got is None:
-            first = _GAP.search(chunk)
-            if first is None:
-                got = (chunk, None, b"")
-            else:
-                i = first.start()
-                j = len(chunk) - 1
-                while chunk[j] not in b" \t\n\r\x0b\x0c":
-                    j -= 1
-                got = (chunk[:i], self.words.words(chunk[i:j + 1].split()), chunk[j + 1:])
-            if len(self.memo) >= self.kept:
-                self.memo.clear()
-            if len(chunk) <= 8 * int(self.every):
-                self.memo[chunk] = got
+        if got is None and (got := self.elder.get(chunk)) is not None:
+            self.memo[chunk] = got
         return got
 
-    def encode(self, chunks: list[bytes]) -> bytes:
-        """ids of a text given as its chunks, as little-endian 32-bit numbers."""
-        out, open_word = [], []
-        for chunk in chunks:
-            head, core, tail = self.parts(chunk)
+    def add(self, chunk: bytes, split: tuple[bytes, bytes | None, bytes]) -> tuple[bytes, bytes | None, bytes]:
+        """Encode a new chunk."""
+        head, between, tail = split
+        got = head, None if between is None else self.words.words(between.split()), tail
+        if len(self.memo) >= self.kept:
+            self.elder, self.memo = self.memo, {}
+        if len(chunk) <= 8 * int(self.every):
+            self.memo[chunk] = got
+        return got
+
+    def joined(self, parts: list[tuple[bytes, bytes | None, bytes]]) -> Iterator[bytes | list[bytes]]:
+        """A text's chunks as ids (bytes) and the words around joins that are to be encoded anew (one-word lists)."""
+        open_word = []
+        for head, core, tail in parts:
             open_word.append(head)
             if core is None:
                 continue
-            join = b"".join(open_word)
-            if join:
-                out.append(self.words.words([join]))
-            out.append(core)
+            if join := b"".join(open_word):
+                yield [join]
+            yield core
             open_word = [tail]
-        join = b"".join(open_word)
-        if join:
-            out.append(self.words.words([join]))
-        return b"".join(out)
+        if join := b"".join(open_word):
+            yield [join]
 
     def slab(self, slab) -> Iterator[bytes]:
-        """ids of each text of a slab."""
+        """ids of each text of a slab, as little-endian 32-bit numbers."""
         raw = slab.data.tobytes()
-        self.words.learn(set(raw.split()))
         at = np.unique(np.concatenate([self.cuts(slab.data), slab.at]))
         bounds = np.searchsorted(at, slab.at).tolist()
         at = at.tolist()
-        for i in range(len(slab)):
-            own = at[bounds[i]:bounds[i + 1] + 1]
-            yield self.encode([raw[a:b] for a, b in zip(own, own[1:], strict=False)])
+        chunks = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        here, new = {}, {}
+        for c in chunks:
+            if c in here:
+                self.reused += len(c)
+            elif (got := self.known(c)) is not None:
+                here[c] = got
+                self.reused += len(c)
+            else:
+                here[c] = new[c] = self.fragments(c)
+                self.encoded += len(c)
+        # the words of new chunks are encoded together, then those around joins
+        self.words.learn(set().union(*(between.split() for _, between, _ in new.values() if between)))
+        for c, split in new.items():
+            here[c] = self.add(c, split)
+        texts = [list(self.joined([here[c] for c in chunks[bounds[i]:bounds[i + 1]]])) for i in range(len(slab))]
+        self.words.learn({x[0] for t in texts for x in t if isinstance(x, list)})
+        for t in texts:
+            yield b"".join([self.words.words(x) if isinstance(x, list) else x for x in t])
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}
