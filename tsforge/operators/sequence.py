@@ -113,11 +113,17 @@ def apply_time_windows(df: DataFrame, build: Callable[[WindowSpec], list[Column]
     return rows.select("*", *build(w)).where(F.col(CHUNK).isNull() | (F.col(CHUNK) == own)).drop(CHUNK, "_t")
 
 
+def _looking(keys: list[str], at: str, end: int) -> tuple[WindowSpec, WindowSpec]:
+    """Frames of all rows before and of all rows behind, up to ``end`` rows from the current one; in both the nearest row comes
+    last. The second runs in falling order: a frame that ends at the last row is added up anew at every row."""
+    return tuple(Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, end) for o in (F.asc(at), F.desc(at)))
+
+
 def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Nearest non-null entry at-or-before (``_prev_<c>``) and at-or-after (``_next_<c>``)
     each row, as structs ``(p, v)`` of row position and value, for all ``cols`` in one pass.
 
-    Plain mode: two frames of one per-series window. Chunked mode: the same
+    Plain mode: a frame of the per-series window in either direction. Chunked mode: the same
     frames inside ``(series, chunk)``, plus a table of one row per chunk holding
     its first/last non-null entries, scanned with a small window (carry) and
     joined back where a chunk has no neighbour of its own. Adds ``_idx``.
@@ -129,16 +135,12 @@ def neighbours(df: DataFrame, cols: list[str], chunk_rows: int | None = DEFAULT_
     keys = [SERIES] if chunk_rows is None else [SERIES, CHUNK]
     if chunk_rows is not None:
         base = base.withColumn(CHUNK, F.floor(F.col(IDX) / chunk_rows).cast("long"))
-    w = Window.partitionBy(*keys).orderBy(IDX)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
-    local = []
-    for c in cols:
-        local += [F.last(nn[c], ignorenulls=True).over(before).alias("_prev_" + c),
-                  F.first(nn[c], ignorenulls=True).over(after).alias("_next_" + c)]
+    before, after = _looking(keys, IDX, 0)
+    # the rising frame last: rows come out in time order, and sums behind this step add them up in that order
+    loc = base.select("*", *[F.last(nn[c], ignorenulls=True).over(after).alias("_next_" + c) for c in cols]) \
+        .select("*", *[F.last(nn[c], ignorenulls=True).over(before).alias("_prev_" + c) for c in cols])
     if chunk_rows is None:
-        return base.select("*", *local)
-    loc = base.select("*", *local)
+        return loc
     pos = {c: F.when(F.col(c).isNotNull(), F.col(IDX)) for c in cols}
     per_chunk = base.groupBy(SERIES, CHUNK).agg(
         *[F.max_by(nn[c], pos[c]).alias("_last_" + c) for c in cols],
@@ -159,9 +161,9 @@ def _carried(ends: DataFrame, at: str, cols: list[str], levels: int) -> DataFram
     up = f"_stretch{levels}"
     keys = [SERIES] if levels == 0 else [SERIES, up]
     rows = ends if levels == 0 else ends.withColumn(up, F.floor(F.col(at) / FAN).cast("long"))
-    w = Window.partitionBy(*keys).orderBy(at)
-    near = rows.select(*keys, at, *[F.last("_last_" + c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp_" + c) for c in cols],
-                       *[F.first("_first_" + c, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_cn_" + c) for c in cols])
+    before, after = _looking(keys, at, -1)
+    near = rows.select(*keys, at, *[F.last("_last_" + c, ignorenulls=True).over(before).alias("_cp_" + c) for c in cols],
+                       *[F.last("_first_" + c, ignorenulls=True).over(after).alias("_cn_" + c) for c in cols])
     if levels == 0:
         return near
     has = lambda c: F.when(F.col(c).isNotNull(), F.col(at))
