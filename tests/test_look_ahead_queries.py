@@ -30,7 +30,7 @@ class Seen(Exception):
     """The filled load's plan has been looked at."""
 
 
-@pytest.mark.parametrize("name", ["cv_fold_bounds", "frame_shape", "engineered_features", "end_to_end"])
+@pytest.mark.parametrize("name", ["cv_fold_bounds", "frame_shape", "engineered_features", "end_to_end", "model_metrics_boosted"])
 def test_no_fill_looks_ahead_row_by_row(spark, tables, monkeypatch, name):
     frames = type(spark.range(1))
     kept = frames.checkpoint
