@@ -69,6 +69,36 @@ def test_odd_tables(spark):
     assert answer(df) == brute(vectors(30))
 
 
+def test_each_vector_is_sent_once(spark, monkeypatch):
+    """Disk grows with the vectors, not with the pairs of blocks: no copy of a vector is dealt to each partner."""
+    rows = vectors()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    sent, sort = [], type(df).sortWithinPartitions
+    monkeypatch.setattr(type(df), "sortWithinPartitions", lambda self, *a, **b: sent.append(self.count()) or sort(self, *a, **b))
+    assert answer(df, block=25) == brute(rows)
+    assert sum(sent) <= len(rows)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_pieces_and_strips(spark, monkeypatch, kind):
+    """Blocks of several pieces and several strips, and more strips than one job takes."""
+    monkeypatch.setattr(embedding_join, "PIECE_BYTES", 32 * 7)
+    monkeypatch.setattr(embedding_join, "STRIP_BYTES", 32 * 20)
+    rows = vectors()
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("embedding", F.col("embedding").cast(f"array<{kind}>")).repartition(5)
+    assert answer(df, block=50) == brute(rows)
+
+
+def test_strips():
+    first, many = embedding_join.cut_strips(np.array([3, 3, 3, 25, 2, 8]), 1, 8)
+    assert first.tolist() == [0, 0, 1, 2, 6, 7] and many.tolist() == [1, 1, 1, 4, 1, 1]
+
+
+def test_no_usable_vector(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [float("nan"), 1.0], 0)], SCHEMA)
+    assert answer(df) == {1: (0, 1, True), 2: (0, 2, True)}
+
+
 def test_distant_intervals_are_skipped():
     low = np.array([[0, 0], [0, 9], [5, 0], [6, 1]])
     pairs = embedding_join.join_intervals(low, low)

@@ -8,10 +8,14 @@ Unit vectors at cosine >= ``least`` are at most eps = sqrt(2 - 2 * least) apart,
 3. Sequence intervals are joined recursively: two intervals whose cells are provably further apart than eps
    on the principal directions are skipped, others are halved until they are blocks. This works on the blocks'
    bounds alone.
-4. Each remaining pair of blocks is one group of rows in Spark: products in single precision sort out what is
-   clearly on one side of the threshold, and the rest is decided in double precision. A pair of blocks returns
-   link counts and a spanning star for each local component, so its links are never listed.
-5. Counts are added up and connected components found on the stars.
+4. Every vector goes to its block once, as it was given, and blocks are staged as pieces: a row holds the ids and
+   vectors of at most ``PIECE_BYTES``. Strips are folders of neighbouring pieces of about ``STRIP_BYTES``. A remaining
+   pair of blocks is read from the staged strips by a nested loop over pieces, and is neither shuffled nor written: disk
+   grows with the vectors, not with the pairs. Pairs of strips without a remaining pair of blocks are not read.
+5. In each pair of pieces products in single precision sort out what is clearly on one side of the threshold, and the
+   rest is decided in double precision. A task returns link counts and a spanning star for each local component, so
+   its links are never listed.
+6. Counts are added up and connected components found on the stars.
 
 Results in every case: vectors that are null, zero, of another length than most, or hold null or non-finite
 components link with nothing and are their own component; equal vectors link; rows that share an id are
@@ -21,6 +25,8 @@ linked like different vectors and give one row; rows without an id are left out.
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.llm.components import connected, stars
-from tsforge.llm.tables import bounded_batches, staged, tidy
+from tsforge.llm.tables import bounded_batches, tidy
 from tsforge.llm.textcodes import mix
+from tsforge.session import remove_path, shared_path, staged_table
 
 LEAST = 0.9
 DIMENSIONS = 6
 #: Vectors of a block, at least, and the most blocks (so the bounds on the driver and in broadcasts stay small).
 BLOCK, MAX_BLOCKS = 6000, 2048
+#: Vectors as given: of a piece (a row on the way to Python), and of a strip (what a task holds of the second side).
+PIECE_BYTES, STRIP_BYTES = 2 << 20, 32 << 20
+#: Strips that one job joins with their partners; up to so many strips in all a strip is also dealt to several tasks.
+_AT_ONCE, _FEW = 16, 4
+_HOLD = 500_000
+_SPAN = 64
 _TILE = 512
 #: Single precision is trusted further than this from the threshold.
 _DOUBT = 1e-4
@@ -112,8 +125,12 @@ def join_intervals(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
         a, b = todo.pop()
         if a != b and apart(a, b):
             continue
-        if a[1] - a[0] == 1 and b[1] - b[0] == 1:
-            out.append((a[0], b[0]))
+        if max(a[1] - a[0], b[1] - b[0]) <= _SPAN:  # the blocks of both, each with each
+            la, ha, lb, hb = low[a[0]:a[1], None], high[a[0]:a[1], None], low[None, b[0]:b[1]], high[None, b[0]:b[1]]
+            gap = np.maximum(0, np.maximum(la - hb, lb - ha) - 1)
+            i, j = np.nonzero((gap * gap).sum(2) <= 1)
+            i, j = i + a[0], j + b[0]
+            out += zip(i[i <= j].tolist(), j[i <= j].tolist(), strict=True)
         elif a == b:
             m = (a[0] + a[1]) // 2
             todo += [((a[0], m), (a[0], m)), ((a[0], m), (m, a[1])), ((m, a[1]), (m, a[1]))]
@@ -126,8 +143,22 @@ def join_intervals(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _raw(x: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary())
+def _raw(x: np.ndarray, kind: str) -> pa.Array:
+    """A binary value for each row."""
+    x = np.ascontiguousarray(x, kind)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x.tobytes())])
+
+
+def cut_strips(rows: np.ndarray, row_bytes: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first strip, number of strips) of each block, in order: whole blocks up to ``most`` bytes, and a larger block over several."""
+    first, many, strip, held = np.zeros(len(rows), np.int64), np.ones(len(rows), np.int64), -1, 0
+    for i, size in enumerate((rows * row_bytes).tolist()):
+        if strip < 0 or held + size > most:
+            strip, held = strip + 1, 0
+        first[i], many[i] = strip, max(1, -(-size // most))
+        strip, held = strip + int(many[i]) - 1, held + size if many[i] == 1 else most
+    return first, many
 
 
 def join_blocks(ids_a, a, ids_b, b, same: bool, least: float) -> tuple[np.ndarray, np.ndarray, list]:
@@ -161,89 +192,146 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id IS NOT NULL")
     widths = vectors.where("v IS NOT NULL AND size(v) > 0").groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     alone = vectors.select("vec_id").distinct()
+    nothing = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if widths is None:
-        return alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return nothing
     width, eps = widths.w, math.sqrt(2 - 2 * least) * (1 + 1e-9)
     directions = principal(vectors, width, dimensions)
     names = [f"c{k}" for k in range(directions.shape[1])]
 
+    kind = "<f4" if vectors.schema["v"].dataType.elementType.typeName() == "float" else "<f8"  # vectors are staged as given
+
     def cells(batches):
         for b in batches:
             x, ok = _matrix(b.column("v"), width)
-            u = unit(x[ok])
-            cell = np.floor(u @ directions / eps).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").filter(pa.array(ok)), *(pa.array(c) for c in cell.T), _raw(u)],
-                                             names=["vec_id", *names, "u"])
+            cell = np.floor(unit(x[ok]) @ directions / eps).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").filter(pa.array(ok)), *(pa.array(c) for c in cell.T), _raw(x[ok], kind)],
+                                             names=["vec_id", *names, "x"])
 
-    placed = staged(vectors.mapInArrow(tidy(cells), "vec_id long, " + ", ".join(f"{c} long" for c in names) + ", u binary"), "vectors")
+    placed, given = staged_table(vectors.mapInArrow(tidy(cells), "vec_id long, " + ", ".join(f"{c} long" for c in names) + ", x binary"), "llm-vectors")
     # at most (2 / eps + 2) ** dimensions cells, however many rows
     counted = placed.groupBy(*names).count().orderBy(*names).toArrow()
     grid = np.stack([counted[c].to_numpy() for c in names], 1)
     counts = counted["count"].to_numpy()
+    if not len(counts):
+        return nothing
     first, many, low, high = cut_blocks(grid, counts, max(block, math.ceil(2 * counts.sum() / MAX_BLOCKS)))
-    pairs = join_intervals(low, high)
-    partners: list[list[int]] = [[] for _ in low]  # of each block, the numbers of its pairs
-    for k, (i, j) in enumerate(pairs):
-        partners[i].append(k)
-        if i != j:
-            partners[j].append(k)
-    plan = spark.sparkContext.broadcast((pairs, partners, {tuple(c): (int(f), int(m)) for c, f, m in zip(grid.tolist(), first, many, strict=True)}))
+    rows = np.zeros(len(low))
+    for f, m, c in zip(first.tolist(), many.tolist(), counts.tolist(), strict=True):
+        rows[f:f + m] += c / m
+    row_bytes, strip_bytes = width * np.dtype(kind).itemsize, STRIP_BYTES
+    piece_rows = max(1, PIECE_BYTES // row_bytes)
+    strip, strips = cut_strips(np.ceil(rows).astype(np.int64), row_bytes, strip_bytes)
+    bundle = strip if strip[-1] > _AT_ONCE else np.arange(len(low))  # what one task packs into one file
+    partner = np.zeros((len(low), len(low)), bool)
+    partner[tuple(np.array(join_intervals(low, high)).T)] = True
+    partner |= partner.T
+    plan = spark.sparkContext.broadcast(({tuple(c): (int(f), int(m)) for c, f, m in zip(grid.tolist(), first, many, strict=True)}, strip, strips, partner, bundle))
 
     def deal(batches):
-        pairs, partners, place = plan.value
+        place, *_, bundle = plan.value
         for b in batches:
             ids = b.column("vec_id").to_numpy(zero_copy_only=False)
             cell = zip(*(b.column(c).to_pylist() for c in names), strict=True)
             first, many = np.array([place[c] for c in cell], np.int64).reshape(-1, 2).T
             block_of = first + (mix(ids.astype(np.uint64)) % many.astype(np.uint64)).astype(np.int64)
-            out = [partners[k] for k in block_of.tolist()]
-            row = np.repeat(np.arange(len(ids)), [len(x) for x in out])
-            pair = np.array([p for x in out for p in x], np.int64)
-            for i in range(0, len(row), 20_000):
-                r, p = row[i:i + 20_000], pair[i:i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(block_of[r]), pa.array(ids[r]), b.column("u").take(pa.array(r))],
-                                                 names=["pair", "block", "vec_id", "u"])
+            yield pa.RecordBatch.from_arrays([pa.array(bundle[block_of]), pa.array(block_of), b.column("vec_id"), b.column("x")], names=["bundle", "block", "vec_id", "x"])
 
-    def compare(batches):
-        pairs, now, held = plan.value[0], None, []
+    def pack(batches):
+        _, strip, strips, partner, _ = plan.value
+        now, k, ids, held = None, 0, [], []
 
         def done():
-            block = np.concatenate([x[0] for x in held])
-            ids = np.concatenate([x[1] for x in held])
-            u = np.concatenate([x[2] for x in held])
-            i, j = pairs[now]
-            left, right = block == i, block == j
-            n_a, n_b, found = join_blocks(ids[left], u[left], ids[right], u[right], i == j, least)
-            ids = np.concatenate([ids[left], ids[right]])
-            n = np.concatenate([n_a, n_b])
-            ids, n = ids[n > 0], n[n > 0]
-            star = stars(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (ids[:0], ids[:0])
-            # a row is a count (b null) or a link of a star (n null)
-            empty = lambda k: pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(ids), pa.array(star[0])]), pa.concat_arrays([pa.array(n), empty(len(star[0]))]),
-                                               pa.concat_arrays([empty(len(n)), pa.array(star[1])])], names=["a", "n", "b"])
+            at = int(strip[now]) + min(k * piece_rows * row_bytes // strip_bytes, int(strips[now]) - 1)
+            row = {"strip": at, "block": now, "piece": k, "partners": partner[now].tobytes(), "ids": np.concatenate(ids).astype("<i8").tobytes(), "x": b"".join(held)}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([(c, pa.binary() if isinstance(v, bytes) else pa.int64()) for c, v in row.items()]))
 
         for b in batches:
-            pair = b.column("pair").to_numpy()
-            cuts = np.append(np.flatnonzero(np.diff(pair)) + 1, len(pair))
+            block_of = b.column("block").to_numpy()
             begin = 0
-            for end in cuts.tolist():
-                if end == begin:
-                    continue
-                if pair[begin] != now:
+            while begin < len(block_of):
+                if block_of[begin] != now:
                     if held:
                         yield done()
-                    now, held = int(pair[begin]), []
-                part = b.slice(begin, end - begin)
-                u = np.frombuffer(b"".join(part.column("u").to_pylist()), "<f8").reshape(-1, width)
-                held.append((part.column("block").to_numpy(), part.column("vec_id").to_numpy(), u))
+                    now, k, ids, held = int(block_of[begin]), 0, [], []
+                elif len(held) == piece_rows:
+                    yield done()
+                    k, ids, held = k + 1, [], []
+                end = min(int(np.searchsorted(block_of, now, "right")), begin + piece_rows - len(held))
+                ids.append(b.column("vec_id").slice(begin, end - begin).to_numpy())
+                held += b.column("x").slice(begin, end - begin).to_pylist()
                 begin = end
         if held:
             yield done()
 
-    n = max(1, min(len(pairs), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = placed.mapInArrow(tidy(deal), "pair long, block long, vec_id long, u binary").repartition(n, "pair").sortWithinPartitions("pair")
-    found = staged(dealt.mapInArrow(tidy(compare), "a long, n long, b long"), "vector-links")
+    n = max(1, min(int(bundle[-1]) + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = placed.mapInArrow(tidy(deal), "bundle long, block long, vec_id long, x binary").repartition(n, "bundle").sortWithinPartitions("block")
+    layout = "strip long, block long, piece long, partners binary, ids binary, x binary"
+    path = shared_path(spark, f"llm-vector-pieces-{uuid.uuid4().hex}")
+    small = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}  # row groups of a few pieces
+    dealt.mapInArrow(tidy(pack), layout).write.options(**small).partitionBy("strip").parquet(path)
+    remove_path(spark, given)
+    pieces, packed = spark.read.schema(layout).parquet(path), path
+
+    def compare(batches):
+        now, right, found = None, {}, []  # right: ids, vectors and links so far of each piece that a left one met
+
+        def links(ids, n):
+            return pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0]), pa.nulls(int((n > 0).sum()), pa.int64())], names=["a", "n", "b"])
+
+        def joined():
+            star = stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(star[0]), pa.nulls(len(star[0]), pa.int64()), pa.array(star[1])], names=["a", "n", "b"])
+
+        def read(b, side, i):
+            ids, x = (np.frombuffer(b.column(f"{side}_{c}")[i].as_buffer(), t) for c, t in (("ids", "<i8"), ("x", kind)))
+            return ids.copy(), unit(x.reshape(-1, width).astype(float)), np.zeros(len(ids), np.int64)
+
+        for b in batches:
+            for i, (lb, lp, rb, rp) in enumerate(zip(*(b.column(c).to_pylist() for c in ("l_block", "l_piece", "r_block", "r_piece")), strict=True)):
+                if (lb, lp) != now:
+                    if now is not None:
+                        yield links(ids, n)
+                    now, (ids, u, n) = (lb, lp), read(b, "l", i)
+                same = now == (rb, rp)
+                if not same and (rb, rp) not in right:
+                    right[rb, rp] = read(b, "r", i)
+                ids_r, u_r, n_r = (ids, u, n) if same else right[rb, rp]
+                n_a, n_b, some = join_blocks(ids, u, ids_r, u_r, same, least)
+                n += n_a
+                n_r += n_b
+                found += some
+                if sum(len(x) for x, _ in found) > _HOLD:
+                    star = joined()
+                    found = [(star.column("a").to_numpy(), star.column("b").to_numpy())]
+                    if len(found[0][0]) > _HOLD // 2:
+                        yield star
+                        found = []
+        if now is not None:
+            yield links(ids, n)
+        for ids, _, n in right.values():
+            yield links(ids, n)
+        if found:
+            yield joined()
+
+    # a pair within a strip is taken from one side or the other in turn, so that no task gets all pairs of the first pieces
+    met = F.expr("substring(l_partners, CAST(r_block AS INT) + 1, 1) = X'01' AND (l_strip < r_strip OR l_block = r_block AND l_piece = r_piece OR "
+                 "(struct(l_block, l_piece) < struct(r_block, r_piece)) = ((l_block + l_piece + r_block + r_piece) % 2 = 0))")
+    holds = np.zeros((len(low), int((strip + strips).max())), np.float32)  # blocks by strips
+    for k, (f, m) in enumerate(zip(strip.tolist(), strips.tolist(), strict=True)):
+        holds[k, f:f + m] = 1
+    near = holds.T @ partner.astype(np.float32) @ holds > 0
+    path = shared_path(spark, f"llm-vector-links-{uuid.uuid4().hex}")
+    for begin in range(0, len(near), _AT_ONCE):
+        jobs = []
+        for t in range(begin, min(begin + _AT_ONCE, len(near))):
+            left, right = (pieces.where(F.col("strip").isin(at)).select(*(F.col(c).alias(f"{side}_{c}") for c in pieces.columns))
+                           for side, at in (("l", np.flatnonzero(near[:t + 1, t]).tolist()), ("r", [t])))
+            right = right.drop("r_partners")
+            jobs.append(left.join((right.coalesce(1) if len(near) > _FEW else right).hint("shuffle_replicate_nl"), met))
+        reduce(DataFrame.unionAll, jobs).drop("l_partners").mapInArrow(tidy(compare), "a long, n long, b long").write.mode("append").parquet(path)
+    remove_path(spark, packed)
+    found = spark.read.schema("a long, n long, b long").parquet(path)
     links = found.where("n IS NOT NULL").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     parts = connected(found.where("b IS NOT NULL").select("a", "b")).withColumnsRenamed({"id": "vec_id", "component": "component_id"})
     return alone.join(links, "vec_id", "left").join(parts, "vec_id", "left") \
