@@ -79,6 +79,15 @@ def test_each_vector_is_sent_once(spark, monkeypatch):
     assert sum(sent) <= len(rows)
 
 
+def test_large_cells_are_parted(spark):
+    """A cell of more vectors than a block holds, with groups of near copies and one of equal vectors."""
+    rng = np.random.default_rng(4)
+    x = 3 * np.eye(1, 32)[0] + np.repeat(rng.normal(size=(30, 32)), 12, 0) + rng.normal(size=(360, 32)) * 0.05
+    rows = [(int(k), v.tolist(), 0) for k, v in enumerate(np.concatenate([x, np.repeat(x[:1], 50, 0)]))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert answer(df, block=20) == brute(rows)
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_pieces_and_strips(spark, monkeypatch, kind):
     """Blocks of several pieces and several strips, and more strips than one job takes."""
@@ -99,6 +108,37 @@ def test_no_usable_vector(spark):
     assert answer(df) == {1: (0, 1, True), 2: (0, 2, True)}
 
 
+def piece(x, first_id):
+    x = x.astype("<f4")
+    u = embedding_join.unit(x.astype(float))
+    order, tiles = embedding_join.cut_tiles(u, 0.18)
+    assert sorted(order.tolist()) == list(range(len(x)))
+    centres, radii = embedding_join.balls(u[order], tiles)
+    return embedding_join.Piece(np.arange(len(x)) + first_id, x[order], tiles.astype(np.int64), centres, radii)
+
+
+@pytest.mark.parametrize("copies, noise", [(1, 0), (6, 0), (12, 0.01), (200, 0.01), (200, 0.1), (1500, 0.02)])
+def test_tiles(copies, noise):
+    """Tiles skipped, counted whole and multiplied give the links of all pairs."""
+    rng = np.random.default_rng(copies)
+    x = np.repeat(rng.normal(size=(1500 // copies, 32)), copies, 0)
+    x = rng.permutation(x + noise * rng.normal(size=x.shape) * np.abs(x).max())
+    a, b = piece(x, 0), piece(np.concatenate([x[:400] * 3, rng.normal(size=(300, 32))]), 10_000)
+    u, v = (embedding_join.unit(p.x.astype(float)) for p in (a, b))
+    found = embedding_join.join_pieces(a, b, 0.9)
+    link = u @ v.T >= 0.9
+    assert a.n.tolist() == link.sum(1).tolist() and b.n.tolist() == link.sum(0).tolist()
+    same = lambda edges: dict(zip(*(z.tolist() for z in embedding_join.stars(*edges)), strict=True))
+    i, j = np.nonzero(link)
+    assert same([np.concatenate(z) for z in zip(*found, strict=True)]) == same((a.ids[i], b.ids[j]))
+    a.n[:] = 0
+    found = embedding_join.join_pieces(a, a, 0.9)
+    link = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    assert a.n.tolist() == link.sum(1).tolist()
+    i, j = np.nonzero(link)
+    assert (same([np.concatenate(z) for z in zip(*found, strict=True)]) if found else {}) == same((a.ids[i], a.ids[j]))
+
+
 def test_distant_intervals_are_skipped():
     low = np.array([[0, 0], [0, 9], [5, 0], [6, 1]])
     pairs = embedding_join.join_intervals(low, low)
